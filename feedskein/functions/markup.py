@@ -2,6 +2,9 @@
 
 Both readers sit on the standard library's tokenizer. Callers pass null for rows that need
 no reading (see `needs_reading`), so those rows cost next to nothing here.
+
+The UDFs are declared nondeterministic, though they are not, to keep the optimizer from
+pushing filters on what was parsed below the parsing, which would parse again.
 """
 
 import re
@@ -203,7 +206,7 @@ def page_parts(html: Column, base_url: Column, *wanted: str) -> Column:
             type=kind,
         )
 
-    return parts(html, base_url)
+    return parts.asNondeterministic()(html, base_url)
 
 
 def needs_reading(html: Column, mark: str) -> Column:
@@ -374,9 +377,13 @@ _FEED_ARROW = arrow_type(FEED)
 
 
 @F.arrow_udf(FEED)
-def broken_feed(bodies: pa.Array) -> pa.Array:
-    """The feed a broken document still holds; null for null."""
+def _broken_feed(bodies: pa.Array) -> pa.Array:
     return pa.array(
         (read_broken_feed(body.as_py()) if body.is_valid else None for body in bodies),
         type=_FEED_ARROW,
     )
+
+
+def broken_feed(body: Column) -> Column:
+    """The feed a broken document still holds; null for null."""
+    return _broken_feed.asNondeterministic()(body)

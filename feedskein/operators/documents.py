@@ -53,7 +53,7 @@ def _strict_feed(document: Column) -> Column:
             F.coalesce(document["item"], none),
             F.coalesce(document["entry"], none),
         ).alias("entries"),
-    ).cast(FEED)
+    )
 
 
 def parse_documents(captures: DataFrame, body="body") -> DataFrame:

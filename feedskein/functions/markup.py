@@ -8,6 +8,7 @@ pushing filters on what was parsed below the parsing, which would parse again.
 """
 
 import re
+import sys
 from collections import Counter
 from html import escape
 from html.entities import html5
@@ -15,10 +16,14 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# executors get the readers with the UDFs and need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements that never have content.
 VOID = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen "

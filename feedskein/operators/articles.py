@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.functions.text import arrival
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY
 
 
@@ -21,7 +21,7 @@ def check_constraints(observations: DataFrame, feeds: DataFrame) -> DataFrame:
     required = ["feed_id", "guid", "title", "link", "summary"]
     known = feeds.select("feed_id", F.lit(True).alias("_known"))
     # salted on what an observation is, so that one huge feed takes many tasks
-    judged = salted_join(
+    judged = spread_join(
         observations, known, "feed_id", "left", spread=["guid", "fetched_at", "pos"]
     )
     reason = F.coalesce(
@@ -78,7 +78,7 @@ def live_keys(observations: DataFrame, actions: DataFrame, tombstones=False) ->
             .filter(F.col("_cut").isNull() | (F.col("_cut") < F.col("born")))
             .select(*ARTICLE_KEY, "born")
         )
-    after = salted_join(seen, deletes, ARTICLE_KEY, "left", spread=["_at"])
+    after = spread_join(seen, deletes, ARTICLE_KEY, "left", spread=["_at"])
     return (
         after.filter(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
         .groupBy(*ARTICLE_KEY).agg(F.min("_at").alias("born"))
@@ -100,7 +100,7 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False) ->
         *ARTICLE_KEY, arrival(F.col("at"), F.col("seq")).alias("_at"), "action"
     )
     counted = (
-        salted_join(marks, born, ARTICLE_KEY, "inner", spread=["_at"])
+        spread_join(marks, born, ARTICLE_KEY, "inner", spread=["_at"])
         .filter(F.col("_at") > F.col("born"))
         .groupBy(*ARTICLE_KEY)
         .agg(

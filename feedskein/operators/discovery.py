@@ -18,7 +18,7 @@ from feedskein.functions.markup import FEED_LINK, page_parts
 from feedskein.functions.text import strip
 from feedskein.functions.urls import SITEMAP_PATH, WELL_KNOWN_PATHS, feed_like, site_root
 from feedskein.operators.documents import feed_info, parse_feeds
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 from feedskein.sources.captures import failure
 
 _CORRUPT = "_corrupt"
@@ -107,7 +107,7 @@ def well_known_candidates(roots: DataFrame) -> DataFrame:
 def validate(candidates: DataFrame, digest: DataFrame) -> DataFrame:
     """The candidates (url) that are good feeds."""
     good = _good(digest).select("url")
-    return salted_join(candidates, good, "url", "left_semi")
+    return spread_join(candidates, good, "url", "left_semi")
 
 
 def well_known_feeds(roots: DataFrame, digest: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def sitemap_candidates(roots: DataFrame, digest: DataFrame) -> DataFrame:
 
 def sitemap_feeds(roots: DataFrame, digest: DataFrame) -> DataFrame:
     """(root, pos, url, title, feed_type). Many sitemaps may list one feed, hence the salt."""
-    return salted_join(
+    return spread_join(
         sitemap_candidates(roots, digest), _good(digest), "url", spread=["root"]
     ).select("root", "pos", "url", "title", "feed_type")
 
@@ -197,7 +197,7 @@ def discover(sites: DataFrame, digest: DataFrame, staged=None, by_root=None) ->
             "_feed.feed_type", (F.col("_at") + 1).alias("rank"),
         )
     )
-    others = salted_join(_left_over(staged).select("site_url", "root"), by_root, "root").select(*_DISCOVERED)
+    others = spread_join(_left_over(staged).select("site_url", "root"), by_root, "root").select(*_DISCOVERED)
     return linked.unionByName(others)
 
 
@@ -211,7 +211,7 @@ def resolve(sites: DataFrame, digest: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, F.struct("url", "title"))).alias("_best"),
     )
     left_over = F.coalesce(F.size("page_feeds"), F.lit(0)) <= 0
-    joined = salted_join(staged, best, "root", "left", spread=["site_url"])
+    joined = spread_join(staged, best, "root", "left", spread=["site_url"])
     first = F.when(left_over, F.col("_best")).otherwise(
         F.struct(F.col("page_feeds")[0]["url"].alias("url"), F.col("page_feeds")[0]["title"].alias("title"))
     )

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from feedskein.functions.dates import first_date
 from feedskein.functions.markup import ENTRY, FEED, broken_feed
 from feedskein.functions.text import blank_to_null, feed_type, root_name, strip
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 from feedskein.sources.captures import failure
 
 # Root elements of feed documents, and those of them from_xml can read as they are.
@@ -193,6 +193,6 @@ def entries_to_articles(entry_rows: DataFrame, feeds: DataFrame) -> DataFrame:
     """Entries with `url` to new, unread articles of the feed subscribed at that url."""
     ids = feeds.select("feed_id", "url")
     return (
-        salted_join(entry_rows, ids, "url").drop("url")
+        spread_join(entry_rows, ids, "url").drop("url")
         .withColumn("is_read", F.lit(False)).withColumn("is_favorite", F.lit(False))
     )

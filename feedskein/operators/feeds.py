@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.functions.text import strip
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 
 
 def judge_requests(feeds: DataFrame, requests: DataFrame) -> DataFrame:
@@ -87,6 +87,6 @@ def remove_feeds(feeds: DataFrame, articles: DataFrame, selectors=None, feed_ids
     gone = gone.distinct()
     return (
         feeds.join(gone, "feed_id", "left_anti"),
-        salted_join(articles, gone, "feed_id", "left_anti", spread=["guid"]),
+        spread_join(articles, gone, "feed_id", "left_anti", spread=["guid"]),
         outcome,
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.functions.text import blank_to_null
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 
 # Marks and labels.
 UNREAD_MARK = "●"
@@ -41,7 +41,7 @@ def list_articles(
     if favorites_only:
         articles = articles.filter(F.col("is_favorite"))
     titles = feeds.select("feed_id", F.col("title").alias("feed_title"))
-    listed = salted_join(articles, titles, "feed_id", "inner", spread=["guid"]).select(
+    listed = spread_join(articles, titles, "feed_id", "inner", spread=["guid"]).select(
         *articles.columns, "feed_title"
     )
     if ordered or limit is not None:

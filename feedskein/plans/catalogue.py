@@ -356,12 +356,12 @@ def refresh_stream(spark, d):
 
 @query
 def page_links(spark, d):
-    return H.link_lines(H.article_links(S.table(spark, d, "pages"), base="url")).drop("url")
+    return H.link_lines(H.article_links(S.bodies(spark, d, "pages", "page_id", "url", "html"), base="url")).drop("url")
 
 
 @query
 def page_text(spark, d):
-    return H.html_to_text(S.table(spark, d, "pages").select("page_id", "html"))
+    return H.html_to_text(S.bodies(spark, d, "pages", "page_id", "html"))
 
 
 # --- discovery --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from feedskein.operators.articles import first_observations
 from feedskein.operators.documents import entries, feed_info, parse_feeds
 from feedskein.operators.feeds import find_feeds
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 from feedskein.plans.subscribe import no_capture
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY
 from feedskein.sources.captures import latest_captures
@@ -16,7 +16,7 @@ def feed_observations(feeds: DataFrame, captures: DataFrame) -> DataFrame:
     """Every entry of every good capture of every feed, as observations."""
     parsed = parse_feeds(captures.select("url", "http_status", "error_kind", "body", "fetched_at"))
     good = parsed.filter(F.col("error").isNull()).select("url", "fetched_at", "feed")
-    tagged = salted_join(good, feeds.select("feed_id", "url"), "url", spread=["fetched_at"])
+    tagged = spread_join(good, feeds.select("feed_id", "url"), "url", spread=["fetched_at"])
     return entries(tagged, "feed_id", "fetched_at").select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "fetched_at", "pos"
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.operators.discovery import resolve
-from feedskein.operators.skew import salted_join
+from feedskein.operators.skew import spread_join
 
 
 def no_capture(url: Column) -> Column:
@@ -27,15 +27,15 @@ def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=No
         F.col("url").alias("feed_url"), "error", F.col("title").alias("_title"), "link", F.lit(True).alias("_captured")
     )
     known = feeds.select(F.col("url").alias("feed_url"), F.lit(True).alias("_known"))
-    checked = salted_join(chosen, targets, "feed_url", "left", spread=["site_url"])
-    checked = salted_join(checked, known, "feed_url", "left", spread=["site_url"])
+    checked = spread_join(chosen, targets, "feed_url", "left", spread=["site_url"])
+    checked = spread_join(checked, known, "feed_url", "left", spread=["site_url"])
     url = F.col("feed_url")
     checked = checked.withColumn(
         "error", F.when(F.col("_captured").isNull(), no_capture(url)).otherwise(F.col("error"))
     ).withColumn("_known", F.coalesce("_known", F.lit(False)))
     addable = F.col("_taken") & ~F.col("_known") & F.col("error").isNull()
     first = checked.filter(addable).groupBy("feed_url").agg(F.min("site_url").alias("_adder"))
-    judged = salted_join(checked, first, "feed_url", "left", spread=["site_url"])
+    judged = spread_join(checked, first, "feed_url", "left", spread=["site_url"])
     status = (
         F.when(F.col("outcome") == "none", "not_found")
         .when(~F.col("_taken"), "choose")

@@ -18,6 +18,16 @@ def stream_captures(spark: SparkSession, path: str, format="parquet", files_per_
     return reader.load(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in at least one partition per core, for work that is dear per row.
+
+    For rows read straight from files. Only an input of fewer file blocks than cores is
+    shuffled; one of many blocks is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def failure() -> Column:
     """Message of a failed fetch, null for a successful one."""
     url = F.col("url")

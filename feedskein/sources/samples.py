@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from feedskein.functions.urls import site_root
 from feedskein.operators.articles import first_observations
+from feedskein.sources.captures import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bodies(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts are to be parsed."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # --- feeds and articles ---------------------------------------------------------------
 
 
@@ -108,6 +114,9 @@ def _tag(name: str, content: Column, attributes="") -> Column:
     return F.concat(F.lit(f"<{name}{attributes}>"), content, F.lit(f"</{name.split()[0]}>"))
 
 
+DOCUMENT = ["doc_id", "text", "lang", "source"]
+
+
 def document_url() -> Column:
     return F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string"), F.lit("/feed.xml"))
 
@@ -206,13 +215,14 @@ def _captured(rows: DataFrame, url: Column, body: Column, status=None, error=Non
 
 def document_captures(spark, sf_dir) -> DataFrame:
     """Every document as a good capture."""
-    return _captured(table(spark, sf_dir, "documents"), document_url(), feed_document())
+    documents = bodies(spark, sf_dir, "documents", *DOCUMENT)
+    return _captured(documents, document_url(), feed_document())
 
 
 def mixed_captures(spark, sf_dir) -> DataFrame:
     """Every document captured twice, first in vain, then by n_chars % 8 as: timeout, 404,
     no such host, an HTML page, an empty titled feed, or else the feed document."""
-    documents = table(spark, sf_dir, "documents")
+    documents = bodies(spark, sf_dir, "documents", *DOCUMENT, "n_chars")
     case = F.col("n_chars") % 8
     page = F.concat(F.lit("<html><head><title>x</title></head><body>"), escaped(F.col("text")), F.lit("</body></html>"))
     body = (
@@ -223,7 +233,7 @@ def mixed_captures(spark, sf_dir) -> DataFrame:
     status = F.when(case == 1, 404).when(case > 2, 200)
     error = F.when(case == 0, "timeout").when(case == 2, "no such host")
     return _captured(documents, document_url(), body, status, error).unionByName(
-        _captured(documents, document_url(), F.lit(None), F.lit(500), at=F.lit("2024-12-31 00:00:00"))
+        _captured(table(spark, sf_dir, "documents"), document_url(), F.lit(None), F.lit(500), at=F.lit("2024-12-31 00:00:00"))
     )
 
 
@@ -286,7 +296,7 @@ def site_captures(spark, sf_dir) -> DataFrame:
     home_id % 4: 1 has two feeds, an HTML page and a 404 at well-known paths; 2 and 3
     have a sitemap, the latter a broken one; 0 has nothing.
     """
-    pages = table(spark, sf_dir, "pages")
+    pages = bodies(spark, sf_dir, "pages", "page_id", "url", "html")
     number = F.col("page_id").cast("string")
     tens = F.col("page_id") % 10
     body = F.when(tens == 5, _small_feed(F.concat(F.lit("Page "), number))).when(tens != 7, linked_page())

@@ -1,0 +1,146 @@
+import random
+from datetime import datetime as D
+from datetime import timedelta
+
+import pytest
+
+from feedskein.operators.articles import (
+    apply_actions, check_constraints, first_observations, fold_state, live_keys, new_articles, new_observations,
+    split_rejects,
+)
+
+START = D(2025, 1, 1)
+
+
+def at(minute):
+    return START + timedelta(minutes=minute)
+
+
+def seen(feed, guid, minute, **more):
+    return {"feed_id": feed, "guid": guid, "title": f"t{minute}", "fetched_at": at(minute), "pos": minute, **more}
+
+
+def replay(log, tombstones=False):
+    """The same, one step after the other. log: (minute, feed, guid, action)."""
+    live, buried = {}, set()
+    for minute, feed, guid, action in sorted(log):
+        key = (feed, guid)
+        if action == "observe":
+            if key not in live and key not in buried:
+                live[key] = [f"t{minute}", False, False]
+        elif key in live:
+            if action == "read":
+                live[key][1] = True
+            elif action == "toggle":
+                live[key][2] = not live[key][2]
+            else:
+                del live[key]
+                if tombstones:
+                    buried.add(key)
+    return {key: tuple(state) for key, state in live.items()}
+
+
+def fold(make, log, tombstones=False):
+    observations = make.observations(*[seen(f, g, m) for m, f, g, a in log if a == "observe"])
+    actions = make.actions(*[(f, g, a, at(m), m) for m, f, g, a in log if a != "observe"])
+    return observations, actions, {
+        (r.feed_id, r.guid): (r.title, r.is_read, r.is_favorite)
+        for r in fold_state(observations, actions, tombstones).collect()
+    }
+
+
+@pytest.mark.parametrize("tombstones", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_equals_replay(make, joins, seed, tombstones):
+    dice = random.Random(seed)
+    log = []
+    for minute in range(600):
+        # a third of all goes to one article
+        feed, guid = (0, "hot") if dice.random() < 1 / 3 else (dice.randrange(3), dice.choice("abcdefgh"))
+        log.append((minute, feed, guid, dice.choice(["observe", "observe", "read", "toggle", "toggle", "delete"])))
+    _, _, got = fold(make, log, tombstones)
+    assert got == replay(log, tombstones)
+
+
+def test_first_write_wins(make):
+    _, _, got = fold(make, [(1, 1, "a", "observe"), (2, 1, "a", "read"), (3, 1, "a", "observe")])
+    assert got == {(1, "a"): ("t1", True, False)}
+
+
+def test_deleted_article_returns_untouched(make):
+    log = [(1, 1, "a", "observe"), (2, 1, "a", "read"), (3, 1, "a", "toggle"), (4, 1, "a", "delete")]
+    assert fold(make, log)[2] == {}
+    log.append((5, 1, "a", "observe"))
+    assert fold(make, log)[2] == {(1, "a"): ("t5", False, False)}
+    assert fold(make, log, tombstones=True)[2] == {}
+
+
+def test_actions_before_the_article_do_nothing(make):
+    log = [(1, 1, "a", "read"), (2, 1, "a", "toggle"), (3, 1, "a", "delete"), (4, 1, "a", "observe")]
+    assert fold(make, log)[2] == {(1, "a"): ("t4", False, False)}
+    assert fold(make, log, tombstones=True)[2] == {(1, "a"): ("t4", False, False)}
+
+
+def test_order_within_one_moment(make):
+    """Same time: the sequence number decides."""
+    observations = make.observations(
+        {"feed_id": 1, "guid": "a", "title": "first", "fetched_at": START, "pos": 1},
+        {"feed_id": 1, "guid": "a", "title": "second", "fetched_at": START, "pos": 3},
+    )
+    actions = make.actions((1, "a", "delete", START, 2))
+    assert [r.title for r in fold_state(observations, actions).collect()] == ["second"]
+
+
+def test_live_keys(make):
+    observations, actions, _ = fold(make, [(1, 1, "a", "observe"), (2, 1, "b", "observe"), (3, 1, "b", "delete")])
+    assert [(r.feed_id, r.guid) for r in live_keys(observations, actions).collect()] == [(1, "a")]
+
+
+def test_insert_if_new(make):
+    observations = make.observations(seen(1, "a", 5), seen(1, "a", 2), seen(1, "b", 3), seen(2, "a", 4))
+    live = make.articles({"feed_id": 1, "guid": "b"})
+    got = new_articles(new_observations(observations, live))
+    assert sorted((r.feed_id, r.guid, r.title, r.is_read, r.is_favorite) for r in got.collect()) == [
+        (1, "a", "t2", False, False), (2, "a", "t4", False, False)]
+
+
+def test_first_in_document_order(make):
+    observations = make.observations(
+        {"feed_id": 1, "guid": "", "title": "second", "pos": 1}, {"feed_id": 1, "guid": "", "title": "first", "pos": 0},
+    )
+    assert [r.title for r in first_observations(observations).collect()] == ["first"]
+
+
+def test_same_guid_in_other_feed_is_another_article(make):
+    assert first_observations(make.observations(seen(1, "a", 1), seen(2, "a", 2))).count() == 2
+
+
+def test_constraints(make, joins):
+    observations = make.observations(
+        seen(1, "ok", 0), seen(None, "x", 1), seen(1, None, 2), seen(1, "x", 3, title=None),
+        seen(1, "x", 4, link=None), seen(1, "x", 5, summary=None), seen(9, "x", 6), seen(1, "y", 7, author=None),
+    )
+    judged = check_constraints(observations, make.feeds((1, "A", "u")))
+    assert {r.pos: r.reject_reason for r in judged.collect()} == {
+        0: None, 1: "feed_id is null", 2: "guid is null", 3: "title is null", 4: "link is null",
+        5: "summary is null", 6: "no such feed", 7: None,
+    }
+    accepted, rejected = split_rejects(judged)
+    assert (accepted.count(), rejected.count()) == (2, 6)
+    assert accepted.columns == observations.columns
+
+
+def test_actions_on_articles(make):
+    articles = make.articles(
+        {"feed_id": 1, "guid": "a"}, {"feed_id": 1, "guid": "b", "is_read": True, "is_favorite": True},
+        {"feed_id": 1, "guid": "c"}, {"feed_id": 1, "guid": "d"},
+    )
+    actions = make.actions(
+        (1, "a", "read", START, 1), (1, "a", "read", START, 2), (1, "b", "toggle", START, 3),
+        (1, "c", "delete", START, 4), (1, "c", "delete", START, 5), (1, "nobody", "toggle", START, 6),
+        (1, "d", "toggle", START, 7), (1, "d", "toggle", START, 8),
+    )
+    got = apply_actions(articles, actions)
+    assert sorted((r.guid, r.is_read, r.is_favorite) for r in got.collect()) == [
+        ("a", True, False), ("b", True, False), ("d", False, False)]
+    assert got.columns == articles.columns

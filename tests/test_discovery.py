@@ -1,0 +1,195 @@
+import pytest
+
+from feedskein.operators.discovery import (
+    capture_digest, discover, rank_feeds, resolve, sitemap_candidates, sitemap_locs, stage_sites, validate,
+    well_known_candidates, well_known_feeds,
+)
+from feedskein.functions.urls import WELL_KNOWN_PATHS, feed_like, site_root, url_path
+from feedskein.plans.subscribe import subscribed_feeds, subscriptions
+from pyspark.sql import functions as F
+
+RSS = "<rss><channel><title>{}</title></channel></rss>"
+ATOM = "<feed><title>{}</title></feed>"
+TAG = '<link rel="alternate" type="application/{}+xml" title="{}" href="{}">'
+MAP = "<urlset>{}</urlset>"
+
+
+def loc(*urls):
+    return "".join(f"<url><loc>{u}</loc></url>" for u in urls)
+
+
+def sites(spark, *urls):
+    return spark.createDataFrame([(u,) for u in urls], "site_url string")
+
+
+def found(spark, make, site, *captures):
+    digest = capture_digest(make.captures(*captures))
+    rows = discover(sites(spark, site), digest).orderBy("rank").collect()
+    return [(r.strategy, r.url, r.title, r.feed_type) for r in rows]
+
+
+@pytest.mark.parametrize("url, root, path, like", [
+    ("https://h.example:8080/a/b?x=/feed#/rss", "https://h.example:8080", "/a/b", False),
+    ("HTTP://H.example", "http://H.example", "", False),
+    ("https://h.example/Feedback", "https://h.example", "/Feedback", True),
+    ("https://h.example/news/atomic-age", "https://h.example", "/news/atomic-age", True),
+    ("https://h.example/a b|c/rss", "https://h.example", "/a b|c/rss", True),
+    ("https://feed.example/x", "https://feed.example", "/x", False),
+    ("/feed", None, "/feed", True),
+    ("h.example/feed", None, "h.example/feed", True),
+    ("", None, "", False),
+])
+def test_url_parts(spark, url, root, path, like):
+    frame = spark.createDataFrame([(url,)], "u string").select(
+        site_root(F.col("u")), url_path(F.col("u")), feed_like(F.col("u")))
+    assert tuple(frame.first()) == (root, path, like)
+
+
+def test_link_tags_rank_atom_first_then_title(spark, make):
+    page = TAG.format("rss", "B", "/b") + TAG.format("rss", "A", "/a") + TAG.format("atom", "Z", "/z") + TAG.format("rss", "A", "/c")
+    got = found(spark, make, "https://h.example/p", ("https://h.example/p", page))
+    assert [g[1] for g in got] == [f"https://h.example/{x}" for x in "zacb"]
+    assert {g[0] for g in got} == {"link_tags"}
+
+
+def test_link_tags_stop_the_search_even_if_dead(spark, make):
+    got = found(
+        spark, make, "https://h.example/", ("https://h.example/", TAG.format("rss", "Dead", "/dead")),
+        ("https://h.example/feed", RSS.format("Alive")),
+    )
+    assert [g[2] for g in got] == ["Dead"]
+
+
+def test_well_known_paths_of_the_root(spark, make):
+    got = found(
+        spark, make, "https://h.example/deep/page", ("https://h.example/deep/page", "<p>none</p>"),
+        ("https://h.example/rss.xml", RSS.format("R")), ("https://h.example/atom.xml", ATOM.format("A")),
+        ("https://h.example/feed", "<html>"), {"url": "https://h.example/rss", "http_status": 404, "body": RSS.format("x")},
+        ("https://h.example/sitemap.xml", MAP.format(loc("https://h.example/feed.xml"))),
+    )
+    assert got == [
+        ("well_known", "https://h.example/atom.xml", "A", "atom"), ("well_known", "https://h.example/rss.xml", "R", "rss")]
+
+
+def test_candidates(spark, make):
+    roots = spark.createDataFrame([("https://h.example",)], "root string")
+    candidates = well_known_candidates(roots).orderBy("pos").collect()
+    assert [r.url for r in candidates] == ["https://h.example" + p for p in WELL_KNOWN_PATHS]
+    digest = capture_digest(make.captures(("https://h.example/feed", RSS.format("x")), ("https://h.example/rss", "<p>")))
+    assert [r.url for r in validate(well_known_candidates(roots), digest).collect()] == ["https://h.example/feed"]
+    assert [(r.pos, r.title) for r in well_known_feeds(roots, digest).collect()] == [(0, "x")]
+
+
+def test_sitemap_comes_last_and_is_validated(spark, make, joins):
+    urls = ["https://h.example/", "https://h.example/feedback", "https://o.example/blog/rss", "https://h.example/a/atom",
+            "https://o.example/blog/rss", "https://h.example/x?y=/feed"]
+    got = found(
+        spark, make, "https://h.example/", ("https://h.example/sitemap.xml", MAP.format(loc(*urls))),
+        ("https://h.example/feedback", "<html><title>x</title></html>"), ("https://o.example/blog/rss", RSS.format("R")),
+        ("https://h.example/a/atom", ATOM.format("A")), ("https://h.example/x?y=/feed", RSS.format("no")),
+    )
+    assert got == [("sitemap", "https://h.example/a/atom", "A", "atom"), ("sitemap", "https://o.example/blog/rss", "R", "rss")]
+
+
+def test_sitemap_dedupe_is_first_seen(spark, make):
+    urls = ["https://h.example/rss", "https://h.example/feed", "https://h.example/rss"]
+    digest = capture_digest(make.captures(("https://h.example/sitemap.xml", MAP.format(loc(*urls)))))
+    roots = spark.createDataFrame([("https://h.example",)], "root string")
+    got = sitemap_candidates(roots, digest).orderBy("pos").collect()
+    assert [(r.pos, r.url) for r in got] == [(0, "https://h.example/rss"), (1, "https://h.example/feed")]
+
+
+@pytest.mark.parametrize("body, expected", [
+    (MAP.format(loc("a", " b \n", "", "c&amp;d")), ["a", "b", "c&d"]),
+    ("<sitemapindex><sitemap><loc>a</loc></sitemap></sitemapindex>", ["a"]),
+    ("<urlset><url><LOC>a</LOC></url><url><loc>b</loc></url></urlset>", ["a", "b"]),
+    ("<urlset><x><loc>a</loc></x></urlset>", ["a"]),
+    ("<urlset><!-- <loc>no</loc> --><url><loc>a</loc></url></urlset>", ["a"]),
+    ("<urlset><url><loc>a</loc></url><url><loc>b", ["a", "b"]),
+    ("<urlset><url><loc><![CDATA[a]]></loc></url></urlset>", ["a"]),
+    ("<html><p>nothing</p></html>", []),
+    ("", []),
+    (None, None),
+])
+def test_sitemap_locations(spark, body, expected):
+    frame = spark.createDataFrame([(body,)], "body string")
+    assert sitemap_locs(frame).first().locs == expected
+
+
+def test_nothing_found(spark, make):
+    assert found(spark, make, "https://h.example/", ("https://h.example/", "<p>x</p>")) == []
+    assert found(spark, make, "not a url", ("https://h.example/", "<p>x</p>")) == []
+
+
+def test_rank(spark):
+    rows = [("s", "rss", "B", 0), ("s", "rss", "A", 1), ("s", "atom", "C", 2), ("s", "atom", "C", 3), ("t", "rss", "Z", 0)]
+    ranked = rank_feeds(spark.createDataFrame(rows, "site string, feed_type string, title string, pos int"), "site")
+    assert {(r.site, r.pos): r["rank"] for r in ranked.collect()} == {
+        ("s", 2): 1, ("s", 3): 2, ("s", 1): 3, ("s", 0): 4, ("t", 0): 1}
+
+
+def web(make):
+    """One site of each kind."""
+    return capture_digest(make.captures(
+        ("https://direct.example/x", RSS.format("Direct")),
+        ("https://one.example/", TAG.format("rss", "One", "/f")), ("https://one.example/f", ATOM.format("One itself")),
+        ("https://two.example/", "<p>"), ("https://two.example/feed", RSS.format("T1")), ("https://two.example/rss", RSS.format("T0")),
+        ("https://dead.example/", TAG.format("rss", "Dead", "/f")), ("https://dead.example/f", "<p>"),
+        ("https://gone.example/", TAG.format("rss", "Gone", "/f")),
+        ("https://none.example/", "<p>"), {"url": "https://down.example/", "error_kind": "timeout"},
+        ("https://again.example/", TAG.format("rss", "Direct", "https://direct.example/x")),
+        ("https://known.example/", TAG.format("atom", "Known", "/f")), ("https://known.example/f", ATOM.format("Known")),
+    ))
+
+
+NAMES = ["direct.example/x", "one.example/", "two.example/", "dead.example/", "gone.example/", "none.example/",
+         "down.example/", "again.example/", "known.example/"]
+
+
+def test_resolve(spark, make, joins):
+    urls = ["https://" + n for n in NAMES] + [" https://one.example/ ", "   "]
+    got = {r.site_url.removeprefix("https://"): (r.outcome, r.found, r.feed_url, r.title) for r in resolve(sites(spark, *urls), web(make)).collect()}
+    assert got == {
+        "direct.example/x": ("direct", 1, "https://direct.example/x", "Direct"),
+        "one.example/": ("single", 1, "https://one.example/f", "One"),
+        "two.example/": ("multiple", 2, "https://two.example/rss", "T0"),
+        "dead.example/": ("single", 1, "https://dead.example/f", "Dead"),
+        "gone.example/": ("single", 1, "https://gone.example/f", "Gone"),
+        "none.example/": ("none", 0, None, None),
+        "down.example/": ("none", 0, None, None),
+        "again.example/": ("single", 1, "https://direct.example/x", "Direct"),
+        "known.example/": ("single", 1, "https://known.example/f", "Known"),
+    }
+
+
+def test_subscribe(spark, make, joins):
+    feeds = make.feeds((1, "K", "https://known.example/f"))
+    asked = sites(spark, *["https://" + n for n in NAMES])
+    outcomes = subscriptions(asked, web(make), feeds)
+    got = {r.site_url.removeprefix("https://"): (r.status, r.message) for r in outcomes.collect()}
+    assert got == {
+        "direct.example/x": ("exists", "Error: Already subscribed to https://direct.example/x"),
+        "again.example/": ("added", "Direct"),
+        "one.example/": ("added", "One itself"),
+        "two.example/": ("choose", "2 feeds found"),
+        "dead.example/": ("error", "Error: Malformed feed content from https://dead.example/f"),
+        "gone.example/": ("error", "Error: Network error fetching https://gone.example/f: not captured"),
+        "none.example/": ("not_found", "No RSS or Atom feeds found at https://none.example/. Try a direct feed URL."),
+        "down.example/": ("not_found", "No RSS or Atom feeds found at https://down.example/. Try a direct feed URL."),
+        "known.example/": ("exists", "Error: Already subscribed to https://known.example/f"),
+    }
+    assert {tuple(r) for r in subscribed_feeds(outcomes).collect()} == {
+        ("Direct", "https://direct.example/x", ""), ("One itself", "https://one.example/f", "")}
+    picked = subscriptions(asked, web(make), feeds, pick="first").filter("outcome = 'multiple'").first()
+    assert (picked.status, picked.feed_url, picked.title) == ("added", "https://two.example/rss", "T0")
+
+
+def test_digest_is_of_the_last_capture(spark, make):
+    from datetime import datetime as D
+
+    digest = capture_digest(make.captures(
+        {"url": "u", "body": RSS.format("old"), "fetched_at": D(2025, 1, 1)},
+        {"url": "u", "http_status": 500, "fetched_at": D(2025, 1, 2)},
+    ))
+    assert [r.error for r in digest.collect()] == ["HTTP 500 fetching u"]
+    assert not stage_sites(sites(spark, "u"), digest).first().direct

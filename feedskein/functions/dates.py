@@ -5,12 +5,15 @@ Three notations: RFC 822 (`Mon, 15 Jan 2025 10:00:00 EST`), ISO 8601 / W3C (`202
 is not checked, fractions of a second are dropped and a missing zone means UTC. Each
 notation costs one pattern match; its groups go to try_make_timestamp_ntz, which gives
 null for a date that does not exist.
+
+The expressions are put together as SQL text: as columns they are some hundred calls to
+the JVM, which a stream would repeat for every micro-batch.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedskein.functions.text import strip
+from feedskein.functions.text import WHITESPACE
 
 # Zone names of RFC 822 with their offsets in minutes.
 ZONE_MINUTES = {
@@ -33,78 +36,77 @@ _ISO = (
 _ASCTIME = r"(?i)\A(?:[a-z]{3,9}\s+)?([a-z]{3})[a-z]*\s+(\d{1,2})\s+" + _CLOCK + r"\s+(\d{4})\z"
 
 
-def _match(text: Column, pattern: str, groups: int, build) -> Column:
-    """build(groups of the match), or null. The pattern runs once however often build
-    uses its groups: transform over a one-element array binds them to a variable."""
-    layout = "\x01" + "\x01".join(f"${g + 1}" for g in range(groups))
-    marked = F.regexp_replace(text, pattern, layout)
-    bound = F.array(F.slice(F.split(marked, "\x01"), 2, groups))
-    return F.transform(bound, lambda g: F.when(F.size(g) == groups, build(g)))[0]
+def _number(part, default):
+    return f"if({part} = '', {default}, try_cast({part} AS int))"
 
 
-def _number(part: Column, default: int) -> Column:
-    return F.when(part == "", default).otherwise(part.try_cast("int"))
+def _year(part):
+    """Two digits below 90 are of this century."""
+    return (
+        f"try_cast({part} AS int) + CASE WHEN length({part}) > 2 THEN 0 "
+        f"WHEN try_cast({part} AS int) < 90 THEN 2000 ELSE 1900 END"
+    )
 
 
-def _month(name: Column) -> Column:
-    at = F.instr(F.lit(MONTHS), F.lower(name))
-    return F.when(at % 3 == 1, F.floor(at / 3).cast("int") + 1)
+def _month(part):
+    at = f"instr('{MONTHS}', lower({part}))"
+    return f"if({at} % 3 = 1, ({at} + 2) div 3, null)"
 
 
-def _zone(name: Column) -> Column:
+def _zone(part):
     """Offset from UTC in minutes; an unknown name counts as UTC."""
-    digits = F.regexp_replace(name, ":", "")
+    digits = f"replace({part}, ':', '')"
     minutes = (
-        F.substring(digits, 2, 2).try_cast("int") * 60
-        + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
+        f"(try_cast(substring({digits}, 2, 2) AS int) * 60 + coalesce(try_cast(substring({digits}, 4, 2) AS int), 0))"
     )
-    names = F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
+    names = ", ".join(f"'{name}', {offset}" for name, offset in ZONE_MINUTES.items())
     return (
-        F.when(name.startswith("+"), minutes)
-        .when(name.startswith("-"), -minutes)
-        .otherwise(F.coalesce(F.try_element_at(names, F.lower(name)), F.lit(0)))
+        f"CASE substring({part}, 1, 1) WHEN '+' THEN {minutes} WHEN '-' THEN -{minutes} "
+        f"ELSE coalesce(try_element_at(map({names}), lower({part})), 0) END"
     )
 
 
-def _instant(year, month, day, hour, minute, second, zone) -> Column:
-    local = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), -zone, F.lit(0))
-    return (local + shift).cast("timestamp_ntz")
+def _instant(year, month, day, hour, minute, second, zone):
+    return (
+        f"try_make_timestamp_ntz({year}, cast({month} AS int), {day}, {hour}, {minute}, {second})"
+        f" - make_dt_interval(0, 0, {zone}, 0)"
+    )
+
 
+def _notation(pattern, groups, *parts):
+    """The instant of the parts, or null. The pattern runs once however often they use its
+    groups: transform over a one-element array binds them to the variable g."""
+    marked = "\\u0001" + "\\u0001".join(f"${n + 1}" for n in range(groups))
+    found = f"slice(split(regexp_replace(x, r'{pattern}', '{marked}'), '\\u0001'), 2, {groups})"
+    return f"transform(array({found}), g -> if(size(g) = {groups}, {_instant(*parts)}, null))[0]"
 
-def _rfc822(g: Column) -> Column:
-    year = g[2].try_cast("int")
-    year = F.when(F.length(g[2]) > 2, year).when(year < 90, year + 2000).otherwise(year + 1900)
-    return _instant(
-        year, _month(g[1]), _number(g[0], 1),
-        _number(g[3], 0), _number(g[4], 0), _number(g[5], 0), _zone(g[6]),
-    )
 
+_CLOCK_PARTS = [_number(f"g[{n}]", 0) for n in (3, 4, 5)]
+_NOTATIONS = [
+    _notation(_RFC822, 7, _year("g[2]"), _month("g[1]"), _number("g[0]", 1), *_CLOCK_PARTS, _zone("g[6]")),
+    _notation(_ISO, 7, _number("g[0]", 0), _number("g[1]", 1), _number("g[2]", 1), *_CLOCK_PARTS, _zone("g[6]")),
+    _notation(
+        _ASCTIME, 6, _number("g[5]", 0), _month("g[0]"), _number("g[1]", 1),
+        *[_number(f"g[{n}]", 0) for n in (2, 3, 4)], "0",
+    ),
+]
+_BLANKS = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 
-def _iso(g: Column) -> Column:
-    return _instant(
-        _number(g[0], 0), _number(g[1], 1), _number(g[2], 1),
-        _number(g[3], 0), _number(g[4], 0), _number(g[5], 0), _zone(g[6]),
-    )
 
+def date_sql(*texts: str) -> str:
+    """SQL for the first of the texts (SQL expressions) that is a date.
 
-def _asctime(g: Column) -> Column:
-    return _instant(
-        _number(g[5], 0), _month(g[0]), _number(g[1], 1),
-        _number(g[2], 0), _number(g[3], 0), _number(g[4], 0), F.lit(0),
-    )
+    coalesce stops at the first that is not null, so the usual notations cost least.
+    """
+    read = f"coalesce({', '.join(_NOTATIONS)})"
+    tried = [f"transform(array(btrim({text}, '{_BLANKS}')), x -> {read})[0]" for text in texts]
+    return f"coalesce({', '.join(tried)})"
 
 
-def parse_date(text: Column) -> Column:
-    text = strip(text)
-    # coalesce stops at the first that is not null, so the usual notations cost least
-    return F.coalesce(
-        _match(text, _RFC822, 7, _rfc822),
-        _match(text, _ISO, 7, _iso),
-        _match(text, _ASCTIME, 6, _asctime),
-    )
+def parse_date(column: str) -> Column:
+    return F.expr(date_sql(column))
 
 
-def first_date(published: Column, updated: Column) -> Column:
+def first_date(published: str, updated: str) -> Column:
     """published if it can be read, else updated, else null."""
-    return F.coalesce(parse_date(published), parse_date(updated))
+    return F.expr(date_sql(published, updated))

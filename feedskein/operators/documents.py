@@ -166,8 +166,8 @@ def entries(parsed: DataFrame, *keep: str, outer=False) -> DataFrame:
         link.alias("link"),
         F.coalesce(person, strip(entry["dc:creator"])).alias("author"),
         first_date(
-            F.coalesce(entry["pubDate"], entry["published"], entry["issued"]),
-            F.coalesce(entry["updated"], entry["modified"], entry["dc:date"]),
+            "coalesce(entry.pubDate, entry.published, entry.issued)",
+            "coalesce(entry.updated, entry.modified, entry.`dc:date`)",
         ).alias("published"),
         F.coalesce(
             blank_to_null(strip(F.coalesce(entry["description"], entry["summary"]))),

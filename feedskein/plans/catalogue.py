@@ -282,6 +282,15 @@ def parse_rejects(spark, d):
     return parsed.select("url", F.col("http_status").cast("long").alias("http_status"), "error")
 
 
+@query
+def fetch_and_parse(spark, d):
+    """The feed documents and as many addresses that nobody captured."""
+    known = S.document_feeds(spark, d).select("url")
+    wanted = known.unionByName(known.select(F.replace("url", F.lit("/feed.xml"), F.lit("/gone.xml")).alias("url")))
+    parsed = R.fetch_and_parse(wanted, S.mixed_captures(spark, d))
+    return parsed.select("url", "error", F.coalesce(F.size("feed.entries"), F.lit(0)).cast("long").alias("entries"))
+
+
 @query
 def feed_types(spark, d):
     return S.table(spark, d, "documents").select("doc_id", feed_type(S.feed_document()).alias("feed_type"))
@@ -299,7 +308,9 @@ def parse_dates(spark, d):
         F.concat(F.lit("sometime in "), F.date_format(second, "yyyy")),
     ]
     text = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
-    return S.table(spark, d, "events").select("event_id", parse_date(text).alias("published"))
+    return S.table(spark, d, "events").select("event_id", text.alias("text")).select(
+        "event_id", parse_date("text").alias("published")
+    )
 
 
 # --- refresh ----------------------------------------------------------------------------

@@ -195,6 +195,9 @@ oracle("parse_feed_info", f"""SELECT url, {TITLE} AS title, {LINK} AS link,
   CASE fmt WHEN 'atom' THEN 'atom' ELSE 'rss' END AS feed_type FROM docs""", DOCUMENTS)
 oracle("parse_rejects", f"""SELECT url, {STATUS}, {FEED_ERROR} AS error FROM docs
 UNION ALL SELECT url, 500, 'HTTP 500 fetching ' || url FROM docs""", DOCUMENTS)
+oracle("fetch_and_parse", f"""SELECT url, {FEED_ERROR} AS error,
+  CASE WHEN kase > 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS entries FROM docs
+UNION ALL SELECT site || '/gone.xml', 'Network error fetching ' || site || '/gone.xml: not captured', 0 FROM docs""", DOCUMENTS)
 oracle("feed_types", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'atom' ELSE 'rss' END AS feed_type FROM documents")
 oracle("parse_dates", """SELECT event_id, CASE event_id % 6
   WHEN 0 THEN s WHEN 1 THEN s + INTERVAL 5 HOUR WHEN 2 THEN s - INTERVAL 2 HOUR WHEN 3 THEN s

@@ -9,36 +9,48 @@ from feedskein.operators.feeds import find_feeds
 from feedskein.operators.skew import spread_join
 from feedskein.plans.subscribe import no_capture
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY
-from feedskein.sources.captures import latest_captures
+from feedskein.sources.captures import latest_captures, successes
+
+CAPTURE = ["url", "http_status", "error_kind", "body", "fetched_at"]
 
 
 def feed_observations(feeds: DataFrame, captures: DataFrame) -> DataFrame:
-    """Every entry of every good capture of every feed, as observations."""
-    parsed = parse_feeds(captures.select("url", "http_status", "error_kind", "body", "fetched_at"))
-    good = parsed.filter(F.col("error").isNull()).select("url", "fetched_at", "feed")
-    tagged = spread_join(good, feeds.select("feed_id", "url"), "url", spread=["fetched_at"])
-    return entries(tagged, "feed_id", "fetched_at").select(
+    """Every entry of every good capture of every feed, as observations. Failed fetches and
+    documents nobody subscribed to are dropped before parsing."""
+    fetched = successes(captures.select(*CAPTURE))
+    wanted = spread_join(fetched, feeds.select("feed_id", "url"), "url", spread=["fetched_at"])
+    good = parse_feeds(wanted).filter(F.col("error").isNull())
+    return entries(good, "feed_id", "fetched_at").select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "fetched_at", "pos"
     )
 
 
+def fetch_and_parse(wanted: DataFrame, captures: DataFrame) -> DataFrame:
+    """wanted (url, one row each) with what parse_feeds makes of the last capture of each
+    URL; feed is null where error is not. A URL without a capture is an error.
+
+    Both sides of the join have one row per URL, and the captures are already partitioned
+    by it, so their bodies are shuffled once.
+    """
+    last = latest_captures(captures.select(*CAPTURE)).withColumn("_captured", F.lit(True))
+    parsed = parse_feeds(wanted.join(last, "url", "left"))
+    error = F.when(F.col("_captured").isNull(), no_capture(F.col("url"))).otherwise(F.col("error"))
+    return (
+        parsed.withColumn("error", error)
+        .withColumn("feed", F.when(F.col("error").isNull(), F.col("feed")))
+        .drop("_captured")
+    )
+
+
 def refresh_rows(feeds: DataFrame, captures: DataFrame, live: DataFrame) -> DataFrame:
     """One row per distinct entry in the last capture of each feed, and one with null guid
     per feed that has none or failed: feed_id, error, the article columns, is_new.
 
     The new articles and the report both derive from these rows; write them if you need
-    both. Both sides of the first join have one row per URL, and the captures are already
-    partitioned by it, so their bodies are shuffled once.
+    both. The join with the live articles reuses the partitioning of the deduplication.
     """
-    last = latest_captures(captures.select("url", "http_status", "error_kind", "body", "fetched_at"))
-    wanted = feeds.select("feed_id", "url").join(last.withColumn("_captured", F.lit(True)), "url", "left")
-    parsed = parse_feeds(wanted)
-    error = F.when(F.col("_captured").isNull(), no_capture(F.col("url"))).otherwise(F.col("error"))
-    parsed = parsed.withColumn("error", error).withColumn(
-        "feed", F.when(F.col("error").isNull(), F.col("feed"))
-    )
-    rows = entries(parsed, "feed_id", "error", "fetched_at", outer=True)
-    rows = first_observations(rows)
+    parsed = fetch_and_parse(feeds.select("feed_id", "url"), captures)
+    rows = first_observations(entries(parsed, "feed_id", "error", "fetched_at", outer=True))
     known = live.select(*ARTICLE_KEY, F.lit(True).alias("_live"))
     return rows.join(known, ARTICLE_KEY, "left").select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "fetched_at", "pos", "error",
@@ -82,11 +94,12 @@ def selected_feeds(feeds: DataFrame, selectors: DataFrame) -> DataFrame:
 def updated_feeds(feeds: DataFrame, captures: DataFrame) -> DataFrame:
     """feeds with title and link from their last good capture. A refresh leaves both as
     they were when subscribing; this is for callers who want them to follow."""
-    last = latest_captures(captures.select("url", "http_status", "error_kind", "body", "fetched_at"))
-    parsed = parse_feeds(last)
-    now = feed_info(parsed.filter(F.col("error").isNull())).select(
-        "url", F.col("title").alias("_title"), F.col("link").alias("_link")
-    )
-    return feeds.join(now, "url", "left").select(
-        "feed_id", F.coalesce("_title", "title").alias("title"), "url", F.coalesce("_link", "link").alias("link")
+    wanted = feeds.select("feed_id", "url", F.col("title").alias("_title"), F.col("link").alias("_link"))
+    parsed = fetch_and_parse(wanted, captures)
+    good = F.col("error").isNull()
+    return feed_info(parsed).select(
+        "feed_id",
+        F.when(good, F.col("title")).otherwise(F.col("_title")).alias("title"),
+        "url",
+        F.when(good, F.col("link")).otherwise(F.col("_link")).alias("link"),
     )

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedskein.functions.text import arrival
-from feedskein.operators.articles import fold_state, live_keys, new_observations
+from feedskein.operators.articles import first_observations, fold_state, live_keys
+from feedskein.operators.skew import spread_join
 from feedskein.plans.refresh import feed_observations
 from feedskein.schemas import ACTIONS, ARTICLE_KEY, OBSERVATIONS
 
@@ -54,11 +55,25 @@ def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataF
 
 
 def ingest_batch(feeds: DataFrame, folder: str, captures: DataFrame, batch: int) -> None:
+    """Append the observations of one batch of captures that make articles.
+
+    Of the logs only the histories of the batch's own articles go through the fold: their
+    keys, broadcast if few enough, filter the scans of the key columns.
+    """
     spark = captures.sparkSession
-    seen = feed_observations(feeds, captures)
-    live = live_keys(stored_observations(spark, folder, before=batch), stored_actions(spark, folder))
-    new = new_observations(seen, live).select(*[f.name for f in OBSERVATIONS])
-    new.write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
+    seen = first_observations(feed_observations(feeds, captures)).persist()
+    try:
+        keys = seen.select(*ARTICLE_KEY)
+        stored = stored_observations(spark, folder, before=batch).select(*ARTICLE_KEY, "fetched_at", "pos")
+        actions = stored_actions(spark, folder)
+        live = live_keys(
+            spread_join(stored, keys, ARTICLE_KEY, "left_semi"),
+            spread_join(actions, keys, ARTICLE_KEY, "left_semi"),
+        )
+        new = seen.join(live.select(*ARTICLE_KEY), ARTICLE_KEY, "left_anti")
+        new.select(*OBSERVATIONS.names).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
+    finally:
+        seen.unpersist()
 
 
 def start_refresh(captures: DataFrame, feeds: DataFrame, folder: str, trigger=None):

@@ -1,8 +1,6 @@
 from datetime import datetime as D
 
 import pytest
-from pyspark.sql import functions as F
-
 from feedskein.functions.dates import first_date, parse_date
 
 CASES = {
@@ -36,7 +34,7 @@ CASES = {
 
 def test_notations(spark):
     frame = spark.createDataFrame([(t,) for t in CASES], "text string")
-    got = {r.text: r.d for r in frame.select("text", parse_date(F.col("text")).alias("d")).collect()}
+    got = {r.text: r.d for r in frame.select("text", parse_date("text").alias("d")).collect()}
     assert got == CASES
 
 
@@ -48,4 +46,4 @@ def test_notations(spark):
 ])
 def test_published_before_updated(spark, published, updated, expected):
     frame = spark.createDataFrame([(published, updated)], "p string, u string")
-    assert frame.select(first_date(F.col("p"), F.col("u"))).first()[0] == expected
+    assert frame.select(first_date("p", "u")).first()[0] == expected

@@ -136,3 +136,18 @@ def apply_actions(articles: DataFrame, actions: DataFrame) -> DataFrame:
         else F.col(c)
         for c in articles.columns
     ])
+
+
+ACTIONS_KNOWN = ("read", "toggle", "delete")
+
+
+def actions_on(articles: DataFrame, ids: DataFrame, action: str, at) -> DataFrame:
+    """Rows for the actions log: one action at one time on the articles whose ids (id) are
+    given. Ids of no article give no row."""
+    if action not in ACTIONS_KNOWN:
+        raise ValueError(f"action must be one of {', '.join(ACTIONS_KNOWN)}")
+    keys = articles.select("id", *ARTICLE_KEY)
+    return keys.join(ids.select("id").distinct(), "id", "left_semi").select(
+        *ARTICLE_KEY, F.lit(action).alias("action"),
+        F.lit(at).cast("timestamp").alias("at"), F.col("id").alias("seq"),
+    )

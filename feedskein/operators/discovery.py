@@ -3,7 +3,7 @@
 capture_digest reads every body once and keeps what discovery can ask of it: is it a feed
 and of what title and type, which feeds does a page link to, which addresses does a
 sitemap list. Bodies are never shuffled; everything after is equi-joins on URLs of these
-narrow rows. Use one digest for all steps, persisted or written by the caller.
+narrow rows. All steps use one digest, so write it first (session.written).
 
 Strategies, each for the sites the ones before found nothing for: link tags of the page,
 well-known paths, sitemap. The last two depend on the site's root alone, so they run and
@@ -30,61 +30,76 @@ _SITEMAP = T.StructType([
 ])
 
 
-def page_feeds(html: Column, base_url: Column) -> Column:
-    """The feeds a page's link tags name, in page order; null for null html.
-
-    Both feed types hold a plus sign before `xml`, so pages without one, plain or as a
-    character reference, need no reading.
-    """
+def _may_link(html: Column) -> Column:
+    """Whether a page can name feeds: it needs a link tag and a feed type, both of which
+    hold a plus sign before `xml`, plain or as a character reference."""
     lower = F.lower(html)
-    may_link = F.contains(lower, F.lit("<link")) & lower.rlike(r"(\+|&#0*43;?|&#x0*2b;?|&plus;?)xml")
-    read = page_parts(F.when(may_link, html), base_url, "feeds")["feeds"]
-    none = F.array().cast(T.ArrayType(FEED_LINK))
-    return F.when(html.isNotNull(), F.coalesce(read, none))
+    return F.contains(lower, F.lit("<link")) & lower.rlike(r"(\+|&#0*43;?|&#x0*2b;?|&plus;?)xml")
 
 
-def sitemap_locs(sitemaps: DataFrame, body="body", locs="locs") -> DataFrame:
-    """sitemaps with the non-blank locations of the body in `locs`, null for a null body.
+def _or_none(feeds: Column, html: Column) -> Column:
+    return F.when(html.isNotNull(), F.coalesce(feeds, F.array().cast(T.ArrayType(FEED_LINK))))
 
-    from_xml reads the usual layout. A body that is not well-formed, or has more `loc`
-    elements than that layout accounts for, goes to the page reader.
-    """
-    text = F.col(body)
-    staged = sitemaps.withColumn(
-        "_map", F.from_xml(text, _SITEMAP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    )
+
+def page_feeds(html: Column, base_url: Column) -> Column:
+    """The feeds a page's link tags name, in page order; null for null html."""
+    return _or_none(page_parts(F.when(_may_link(html), html), base_url, "feeds")["feeds"], html)
+
+
+def _strict_locs(sitemaps: DataFrame, body: str) -> DataFrame:
+    """sitemaps with `_strict`, the locations where from_xml finds them in the usual layout,
+    and `_complete`: the body is well-formed and has no more `loc` elements than those."""
+    xml = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    staged = sitemaps.withColumn("_map", F.from_xml(body, _SITEMAP, xml))
     none = F.array().cast(_LOCS)
     listed = F.flatten(F.transform(
         F.concat(F.coalesce(F.col("_map.url"), none), F.coalesce(F.col("_map.sitemap"), none)),
         lambda x: F.coalesce(x["loc"], F.array().cast("array<string>")),
     ))
     staged = staged.withColumn("_strict", F.when(F.col(f"_map.{_CORRUPT}").isNull(), listed))
-    lower = F.lower(text)
+    lower = F.lower(body)
     marks = F.length(lower) - F.length(F.replace(lower, F.lit("<loc"), F.lit("")))
     complete = F.coalesce(F.size("_strict") * 4 == marks, F.lit(False))
-    staged = staged.withColumn("_complete", complete)
-    read = page_parts(F.when(~F.col("_complete"), text), F.lit(None).cast("string"), "locs")["locs"]
-    staged = staged.withColumn("_read", read)
+    return staged.withColumn("_complete", complete).drop("_map")
+
+
+def _locs(read: Column) -> Column:
+    """The non-blank locations: the strict ones if complete, else those read leniently."""
     strict = F.filter(F.transform("_strict", strip), lambda x: x != "")
-    return staged.withColumn(locs, F.when(F.col("_complete"), strict).otherwise(F.col("_read"))).drop(
-        "_map", "_strict", "_complete", "_read"
-    )
+    return F.when(F.col("_complete"), strict).otherwise(read)
+
+
+def sitemap_locs(sitemaps: DataFrame, body="body", locs="locs") -> DataFrame:
+    """sitemaps with the non-blank locations of the body in `locs`, null for a null body.
+
+    from_xml reads the usual layout. A body that is not well-formed, or has more `loc`
+    elements than that layout accounts for, goes to the page reader.
+    """
+    staged = _strict_locs(sitemaps, body)
+    rest = F.when(~F.col("_complete"), F.col(body))
+    staged = staged.withColumn("_read", page_parts(rest, F.lit(None).cast("string"), "locs")["locs"])
+    return staged.withColumn(locs, _locs(F.col("_read"))).drop("_strict", "_complete", "_read")
 
 
 def capture_digest(captures: DataFrame) -> DataFrame:
     """The last capture of each URL without its body: url, error (null for a good feed),
     title, link, feed_type, page_feeds, locs."""
+    body, url = F.col("body"), F.col("url")
+    is_sitemap = url == F.concat(site_root(url), F.lit(SITEMAP_PATH))
     fetched = captures.select(
-        "url", "http_status", "error_kind", "fetched_at",
-        F.when(failure().isNull(), F.col("body")).alias("body"),
-    )
-    sitemap = F.col("url") == F.concat(site_root(F.col("url")), F.lit(SITEMAP_PATH))
-    read = fetched.withColumn("page_feeds", page_feeds(F.col("body"), F.col("url")))
-    read = sitemap_locs(read.withColumn("_sitemap", F.when(sitemap, F.col("body"))), "_sitemap").drop("_sitemap")
-    info = feed_info(parse_feeds(read)).select(
-        "url", "fetched_at", "error", "title", "link", "feed_type", "page_feeds", "locs"
+        "url", "http_status", "error_kind", "fetched_at", F.when(failure().isNull(), body).alias("body")
+    ).withColumn("_sitemap", F.when(is_sitemap, body))
+    staged = _strict_locs(fetched, "_sitemap")
+    # one reading serves both: the page's feeds and the locations of an irregular sitemap
+    irregular = F.col("_sitemap").isNotNull() & ~F.col("_complete")
+    read = page_parts(F.when(_may_link(body) | irregular, body), url, "feeds", "locs")
+    staged = staged.withColumn("_read", read).select(
+        "url", "http_status", "error_kind", "fetched_at", "body",
+        _or_none(F.col("_read.feeds"), body).alias("page_feeds"),
+        F.when(F.col("_sitemap").isNotNull(), _locs(F.col("_read.locs"))).alias("locs"),
     )
     rest = ["error", "title", "link", "feed_type", "page_feeds", "locs"]
+    info = feed_info(parse_feeds(staged)).select("url", "fetched_at", *rest)
     order = F.struct("fetched_at", F.xxhash64(*rest))
     return (
         info.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("last"))

@@ -13,7 +13,7 @@ from feedskein.operators import reading as H
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
-from feedskein.session import scratch_dir
+from feedskein.session import scratch_dir, written
 from feedskein.sources import captures as C
 from feedskein.sources import samples as S
 from feedskein.sources import tables
@@ -379,7 +379,7 @@ def page_text(spark, d):
 
 
 def _digest(spark, d):
-    return D.capture_digest(S.site_captures(spark, d)).persist()
+    return written(D.capture_digest(S.site_captures(spark, d)), "digest")
 
 
 @query

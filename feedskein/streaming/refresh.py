@@ -50,6 +50,10 @@ def stored_actions(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(ACTIONS).parquet(path)
 
 
+def append_actions(actions: DataFrame, folder: str) -> None:
+    actions.select(*ACTIONS.names).write.mode("append").parquet(f"{folder}/actions")
+
+
 def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataFrame:
     return fold_state(stored_observations(spark, folder), stored_actions(spark, folder), tombstones)
 

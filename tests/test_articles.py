@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 
 from feedskein.operators.articles import (
-    apply_actions, check_constraints, first_observations, fold_state, live_keys, new_articles, new_observations,
+    actions_on, apply_actions, check_constraints, first_observations, fold_state, live_keys, new_articles, new_observations,
     split_rejects,
 )
 
@@ -144,3 +144,13 @@ def test_actions_on_articles(make):
     assert sorted((r.guid, r.is_read, r.is_favorite) for r in got.collect()) == [
         ("a", True, False), ("b", True, False), ("d", False, False)]
     assert got.columns == articles.columns
+
+
+def test_actions_by_id(spark, make):
+    articles = make.articles({"id": 1, "feed_id": 1, "guid": "a"}, {"id": 2, "feed_id": 1, "guid": "b"})
+    ids = spark.createDataFrame([(2,), (2,), (99,)], "id bigint")
+    rows = actions_on(articles, ids, "read", START)
+    assert [tuple(r) for r in rows.collect()] == [(1, "b", "read", START, 2)]
+    assert sorted((r.guid, r.is_read) for r in apply_actions(articles, rows).collect()) == [("a", False), ("b", True)]
+    with pytest.raises(ValueError):
+        actions_on(articles, ids, "burn", START)

@@ -9,7 +9,7 @@ from feedskein.plans.refresh import (
 from feedskein.schemas import ACTIONS
 from feedskein.sources.captures import stream_captures
 from feedskein.streaming.refresh import (
-    compact, ingest_batch, start_refresh, stored_articles, stored_observations,
+    append_actions, compact, ingest_batch, start_refresh, stored_articles, stored_observations,
 )
 
 
@@ -106,7 +106,7 @@ def test_deleted_article_returns_through_the_stream(spark, feeds, make, tmp_path
     folder = str(tmp_path)
     day = lambda n: D(2025, 1, n)
     ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Old", "a"), "fetched_at": day(1)}), 0)
-    make.actions((1, "a", "read", day(2), 0), (1, "a", "delete", day(2), 1)).write.parquet(f"{folder}/actions")
+    append_actions(make.actions((1, "a", "read", day(2), 0), (1, "a", "delete", day(2), 1)), folder)
     assert stored_articles(spark, folder).count() == 0
     ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("New", "a"), "fetched_at": day(3)}), 1)
     assert [(r.title, r.is_read) for r in stored_articles(spark, folder).collect()] == [("New a", False)]

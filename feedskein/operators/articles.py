@@ -2,7 +2,7 @@
 
 observations: what each fetch saw, in arrival order (fetched_at, pos).
 actions: read, toggle (the favourite mark) and delete, in arrival order (at, seq).
-Both orders are one order of arrival; a pair must not occur twice for one article.
+Both orders are one order of arrival.
 
 An article is (feed_id, guid). What is first seen stays: later versions are ignored. A
 deleted article returns, new and unread, when it is seen again, unless tombstones are on.
@@ -116,7 +116,9 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False) ->
     content = observations.select(
         *ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("born"), *ARTICLE_CONTENT
     )
-    return content.join(state, [*ARTICLE_KEY, "born"]).select(
+    # two observations may share an arrival; the join has partitioned by it already
+    one = content.join(state, [*ARTICLE_KEY, "born"]).dropDuplicates([*ARTICLE_KEY, "born"])
+    return one.select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "is_read", "is_favorite"
     )
 

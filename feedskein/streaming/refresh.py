@@ -9,8 +9,8 @@ Deduplicating with streaming state would either remember a deleted article for e
 that it could not return, or forget live ones after a watermark. So each micro-batch is
 compared with the live articles as folded from the logs. A repeated batch overwrites its
 own folder and does not look at it, which makes repeating it harmless. Observations of
-live articles are dropped: the fold would ignore them, as long as actions do not arrive
-with times before those of observations already stored.
+live articles are dropped: the fold would ignore them, as long as no action is stored
+later than its time would have it, behind observations that came after it.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,22 +59,27 @@ def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataF
 
 
 def ingest_batch(feeds: DataFrame, folder: str, captures: DataFrame, batch: int) -> None:
-    """Append the observations of one batch of captures that make articles.
+    """Append the observations of one batch of captures that make articles live.
 
-    Of the logs only the histories of the batch's own articles go through the fold: their
-    keys, broadcast if few enough, filter the scans of the key columns.
+    The batch's observations join the log, and of what then makes each of its articles
+    live, the rows that are not stored yet are new. This holds also where an article was
+    deleted between two captures of the batch. Of the logs only the histories of the
+    batch's own articles take part: their keys, broadcast if few enough, filter the scans
+    of the key columns.
     """
     spark = captures.sparkSession
-    seen = first_observations(feed_observations(feeds, captures)).persist()
+    when = ["fetched_at", "pos"]
+    seen = feed_observations(feeds, captures).persist()
     try:
-        keys = seen.select(*ARTICLE_KEY)
-        stored = stored_observations(spark, folder, before=batch).select(*ARTICLE_KEY, "fetched_at", "pos")
-        actions = stored_actions(spark, folder)
-        live = live_keys(
-            spread_join(stored, keys, ARTICLE_KEY, "left_semi"),
-            spread_join(actions, keys, ARTICLE_KEY, "left_semi"),
+        keys = seen.select(*ARTICLE_KEY).distinct()
+        stored = stored_observations(spark, folder, before=batch).select(*ARTICLE_KEY, *when)
+        stored = spread_join(stored, keys, ARTICLE_KEY, "left_semi")
+        actions = spread_join(stored_actions(spark, folder), keys, ARTICLE_KEY, "left_semi")
+        born = live_keys(stored.unionByName(seen.select(*ARTICLE_KEY, *when)), actions)
+        made = seen.withColumn("born", arrival(F.col("fetched_at"), F.col("pos"))).join(
+            born, [*ARTICLE_KEY, "born"], "left_semi"
         )
-        new = seen.join(live.select(*ARTICLE_KEY), ARTICLE_KEY, "left_anti")
+        new = first_observations(made.drop("born")).join(stored, [*ARTICLE_KEY, *when], "left_anti")
         new.select(*OBSERVATIONS.names).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
     finally:
         seen.unpersist()

@@ -154,3 +154,8 @@ def test_actions_by_id(spark, make):
     assert sorted((r.guid, r.is_read) for r in apply_actions(articles, rows).collect()) == [("a", False), ("b", True)]
     with pytest.raises(ValueError):
         actions_on(articles, ids, "burn", START)
+
+
+def test_observation_logged_twice(make):
+    observations = make.observations(seen(1, "a", 1), seen(1, "a", 1), seen(1, "b", 2))
+    assert fold_state(observations, make.actions()).count() == 2

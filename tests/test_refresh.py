@@ -125,3 +125,22 @@ def test_compacted_log_folds_the_same(spark, feeds, make, tmp_path):
     assert stored_observations(spark, target).count() == 2
     ingest_batch(feeds, target, make.captures({"url": "u1", "body": rss("Next", "a", "c"), "fetched_at": day(4)}), 0)
     assert sorted(r.title for r in stored_articles(spark, target).collect()) == ["New a", "Next c", "Old b"]
+
+
+def test_delete_between_two_captures_of_one_batch(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    at = lambda n, title: {"url": "u1", "body": rss(title, "a"), "fetched_at": D(2025, 1, n)}
+    ingest_batch(feeds, folder, make.captures(at(1, "Old")), 0)
+    append_actions(make.actions((1, "a", "delete", D(2025, 1, 3), 0)), folder)
+    ingest_batch(feeds, folder, make.captures(at(2, "Before"), at(4, "After"), at(5, "Later")), 1)
+    assert [r.title for r in stored_articles(spark, folder).collect()] == ["After a"]
+    assert stored_observations(spark, folder).count() == 2
+
+
+def test_capture_delivered_twice(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    capture = make.captures(("u1", rss("A", "a", "b")))
+    ingest_batch(feeds, folder, capture.unionByName(capture), 0)
+    ingest_batch(feeds, folder, capture, 1)
+    assert stored_observations(spark, folder).count() == 2
+    assert stored_articles(spark, folder).count() == 2

@@ -2,6 +2,7 @@
 
 Layout below a folder that all executors share:
   observations/batch=<n>/   what micro-batch n added
+  staged/                   what the latest micro-batch saw
   actions/                  appended by others
   checkpoint/               the stream's own progress
 
@@ -69,20 +70,19 @@ def ingest_batch(feeds: DataFrame, folder: str, captures: DataFrame, batch: int)
     """
     spark = captures.sparkSession
     when = ["fetched_at", "pos"]
-    seen = feed_observations(feeds, captures).persist()
-    try:
-        keys = seen.select(*ARTICLE_KEY).distinct()
-        stored = stored_observations(spark, folder, before=batch).select(*ARTICLE_KEY, *when)
-        stored = spread_join(stored, keys, ARTICLE_KEY, "left_semi")
-        actions = spread_join(stored_actions(spark, folder), keys, ARTICLE_KEY, "left_semi")
-        born = live_keys(stored.unionByName(seen.select(*ARTICLE_KEY, *when)), actions)
-        made = seen.withColumn("born", arrival(F.col("fetched_at"), F.col("pos"))).join(
-            born, [*ARTICLE_KEY, "born"], "left_semi"
-        )
-        new = first_observations(made.drop("born")).join(stored, [*ARTICLE_KEY, *when], "left_anti")
-        new.select(*OBSERVATIONS.names).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
-    finally:
-        seen.unpersist()
+    # written, not cached: parsed once, outlives lost executors, of known size for the joins
+    feed_observations(feeds, captures).write.mode("overwrite").parquet(f"{folder}/staged")
+    seen = spark.read.schema(OBSERVATIONS).parquet(f"{folder}/staged")
+    keys = seen.select(*ARTICLE_KEY).distinct()
+    stored = stored_observations(spark, folder, before=batch).select(*ARTICLE_KEY, *when)
+    stored = spread_join(stored, keys, ARTICLE_KEY, "left_semi")
+    actions = spread_join(stored_actions(spark, folder), keys, ARTICLE_KEY, "left_semi")
+    born = live_keys(stored.unionByName(seen.select(*ARTICLE_KEY, *when)), actions)
+    made = seen.withColumn("born", arrival(F.col("fetched_at"), F.col("pos"))).join(
+        born, [*ARTICLE_KEY, "born"], "left_semi"
+    )
+    new = first_observations(made.drop("born")).join(stored, [*ARTICLE_KEY, *when], "left_anti")
+    new.select(*OBSERVATIONS.names).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
 
 
 def start_refresh(captures: DataFrame, feeds: DataFrame, folder: str, trigger=None):

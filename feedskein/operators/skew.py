@@ -7,7 +7,10 @@ SALTS = 16
 
 
 def fits_broadcast(frame: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast frame."""
+    """Whether Spark's own size estimate lets it broadcast frame. Clients without access to
+    the plan say no, and join with salt."""
+    if not hasattr(frame, "_jdf"):
+        return False
     limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit

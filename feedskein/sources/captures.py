@@ -29,11 +29,12 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def failure() -> Column:
-    """Message of a failed fetch, null for a successful one."""
+    """Message of a failed fetch, null for a successful one. Redirects have been followed, so
+    any status but 2xx is a failure."""
     url = F.col("url")
     return (
         F.when(F.col("error_kind") == "timeout", F.concat(F.lit("Timeout fetching "), url))
-        .when(F.col("http_status") >= 400,
+        .when(~F.col("http_status").between(200, 299),
               F.concat(F.lit("HTTP "), F.col("http_status").cast("string"), F.lit(" fetching "), url))
         .when(F.col("error_kind").isNotNull(),
               F.concat(F.lit("Network error fetching "), url, F.lit(": "), F.col("error_kind")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedskein.schemas import ARTICLES, FEEDS
+from feedskein.schemas import ARTICLE_KEY, ARTICLES, FEEDS
 
 # Values for columns that older data lacks.
 DEFAULTS = {"link": "", "title": "", "summary": "", "is_read": False, "is_favorite": False}
@@ -78,6 +78,16 @@ def write_articles(articles: DataFrame, path: str) -> int:
     return write_table(spread, path, sort_key=["feed_id", "guid"])
 
 
+def save_bucketed(articles: DataFrame, name: str, buckets: int, path=None) -> None:
+    """articles as a catalog table bucketed by their key. Joins on the key with as many
+    shuffle partitions as buckets then leave the table where it is: insert-if-new shuffles
+    the new observations alone."""
+    writer = articles.write.format("parquet").mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, *ARTICLE_KEY).sortBy(*ARTICLE_KEY).saveAsTable(name)
+
+
 def _all_null(schema):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

@@ -172,12 +172,13 @@ def test_root_name(spark):
 def test_fetch_failures(make):
     captures = make.captures(
         {"url": "a", "error_kind": "timeout"}, {"url": "b", "http_status": 404}, {"url": "c", "error_kind": "refused"},
-        {"url": "d", "body": RSS}, {"url": "e", "http_status": 399, "body": RSS},
+        {"url": "d", "body": RSS}, {"url": "e", "http_status": 204, "body": RSS},
+        {"url": "f", "http_status": 304, "body": RSS}, {"url": "g", "http_status": 503, "error_kind": "timeout"},
     )
     got = dict((r.url, r.error) for r in capture_outcomes(captures).collect())
     assert got == {
         "a": "Timeout fetching a", "b": "HTTP 404 fetching b", "c": "Network error fetching c: refused",
-        "d": None, "e": None,
+        "d": None, "e": None, "f": "HTTP 304 fetching f", "g": "Timeout fetching g",
     }
     assert {r.url for r in successes(captures).collect()} == {"d", "e"}
     errors = {r.url: r.error for r in parse_feeds(captures).collect()}

@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
+from feedskein.operators.articles import new_observations
 from feedskein.schemas import ARTICLES, FEEDS
 from feedskein.sources.tables import (
-    create_if_missing, create_tables, number_rows, read_articles, read_feeds, upgrade, write_articles, write_feeds,
+    create_if_missing, create_tables, number_rows, read_articles, read_feeds, save_bucketed, upgrade, write_articles,
+    write_feeds,
 )
 
 
@@ -75,3 +78,15 @@ def test_numbers_are_dense_unique_and_stable(spark):
 
 def test_numbers_of_nothing(spark):
     assert number_rows(spark.range(0), "n", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("joins", ["salted"], indirect=True)
+def test_bucketed_articles_are_not_shuffled(spark, make, tmp_path, joins):
+    articles = make.articles({"feed_id": 1, "guid": "a"}, {"feed_id": 1, "guid": "b"})
+    save_bucketed(articles, "bucketed_articles", 4, str(tmp_path / "bucketed"))
+    seen = make.observations({"feed_id": 1, "guid": "b"}, {"feed_id": 2, "guid": "b"})
+    new = new_observations(seen, spark.table("bucketed_articles"))
+    assert [(r.feed_id, r.guid) for r in new.collect()] == [(2, "b")]
+    plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    spark.sql("DROP TABLE bucketed_articles")

@@ -316,14 +316,14 @@ def parse_dates(spark, d):
 # --- refresh ----------------------------------------------------------------------------
 
 
-def _refresh_rows(spark, d, feeds=None):
+def _refresh_rows(spark, d, feeds=None, content=False):
     feeds = S.document_feeds(spark, d) if feeds is None else feeds
-    return R.refresh_rows(feeds, S.mixed_captures(spark, d), S.document_live(spark, d))
+    return R.refresh_rows(feeds, S.mixed_captures(spark, d), S.document_live(spark, d), content)
 
 
 @query
 def refresh_articles(spark, d):
-    return R.new_rows(_refresh_rows(spark, d)).drop("fetched_at")
+    return R.new_rows(_refresh_rows(spark, d, content=True)).drop("fetched_at")
 
 
 @query

@@ -42,19 +42,23 @@ def fetch_and_parse(wanted: DataFrame, captures: DataFrame) -> DataFrame:
     )
 
 
-def refresh_rows(feeds: DataFrame, captures: DataFrame, live: DataFrame) -> DataFrame:
+def refresh_rows(feeds: DataFrame, captures: DataFrame, live: DataFrame, content=True) -> DataFrame:
     """One row per distinct entry in the last capture of each feed, and one with null guid
     per feed that has none or failed: feed_id, error, the article columns, is_new.
 
     The new articles and the report both derive from these rows; write them if you need
-    both. The join with the live articles reuses the partitioning of the deduplication.
+    both. For the report alone do without content, so that only keys are shuffled. The
+    join with the live articles reuses the partitioning of the deduplication.
     """
     parsed = fetch_and_parse(feeds.select("feed_id", "url"), captures)
-    rows = first_observations(entries(parsed, "feed_id", "error", "fetched_at", outer=True))
+    rows = entries(parsed, "feed_id", "error", "fetched_at", outer=True)
+    if content:
+        rows = first_observations(rows)
+    else:
+        rows = rows.select(*ARTICLE_KEY, "error").distinct()
     known = live.select(*ARTICLE_KEY, F.lit(True).alias("_live"))
     return rows.join(known, ARTICLE_KEY, "left").select(
-        *ARTICLE_KEY, *ARTICLE_CONTENT, "fetched_at", "pos", "error",
-        (F.col("guid").isNotNull() & F.col("_live").isNull()).alias("is_new"),
+        *rows.columns, (F.col("guid").isNotNull() & F.col("_live").isNull()).alias("is_new")
     )
 
 

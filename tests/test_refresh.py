@@ -40,6 +40,8 @@ def test_refresh(feeds, captures, make, joins):
         1: (1, None), 2: (0, "Malformed feed content from u2"), 3: (0, "Timeout fetching u3"), 4: (0, None),
         5: (0, "Network error fetching u5: not captured"),
     }
+    narrow = feed_report(refresh_rows(feeds, captures, live, content=False))
+    assert sorted(narrow.collect()) == sorted(report.collect())
     total = refresh_summary(report).first()
     assert (total.feeds, total.new_articles, total.failed_feeds) == (5, 1, 3)
     assert total.message == "Fetched 1 new article(s) (3 feed(s) failed)"

@@ -113,7 +113,7 @@ def ingest_new_only(spark, d):
 @query
 def ingest_rejects(spark, d):
     seen = S.observations(spark, d).select(
-        F.when(F.col("pos") % 17 != 0, F.col("feed_id") * 20).alias("feed_id"),
+        F.when(F.col("event_type") != "signup", F.col("feed_id") * 20).alias("feed_id"),
         "guid",
         F.when(F.col("event_type") != "error", F.col("title")).alias("title"),
         "link", "author", "published",
@@ -204,18 +204,21 @@ def feeds_url_exists(spark, d):
 def _selectors(spark, d):
     customers = S.table(spark, d, "customer")
     number = F.col("c_custkey").cast("string")
-    case = F.col("c_custkey") % 4
+    segment = F.col("c_mktsegment")
     return customers.select(
-        F.when(case == 0, F.col("c_name")).when(case == 1, F.concat(F.lit(" "), number, F.lit(" ")))
-        .when(case == 2, F.concat(F.lit("+"), number)).otherwise(F.concat(F.lit("nobody "), number)).alias("selector")
-    ).unionByName(customers.select(F.col("c_mktsegment").alias("selector")))
+        F.when(segment == "AUTOMOBILE", F.col("c_name"))
+        .when(segment == "BUILDING", F.concat(F.lit(" "), number, F.lit(" ")))
+        .when(segment == "FURNITURE", F.concat(F.lit("+"), number))
+        .when(segment == "HOUSEHOLD", F.concat(F.lit("nobody "), number))
+        .otherwise(number).alias("selector")
+    ).unionByName(customers.select(segment.alias("selector")))
 
 
 def _segment_feeds(spark, d):
     """Feeds of which many share a title."""
     return S.table(spark, d, "customer").select(
         F.col("c_custkey").alias("feed_id"),
-        F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("title"),
+        F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("title"),
         F.concat(F.lit("https://feeds.example.com/"), F.col("c_custkey").cast("string")).alias("url"),
         F.lit("").alias("link"),
     )
@@ -299,15 +302,15 @@ def feed_types(spark, d):
 @query
 def parse_dates(spark, d):
     second = F.date_trunc("second", "ts")
-    forms = [
-        F.concat(F.date_format(second, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")),
-        F.concat(F.lit("Mon, "), F.date_format(second, "d MMM yy HH:mm:ss"), F.lit(" EST")),
-        F.concat(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5+02:00")),
-        F.date_format(second, "EEE MMM dd HH:mm:ss yyyy"),
-        F.date_format(second, "yyyy-MM-dd"),
-        F.concat(F.lit("sometime in "), F.date_format(second, "yyyy")),
-    ]
-    text = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "view", F.concat(F.date_format(second, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(kind == "click", F.concat(F.lit("Mon, "), F.date_format(second, "d MMM yy HH:mm:ss"), F.lit(" EST")))
+        .when(kind == "purchase", F.concat(F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".5+02:00")))
+        .when(kind == "signup", F.date_format(second, "EEE MMM dd HH:mm:ss yyyy"))
+        .when(F.col("value") < 20, F.date_format(second, "yyyy-MM-dd"))
+        .otherwise(F.concat(F.lit("sometime in "), F.date_format(second, "yyyy")))
+    )
     return S.table(spark, d, "events").select("event_id", text.alias("text")).select(
         "event_id", parse_date("text").alias("published")
     )

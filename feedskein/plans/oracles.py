@@ -27,7 +27,7 @@ OBSERVATIONS = ["""observations AS (
          CASE WHEN event_type <> 'error' THEN ts END AS published,
          CASE WHEN event_type = 'purchase' THEN '' ELSE '<p>' || props || '</p>' END AS summary,
          ts AS fetched_at, event_id AS pos, event_type,
-         CAST(CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 10 AS VARCHAR) AS short_guid
+         CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS history_guid
   FROM events)"""]
 
 FIRST = [*OBSERVATIONS, """first_seen AS (
@@ -49,11 +49,11 @@ UNREAD = [*FEEDS, *ARTICLES, """unread AS (
   GROUP BY f.feed_id, f.title, f.url, f.link)"""]
 
 STATE_ARTICLES = [*OBSERVATIONS, """state_articles AS (
-  SELECT feed_id, short_guid AS guid, title, link, author, published, summary,
+  SELECT feed_id, history_guid AS guid, title, link, author, published, summary,
          event_type IN ('view', 'click') AS is_read,
          event_type IN ('click', 'purchase', 'error') AS is_favorite
   FROM observations
-  QUALIFY row_number() OVER (PARTITION BY feed_id, short_guid ORDER BY fetched_at, pos) = 1)"""]
+  QUALIFY row_number() OVER (PARTITION BY feed_id, history_guid ORDER BY fetched_at, pos) = 1)"""]
 
 oracle("feed_list_unread", """SELECT feed_id, title, url, link, CAST(unread_count AS BIGINT) AS unread_count
 FROM unread""", UNREAD)
@@ -90,21 +90,21 @@ oracle("ingest_rejects", """SELECT pos, feed_id, guid,
   CASE WHEN feed_id IS NULL THEN 'feed_id is null' WHEN event_type = 'error' THEN 'title is null'
        WHEN event_type = 'purchase' THEN 'summary is null'
        WHEN feed_id NOT IN (SELECT c_custkey FROM customer) THEN 'no such feed' END AS reject_reason
-FROM (SELECT pos, guid, event_type, CASE WHEN pos % 17 <> 0 THEN feed_id * 20 END AS feed_id FROM observations)""",
+FROM (SELECT pos, guid, event_type, CASE WHEN event_type <> 'signup' THEN feed_id * 20 END AS feed_id FROM observations)""",
        OBSERVATIONS)
 
 STATE = [*OBSERVATIONS, """log AS (
   SELECT *, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'toggle' WHEN 'error' THEN 'delete'
             ELSE 'observe' END AS action
   FROM observations)""", """cuts AS (
-  SELECT *, MAX(CASE WHEN action = 'delete' THEN pos END) OVER (PARTITION BY feed_id, short_guid) AS cut FROM log)"""]
+  SELECT *, MAX(CASE WHEN action = 'delete' THEN pos END) OVER (PARTITION BY feed_id, history_guid) AS cut FROM log)"""]
 STATE_BODY = """births AS (
-  SELECT *, MIN(CASE WHEN action = 'observe' AND {alive} THEN pos END) OVER (PARTITION BY feed_id, short_guid) AS born
+  SELECT *, MIN(CASE WHEN action = 'observe' AND {alive} THEN pos END) OVER (PARTITION BY feed_id, history_guid) AS born
   FROM cuts)"""
-STATE_RESULT = """SELECT b.feed_id, b.short_guid AS guid, b.title, b.link, b.author, b.published, b.summary,
-  EXISTS (SELECT 1 FROM log l WHERE l.feed_id = b.feed_id AND l.short_guid = b.short_guid
+STATE_RESULT = """SELECT b.feed_id, b.history_guid AS guid, b.title, b.link, b.author, b.published, b.summary,
+  EXISTS (SELECT 1 FROM log l WHERE l.feed_id = b.feed_id AND l.history_guid = b.history_guid
           AND l.action = 'read' AND l.pos > b.born) AS is_read,
-  (SELECT COUNT(*) FROM log l WHERE l.feed_id = b.feed_id AND l.short_guid = b.short_guid
+  (SELECT COUNT(*) FROM log l WHERE l.feed_id = b.feed_id AND l.history_guid = b.history_guid
           AND l.action = 'toggle' AND l.pos > b.born) % 2 = 1 AS is_favorite
 FROM births b WHERE b.pos = b.born"""
 oracle("state_fold", STATE_RESULT, STATE, [STATE_BODY.format(alive="(cut IS NULL OR pos > cut)")])
@@ -113,7 +113,7 @@ oracle("state_fold_tombstones", STATE_RESULT + " AND (b.cut IS NULL OR b.cut < b
 oracle("actions_applied", """SELECT a.feed_id, a.guid, title, link, author, published, summary,
   a.is_read OR d.any_read AS is_read, a.is_favorite <> (d.toggles % 2 = 1) AS is_favorite
 FROM state_articles a JOIN (
-  SELECT feed_id, short_guid AS guid, bool_or(event_type = 'error') AS deleted, bool_or(event_type = 'view') AS any_read,
+  SELECT feed_id, history_guid AS guid, bool_or(event_type = 'error') AS deleted, bool_or(event_type = 'view') AS any_read,
          COUNT(*) FILTER (WHERE event_type = 'click') AS toggles
   FROM observations GROUP BY ALL) d USING (feed_id, guid)
 WHERE NOT d.deleted""", STATE_ARTICLES)
@@ -142,11 +142,12 @@ oracle("feeds_url_exists", """SELECT DISTINCT url, url IN (SELECT url FROM feeds
        FEEDS, REQUESTS)
 
 SELECTORS = ["""segment_feeds AS (
-  SELECT c_custkey AS feed_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS title,
+  SELECT c_custkey AS feed_id, CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE c_name END AS title,
          'https://feeds.example.com/' || c_custkey AS url, '' AS link
   FROM customer)""", """selectors AS (
-  SELECT CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN ' ' || c_custkey || ' ' WHEN 2 THEN '+' || c_custkey
-         ELSE 'nobody ' || c_custkey END AS selector FROM customer
+  SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN c_name WHEN 'BUILDING' THEN ' ' || c_custkey || ' '
+         WHEN 'FURNITURE' THEN '+' || c_custkey WHEN 'HOUSEHOLD' THEN 'nobody ' || c_custkey
+         ELSE CAST(c_custkey AS VARCHAR) END AS selector FROM customer
   UNION SELECT c_mktsegment FROM customer)""", """found AS (
   SELECT selector, COALESCE(
     (SELECT MIN(feed_id) FROM segment_feeds f WHERE f.title = s.selector),
@@ -162,7 +163,8 @@ oracle("feeds_removed_outcome", "SELECT selector, feed_id, feed_id IS NOT NULL A
 
 DOCUMENTS = ["""docs AS (
   SELECT *, 'https://docs.example.com/' || doc_id || '/feed.xml' AS url, 'https://docs.example.com/' || doc_id AS site,
-         ['rss', 'atom', 'rdf', 'broken'][doc_id % 4 + 1] AS fmt, n_chars % 8 AS kase
+         CASE lang WHEN 'en' THEN 'rss' WHEN 'de' THEN 'atom' WHEN 'fr' THEN 'rdf' ELSE 'broken' END AS fmt,
+         CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN CAST(substr(source, 4) AS INTEGER) ELSE 5 END AS kase
   FROM documents)""", """entry_rows AS (
   SELECT doc_id, url, kase, pos,
     CASE fmt WHEN 'atom' THEN url || '#' || pos WHEN 'rdf' THEN '' ELSE md5(line) END AS guid,
@@ -198,11 +200,11 @@ UNION ALL SELECT url, 500, 'HTTP 500 fetching ' || url FROM docs""", DOCUMENTS)
 oracle("fetch_and_parse", f"""SELECT url, {FEED_ERROR} AS error,
   CASE WHEN kase > 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS entries FROM docs
 UNION ALL SELECT site || '/gone.xml', 'Network error fetching ' || site || '/gone.xml: not captured', 0 FROM docs""", DOCUMENTS)
-oracle("feed_types", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'atom' ELSE 'rss' END AS feed_type FROM documents")
-oracle("parse_dates", """SELECT event_id, CASE event_id % 6
-  WHEN 0 THEN s WHEN 1 THEN s + INTERVAL 5 HOUR WHEN 2 THEN s - INTERVAL 2 HOUR WHEN 3 THEN s
-  WHEN 4 THEN CAST(CAST(s AS DATE) AS TIMESTAMP) END AS published
-FROM (SELECT event_id, date_trunc('second', ts) AS s FROM events)""")
+oracle("feed_types", "SELECT doc_id, CASE lang WHEN 'de' THEN 'atom' ELSE 'rss' END AS feed_type FROM documents")
+oracle("parse_dates", """SELECT event_id, CASE event_type
+  WHEN 'view' THEN s WHEN 'click' THEN s + INTERVAL 5 HOUR WHEN 'purchase' THEN s - INTERVAL 2 HOUR
+  WHEN 'signup' THEN s ELSE CASE WHEN value < 20 THEN CAST(CAST(s AS DATE) AS TIMESTAMP) END END AS published
+FROM (SELECT event_id, event_type, value, date_trunc('second', ts) AS s FROM events)""")
 
 NEW = [*DOCUMENTS, """live AS (
   SELECT DISTINCT doc_id, guid FROM (
@@ -242,22 +244,24 @@ oracle("page_text", r"""SELECT page_id, array_to_string(list_filter(list_transfo
 FROM pages""")
 
 SITE = [f"""site_pages AS (
-  SELECT page_id, url, {ROOT} AS root, html, page_id % 10 AS tens, page_id % 6 AS sixes,
+  SELECT page_id, url, {ROOT} AS root, html,
+         CASE WHEN contains(url, '?page=') THEN 'two' WHEN contains(url, '.html') THEN 'one'
+              WHEN contains(url, '#top') THEN 'down' WHEN contains(url, 'utm_source') THEN 'feed' ELSE 'none' END AS kind,
          regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '[^/]*$', '') AS folder FROM pages)""", """homes AS (
   SELECT root, MIN(page_id) AS home_id, arg_min(html, page_id) AS html FROM site_pages GROUP BY root)""", """tag_feeds AS (
   SELECT page_id, url AS site_url, CAST(0 AS BIGINT) AS pos, root || '/p/' || page_id || '/rss' AS url,
-         'RSS ' || page_id AS title, 'rss' AS feed_type FROM site_pages WHERE sixes IN (0, 3)
+         'RSS ' || page_id AS title, 'rss' AS feed_type FROM site_pages WHERE kind IN ('one', 'two')
   UNION ALL
-  SELECT page_id, url, 1, folder || 'atom.xml', folder || 'atom.xml', 'atom' FROM site_pages WHERE sixes = 0)""",
+  SELECT page_id, url, 1, folder || 'atom.xml', folder || 'atom.xml', 'atom' FROM site_pages WHERE kind = 'two')""",
         """path_feeds AS (
   SELECT root, CAST(pos AS BIGINT) AS pos, root || path AS url, title, feed_type, home_id
   FROM homes, (VALUES (0, '/feed', 'Site feed', 'rss'), (2, '/atom.xml', 'Site feed, Atom', 'atom')) p(pos, path, title, feed_type)
-  WHERE home_id % 4 = 1)""", """map_locs AS (
+  WHERE contains(root, '://m.'))""", """map_locs AS (
   SELECT root, url, CAST(MIN(pos) AS BIGINT) AS pos FROM (
     SELECT root, unnest(locs) AS loc, generate_subscripts(locs, 1) - 1 AS pos, root || unnest(locs) AS url
     FROM (SELECT root, list_concat(regexp_extract_all(html, '<a href="([^"]+)"', 1),
             ['/feedback', '/news/feed.xml', '/x?y=/rss', '/News/FEED.xml', '/news/feed.xml', '/a/atom']) AS locs
-          FROM homes WHERE home_id % 4 >= 2))
+          FROM homes WHERE contains(root, '://blog.') OR contains(root, '://www.')))
   WHERE regexp_matches(lower(split_part(split_part(loc, '#', 1), '?', 1)), '/feed|/rss|/atom') GROUP BY root, url)""",
         """map_feeds AS (
   SELECT l.*, CASE WHEN url = root || '/a/atom' THEN 'Notes' ELSE 'News' END AS title,
@@ -266,13 +270,13 @@ SITE = [f"""site_pages AS (
 RANK = "row_number() OVER (PARTITION BY {by} ORDER BY feed_type <> 'atom', title, pos) AS rank"
 COLUMNS = "pos, url, title, feed_type"
 
-oracle("page_captures", """SELECT url AS site_url, CASE WHEN tens = 7 THEN NULL
-  WHEN tens = 5 THEN '<rss version="2.0"><channel><title>Page ' || page_id || '</title></channel></rss>'
+oracle("page_captures", """SELECT url AS site_url, CASE WHEN kind = 'down' THEN NULL
+  WHEN kind = 'feed' THEN '<rss version="2.0"><channel><title>Page ' || page_id || '</title></channel></rss>'
   ELSE replace(html, '</head>',
     '<link rel="stylesheet" type="text/css" href="/s.css"><link rel="alternate" type="application/rss+xml">'
-    || CASE WHEN sixes IN (0, 3) THEN '<link rel="alternate" type="application/rss+xml" title="RSS ' || page_id
+    || CASE WHEN kind IN ('one', 'two') THEN '<link rel="alternate" type="application/rss+xml" title="RSS ' || page_id
          || '" href="/p/' || page_id || '/rss">' ELSE '' END
-    || CASE WHEN sixes = 0 THEN '<LINK REL="home alternate" TYPE="Application/Atom+XML" HREF="atom.xml">' ELSE '' END
+    || CASE WHEN kind = 'two' THEN '<LINK REL="home alternate" TYPE="Application/Atom+XML" HREF="atom.xml">' ELSE '' END
     || '</head>') END AS html
 FROM site_pages""", SITE)
 oracle("discover_link_tags", f"SELECT page_id, {COLUMNS} FROM tag_feeds", SITE)
@@ -283,20 +287,20 @@ oracle("sitemap_candidates", "SELECT root, pos, url FROM map_locs", SITE)
 
 DISCOVERED = [*SITE, f"""found_feeds AS (
   SELECT t.site_url, 'link_tags' AS strategy, {', '.join('t.' + c.strip() for c in COLUMNS.split(','))}
-  FROM tag_feeds t JOIN site_pages p USING (page_id) WHERE p.tens NOT IN (5, 7)
+  FROM tag_feeds t JOIN site_pages p USING (page_id)
   UNION ALL
   SELECT p.url, 'well_known', f.pos, f.url, f.title, f.feed_type FROM site_pages p JOIN path_feeds f USING (root)
-  WHERE p.tens <> 5 AND (p.tens = 7 OR p.sixes NOT IN (0, 3))
+  WHERE p.kind IN ('down', 'none')
   UNION ALL
   SELECT p.url, 'sitemap', f.pos, f.url, f.title, f.feed_type FROM site_pages p JOIN map_feeds f USING (root)
-  WHERE p.tens <> 5 AND (p.tens = 7 OR p.sixes NOT IN (0, 3)))""", f"""ranked AS (
+  WHERE p.kind IN ('down', 'none'))""", f"""ranked AS (
   SELECT *, {RANK.format(by='site_url')} FROM found_feeds)""", """resolved AS (
   SELECT p.url AS site_url, p.root,
-    CASE WHEN p.tens = 5 THEN 1 ELSE (SELECT COUNT(*) FROM ranked r WHERE r.site_url = p.url) END AS found,
-    CASE WHEN p.tens = 5 THEN 'direct' ELSE (SELECT CASE COUNT(*) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multiple' END
+    CASE WHEN p.kind = 'feed' THEN 1 ELSE (SELECT COUNT(*) FROM ranked r WHERE r.site_url = p.url) END AS found,
+    CASE WHEN p.kind = 'feed' THEN 'direct' ELSE (SELECT CASE COUNT(*) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multiple' END
       FROM ranked r WHERE r.site_url = p.url) END AS outcome,
-    CASE WHEN p.tens = 5 THEN p.url ELSE b.url END AS feed_url,
-    CASE WHEN p.tens = 5 THEN 'Page ' || p.page_id ELSE b.title END AS title
+    CASE WHEN p.kind = 'feed' THEN p.url ELSE b.url END AS feed_url,
+    CASE WHEN p.kind = 'feed' THEN 'Page ' || p.page_id ELSE b.title END AS title
   FROM site_pages p LEFT JOIN ranked b ON b.site_url = p.url AND b.rank = 1)"""]
 oracle("discover_fallback", "SELECT * FROM ranked", DISCOVERED)
 oracle("resolve_outcome", "SELECT site_url, outcome, CAST(found AS BIGINT) AS found, feed_url, title FROM resolved", DISCOVERED)
@@ -305,10 +309,10 @@ oracle("resolve_outcome", "SELECT site_url, outcome, CAST(found AS BIGINT) AS fo
 def subscribed(name, takes):
     known = """known_feeds AS (SELECT root || '/atom.xml' AS url FROM homes WHERE contains(root, '-'))"""
     good = """good_feeds AS (
-  SELECT url, 'Page ' || page_id AS title FROM site_pages WHERE tens = 5
-  UNION ALL SELECT url, 'Linked ' || page_id FROM tag_feeds WHERE pos = 0 AND page_id % 2 = 1
+  SELECT url, 'Page ' || page_id AS title FROM site_pages WHERE kind = 'feed'
+  UNION ALL SELECT url, 'Linked ' || page_id FROM tag_feeds WHERE pos = 0 AND contains(site_url, '/en/')
   UNION ALL SELECT url, title FROM path_feeds UNION ALL SELECT url, title FROM map_feeds)"""
-    bad = """bad_feeds AS (SELECT url FROM tag_feeds WHERE pos = 0 AND page_id % 2 = 0)"""
+    bad = """bad_feeds AS (SELECT url FROM tag_feeds WHERE pos = 0 AND NOT contains(site_url, '/en/'))"""
     checked = f"""checked AS (
   SELECT r.site_url, r.outcome, r.found, CASE WHEN taken THEN r.feed_url END AS feed_url, taken,
     k.url IS NOT NULL AND taken AS known, g.title AS feed_title,

@@ -3,7 +3,7 @@
  customer  -> feeds
  events    -> observations, articles, and the two logs of the state fold
  documents -> one captured feed document per row, an entry per line of its text, in RSS
-              2.0, Atom, RSS 1.0 and broken RSS by turns; failing and malformed captures
+              2.0, Atom, RSS 1.0 or broken RSS by language; failing and malformed captures
  pages     -> captured sites: pages with and without link tags, pages that are feeds,
               well-known paths, sitemaps
 
@@ -42,7 +42,7 @@ def feeds(spark, sf_dir) -> DataFrame:
 
 
 def observations(spark, sf_dir) -> DataFrame:
-    """With event_type, which the columns of the table end before."""
+    """With event_type and value, which the table itself does not have."""
     kind = F.col("event_type")
     number = F.col("event_id").cast("string")
     return table(spark, sf_dir, "events").select(
@@ -55,7 +55,7 @@ def observations(spark, sf_dir) -> DataFrame:
         F.when(kind == "purchase", "").otherwise(F.concat(F.lit("<p>"), F.col("props"), F.lit("</p>"))).alias("summary"),
         F.col("ts").cast("timestamp").alias("fetched_at"),
         F.col("event_id").alias("pos"),
-        kind,
+        kind, "value",
     )
 
 
@@ -67,14 +67,14 @@ def articles(spark, sf_dir) -> DataFrame:
     )
 
 
-def _short_guid() -> Column:
-    # ten guids per feed instead of a hundred, so that articles have long histories
-    return (F.get_json_object("guid", "$.k").cast("int") % 10).cast("string")
+def _history_guid() -> Column:
+    # small values are by far the most frequent, so some articles have long histories
+    return F.floor(F.col("value") / 10).cast("string")
 
 
 def state_observations(spark, sf_dir) -> DataFrame:
     seen = observations(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
-    return seen.withColumn("guid", _short_guid()).drop("event_type")
+    return seen.withColumn("guid", _history_guid()).drop("event_type", "value")
 
 
 def state_actions(spark, sf_dir) -> DataFrame:
@@ -84,14 +84,14 @@ def state_actions(spark, sf_dir) -> DataFrame:
         .otherwise("delete")
     )
     return done.select(
-        "feed_id", _short_guid().alias("guid"), action.alias("action"),
+        "feed_id", _history_guid().alias("guid"), action.alias("action"),
         F.col("fetched_at").alias("at"), F.col("pos").alias("seq"),
     )
 
 
 def state_articles(spark, sf_dir) -> DataFrame:
     """Articles with every mix of the two marks, keyed as in state_actions."""
-    first = first_observations(observations(spark, sf_dir).withColumn("guid", _short_guid()))
+    first = first_observations(observations(spark, sf_dir).withColumn("guid", _history_guid()))
     return first.select(
         "feed_id", "guid", "title", "link", "author", "published", "summary",
         F.col("event_type").isin("view", "click").alias("is_read"),
@@ -164,9 +164,8 @@ def _rdf_item(line: Column, i: Column) -> Column:
 
 
 def document_format() -> Column:
-    return F.element_at(
-        F.array(*[F.lit(x) for x in ("rss", "atom", "rdf", "broken")]), (F.col("doc_id") % 4 + 1).cast("int")
-    )
+    lang = F.col("lang")
+    return F.when(lang == "en", "rss").when(lang == "de", "atom").when(lang == "fr", "rdf").otherwise("broken")
 
 
 def feed_document() -> Column:
@@ -220,18 +219,18 @@ def document_captures(spark, sf_dir) -> DataFrame:
 
 
 def mixed_captures(spark, sf_dir) -> DataFrame:
-    """Every document captured twice, first in vain, then by n_chars % 8 as: timeout, 404,
-    no such host, an HTML page, an empty titled feed, or else the feed document."""
-    documents = bodies(spark, sf_dir, "documents", *DOCUMENT, "n_chars")
-    case = F.col("n_chars") % 8
+    """Every document captured twice, first in vain, then by source (src0 to src4) as:
+    timeout, 404, no such host, an HTML page, an empty titled feed, or else the feed."""
+    documents = bodies(spark, sf_dir, "documents", *DOCUMENT)
+    source = F.col("source")
     page = F.concat(F.lit("<html><head><title>x</title></head><body>"), escaped(F.col("text")), F.lit("</body></html>"))
     body = (
-        F.when(case == 3, page)
-        .when(case == 4, F.lit("<rss><channel><title>Nothing yet</title></channel></rss>"))
-        .when(case > 4, feed_document())
+        F.when(source == "src3", page)
+        .when(source == "src4", F.lit("<rss><channel><title>Nothing yet</title></channel></rss>"))
+        .when(~source.isin("src0", "src1", "src2"), feed_document())
     )
-    status = F.when(case == 1, 404).when(case > 2, 200)
-    error = F.when(case == 0, "timeout").when(case == 2, "no such host")
+    error = F.when(source == "src0", "timeout").when(source == "src2", "no such host")
+    status = F.when(source == "src1", 404).when(error.isNull(), 200)
     return _captured(documents, document_url(), body, status, error).unionByName(
         _captured(table(spark, sf_dir, "documents"), document_url(), F.lit(None), F.lit(500), at=F.lit("2024-12-31 00:00:00"))
     )
@@ -274,9 +273,19 @@ def roots(spark, sf_dir) -> DataFrame:
     )
 
 
+def page_kind() -> Column:
+    """By the address of the page: two feeds in its link tags, one, the page is down, it is
+    itself a feed, or none of these."""
+    url = F.col("url")
+    return (
+        F.when(F.contains(url, F.lit("?page=")), "two").when(F.contains(url, F.lit(".html")), "one")
+        .when(F.contains(url, F.lit("#top")), "down").when(F.contains(url, F.lit("utm_source")), "feed")
+        .otherwise("none")
+    )
+
+
 def linked_page() -> Column:
-    """The page with link tags in its head: for page_id % 6 == 0 two feeds, for
-    page_id % 6 == 3 one, else none."""
+    """The page with the link tags of its kind in its head, among others that are no feeds."""
     number = F.col("page_id").cast("string")
     one = F.concat(
         F.lit('<link rel="alternate" type="application/rss+xml" title="RSS '), number,
@@ -284,33 +293,33 @@ def linked_page() -> Column:
     )
     two = F.lit('<LINK REL="home alternate" TYPE="Application/Atom+XML" HREF="atom.xml">')
     other = F.lit('<link rel="stylesheet" type="text/css" href="/s.css"><link rel="alternate" type="application/rss+xml">')
-    tags = F.when(F.col("page_id") % 6 == 0, F.concat(one, two)).when(F.col("page_id") % 6 == 3, one).otherwise(F.lit(""))
+    kind = page_kind()
+    tags = F.when(kind == "two", F.concat(one, two)).when(kind == "one", one).otherwise(F.lit(""))
     return F.replace(F.col("html"), F.lit("</head>"), F.concat(other, tags, F.lit("</head>")))
 
 
 def site_captures(spark, sf_dir) -> DataFrame:
     """Captures of all pages, and of the well-known paths, sitemaps and feeds around them.
 
-    Pages: page_id % 10 == 7 is 404, page_id % 10 == 5 is itself a feed, the others as
-    linked_page has it. Feeds that link tags name: good for odd page_id. Roots by
-    home_id % 4: 1 has two feeds, an HTML page and a 404 at well-known paths; 2 and 3
-    have a sitemap, the latter a broken one; 0 has nothing.
+    Pages are as page_kind has it; the feeds their link tags name are good for English
+    pages. Roots: m. has two feeds, an HTML page and a 404 at well-known paths; blog. and
+    www. have a sitemap, the latter a broken one; others have nothing.
     """
     pages = bodies(spark, sf_dir, "pages", "page_id", "url", "html")
     number = F.col("page_id").cast("string")
-    tens = F.col("page_id") % 10
-    body = F.when(tens == 5, _small_feed(F.concat(F.lit("Page "), number))).when(tens != 7, linked_page())
-    page_rows = _captured(pages, F.col("url"), body, F.when(tens == 7, 404).otherwise(200))
+    kind = page_kind()
+    body = F.when(kind == "feed", _small_feed(F.concat(F.lit("Page "), number))).when(kind != "down", linked_page())
+    page_rows = _captured(pages, F.col("url"), body, F.when(kind == "down", 404).otherwise(200))
 
-    linked = pages.filter(F.col("page_id") % 3 == 0)
+    english = F.contains(F.col("url"), F.lit("/en/"))
     link_rows = _captured(
-        linked, F.concat(site_root(F.col("url")), F.lit("/p/"), number, F.lit("/rss")),
-        F.when(F.col("page_id") % 2 == 1, _small_feed(F.concat(F.lit("Linked "), number))).otherwise("<p>gone</p>"),
+        table(spark, sf_dir, "pages"), F.concat(site_root(F.col("url")), F.lit("/p/"), number, F.lit("/rss")),
+        F.when(english, _small_feed(F.concat(F.lit("Linked "), number))).otherwise("<p>gone</p>"),
     )
 
     home = roots(spark, sf_dir)
     path = F.explode(F.array(*[F.lit(p) for p in ("/feed", "/atom.xml", "/rss.xml", "/index.xml")])).alias("path")
-    probed = home.filter(F.col("home_id") % 4 == 1).select("root", path)
+    probed = home.filter(F.contains("root", F.lit("://m."))).select("root", path)
     known_rows = _captured(
         probed, F.concat("root", "path"),
         F.when(F.col("path") == "/feed", _small_feed(F.lit("Site feed")))
@@ -319,13 +328,14 @@ def site_captures(spark, sf_dir) -> DataFrame:
         F.when(F.col("path") == "/rss.xml", 404).otherwise(200),
     )
 
-    mapped = home.filter(F.col("home_id") % 4 >= 2)
+    blog = F.contains("root", F.lit("://blog."))
+    mapped = home.filter(blog | F.contains("root", F.lit("://www.")))
     href = F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))
     extra = F.array(*[F.lit(x) for x in ("/feedback", "/news/feed.xml", "/x?y=/rss", "/News/FEED.xml", "/news/feed.xml", "/a/atom")])
     locs = F.array_join(F.transform(
         F.concat(href, extra), lambda x: F.concat(F.lit("<url><loc> "), F.col("root"), x, F.lit("\n</loc></url>"))
     ), "")
-    end = F.when(F.col("home_id") % 4 == 2, "</urlset>").otherwise("<url><loc>")
+    end = F.when(blog, "</urlset>").otherwise("<url><loc>")
     map_rows = _captured(
         mapped, F.concat("root", F.lit("/sitemap.xml")),
         F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), locs, end),

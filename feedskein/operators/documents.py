@@ -144,6 +144,7 @@ def entries(parsed: DataFrame, *keep: str, outer=False) -> DataFrame:
         (F.coalesce(F.lower(guid["_isPermaLink"]), F.lit("true")) == "true").alias("_permalink"),
         html_link(entry["link"]).alias("_link"),
         F.try_element_at(entry["author"], F.lit(-1)).alias("_author"),
+        (F.size(entry["author"]) > 0).alias("_has_author"),
     )
     author = F.col("_author")
     person = F.when(
@@ -164,7 +165,9 @@ def entries(parsed: DataFrame, *keep: str, outer=False) -> DataFrame:
         ).alias("guid"),
         F.coalesce(strip(entry["title"]), F.lit("Untitled")).alias("title"),
         link.alias("link"),
-        F.coalesce(person, strip(entry["dc:creator"])).alias("author"),
+        F.coalesce(
+            F.when(F.col("_has_author"), F.coalesce(person, F.lit(""))), strip(entry["dc:creator"])
+        ).alias("author"),
         first_date(
             "coalesce(entry.pubDate, entry.published, entry.issued)",
             "coalesce(entry.updated, entry.modified, entry.`dc:date`)",

@@ -3,17 +3,18 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.session import estimated_bytes
+
 SALTS = 16
 
 
 def fits_broadcast(frame: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast frame. Clients without access to
-    the plan say no, and join with salt."""
-    if not hasattr(frame, "_jdf"):
+    """Whether Spark's own size estimate lets it broadcast frame. Where there is none, no."""
+    size = estimated_bytes(frame)
+    if size is None:
         return False
     limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    return size <= limit
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, on, how="inner", spread=None, salts=SALTS) -> DataFrame:

@@ -251,6 +251,18 @@ def capture_outcomes(spark, d):
     return _longs(C.capture_outcomes(S.mixed_captures(spark, d)).select("url", "http_status", "error"), "http_status")
 
 
+@query
+def capture_files(spark, d):
+    """Captures written as JSON lines by a crawler, read with the schema."""
+    path = scratch_dir(spark, "captures")
+    S.mixed_captures(spark, d).write.json(path)
+    read = C.read_captures(spark, path, "json")
+    return read.select(
+        "url", "final_url", F.col("http_status").cast("long").alias("http_status"), "error_kind",
+        F.col("body").isNotNull().alias("has_body"), F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"),
+    )
+
+
 @query
 def capture_latest(spark, d):
     last = C.latest_captures(S.mixed_captures(spark, d).drop("body"))

@@ -188,6 +188,10 @@ LINK = "CASE fmt WHEN 'broken' THEN '' ELSE site END"
 
 oracle("capture_outcomes", f"""SELECT url, {STATUS}, {FETCH_ERROR} AS error FROM docs
 UNION ALL SELECT url, 500, 'HTTP 500 fetching ' || url FROM docs""", DOCUMENTS)
+oracle("capture_files", f"""SELECT url, url AS final_url, {STATUS},
+  CASE kase WHEN 0 THEN 'timeout' WHEN 2 THEN 'no such host' END AS error_kind, kase > 2 AS has_body,
+  TIMESTAMP '2025-01-01 00:00:00' AS fetched_at FROM docs
+UNION ALL SELECT url, url, 500, NULL, false, TIMESTAMP '2024-12-31 00:00:00' FROM docs""", DOCUMENTS)
 oracle("capture_latest", f"""SELECT url, {STATUS},
   CASE kase WHEN 0 THEN 'timeout' WHEN 2 THEN 'no such host' END AS error_kind FROM docs""", DOCUMENTS)
 oracle("parse_entries", f"SELECT url, pos, {ENTRY} FROM entry_rows", DOCUMENTS)

@@ -44,3 +44,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def estimated_bytes(frame: DataFrame):
+    """Spark's own estimate of the size of frame; None for clients that cannot see the plan."""
+    if not hasattr(frame, "_jdf"):
+        return None
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedskein.functions.text import blank_to_null
 from feedskein.schemas import CAPTURES
+from feedskein.session import estimated_bytes
 
 
 def read_captures(spark: SparkSession, path: str, format="parquet") -> DataFrame:
@@ -18,14 +19,16 @@ def stream_captures(spark: SparkSession, path: str, format="parquet", files_per_
     return reader.load(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows in at least one partition per core, for work that is dear per row.
+SMALL_SHARE = 4 * 1024 * 1024
 
-    For rows read straight from files. Only an input of fewer file blocks than cores is
-    shuffled; one of many blocks is left as it is.
-    """
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in a partition per core, for work that is dear per row, if they come to less
+    than 4 MB per core: so little may lie in fewer file blocks than there are cores, and
+    costs next to nothing to shuffle. More is left as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = estimated_bytes(rows)
+    return rows.repartition(cores) if size is not None and size < cores * SMALL_SHARE else rows
 
 
 def failure() -> Column:

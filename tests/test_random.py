@@ -1,0 +1,109 @@
+"""Randomly made input against plain Python that states the rules once more."""
+
+import random
+from datetime import datetime as D
+from html import escape
+from urllib.parse import urlparse
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedskein.functions.urls import feed_like, site_root
+from feedskein.operators.documents import entries, feed_info, parse_feeds
+
+WORDS = ["rain", "sun & moon", "a < b", "<b>bold</b>", "café", "“quoted”", "x", "two\nlines", "  padded "]
+
+
+def random_entry(dice):
+    """Each field absent, empty or filled."""
+    def field(*values):
+        return dice.choice([None, "", dice.choice(values)])
+
+    return {
+        "id": field("urn:1", "https://h.example/1", "7"),
+        "link": field("https://h.example/a", "https://h.example/b?x=1&y=2"),
+        "title": field(*WORDS), "summary": field(*WORDS), "content": field(*WORDS), "author": field("Ann", "Bo"),
+        "published": field("Mon, 15 Jan 2025 10:00:00 GMT", "never"), "updated": field("2025-02-01T12:00:00+01:00"),
+        "permalink": dice.choice([None, "false", "true"]),
+    }
+
+
+def element(name, text, attributes=""):
+    return "" if text is None else f"<{name}{attributes}>{escape(text, quote=False)}</{name}>"
+
+
+def as_rss(e):
+    permalink = "" if e["permalink"] is None else f' isPermaLink="{e["permalink"]}"'
+    return "<item>" + "".join([
+        element("title", e["title"]), element("link", e["link"]), element("guid", e["id"], permalink),
+        element("author", e["author"]), element("pubDate", e["published"]), element("dc:date", e["updated"]),
+        element("description", e["summary"]), element("content:encoded", e["content"]),
+    ]) + "</item>"
+
+
+def as_atom(e):
+    link = "" if e["link"] is None else f'<link href="{escape(e["link"])}"/>'
+    author = "" if e["author"] is None else f"<author><name>{e['author']}</name></author>"
+    return "<entry>" + "".join([
+        element("title", e["title"]), link, element("id", e["id"]), author, element("published", e["published"]),
+        element("updated", e["updated"]), element("summary", e["summary"]), element("content", e["content"]),
+    ]) + "</entry>"
+
+
+def expected(e, rss):
+    link = e["link"]
+    if rss and link is None and e["id"] is not None and e["permalink"] != "false":
+        link = e["id"]
+    guid = e["id"] if e["id"] is not None else (link if link is not None else "")
+    published = None
+    for text, date in ((e["published"], D(2025, 1, 15, 10)), (e["updated"], D(2025, 2, 1, 11))):
+        if text and text != "never":
+            published = date
+            break
+    summary = (e["summary"] or "").strip() or (e["content"] or "").strip()
+    title = "Untitled" if e["title"] is None else e["title"].strip()
+    return (guid, title, link or "", e["author"], published, summary)
+
+
+@pytest.mark.parametrize("ending", ["sound", "broken"])
+def test_documents(make, ending):
+    dice = random.Random(7)
+    bodies, wanted, titles = [], {}, {}
+    for n in range(120):
+        rss = n % 2 == 0
+        made = [random_entry(dice) for _ in range(dice.randrange(1, 6))]
+        title = dice.choice([None, "", "News & more"])
+        inner = element("title", title) + "".join((as_rss if rss else as_atom)(e) for e in made)
+        if rss:
+            body = f'<rss xmlns:dc="d" xmlns:content="c"><channel>{inner}</channel></rss>'
+        else:
+            body = f'<feed xmlns="http://www.w3.org/2005/Atom">{inner}</feed>'
+        if ending == "broken":
+            body = body[: body.rindex("</item>" if rss else "</entry>")] + "</nothing>"
+        bodies.append((f"u{n}", body))
+        titles[f"u{n}"] = f"u{n}" if title is None else title
+        for pos, e in enumerate(made):
+            wanted[f"u{n}", pos] = expected(e, rss)
+    parsed = parse_feeds(make.captures(*bodies))
+    assert {r.well_formed for r in parsed.collect()} == {ending == "sound"}
+    got = {
+        (r.url, r.pos): (r.guid, r.title, r.link, r.author, r.published, r.summary)
+        for r in entries(parsed, "url").collect()
+    }
+    assert got == wanted
+    assert {r.url: r.title for r in feed_info(parsed).collect()} == titles
+
+
+def test_urls(spark):
+    dice = random.Random(11)
+    pieces = ["https:", "http:", "//", "/", "h.example", "feed", "RSS", "atom", "?", "#", ";", "a b", ":8080", "@", "é", ".", "x=1"]
+    urls = sorted({"".join(dice.choices(pieces, k=dice.randrange(1, 9))) for _ in range(3000)})
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    for row in frame.select("u", feed_like(F.col("u")).alias("like"), site_root(F.col("u")).alias("root")).collect():
+        parts = urlparse(row.u)
+        path = parts.path.lower()
+        assert row.like == any(p in path for p in ("/feed", "/rss", "/atom")), row.u
+        if parts.scheme and parts.netloc:
+            assert row.root == f"{parts.scheme}://{parts.netloc}", row.u
+        else:
+            assert row.root is None, row.u

@@ -51,3 +51,18 @@ def estimated_bytes(frame: DataFrame):
     if not hasattr(frame, "_jdf"):
         return None
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+MOST_PARTITIONS = 50_000  # every map task keeps an index entry for each
+
+
+def size_shuffles(spark: SparkSession, *inputs: DataFrame, per_task=128 * 1024 * 1024, growth=4) -> int:
+    """Set the number of shuffle partitions for jobs that shuffle these inputs: one per
+    `per_task` bytes, taking files to grow by `growth` when read, and never fewer than are
+    set now. Adaptive execution merges those that turn out small, but cannot split ones
+    that a too low number made large."""
+    expected = growth * sum(estimated_bytes(frame) or 0 for frame in inputs)
+    present = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = max(present, min(-(-expected // per_task), MOST_PARTITIONS))
+    spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    return number

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from feedskein.operators.articles import new_observations
 from feedskein.schemas import ARTICLES, FEEDS
+from feedskein.session import estimated_bytes, scratch_dir, size_shuffles, written
 from feedskein.sources.tables import (
     create_if_missing, create_tables, number_rows, read_articles, read_feeds, save_bucketed, upgrade, write_articles,
     write_feeds,
@@ -90,3 +91,22 @@ def test_bucketed_articles_are_not_shuffled(spark, make, tmp_path, joins):
     plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1
     spark.sql("DROP TABLE bucketed_articles")
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(10000).select(F.md5(F.col("id").cast("string")).alias("x")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    size = estimated_bytes(rows)
+    try:
+        assert size_shuffles(spark, rows, per_task=size // 10, growth=1) in (10, 11)
+        assert size_shuffles(spark, rows) in (10, 11)  # never fewer
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_written_results_lie_in_the_shared_folder(spark):
+    frame = written(spark.range(3), "numbers")
+    assert all(spark.conf.get("spark.checkpoint.dir") in f for f in frame.inputFiles())
+    assert frame.count() == 3
+    assert scratch_dir(spark, "a") != scratch_dir(spark, "a")

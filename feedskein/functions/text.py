@@ -28,9 +28,10 @@ def feed_type(body: Column) -> Column:
 def root_name(body: Column) -> Column:
     """Name of the first element outside comments; '' if there is none.
 
-    Declarations and instructions need no rule, since no letter follows their `<`.
+    Declarations and instructions need no rule, since no letter follows their `<`. An
+    unclosed comment lasts to the end, which also keeps the match linear.
     """
-    comment = r"(?s)<!--.*?-->"
+    comment = r"(?s)<!--.*?(?:-->|\z)"
     bare = F.when(F.contains(body, F.lit("<!--")), F.regexp_replace(body, comment, "")).otherwise(body)
     return F.regexp_extract(bare, r"<([A-Za-z_][\w:.-]*)", 1)
 

@@ -39,11 +39,13 @@ def split_rejects(judged: DataFrame):
 
 def first_observations(observations: DataFrame) -> DataFrame:
     """The first observation of each article, whole. Partial aggregation comes before the
-    shuffle, so an article seen very often sends one row per input task."""
+    shuffle, so an article seen very often sends one row per input task. Of several that
+    arrived as one, a hash decides, so that recomputed tasks agree."""
     rest = [c for c in observations.columns if c not in ARTICLE_KEY]
+    order = F.struct("fetched_at", "pos", F.xxhash64(*rest))
     return (
         observations.groupBy(*ARTICLE_KEY)
-        .agg(F.min_by(F.struct(*rest), F.struct("fetched_at", "pos")).alias("first"))
+        .agg(F.min_by(F.struct(*rest), order).alias("first"))
         .select(*ARTICLE_KEY, *[F.col(f"first.`{c}`").alias(c) for c in rest])
     )
 
@@ -116,11 +118,12 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False) ->
     content = observations.select(
         *ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("born"), *ARTICLE_CONTENT
     )
+    rest = [*ARTICLE_CONTENT, "is_read", "is_favorite"]
     # two observations may share an arrival; the join has partitioned by it already
-    one = content.join(state, [*ARTICLE_KEY, "born"]).dropDuplicates([*ARTICLE_KEY, "born"])
-    return one.select(
-        *ARTICLE_KEY, *ARTICLE_CONTENT, "is_read", "is_favorite"
+    one = content.join(state, [*ARTICLE_KEY, "born"]).groupBy(*ARTICLE_KEY, "born").agg(
+        F.min_by(F.struct(*rest), F.xxhash64(*ARTICLE_CONTENT)).alias("one")
     )
+    return one.select(*ARTICLE_KEY, *[F.col(f"one.{c}").alias(c) for c in rest])
 
 
 def apply_actions(articles: DataFrame, actions: DataFrame) -> DataFrame:

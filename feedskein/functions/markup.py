@@ -81,7 +81,30 @@ def character(reference):
         return "�"
 
 
-class PageReader(HTMLParser):
+class Tokenizer(HTMLParser):
+    """The tokenizer, without its repeated searches for an end that is not there.
+
+    A page can hold very many starts of comments or tags after the last place where one
+    could end, and each of them is looked at to the end of the page. Once one search has
+    failed, those further on must, so they fail at once; the outcome is the same.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.no_comment_ends = False
+        self.no_tag_ends = False
+
+    def parse_comment(self, i, *report):
+        end = -1 if self.no_comment_ends else super().parse_comment(i, *report)
+        self.no_comment_ends = end < 0
+        return end
+
+    def parse_starttag(self, i):
+        self.no_tag_ends = self.no_tag_ends or self.rawdata.find(">", i) < 0
+        return -1 if self.no_tag_ends else super().parse_starttag(i)
+
+
+class PageReader(Tokenizer):
     """Text nodes, anchors, feed links and sitemap locations of one page, in order.
 
     Nothing is closed implicitly: an element lasts to its end tag, or to the end tag of
@@ -89,7 +112,7 @@ class PageReader(HTMLParser):
     """
 
     def __init__(self, base):
-        super().__init__(convert_charrefs=False)
+        super().__init__()
         self.base = base
         self.nodes = []      # stripped text nodes, blank ones left out
         self.pending = []    # pieces of the text node being read
@@ -250,7 +273,7 @@ _MARKUP_FIELDS = ("description", "summary", "content", "content:encoded")
 _CDATA = re.compile(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.DOTALL)
 
 
-class FeedReader(HTMLParser):
+class FeedReader(Tokenizer):
     """What can be had from a feed document that is not well-formed XML.
 
     Entries run from their start tag to their end tag or the next entry. A field runs to
@@ -258,7 +281,7 @@ class FeedReader(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=False)
+        super().__init__()
         self.title = None
         self.links = []
         self.entries = []

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from feedskein.functions.markup import read_broken_feed, read_page
 from feedskein.operators.discovery import page_feeds
 from feedskein.operators.listing import article_details
@@ -67,7 +71,7 @@ def test_comment_splits_a_text_node():
 
 
 def test_references():
-    assert text("&copy; &amp; &#65;&#x42; &#150; &nosuch; a&b") == "© & AB – &nosuch a&b"
+    assert text("&copy; &amp; &#65;&#x42; &#150; &nosuch; a&b c") == "© & AB – &nosuch a&b c"
 
 
 def test_plain_text_passes():
@@ -165,3 +169,15 @@ def test_broken_atom_feed():
 
 def test_no_feed_at_all():
     assert read_broken_feed("words") == {"title": None, "link": [], "entries": []}
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<!-- x >", "<a ", '<a href="', "<", "&", "</", "<![CDATA[", "<?x "])
+def test_endless_markup_takes_no_endless_time(unit):
+    start = time.process_time()
+    read_page("<p>x</p>" + unit * 20000, "", ["text", "links"])
+    read_broken_feed("<rss>" + unit * 20000)
+    assert time.process_time() - start < 10
+
+
+def test_unfinished_markup_is_text():
+    assert text("<p>a</p>b <i c &amp; <!-- d") == "a\nb <i c &amp; <!-- d"

@@ -85,11 +85,15 @@ def ingest_batch(feeds: DataFrame, folder: str, captures: DataFrame, batch: int)
     new.select(*OBSERVATIONS.names).write.mode("overwrite").parquet(f"{folder}/observations/batch={batch}")
 
 
-def start_refresh(captures: DataFrame, feeds: DataFrame, folder: str, trigger=None):
-    """Start the stream over streaming captures; trigger as for writeStream.trigger."""
+def start_refresh(captures: DataFrame, feeds, folder: str, trigger=None):
+    """Start the stream over streaming captures. feeds is the feeds table, or a function
+    that gives it, called per micro-batch so that new subscriptions count at once; trigger
+    is as for writeStream.trigger."""
+    def ingest(rows, batch):
+        ingest_batch(feeds() if callable(feeds) else feeds, folder, rows, batch)
+
     return (
-        captures.writeStream
-        .foreachBatch(lambda rows, batch: ingest_batch(feeds, folder, rows, batch))
+        captures.writeStream.foreachBatch(ingest)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -39,7 +39,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", contract.queries())
 def test_query(spark, oracle, name):
     frame = contract.queries()[name](spark, FOLDER)
-    expected = oracle.execute(contract.oracle_sql()[name]).to_arrow_table()
+    expected = oracle.sql(contract.oracle_sql()[name]).to_arrow_table()
     assert sorted(frame.columns) == sorted(expected.column_names)
     for column, kind in frame.dtypes:
         assert TYPES[kind] == str(expected.schema.field(column).type), column

@@ -207,3 +207,23 @@ def test_entries_become_articles(make, joins):
     articles = entries_to_articles(rows, make.feeds((7, "W", "u1"), (8, "N", "u2")))
     got = sorted((r.feed_id, r.guid, r.is_read, r.is_favorite) for r in articles.collect())
     assert got == [(7, "w-1", False, False), (7, "w-2", False, False), (8, "urn:1", False, False)]
+
+
+ITEM = "<item><title>ok</title></item>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<rss><channel><title>t</title><x>{'<a>' * 20000}{'</a>' * 20000}</x>{ITEM}</channel></rss>",
+    f"<rss><channel><title>t</title>{ITEM}{'<a>' * 20000}",
+    f"<rss><channel><title>t\x00</title>{ITEM}</channel></rss>",
+    f'<!DOCTYPE rss [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;&a;">]><rss><channel><title>&b;</title>{ITEM}</channel></rss>',
+    f'<!DOCTYPE rss SYSTEM "file:///etc/hostname"><rss><channel><title>t</title>{ITEM}</channel></rss>',
+    f'<rss><channel a="1" a="2"><title>t</title>{ITEM}</channel></rss>',
+    f"<?xml version='1.0' encoding='UTF-16'?><rss><channel><title>t</title>{ITEM}</channel></rss>",
+    f"<rss><channel><undeclared:x>1</undeclared:x><title>t</title>{ITEM}</channel></rss>",
+    f"\ufeff<rss><channel><title>t</title>{ITEM}</channel></rss>",
+])
+def test_hostile_documents_keep_their_entry(make, body):
+    parsed = parsed_one(make, body)
+    assert parsed.first().error is None
+    assert [r.title for r in entries(parsed).collect()] == ["ok"]

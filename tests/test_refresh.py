@@ -87,7 +87,7 @@ def test_stream_equals_batch(spark, feeds, make, tmp_path):
     for day in (1, 2):  # a file per fetch
         captures.filter(f"day(fetched_at) = {day}").coalesce(1).write.mode("append").parquet(f"{folder}/captures")
     arriving = stream_captures(spark, f"{folder}/captures", files_per_batch=1)
-    start_refresh(arriving, feeds, folder).awaitTermination()
+    start_refresh(arriving, lambda: feeds, folder).awaitTermination()
     batch = new_articles(first_observations(feed_observations(feeds, captures)))
     streamed = stored_articles(spark, folder)
     assert sorted(streamed.collect()) == sorted(batch.collect())

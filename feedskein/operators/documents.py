@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedskein.functions import wording as W
 from feedskein.functions.dates import first_date
 from feedskein.functions.markup import ENTRY, FEED, broken_feed
 from feedskein.functions.text import blank_to_null, feed_type, root_name, strip
@@ -114,7 +115,7 @@ def malformed() -> Column:
 
 
 def malformed_message(url: Column) -> Column:
-    return F.concat(F.lit("Malformed feed content from "), url)
+    return F.format_string(W.MALFORMED, url)
 
 
 def feed_info(parsed: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def entries(parsed: DataFrame, *keep: str, outer=False) -> DataFrame:
             F.col("pos").isNotNull(),
             F.coalesce("_guid", strip(entry["id"]), strip(entry["_rdf:about"]), link),
         ).alias("guid"),
-        F.coalesce(strip(entry["title"]), F.lit("Untitled")).alias("title"),
+        F.coalesce(strip(entry["title"]), F.lit(W.UNTITLED)).alias("title"),
         link.alias("link"),
         F.coalesce(
             F.when(F.col("_has_author"), F.coalesce(person, F.lit(""))), strip(entry["dc:creator"])

@@ -3,14 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.functions import wording as W
 from feedskein.functions.text import blank_to_null
 from feedskein.operators.skew import spread_join
 
-# Marks and labels.
-UNREAD_MARK = "●"
-STAR = "★"
-NO_CONTENT = "(no content)"
-
 
 def list_feeds(feeds: DataFrame, articles: DataFrame, ordered=True) -> DataFrame:
     """Each feed with its number of unread articles, by title.
@@ -62,11 +58,11 @@ def article_rows(listed: DataFrame, *keep: str) -> DataFrame:
     """The columns an article list shows."""
     return listed.select(
         *keep,
-        F.when(F.col("is_read"), " ").otherwise(UNREAD_MARK).alias("unread"),
-        F.when(F.col("is_favorite"), STAR).otherwise(" ").alias("star"),
+        F.when(F.col("is_read"), " ").otherwise(W.UNREAD).alias("unread"),
+        F.when(F.col("is_favorite"), W.STAR).otherwise(" ").alias("star"),
         F.coalesce("feed_title", F.lit("")).alias("feed"),
         "title",
-        F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("")).alias("date"),
+        F.coalesce(F.date_format("published", W.DAY), F.lit("")).alias("date"),
     )
 
 
@@ -74,12 +70,12 @@ def feed_labels(listed_feeds: DataFrame) -> DataFrame:
     """(section, title, feed_id, label): the two fixed entries, then the feeds by title.
     Sort by section, title and feed_id; feed_id is null in the fixed entries."""
     fixed = listed_feeds.sparkSession.createDataFrame(
-        [(0, "", None, "All Feeds"), (1, "", None, f"{STAR} Favorites")],
+        [(0, "", None, W.ALL_FEEDS), (1, "", None, W.FAVORITES)],
         "section int, title string, feed_id bigint, label string",
     )
     feeds = listed_feeds.select(
         F.lit(2).alias("section"), "title", "feed_id",
-        F.format_string("%s (%d)", "title", "unread_count").alias("label"),
+        F.format_string(W.FEED_LABEL, "title", "unread_count").alias("label"),
     )
     return fixed.unionByName(feeds)
 
@@ -90,10 +86,10 @@ def article_details(listed: DataFrame, *keep: str) -> DataFrame:
         *keep,
         "title",
         F.concat_ws(
-            " | ",
+            W.META_SEPARATOR,
             blank_to_null(F.col("feed_title")),
             blank_to_null(F.col("author")),
-            F.date_format("published", "yyyy-MM-dd HH:mm"),
+            F.date_format("published", W.MINUTE),
         ).alias("meta"),
-        F.coalesce(blank_to_null(F.col("summary")), F.lit(NO_CONTENT)).alias("body"),
+        F.coalesce(blank_to_null(F.col("summary")), F.lit(W.NO_CONTENT)).alias("body"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.functions import wording as W
 from feedskein.functions.markup import needs_reading, page_parts
 
 
@@ -31,7 +32,7 @@ def article_links(pages: DataFrame, html="html", base=None) -> DataFrame:
 
 def link_lines(links: DataFrame) -> DataFrame:
     """links with `line`: number from 1, text and address."""
-    return links.withColumn("line", F.format_string("[%d] %s (%s)", F.col("pos") + 1, "text", "href"))
+    return links.withColumn("line", F.format_string(W.LINK_LINE, F.col("pos") + 1, "text", "href"))
 
 
 def open_articles(details: DataFrame) -> DataFrame:
@@ -42,6 +43,6 @@ def open_articles(details: DataFrame) -> DataFrame:
         *others, F.col("_parts.text").alias("text"),
         F.transform(
             "_parts.links",
-            lambda link, i: F.format_string("[%d] %s (%s)", i + 1, link["text"], link["href"]),
+            lambda link, i: F.format_string(W.LINK_LINE, i + 1, link["text"], link["href"]),
         ).alias("links"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.functions import wording as W
 from feedskein.operators.articles import first_observations
 from feedskein.operators.documents import entries, feed_info, parse_feeds
 from feedskein.operators.feeds import find_feeds
@@ -82,11 +83,11 @@ def refresh_summary(report: DataFrame) -> DataFrame:
         F.count("error").alias("failed_feeds"),
     )
     failed = F.when(
-        F.col("failed_feeds") > 0, F.format_string(" (%d feed(s) failed)", "failed_feeds")
+        F.col("failed_feeds") > 0, F.format_string(W.FETCHES_FAILED, "failed_feeds")
     ).otherwise("")
     message = F.when(
-        F.col("feeds") == 0, "No feeds subscribed. Press 'a' to add one."
-    ).otherwise(F.concat(F.format_string("Fetched %d new article(s)", "new_articles"), failed))
+        F.col("feeds") == 0, W.NO_FEEDS
+    ).otherwise(F.concat(F.format_string(W.FETCHED, "new_articles"), failed))
     return total.withColumn("message", message)
 
 

@@ -3,12 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.functions import wording as W
 from feedskein.operators.discovery import resolve
 from feedskein.operators.skew import spread_join
 
 
 def no_capture(url: Column) -> Column:
-    return F.concat(F.lit("Network error fetching "), url, F.lit(": not captured"))
+    return F.format_string(W.FETCH_FAILED, url, F.lit(W.NOT_CAPTURED))
 
 
 def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=None) -> DataFrame:
@@ -48,12 +49,10 @@ def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=No
     added = F.col("status") == "added"
     message = (
         F.when(added, F.col("_title"))
-        .when(F.col("status") == "exists", F.concat(F.lit("Error: Already subscribed to "), url))
-        .when(F.col("status") == "error", F.concat(F.lit("Error: "), F.col("error")))
-        .when(F.col("status") == "choose", F.format_string("%d feeds found", "found"))
-        .otherwise(F.concat(
-            F.lit("No RSS or Atom feeds found at "), F.col("site_url"), F.lit(". Try a direct feed URL.")
-        ))
+        .when(F.col("status") == "exists", F.format_string(W.SUBSCRIBED, url))
+        .when(F.col("status") == "error", F.format_string(W.ERROR, "error"))
+        .when(F.col("status") == "choose", F.format_string(W.SEVERAL_FOUND, "found"))
+        .otherwise(F.format_string(W.NOTHING_FOUND, "site_url"))
     )
     return judged.select(
         "site_url", "outcome", "status", "feed_url",

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedskein.functions import wording as W
 from feedskein.functions.text import blank_to_null
 from feedskein.schemas import CAPTURES
 from feedskein.session import estimated_bytes
@@ -36,11 +37,9 @@ def failure() -> Column:
     any status but 2xx is a failure."""
     url = F.col("url")
     return (
-        F.when(F.col("error_kind") == "timeout", F.concat(F.lit("Timeout fetching "), url))
-        .when(~F.col("http_status").between(200, 299),
-              F.concat(F.lit("HTTP "), F.col("http_status").cast("string"), F.lit(" fetching "), url))
-        .when(F.col("error_kind").isNotNull(),
-              F.concat(F.lit("Network error fetching "), url, F.lit(": "), F.col("error_kind")))
+        F.when(F.col("error_kind") == "timeout", F.format_string(W.FETCH_TIMEOUT, url))
+        .when(~F.col("http_status").between(200, 299), F.format_string(W.FETCH_STATUS, "http_status", url))
+        .when(F.col("error_kind").isNotNull(), F.format_string(W.FETCH_FAILED, url, "error_kind"))
     )
 
 

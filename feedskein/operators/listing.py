@@ -69,10 +69,14 @@ def article_rows(listed: DataFrame, *keep: str) -> DataFrame:
 def feed_labels(listed_feeds: DataFrame) -> DataFrame:
     """(section, title, feed_id, label): the two fixed entries, then the feeds by title.
     Sort by section, title and feed_id; feed_id is null in the fixed entries."""
-    fixed = listed_feeds.sparkSession.createDataFrame(
-        [(0, "", None, W.ALL_FEEDS), (1, "", None, W.FAVORITES)],
-        "section int, title string, feed_id bigint, label string",
-    )
+    entries = F.array(*[
+        F.struct(
+            F.lit(section).alias("section"), F.lit("").alias("title"),
+            F.lit(None).cast("long").alias("feed_id"), F.lit(label).alias("label"),
+        )
+        for section, label in enumerate([W.ALL_FEEDS, W.FAVORITES])
+    ])
+    fixed = listed_feeds.sparkSession.range(0, 1, 1, 1).select(F.inline(entries))
     feeds = listed_feeds.select(
         F.lit(2).alias("section"), "title", "feed_id",
         F.format_string(W.FEED_LABEL, "title", "unread_count").alias("label"),

@@ -31,11 +31,16 @@ def _versions(spark: SparkSession, path: str):
     return sorted(found)
 
 
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, and known to the optimizer as such: joins with it cost nothing."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The current version; an empty table if there is none."""
     versions = _versions(spark, path)
     if not versions:
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     return upgrade(spark.read.schema(_all_null(schema)).parquet(f"{path}/v={versions[-1]}"), schema)
 
 
@@ -52,7 +57,7 @@ def write_table(table: DataFrame, path: str, sort_key=None) -> int:
 
 def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
     if not _versions(spark, path):
-        write_table(spark.createDataFrame([], schema), path)
+        write_table(empty_table(spark, schema), path)
 
 
 def create_tables(spark: SparkSession, folder: str) -> None:

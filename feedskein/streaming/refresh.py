@@ -23,6 +23,7 @@ from feedskein.operators.articles import first_observations, fold_state, live_ke
 from feedskein.operators.skew import spread_join
 from feedskein.plans.refresh import feed_observations
 from feedskein.schemas import ACTIONS, ARTICLE_KEY, OBSERVATIONS
+from feedskein.sources.tables import empty_table
 
 _STORED = T.StructType([*OBSERVATIONS.fields, T.StructField("batch", T.LongType())])
 
@@ -37,7 +38,7 @@ def stored_observations(spark: SparkSession, folder: str, before=None) -> DataFr
     """The observations of all batches, or of those before a number; empty if none."""
     path = f"{folder}/observations"
     if not _exists(spark, path):
-        return spark.createDataFrame([], OBSERVATIONS)
+        return empty_table(spark, OBSERVATIONS)
     stored = spark.read.schema(_STORED).parquet(path)
     if before is not None:
         stored = stored.filter(F.col("batch") < before)
@@ -47,7 +48,7 @@ def stored_observations(spark: SparkSession, folder: str, before=None) -> DataFr
 def stored_actions(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/actions"
     if not _exists(spark, path):
-        return spark.createDataFrame([], ACTIONS)
+        return empty_table(spark, ACTIONS)
     return spark.read.schema(ACTIONS).parquet(path)
 
 

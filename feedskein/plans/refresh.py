@@ -10,7 +10,7 @@ from feedskein.operators.feeds import find_feeds
 from feedskein.operators.skew import spread_join
 from feedskein.plans.subscribe import no_capture
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY
-from feedskein.sources.captures import latest_captures, successes
+from feedskein.sources.captures import drop_unwanted, latest_captures, successes
 
 CAPTURE = ["url", "http_status", "error_kind", "body", "fetched_at"]
 
@@ -30,10 +30,12 @@ def fetch_and_parse(wanted: DataFrame, captures: DataFrame) -> DataFrame:
     """wanted (url, one row each) with what parse_feeds makes of the last capture of each
     URL; feed is null where error is not. A URL without a capture is an error.
 
-    Both sides of the join have one row per URL, and the captures are already partitioned
-    by it, so their bodies are shuffled once.
+    Captures of other URLs stay out of the shuffle where possible. Both sides of the join
+    have one row per URL, and the captures are already partitioned by it, so their bodies
+    are shuffled once.
     """
-    last = latest_captures(captures.select(*CAPTURE)).withColumn("_captured", F.lit(True))
+    own = drop_unwanted(captures.select(*CAPTURE), wanted)
+    last = latest_captures(own).withColumn("_captured", F.lit(True))
     parsed = parse_feeds(wanted.join(last, "url", "left"))
     error = F.when(F.col("_captured").isNull(), no_capture(F.col("url"))).otherwise(F.col("error"))
     return (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedskein.functions import wording as W
 from feedskein.functions.text import blank_to_null
+from feedskein.operators.skew import fits_broadcast
 from feedskein.schemas import CAPTURES
 from feedskein.session import estimated_bytes
 
@@ -52,6 +53,14 @@ def successes(captures: DataFrame) -> DataFrame:
     return captures.filter(failure().isNull())
 
 
+def drop_unwanted(captures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """captures without those of URLs not in wanted (url), if wanted can be broadcast: then
+    the others' bodies leave the scan no further. Else captures as they are; the join
+    that follows drops them, and sorting them out first would shuffle bodies twice."""
+    urls = wanted.select("url")
+    return captures.join(urls, "url", "left_semi") if fits_broadcast(urls) else captures
+
+
 def latest_captures(captures: DataFrame, *keys: str) -> DataFrame:
     """The last capture of each URL, or of each value of keys.
 
@@ -70,8 +79,9 @@ def latest_captures(captures: DataFrame, *keys: str) -> DataFrame:
 
 def page_captures(sites: DataFrame, captures: DataFrame) -> DataFrame:
     """(site_url, html) for each site_url; html is null if the page was not had."""
-    last = latest_captures(captures)
+    named = sites.select("site_url").distinct()
+    last = latest_captures(drop_unwanted(captures, named.withColumnRenamed("site_url", "url")))
     pages = successes(last).select(F.col("url").alias("site_url"), F.col("body").alias("html"))
-    return sites.select("site_url").distinct().join(pages, "site_url", "left").select(
+    return named.join(pages, "site_url", "left").select(
         "site_url", blank_to_null(F.col("html")).alias("html")
     )

@@ -228,7 +228,7 @@ def resolve(sites: DataFrame, digest: DataFrame) -> DataFrame:
     left_over = F.coalesce(F.size("page_feeds"), F.lit(0)) <= 0
     joined = spread_join(staged, best, "root", "left", spread=["site_url"])
     first = F.when(left_over, F.col("_best")).otherwise(
-        F.struct(F.col("page_feeds")[0]["url"].alias("url"), F.col("page_feeds")[0]["title"].alias("title"))
+        F.struct(F.get("page_feeds", F.lit(0))["url"].alias("url"), F.get("page_feeds", F.lit(0))["title"].alias("title"))
     )
     found = (
         F.when(F.col("direct"), 1)

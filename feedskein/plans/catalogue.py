@@ -303,7 +303,7 @@ def fetch_and_parse(spark, d):
     known = S.document_feeds(spark, d).select("url")
     wanted = known.unionByName(known.select(F.replace("url", F.lit("/feed.xml"), F.lit("/gone.xml")).alias("url")))
     parsed = R.fetch_and_parse(wanted, S.mixed_captures(spark, d))
-    return parsed.select("url", "error", F.coalesce(F.size("feed.entries"), F.lit(0)).cast("long").alias("entries"))
+    return parsed.select("url", "error", F.when(F.col("feed").isNotNull(), F.size("feed.entries")).otherwise(0).cast("long").alias("entries"))
 
 
 @query

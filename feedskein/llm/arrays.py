@@ -64,13 +64,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_names(data, offsets):
+def word_names(data, offsets, separates=_SPACE):
     """(names, bounds): 64-bit names of the words of all texts, A-Z taken as a-z and words
-    separated by ASCII white space; words of text i are names[bounds[i]:bounds[i + 1]]."""
+    separated by the bytes of a table, by default ASCII white space; words of text i are
+    names[bounds[i]:bounds[i + 1]]."""
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~separates[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]

@@ -1,7 +1,14 @@
-"""Registered queries of the operators for training text, over whole tables."""
+"""Registered queries of the operators for training text, over whole tables.
+
+Each runs its operator with production parameters and derives the columns it returns from the
+operator's output.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from feedskein.llm import bpe
+from feedskein.llm.near_dedup import near_duplicates
 from feedskein.llm.suffix_dedup import remove_repeats
 
 
@@ -9,12 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark, sf_dir):
+    path = vocabulary_path()
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op6_bpe": op6_bpe,
 }
 
 SQL = {}

@@ -33,20 +33,25 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is two joins and aggregations on narrow rows, written to the shared folder, so
     lineage stays short; the number of rounds grows with the logarithm of the longest chain.
+    It ends when every node has one edge and no edge ends at a node that has one.
     """
     spark = links.sparkSession
-    edges = (
-        links.dropna().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v").distinct()
-    )
-    path, before = scratch_dir(spark, "edges"), None
+    edges = links.dropna().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    path = scratch_dir(spark, "edges")
     edges.write.parquet(path)
     while True:
         edges = spark.read.schema("u long, v long").parquet(path)
-        state = edges.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
+        if _settled(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         following = scratch_dir(spark, "edges")
         _small_star(_large_star(edges)).write.parquet(following)
         delete(spark, path)
-        path, before = following, state
+        path = following
+
+
+def _settled(edges):
+    """Whether the edges are stars around the smallest node of each component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("ends")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("ends")))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("ends").alias("ends"))
+    return degrees.filter("out > 1 or (out = 1 and ends = 1)").isEmpty()

@@ -14,8 +14,8 @@ Large groups. Emitting all pairs of a list would grow with its square. Instead t
 the lists that have the same leader, the member that collides most, form a cluster. All are
 compared with the leader, which gives links and exact distances to it. Distance by Jaccard is a
 metric, so two members whose distances to the leader differ by more than the limit cannot be
-linked, and two members that are connected already need no comparison. What is left, in clusters
-of more than one component, is compared in pairs of chunks of bounded size, ordered by distance;
+linked, and two members that are both linked to the leader need no comparison. What is left, in
+clusters where not all are, is compared in pairs of chunks of bounded size, ordered by distance;
 a task gives back only links that connect. So every pair that collides under a posted pair is
 compared, connected, or ruled out, and no list is cut.
 """
@@ -248,8 +248,9 @@ def _link_chunks(one, two):
 
 
 def open_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links inside clusters that are not of one component yet. members: (leader, doc,
-    distance, component)."""
+    """(a, b): links inside clusters whose members are not all linked to the leader. members:
+    (leader, doc, distance, component), component the leader for those that are, else the
+    document itself."""
     by_leader = members.groupBy("leader").agg(
         F.count("doc").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     unsettled = by_leader.filter("low <> high").select("leader", "n")
@@ -298,15 +299,16 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text") ->
     members = written(clusters(posted), "members")
     star = members.filter("leader <> doc")
     wanted = star.select("doc").unionByName(star.select(F.col("leader").alias("doc"))).distinct()
-    sets = written(_full_sets(given.join(wanted.withColumnRenamed("doc", "id"), "id", "left_semi")).distinct(), "sets")
+    # a shuffle at every size: the wanted documents are a share of all
+    texts = given.join(wanted.withColumnRenamed("doc", "id").hint("merge"), "id", "left_semi")
+    sets = written(_full_sets(texts), "sets")
     leaders = sets.select(F.col("doc").alias("leader"), F.col("shingles").alias("leader_shingles"))
     compared = written(_distances(star.join(sets, "doc").join(leaders, "leader").select("leader", "doc", "shingles", "leader_shingles")), "compared")
     links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    first = components(links)
-    near = compared.groupBy("leader", "doc").agg(F.min("distance").alias("distance"))
-    own = near.select("leader").distinct().select("leader", F.col("leader").alias("doc"), F.lit(0.0).alias("distance"))
-    placed = near.unionByName(own).join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "leader", "doc", "distance", F.coalesce("component", "doc").alias("component"))
+    near = compared.groupBy("leader", "doc").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
+    own = near.select("leader").distinct().select("leader", F.col("leader").alias("doc"), F.lit(0.0).alias("distance"), F.lit(True).alias("linked"))
+    placed = near.unionByName(own).select(
+        "leader", "doc", "distance", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("doc")).alias("component"))
     more = written(open_links(placed, sets), "links")
     final = components(links.unionByName(more).unionByName(_same_id(sets_of, classes)))
     named = classes.select("name1", "name2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(

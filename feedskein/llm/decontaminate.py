@@ -1,9 +1,9 @@
 """Finding and removing benchmark passages: a hash set of normalised n-grams.
 
-The n-grams of the benchmark travel with the tasks in two literals of the plan: the set of
-their hashes, and a table from hash bucket to the n-grams themselves with their items. A
-document is scanned where it lies: the hash of each token window is looked up in the set, and
-only windows found there are spelled out and verified word by word. Documents are never
+The n-grams of the benchmark travel with the tasks in two literals of the plan: a hash set, in
+which the places of their hashes are marked, and a table from hash to the n-grams themselves
+with their items. A document is scanned where it lies: each token window is looked up in the
+set, and only windows found there are spelled out and verified word by word. Documents are never
 shuffled and a hot passage makes no group. Everything is DataFrame functions.
 
 A benchmark of more than MOST_GRAMS n-grams is not sent along. Then the windows of the
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 N = 10
 MOST_GRAMS = 200_000
+SPARSE = 16  # places of the hash set for each n-gram
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,17 +66,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n=N, id_column="doc_id", te
     itself, whatever its id.
     """
     grams = benchmark_grams(benchmark, n, item_column, item_text)
-    found = grams.limit(most_grams + 1).collect()  # bounded; one more tells that it is too many
+    hashed = grams.withColumn("hash", F.xxhash64(F.split("gram", " ")))
+    found = hashed.limit(most_grams + 1).collect()  # bounded; one more tells that it is too many
     if len(found) > most_grams:
         return _joined_hits(docs, grams, text_column)
-    text = F.col(text_column)
-    if not found:
-        return docs.withColumn("n_words", F.size(words(text))).withColumn("hits", F.lit(None).cast(HITS)).withColumn(
-            "hits", F.coalesce("hits", F.array().cast(HITS)))
-    scanned = _bind(words(text), lambda ws: F.struct(F.size(ws).alias("n_words"), _window_hits(ws, found).alias("hits")))
-    name = _free("_scan", docs)
-    return docs.withColumn(name, scanned).withColumns(
-        {"n_words": F.col(f"{name}.n_words"), "hits": F.col(f"{name}.hits")}).drop(name)
+    scan = _free("_scan", docs)
+    scanned = _bind(words(F.col(text_column)), lambda ws: F.struct(F.size(ws).alias("n"), _window_hits(ws, found).alias("hits")))
+    marked = docs.withColumn(scan, scanned)
+    return marked.withColumns({"n_words": F.col(f"{scan}.n"), "hits": F.col(f"{scan}.hits")}).drop(scan)
 
 
 def _free(name, frame):
@@ -85,37 +83,30 @@ def _free(name, frame):
 
 
 def _window_hits(ws, found):
-    spark_hashes = _hashes(found)
-    buckets = max(1, len(found) // 4)
-    table = [{} for _ in range(buckets)]
-    for row, hashed in zip(found, spark_hashes):
-        table[hashed % buckets][row["gram"]] = [i for i in row["items"]]
-    lookup = F.from_json(F.lit(json.dumps(table)), "array<map<string, array<string>>>")
-    by_size = []
-    for size in sorted({row["size"] for row in found}):
-        hashes = [h for row, h in zip(found, spark_hashes) if row["size"] == size]
+    if not found:
+        return F.array().cast(HITS)
+    places, buckets = SPARSE * len(found), max(1, len(found) // 4)
+    marks, table = [0] * places, [{} for _ in range(buckets)]
+    for row in found:
+        marks[row["hash"] % places] = 1
+        table[row["hash"] % buckets][row["gram"]] = row["items"]
+    marks = F.from_json(F.lit(json.dumps(marks, separators=(",", ":"))), "array<tinyint>")
+    table = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<map<string, array<string>>>")
+
+    def entry(array, size, window):
+        return F.element_at(array, F.pmod(F.xxhash64(window), F.lit(size)).cast("int") + 1)
+
+    def of_size(size):
         last = F.size(ws) - F.lit(size) + 1
-        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        likely = F.filter(places, lambda at: F.xxhash64(_gram(ws, at, size)).isin(hashes))
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        likely = F.filter(starts, lambda at: entry(marks, places, _gram(ws, at, size)) == 1)
         verified = F.transform(likely, lambda at: F.struct(
             at.alias("at"), F.lit(size).alias("len"),
-            F.try_element_at(
-                F.element_at(lookup, F.pmod(F.xxhash64(_gram(ws, at, size)), F.lit(buckets)).cast("int") + 1),
-                F.array_join(_gram(ws, at, size), " "),
-            ).alias("items"),
+            F.try_element_at(entry(table, buckets, _gram(ws, at, size)), F.array_join(_gram(ws, at, size), " ")).alias("items"),
         ))
-        by_size.append(F.filter(verified, lambda hit: hit["items"].isNotNull()))
-    return F.sort_array(F.flatten(F.array(*by_size))).cast(HITS)
-
-
-def _hashes(found):
-    """Spark's hash of each gram's words, as the scan computes it."""
-    from pyspark.sql import SparkSession
+        return F.filter(verified, lambda hit: hit["items"].isNotNull())
 
-    spark = SparkSession.active()
-    rows = spark.createDataFrame([(i, row["gram"]) for i, row in enumerate(found)], "i int, gram string")
-    hashed = rows.select("i", F.xxhash64(F.split("gram", " ")).alias("h")).collect()
-    return [row["h"] for row in sorted(hashed, key=lambda r: r["i"])]
+    return F.sort_array(F.flatten(F.array(*[of_size(size) for size in sorted({row["size"] for row in found})]))).cast(HITS)
 
 
 def _joined_hits(docs, grams, text_column):

@@ -63,8 +63,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n=N, id_column="doc_id", te
     word (from 1), its number of words and the ids of the items, in order.
 
     A null text has no words; an empty benchmark hits nothing. Each row of docs is judged by
-    itself, whatever its id.
+    itself, whatever its id. Columns of docs with the names of the new ones are replaced.
     """
+    docs = docs.drop("n_words", "hits")
     grams = benchmark_grams(benchmark, n, item_column, item_text)
     hashed = grams.withColumn("hash", F.xxhash64(F.split("gram", " ")))
     found = hashed.limit(most_grams + 1).collect()  # bounded; one more tells that it is too many

@@ -11,8 +11,11 @@ from feedskein.llm import ann, bpe, chat, language, pii, quality
 from feedskein.llm import decontaminate as clean
 from feedskein.llm.html_text import extract_text
 from feedskein.llm.near_dedup import near_duplicates
+from feedskein.llm.oracles import SQL
 from feedskein.llm.suffix_dedup import remove_repeats
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -128,5 +131,3 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
-
-SQL = {}

@@ -24,6 +24,20 @@ def text_bytes(texts):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(texts, most_bytes=1 << 21, most_rows=1000):
+    """Row ranges (begin, count) of a string column of at most so many bytes of text each, or
+    one row: what is made of a text takes many times its room."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > begin and (held + size > most_bytes or row - begin >= most_rows):
+            yield begin, row - begin
+            begin, held = row, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes) - begin
+
+
 def mix(x):
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = x ^ (x >> U64(33))

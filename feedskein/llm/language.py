@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.llm.arrays import slices
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # per width
@@ -158,8 +160,8 @@ def identify(docs: DataFrame, network, text_column="text", keep=("doc_id",)) ->
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
+            for begin, count in slices(whole.column("_text")):
+                batch = whole.slice(begin, count)
                 texts = batch["_text"]
                 lettered = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
                 found, scores = [UNKNOWN] * len(lettered), [0.0] * len(lettered)

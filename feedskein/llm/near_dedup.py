@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedskein.llm.arrays import U64, mix, shingle_sets, text_bytes, word_names
+from feedskein.llm.arrays import U64, mix, shingle_sets, slices, text_bytes, word_names
 from feedskein.llm.components import components
 from feedskein.session import written
 
@@ -52,10 +52,10 @@ def signature(shingles):
     return least.astype(np.uint32)
 
 
-def _sets(texts, step=500):
+def _sets(texts):
     """The shingle set of each text of an Arrow column."""
-    for begin in range(0, len(texts), step):
-        yield from shingle_sets(*word_names(*text_bytes(texts.slice(begin, step))), SHINGLE)
+    for begin, count in slices(texts):
+        yield from shingle_sets(*word_names(*text_bytes(texts.slice(begin, count))), SHINGLE)
 
 
 def sketches(docs: DataFrame) -> DataFrame:

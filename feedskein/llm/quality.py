@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedskein.llm.arrays import U64, mix, text_bytes, word_names
+from feedskein.llm.arrays import U64, slices, text_bytes, word_names
 
 BUCKETS = 1 << 18
 SAMPLE = 10_000
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample=SAMPLE, id_column="doc_id",
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for begin, count in slices(whole.column("_text")):
+                batch = whole.slice(begin, count)
                 yield pa.RecordBatch.from_arrays(
                     [batch["_id"], batch["_grade"], pa.array(features(batch["_text"]), pa.list_(pa.int64()))], ["_id", "_grade", "found"])
 
@@ -148,8 +148,8 @@ def rate(docs: DataFrame, model, good=2, text_column="text", keep=("doc_id",)) -
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for begin, count in slices(whole.column("_text")):
+                batch = whole.slice(begin, count)
                 expected = good_enough = [None] * batch.num_rows
                 if model:
                     above = model.above(features(batch["_text"]))
@@ -180,8 +180,8 @@ def keep_good(docs: DataFrame, model, good=2, text_column="text", least=0.5) ->
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for begin, count in slices(whole.column(text_column)):
+                batch = whole.slice(begin, count)
                 above = model.above(features(batch.column(text_column)))
                 yield batch.filter(pa.array(above[:, min(good, above.shape[1]) - 1] >= least))
 

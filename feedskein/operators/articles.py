@@ -87,8 +87,10 @@ def live_keys(observations: DataFrame, actions: DataFrame, tombstones=False) ->
     )
 
 
-def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False) -> DataFrame:
-    """The articles that replaying both logs in arrival order would leave.
+def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False, content=ARTICLE_CONTENT, order=None) -> DataFrame:
+    """The articles that replaying both logs in arrival order would leave; `content` names the
+    columns that an observation brings, `order` tells which of several that arrived as one
+    counts, by default a hash of their content.
 
     No replay is needed: the last delete of an article cuts off all before it, the first
     observation after that gives the content, and of the actions after that observation
@@ -115,13 +117,14 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False) ->
         F.coalesce("_read", F.lit(False)).alias("is_read"),
         F.coalesce("_favorite", F.lit(False)).alias("is_favorite"),
     )
-    content = observations.select(
-        *ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("born"), *ARTICLE_CONTENT
+    brought = observations.select(
+        *ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("born"), *content
     )
-    rest = [*ARTICLE_CONTENT, "is_read", "is_favorite"]
+    rest = [*content, "is_read", "is_favorite"]
     # two observations may share an arrival; the join has partitioned by it already
-    one = content.join(state, [*ARTICLE_KEY, "born"]).groupBy(*ARTICLE_KEY, "born").agg(
-        F.min_by(F.struct(*rest), F.xxhash64(*ARTICLE_CONTENT)).alias("one")
+    order = F.xxhash64(*content) if order is None else order
+    one = brought.join(state, [*ARTICLE_KEY, "born"]).groupBy(*ARTICLE_KEY, "born").agg(
+        F.min_by(F.struct(*rest), order).alias("one")
     )
     return one.select(*ARTICLE_KEY, *[F.col(f"one.{c}").alias(c) for c in rest])
 

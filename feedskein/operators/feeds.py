@@ -53,11 +53,10 @@ def find_feeds(feeds: DataFrame, selectors: DataFrame) -> DataFrame:
     """
     wanted = selectors.select("selector").distinct()
     by_title = feeds.groupBy(F.col("title").alias("selector")).agg(F.min("feed_id").alias("_by_title"))
-    by_id = feeds.select(F.col("feed_id").alias("_id"))
-    found = wanted.join(by_title, "selector", "left").withColumn(
-        "_id", F.when(F.col("_by_title").isNull(), strip(F.col("selector")).try_cast("long"))
-    )
-    found = found.join(by_id.withColumn("_by_id", F.col("_id")), "_id", "left")
+    # only numbers take part in the join on ids: a null key would gather all others in one task
+    numbers = wanted.select("selector", strip(F.col("selector")).try_cast("long").alias("_id")).filter(F.col("_id").isNotNull())
+    by_id = numbers.join(feeds.select(F.col("feed_id").alias("_id")), "_id").select("selector", F.col("_id").alias("_by_id"))
+    found = wanted.join(by_title, "selector", "left").join(by_id, "selector", "left")
     return found.select("selector", F.coalesce("_by_title", "_by_id").alias("feed_id"))
 
 

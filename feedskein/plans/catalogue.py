@@ -1,5 +1,6 @@
 """The registered queries: name -> function of (spark, sf_dir). Their SQL is in oracles.py."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedskein.functions.dates import parse_date
@@ -156,6 +157,21 @@ def articles_table(spark, d):
     return tables.read_articles(spark, path).drop("id")
 
 
+@query
+def articles_appended(spark, d):
+    """Articles in two appends, with how many share the id and whether the second ones come after."""
+    path = scratch_dir(spark, "articles")
+    tables.create_if_missing(spark, path, ARTICLES)
+    articles = S.articles(spark, d)
+    first = F.col("guid") < "8"
+    tables.append_articles(articles.filter(first), path)
+    top = tables.read_articles(spark, path).agg(F.max("id")).first()[0] or 0  # one number
+    tables.append_articles(articles.filter(~first), path)
+    stored = tables.read_articles(spark, path)
+    return stored.withColumns({
+        "of_this_id": F.count("guid").over(Window.partitionBy("id")), "is_later": F.col("id") > top}).drop("id")
+
+
 @query
 def article_ids(spark, d):
     numbered = tables.number_rows(S.articles(spark, d), "id", ARTICLE_KEY, after=100)
@@ -196,6 +212,27 @@ def feeds_table(spark, d):
     )
 
 
+@query
+def feeds_readded(spark, d):
+    """The feed of the highest id is removed, then feeds are added twice: their ids go on after it."""
+    path = scratch_dir(spark, "feeds")
+    tables.write_feeds(S.feeds(spark, d), path)
+    before = tables.table_version(spark, path)
+    feeds = tables.read_feeds(spark, path)
+    top = feeds.agg(F.max("feed_id")).first()[0] or 0  # one number
+    last = feeds.filter(F.col("feed_id") == top).select("feed_id")
+    left, _, _ = T.remove_feeds(feeds, S.articles(spark, d), feed_ids=last)
+    tables.write_feeds(left, path, replaces=before)
+    new = T.feeds_to_add(feeds, _feed_requests(spark, d))
+    even = F.pmod(F.length("title"), F.lit(2)) == 0
+    tables.append_feeds(new.filter(even), path)
+    tables.append_feeds(new.filter(~even), path)
+    return tables.read_feeds(spark, path).select(
+        "title", "url", "link", (F.col("feed_id") > top).alias("is_new"),
+        F.count("url").over(Window.partitionBy("feed_id")).alias("of_this_id"),
+    )
+
+
 @query
 def feeds_url_exists(spark, d):
     return T.urls_exist(S.feeds(spark, d), _feed_requests(spark, d).select("url"))
@@ -377,6 +414,54 @@ def refresh_stream(spark, d):
     return streaming.stored_articles(spark, folder)
 
 
+def _later_captures(spark, d):
+    """The feeds of documents captured once more, two days later, under another title."""
+    documents = S.table(spark, d, "documents").filter(F.col("source") == "src7")
+    body = F.concat(
+        F.lit('<rss version="2.0"><channel><title>L</title><item><title>Later</title><guid>'),
+        F.md5(F.element_at(F.split("text", "\n"), 1)), F.lit("</guid></item></channel></rss>"))
+    return S.captured_at(documents, body, "2025-01-03 00:00:00")
+
+
+def _late_actions(spark, d):
+    """On the first entry of each feed: deleted between the two captures, then read after them."""
+    keys = S.table(spark, d, "documents").select(
+        F.col("doc_id").alias("feed_id"), F.md5(F.element_at(F.split("text", "\n"), 1)).alias("guid"))
+    done = F.explode(F.array(
+        F.struct(F.lit("delete").alias("action"), F.lit("2025-01-02 00:00:00").cast("timestamp").alias("at")),
+        F.struct(F.lit("read").alias("action"), F.lit("2025-01-04 00:00:00").cast("timestamp").alias("at")),
+    )).alias("done")
+    return keys.select("*", done).select("feed_id", "guid", "done.action", "done.at", F.col("feed_id").alias("seq"))
+
+
+def _streamed(spark, d):
+    folder = scratch_dir(spark, "stream")
+    captures = S.mixed_captures(spark, d).unionByName(_later_captures(spark, d))
+    captures.repartition(4, "url").write.parquet(f"{folder}/captures")
+    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=2)
+    streaming.start_refresh(arriving, S.document_feeds(spark, d), folder).awaitTermination()
+    return folder
+
+
+@query
+def refresh_stream_actions(spark, d):
+    """Captures through the stream, then actions that come late: deletes from between the captures."""
+    folder = _streamed(spark, d)
+    streaming.append_actions(_late_actions(spark, d), folder)
+    return streaming.stored_articles(spark, folder)
+
+
+@query
+def stored_after_removal(spark, d):
+    """The same stored state after feeds are removed and the logs compacted."""
+    folder = _streamed(spark, d)
+    streaming.append_actions(_late_actions(spark, d), folder)
+    gone = S.table(spark, d, "documents").filter(F.col("lang") == "fr").select(F.col("doc_id").alias("feed_id"))
+    streaming.append_removals(gone, folder)
+    streaming.compact(spark, folder, 1_000, "2025-01-02 12:00:00")
+    return streaming.stored_articles(spark, folder)
+
+
 # --- article HTML -----------------------------------------------------------------------
 
 

@@ -121,6 +121,7 @@ WHERE NOT d.deleted""", STATE_ARTICLES)
 oracle("schema_migration", """SELECT feed_id, guid, title, link, author, published, summary, is_read, false AS is_favorite
 FROM articles""", ARTICLES)
 oracle("articles_table", "SELECT * FROM articles", ARTICLES)
+oracle("articles_appended", """SELECT *, CAST(1 AS BIGINT) AS of_this_id, guid >= '8' AS is_later FROM articles""", ARTICLES)
 oracle("article_ids", """SELECT COUNT(*) AS articles, CAST(101 AS BIGINT) AS lowest, COUNT(*) + 100 AS highest, COUNT(*) AS ids
 FROM articles""", ARTICLES)
 
@@ -138,6 +139,9 @@ REQUESTS = ["""requests AS (
 oracle("feeds_added", "SELECT * FROM judged", FEEDS, REQUESTS)
 oracle("feeds_table", """SELECT title, url, link, false AS is_new FROM feeds
 UNION ALL SELECT title, url, link, true FROM judged WHERE reject_reason IS NULL""", FEEDS, REQUESTS)
+oracle("feeds_readded", """SELECT title, url, link, false AS is_new, CAST(1 AS BIGINT) AS of_this_id
+FROM feeds WHERE feed_id < (SELECT MAX(feed_id) FROM feeds)
+UNION ALL SELECT title, url, link, true, 1 FROM judged WHERE reject_reason IS NULL""", FEEDS, REQUESTS)
 oracle("feeds_url_exists", """SELECT DISTINCT url, url IN (SELECT url FROM feeds) AS subscribed FROM requests""",
        FEEDS, REQUESTS)
 
@@ -231,6 +235,16 @@ oracle("refresh_feed_info", f"""SELECT doc_id AS feed_id,
   CASE WHEN kase > 4 THEN {LINK} ELSE '' END AS link FROM docs""", DOCUMENTS)
 oracle("refresh_stream", f"""SELECT doc_id AS feed_id, {ENTRY}, false AS is_read, false AS is_favorite FROM seen""", NEW)
 
+ACTED = [*NEW, """acted AS (
+  SELECT doc_id, md5(string_split(text, chr(10))[1]) AS guid, source FROM documents)""", f"""streamed AS (
+  SELECT doc_id AS feed_id, {ENTRY}, false AS is_read, false AS is_favorite FROM seen s
+  WHERE NOT EXISTS (SELECT 1 FROM acted a WHERE a.doc_id = s.doc_id AND a.guid = s.guid)
+  UNION ALL
+  SELECT doc_id, guid, 'Later', guid, NULL, NULL, '', true, false FROM acted WHERE source = 'src7')"""]
+oracle("refresh_stream_actions", "SELECT * FROM streamed", ACTED)
+oracle("stored_after_removal", """SELECT * FROM streamed
+WHERE feed_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""", ACTED)
+
 # --- pages ---
 
 ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]+')"

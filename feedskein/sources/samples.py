@@ -236,6 +236,11 @@ def mixed_captures(spark, sf_dir) -> DataFrame:
     )
 
 
+def captured_at(documents: DataFrame, body: Column, at: str) -> DataFrame:
+    """documents as good captures with this body at this time."""
+    return _captured(documents, document_url(), body, at=F.lit(at))
+
+
 def document_feeds(spark, sf_dir) -> DataFrame:
     """A feed per document."""
     documents = table(spark, sf_dir, "documents")

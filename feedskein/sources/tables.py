@@ -1,10 +1,20 @@
-"""The feeds and articles tables: creating, upgrading, writing, numbering.
+"""The feeds and articles tables: creating, upgrading, writing, appending, numbering.
 
-A plain Parquet folder cannot be changed in place, so a table is a folder of versions
-`v=<n>`, and the highest complete one counts. A version is complete when its writer's
-_SUCCESS file is there; a write that lost its driver leaves a version nobody reads.
+A plain Parquet folder cannot be changed in place, so a table is a folder of files and commits:
+
+  data/<name>/        rows, written once and never changed
+  commits/<n>.json    the data folders of version n, and the highest id ever given out
+
+The highest commit counts. A commit is written aside and renamed to its number, which fails if
+another writer has taken it; so rows that nobody committed are never read, and no write is lost
+unseen. Appending adds a folder and begins again on a conflict; replacing gives up with
+TableChanged, since it was made from a version that is not the last one any more.
 """
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,20 +25,78 @@ from feedskein.schemas import ARTICLE_KEY, ARTICLES, FEEDS
 DEFAULTS = {"link": "", "title": "", "summary": "", "is_read": False, "is_favorite": False}
 
 
+class TableChanged(Exception):
+    """The table was changed by another writer since it was read."""
+
+
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _versions(spark: SparkSession, path: str):
-    """Numbers of the complete versions, ascending. Lists one folder, reads no data."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Numbers of the commits, ascending. Lists one folder, reads no data."""
+    folder, files = _folder(spark, f"{path}/commits")
     if not files.exists(folder):
         return []
-    found = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and files.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+
+def _commit(spark: SparkSession, path: str, number=None):
+    """Commit `number`, by default the last: {"version", "data", "top"}."""
+    if number is None:
+        number = max(_versions(spark, path), default=0)
+    if not number:
+        return {"version": 0, "data": [], "top": 0}
+    jvm = spark.sparkContext._jvm
+    file, files = _folder(spark, f"{path}/commits/{number}.json")
+    stream = files.open(file)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {"version": number, **json.loads(text)}
+
+
+def _take(spark: SparkSession, path: str, number: int, data, top: int) -> bool:
+    """Make commit `number`; False if it is there already."""
+    jvm = spark.sparkContext._jvm
+    aside, files = _folder(spark, f"{path}/commits/_{uuid.uuid4().hex}")
+    stream = files.create(aside, False)
+    try:
+        stream.write(json.dumps({"data": data, "top": top}).encode())
+    finally:
+        stream.close()
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{number}.json")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(files.makeQualified(aside), files.makeQualified(target), options)
+        return True
+    except Py4JJavaError as error:
+        files.delete(aside, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def _written_rows(table: DataFrame, path: str, sort_key=None) -> str:
+    """Name of a new data folder with the rows of table."""
+    if sort_key:
+        # rows of one feed lie together in a few files, so a filter on feed_id skips the rest
+        table = table.sortWithinPartitions(*sort_key)
+    name = uuid.uuid4().hex
+    table.write.parquet(f"{path}/data/{name}")
+    return name
+
+
+def _top(spark: SparkSession, path: str, name: str, id_column) -> int:
+    rows = spark.read.parquet(f"{path}/data/{name}")
+    if id_column not in rows.columns:
+        return 0
+    return rows.agg(F.max(id_column)).first()[0] or 0  # one number
 
 
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -36,28 +104,70 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The current version; an empty table if there is none."""
-    versions = _versions(spark, path)
-    if not versions:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, version=None) -> DataFrame:
+    """The last version, or an earlier one; an empty table if there is none."""
+    data = _commit(spark, path, version)["data"]
+    if not data:
         return empty_table(spark, schema)
-    return upgrade(spark.read.schema(_all_null(schema)).parquet(f"{path}/v={versions[-1]}"), schema)
+    return upgrade(spark.read.schema(_all_null(schema)).parquet(*[f"{path}/data/{name}" for name in data]), schema)
+
+
+def write_table(table: DataFrame, path: str, sort_key=None, id_column=None, replaces=None) -> int:
+    """Replace the table by these rows and return the version's number. `replaces` is the
+    version that they were made from, by default the last one when writing begins; if it is
+    not the last one any more, TableChanged. Earlier versions stay readable."""
+    spark = table.sparkSession
+    before = _commit(spark, path) if replaces is None else _commit(spark, path, replaces)
+    name = _written_rows(table, path, sort_key)
+    top = max(before["top"], _top(spark, path, name, id_column))
+    number = before["version"] + 1
+    if not _take(spark, path, number, [name], top):
+        raise TableChanged(f"{path} is past version {before['version']}")
+    return number
 
 
-def write_table(table: DataFrame, path: str, sort_key=None) -> int:
-    """Write the next version and return its number. The versions before stay readable."""
-    versions = _versions(table.sparkSession, path)
-    number = versions[-1] + 1 if versions else 1
-    if sort_key:
-        # rows of one feed lie together in a few files, so a filter on feed_id skips the rest
-        table = table.sortWithinPartitions(*sort_key)
-    table.write.mode("overwrite").parquet(f"{path}/v={number}")
-    return number
+def append_rows(rows: DataFrame, path: str, id_column=None, keys=None, sort_key=None, tries=20) -> int:
+    """Add rows to the table and return the version's number; what is there is not touched.
+
+    With id_column, rows get new ids, unique and higher than all that were ever given out, also
+    to rows since deleted; keys must tell the rows apart. Another writer's commit in between
+    is kept, and the rows are numbered anew after it.
+    """
+    spark, name, after = rows.sparkSession, None, None
+    for _ in range(tries):
+        before = _commit(spark, path)
+        if name is None or id_column and after != before["top"]:
+            after = before["top"]
+            numbered = number_rows(rows, id_column, keys, after=after) if id_column else rows
+            name = _written_rows(numbered, path, sort_key)
+        top = max(after, _top(spark, path, name, id_column))
+        number = before["version"] + 1
+        if _take(spark, path, number, [*before["data"], name], top):
+            return number
+    raise TableChanged(f"{path} changed {tries} times while rows were added")
+
+
+def merge_files(spark: SparkSession, path: str, schema: T.StructType, sort_key=None) -> int:
+    """Rewrite the last version as one data folder, after many small appends."""
+    version = _commit(spark, path)["version"]
+    return write_table(read_table(spark, path, schema, version), path, sort_key, replaces=version)
+
+
+def expire(spark: SparkSession, path: str, keep=1) -> None:
+    """Delete all but the last `keep` versions, and the rows that only they had. Nobody may be
+    reading them, and no write may be under way."""
+    versions = _versions(spark, path)
+    old, kept = versions[:-keep], versions[-keep:]
+    used = {name for number in kept for name in _commit(spark, path, number)["data"]}
+    unused = {name for number in old for name in _commit(spark, path, number)["data"]} - used
+    for part in [*(f"data/{name}" for name in unused), *(f"commits/{number}.json" for number in old)]:
+        target, files = _folder(spark, f"{path}/{part}")
+        files.delete(target, True)
 
 
 def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
     if not _versions(spark, path):
-        write_table(empty_table(spark, schema), path)
+        _take(spark, path, 1, [], 0)
 
 
 def create_tables(spark: SparkSession, folder: str) -> None:
@@ -73,14 +183,29 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, ARTICLES)
 
 
-def write_feeds(feeds: DataFrame, path: str) -> int:
-    return write_table(feeds, path)
+def write_feeds(feeds: DataFrame, path: str, replaces=None) -> int:
+    return write_table(feeds, path, id_column="feed_id", replaces=replaces)
+
+
+def append_feeds(feeds: DataFrame, path: str) -> int:
+    """Add feeds (title, url, link), which get their feed_id here."""
+    return append_rows(feeds.select("title", "url", "link"), path, "feed_id", ["url"])
 
 
-def write_articles(articles: DataFrame, path: str) -> int:
+def write_articles(articles: DataFrame, path: str, replaces=None) -> int:
     """Range-partitioned by key, not hashed by feed: a large feed takes several files."""
     spread = articles.repartitionByRange(F.col("feed_id"), F.col("guid"))
-    return write_table(spread, path, sort_key=["feed_id", "guid"])
+    return write_table(spread, path, ["feed_id", "guid"], "id", replaces)
+
+
+def append_articles(articles: DataFrame, path: str) -> int:
+    """Add new articles, which get their id here."""
+    return append_rows(articles.drop("id"), path, "id", ARTICLE_KEY, ["feed_id", "guid"])
+
+
+def table_version(spark: SparkSession, path: str) -> int:
+    """Number of the last version, 0 if there is none."""
+    return max(_versions(spark, path), default=0)
 
 
 def save_bucketed(articles: DataFrame, name: str, buckets: int, path=None) -> None:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from feedskein.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TYPES = {"bigint": "int64", "string": "string", "boolean": "bool", "timestamp_ntz": "timestamp[us]"}
@@ -29,14 +30,14 @@ def rows(table):
 
 
 def test_every_query_has_its_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() <= contract.oracle_sql().keys()
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, oracle, name):
     frame = contract.queries()[name](spark, FOLDER)
     expected = oracle.sql(contract.oracle_sql()[name]).to_arrow_table()

@@ -6,10 +6,9 @@ from feedskein.operators.articles import first_observations, new_articles
 from feedskein.plans.refresh import (
     feed_observations, feed_report, new_rows, refresh_rows, refresh_summary, selected_feeds, updated_feeds,
 )
-from feedskein.schemas import ACTIONS
 from feedskein.sources.captures import stream_captures
 from feedskein.streaming.refresh import (
-    append_actions, compact, ingest_batch, start_refresh, stored_articles, stored_observations,
+    append_actions, append_removals, compact, ingest_batch, start_refresh, stored_actions, stored_articles, stored_sightings,
 )
 
 
@@ -101,7 +100,7 @@ def test_repeated_batch_changes_nothing(spark, feeds, make, tmp_path):
     for _ in range(2):
         ingest_batch(feeds, folder, second, 1)
     assert sorted(r.title for r in stored_articles(spark, folder).collect()) == ["A a", "B b"]
-    assert stored_observations(spark, folder).count() == 2
+    assert stored_sightings(spark, folder).count() == 3
 
 
 def test_deleted_article_returns_through_the_stream(spark, feeds, make, tmp_path):
@@ -116,17 +115,49 @@ def test_deleted_article_returns_through_the_stream(spark, feeds, make, tmp_path
 
 
 def test_compacted_log_folds_the_same(spark, feeds, make, tmp_path):
-    folder, target = str(tmp_path / "a"), str(tmp_path / "b")
+    folder = str(tmp_path)
     day = lambda n: D(2025, 1, n)
     ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Old", "a", "b"), "fetched_at": day(1)}), 0)
-    make.actions((1, "a", "delete", day(2), 0), (1, "b", "toggle", day(2), 1)).write.parquet(f"{folder}/actions")
+    append_actions(make.actions((1, "a", "delete", day(2), 0), (1, "b", "toggle", day(2), 1)), folder)
+    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("New", "a"), "fetched_at": day(3)}), 1)
+    before = sorted(stored_articles(spark, folder).collect())
+    compact(spark, folder, 1, day(4))
+    assert sorted(stored_articles(spark, folder).collect()) == before
+    assert stored_sightings(spark, folder).count() == 2 and stored_actions(spark, folder).count() == 1
+    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Next", "a", "c"), "fetched_at": day(5)}), 2)
+    append_actions(make.actions((1, "b", "delete", day(6), 0)), folder)
+    assert sorted(r.title for r in stored_articles(spark, folder).collect()) == ["New a", "Next c"]
+    compact(spark, folder, 2, day(5))
+    assert sorted(r.title for r in stored_articles(spark, folder).collect()) == ["New a", "Next c"]
+
+
+def test_late_delete_finds_what_came_after_it(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    day = lambda n: D(2025, 1, n)
+    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Old", "a"), "fetched_at": day(1)}), 0)
     ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("New", "a"), "fetched_at": day(3)}), 1)
-    compact(spark, folder, target)
-    spark.read.schema(ACTIONS).parquet(f"{folder}/actions").write.parquet(f"{target}/actions")
-    assert sorted(stored_articles(spark, target).collect()) == sorted(stored_articles(spark, folder).collect())
-    assert stored_observations(spark, target).count() == 2
-    ingest_batch(feeds, target, make.captures({"url": "u1", "body": rss("Next", "a", "c"), "fetched_at": day(4)}), 0)
-    assert sorted(r.title for r in stored_articles(spark, target).collect()) == ["New a", "Next c", "Old b"]
+    append_actions(make.actions((1, "a", "delete", day(2), 0)), folder)
+    assert [r.title for r in stored_articles(spark, folder).collect()] == ["New a"]
+    compact(spark, folder, 1, day(2))
+    assert [r.title for r in stored_articles(spark, folder).collect()] == ["New a"]
+
+
+def test_removed_feed_takes_its_stored_articles_along(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    ingest_batch(feeds, folder, make.captures(("u1", rss("A", "a")), ("u2", rss("B", "x"))), 0)
+    append_removals(spark.createDataFrame([(2,)], "feed_id long"), folder)
+    assert [r.title for r in stored_articles(spark, folder).collect()] == ["A a"]
+    compact(spark, folder, 0, D(2030, 1, 1))
+    assert [r.title for r in stored_articles(spark, folder).collect()] == ["A a"]
+
+
+def test_ingest_reads_nothing_stored(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    ingest_batch(feeds, folder, make.captures(("u1", rss("A", "a"))), 0)
+    (tmp_path / "sightings" / "batch=0" / "broken.parquet").write_bytes(b"no parquet")
+    (tmp_path / "contents" / "batch=0" / "broken.parquet").write_bytes(b"no parquet")
+    ingest_batch(feeds, folder, make.captures(("u1", rss("B", "b"))), 1)
+    assert spark.read.parquet(f"{folder}/sightings/batch=1").count() == 1
 
 
 def test_delete_between_two_captures_of_one_batch(spark, feeds, make, tmp_path):
@@ -136,7 +167,6 @@ def test_delete_between_two_captures_of_one_batch(spark, feeds, make, tmp_path):
     append_actions(make.actions((1, "a", "delete", D(2025, 1, 3), 0)), folder)
     ingest_batch(feeds, folder, make.captures(at(2, "Before"), at(4, "After"), at(5, "Later")), 1)
     assert [r.title for r in stored_articles(spark, folder).collect()] == ["After a"]
-    assert stored_observations(spark, folder).count() == 2
 
 
 def test_capture_delivered_twice(spark, feeds, make, tmp_path):
@@ -144,5 +174,5 @@ def test_capture_delivered_twice(spark, feeds, make, tmp_path):
     capture = make.captures(("u1", rss("A", "a", "b")))
     ingest_batch(feeds, folder, capture.unionByName(capture), 0)
     ingest_batch(feeds, folder, capture, 1)
-    assert stored_observations(spark, folder).count() == 2
+    assert stored_sightings(spark, folder).distinct().count() == 4  # two articles in two batches
     assert stored_articles(spark, folder).count() == 2

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from feedskein.operators.articles import new_observations
 from feedskein.schemas import ARTICLES, FEEDS
 from feedskein.session import estimated_bytes, scratch_dir, size_shuffles, written
+from feedskein.sources import tables
 from feedskein.sources.tables import (
-    create_if_missing, create_tables, number_rows, read_articles, read_feeds, save_bucketed, upgrade, write_articles,
-    write_feeds,
+    append_articles, append_feeds, create_if_missing, create_tables, expire, merge_files, number_rows, read_articles,
+    read_feeds, save_bucketed, upgrade, write_articles, write_feeds,
 )
 
 
@@ -33,13 +34,74 @@ def test_new_version_from_the_old_one(spark, make, tmp_path):
     assert old.count() == 2
 
 
-def test_unfinished_version_does_not_count(spark, make, tmp_path):
+def test_rows_without_a_commit_do_not_count(spark, make, tmp_path):
     path = str(tmp_path / "feeds")
     write_feeds(make.feeds((1, "A", "u")), path)
-    make.feeds((2, "B", "v")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/v=2")
+    make.feeds((2, "B", "v")).write.parquet(f"{path}/data/unfinished")
+    (tmp_path / "feeds" / "commits" / "_aside").write_text("{")
     assert [r.title for r in read_feeds(spark, path).collect()] == ["A"]
 
 
+def test_writes_count_without_success_files(spark, make, tmp_path):
+    path = str(tmp_path / "feeds")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        assert write_feeds(make.feeds((1, "A", "u")), path) == 1
+        assert append_feeds(make.feeds((0, "B", "v")), path) == 2
+    finally:
+        hadoop.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert sorted((r.feed_id, r.title) for r in read_feeds(spark, path).collect()) == [(1, "A"), (2, "B")]
+
+
+def test_append_leaves_what_is_there(spark, make, tmp_path):
+    path = str(tmp_path / "articles")
+    append_articles(make.articles({"feed_id": 1, "guid": "a"}, {"feed_id": 1, "guid": "b"}), path)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "articles" / "data").rglob("*.parquet")}
+    append_articles(make.articles({"feed_id": 1, "guid": "c"}), path)
+    assert all(f.stat().st_mtime_ns == t for f, t in files.items())
+    assert sorted(r.id for r in read_articles(spark, path).collect()) == [1, 2, 3]
+
+
+def test_ids_are_not_given_out_again(spark, make, tmp_path):
+    path = str(tmp_path / "feeds")
+    append_feeds(make.feeds((0, "A", "u"), (0, "B", "v")), path)
+    write_feeds(read_feeds(spark, path).filter("feed_id < 2"), path, replaces=1)
+    append_feeds(make.feeds((0, "C", "w")), path)
+    assert sorted(r.feed_id for r in read_feeds(spark, path).collect()) == [1, 3]
+
+
+def test_two_writers(spark, make, tmp_path, monkeypatch):
+    path = str(tmp_path / "feeds")
+    write_feeds(make.feeds((1, "A", "u")), path)
+    write_feeds(make.feeds((1, "A", "u"), (2, "B", "v")), path, replaces=1)
+    with pytest.raises(tables.TableChanged):  # made from version 1 as well
+        write_feeds(make.feeds((1, "C", "w")), path, replaces=1)
+    take, other = tables._take, []
+
+    def overtaken(*arguments):
+        if not other:
+            other.append(True)
+            append_feeds(make.feeds((0, "D", "x")), path)
+        return take(*arguments)
+
+    monkeypatch.setattr(tables, "_take", overtaken)
+    append_feeds(make.feeds((0, "E", "y")), path)
+    assert sorted((r.feed_id, r.title) for r in read_feeds(spark, path).collect()) == [(1, "A"), (2, "B"), (3, "D"), (4, "E")]
+
+
+def test_old_versions_go_and_small_files_merge(spark, make, tmp_path):
+    path = str(tmp_path / "feeds")
+    for name in "ABC":
+        append_feeds(make.feeds((0, name, name)), path)
+    merge_files(spark, path, FEEDS)
+    expire(spark, path)
+    assert len(list((tmp_path / "feeds" / "data").iterdir())) == 1
+    assert sorted(r.title for r in read_feeds(spark, path).collect()) == ["A", "B", "C"]
+    append_feeds(make.feeds((0, "D", "D")), path)
+    assert max(r.feed_id for r in read_feeds(spark, path).collect()) == 4
+
+
 def test_articles_round_trip(spark, make, tmp_path):
     path = str(tmp_path / "articles")
     articles = make.articles({"id": 1, "feed_id": 1, "guid": "a", "is_favorite": True}, {"id": 2, "feed_id": 1, "guid": "b"})
@@ -50,9 +112,10 @@ def test_articles_round_trip(spark, make, tmp_path):
 def test_data_from_before_favorites(spark, make, tmp_path):
     path = str(tmp_path / "articles")
     articles = make.articles({"feed_id": 1, "guid": "a", "is_favorite": True})
-    articles.drop("is_favorite").withColumn("guid", F.lit("old")).write.parquet(f"{path}/v=1")
+    old = articles.drop("is_favorite").withColumn("guid", F.lit("old"))
+    tables.append_rows(old.drop("id"), path, "id", ["guid"])
     assert [(r.guid, r.is_favorite) for r in read_articles(spark, path).collect()] == [("old", False)]
-    articles.write.mode("append").parquet(f"{path}/v=1")
+    append_articles(articles, path)
     assert sorted((r.guid, r.is_favorite) for r in read_articles(spark, path).collect()) == [("a", True), ("old", False)]
 
 

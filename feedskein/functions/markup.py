@@ -14,6 +14,7 @@ from html import escape
 from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -58,7 +59,7 @@ def arrow_type(spark_type):
         return pa.list_(arrow_type(spark_type.elementType))
     if isinstance(spark_type, T.StructType):
         return pa.struct([pa.field(f.name, arrow_type(f.dataType)) for f in spark_type])
-    return pa.string()
+    return pa.bool_() if isinstance(spark_type, T.BooleanType) else pa.string()
 
 
 def resolve(base, href):
@@ -401,17 +402,31 @@ def read_broken_feed(body):
     return {"title": reader.title, "link": reader.links, "entries": reader.entries}
 
 
-_FEED_ARROW = arrow_type(FEED)
+def is_well_formed(body) -> bool:
+    """Whether a document is well-formed XML throughout."""
+    try:
+        expat.ParserCreate().Parse(body, True)
+    except (expat.ExpatError, ValueError):
+        return False
+    return True
+
+
+READ = T.StructType([*FEED.fields, T.StructField("well_formed", T.BooleanType())])
+_READ_ARROW = arrow_type(READ)
 
 
-@F.arrow_udf(FEED)
+@F.arrow_udf(READ)
 def _broken_feed(bodies: pa.Array) -> pa.Array:
     return pa.array(
-        (read_broken_feed(body.as_py()) if body.is_valid else None for body in bodies),
-        type=_FEED_ARROW,
+        (
+            {**read_broken_feed(body.as_py()), "well_formed": is_well_formed(body.as_py())} if body.is_valid else None
+            for body in bodies
+        ),
+        type=_READ_ARROW,
     )
 
 
 def broken_feed(body: Column) -> Column:
-    """The feed a broken document still holds; null for null."""
+    """The feed that a document from_xml cannot read still holds, and whether it is well-formed
+    all the same; null for null."""
     return _broken_feed.asNondeterministic()(body)

@@ -69,7 +69,7 @@ def parse_documents(captures: DataFrame, body="body") -> DataFrame:
         *others, body, root.alias("_root"), local_root.isin(FEED_ROOTS).alias("_is_feed")
     ).select(
         *others,
-        feed_type(text).alias("feed_type"),
+        feed_type(text).alias("feed_type"), _ends_with_root(text, F.col("_root")).alias("_ends"),
         F.when(F.col("_is_feed"), text).alias("_text"),
         F.from_xml(
             F.when(F.col("_is_feed") & F.col("_root").isin(STRICT_ROOTS), text),
@@ -77,20 +77,31 @@ def parse_documents(captures: DataFrame, body="body") -> DataFrame:
         ).alias("_document"),
     )
     document = F.col("_document")
-    parsed = document.isNotNull() & document[_CORRUPT].isNull()
+    parsed = document.isNotNull() & document[_CORRUPT].isNull() & F.col("_ends")
     staged = staged.select(
         *others, "feed_type", F.col("_text").isNotNull().alias("_is_feed"),
         parsed.alias("_parsed"), _strict_feed(document).alias("_strict"),
         broken_feed(F.when(~parsed, F.col("_text"))).alias("_lenient"),
     )
+    lenient = F.col("_lenient")
+    strict = F.col("_parsed") & F.col("_is_feed")
     return staged.select(
         *others, "feed_type",
-        (F.col("_is_feed") & F.col("_parsed")).alias("well_formed"),
-        F.when(F.col("_parsed") & F.col("_is_feed"), F.col("_strict"))
-        .otherwise(F.col("_lenient")).alias("feed"),
+        (F.col("_is_feed") & (F.col("_parsed") | F.coalesce(lenient["well_formed"], F.lit(False)))).alias("well_formed"),
+        F.when(strict, F.col("_strict"))
+        .when(lenient.isNotNull(), F.struct(*[lenient[f.name].alias(f.name) for f in FEED])).alias("feed"),
     )
 
 
+def _ends_with_root(text: Column, root: Column) -> Column:
+    """Whether nothing but blanks, comments and instructions follows the last end tag of the
+    root, or there is no such tag. from_xml stops at the root's end and sees nothing of it."""
+    end = F.concat(F.lit("</"), root)
+    rest = F.call_function("substring_index", text, end, F.lit(-1))
+    fits = F.rlike(rest, F.lit(r"(?s)\A\s*+>(?:\s++|<!--(?:(?!-->).)*+-->|<\?(?:(?!\?>).)*+\?>)*+\z"))
+    return F.coalesce(~F.contains(text, end) | fits, F.lit(False))
+
+
 def html_link(links: Column) -> Column:
     """The feed's or entry's page: text of a link element, or href of the last alternate
     link to HTML. '' for an empty element, null where there is none."""

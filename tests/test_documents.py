@@ -7,17 +7,22 @@ from feedskein.functions.text import feed_type, root_name
 from feedskein.operators.documents import entries, entries_to_articles, feed_info, parse_feeds
 from feedskein.sources.captures import capture_outcomes, latest_captures, page_captures, successes
 
-RSS = """<?xml version="1.0" encoding="UTF-8"?>
-<rss version="2.0"><channel><title>Weather</title><link>https://w.example</link><description>d</description>
-<item><title>Rain</title><link>https://w.example/rain</link><guid>w-1</guid>
-<pubDate>Mon, 15 Jan 2025 10:00:00 GMT</pubDate><description>Wet.</description></item>
-<item><title>Sun</title><link>https://w.example/sun</link><guid>w-2</guid>
-<pubDate>Tue, 16 Jan 2025 10:00:00 GMT</pubDate><description>Dry.</description></item>
+RSS = """<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/">
+<channel><description>Harbour news</description><link>https://harbour.example</link><title>Harbour</title>
+<item><guid isPermaLink="false">pilot-7</guid><dc:creator>Mara</dc:creator><title>Pilot boat</title>
+<content:encoded><![CDATA[<p>Back in service.</p>]]></content:encoded><pubDate>Sun, 03 Mar 2025 06:45:00 +0100</pubDate></item>
+<item><title>Tide tables</title><enclosure url="https://harbour.example/t.pdf" type="application/pdf" length="9"/>
+<description>For April.</description><link>https://harbour.example/tides</link></item>
+<item><link>https://harbour.example/crane</link><description/><guid>https://harbour.example/crane?id=3</guid></item>
 </channel></rss>"""
 
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>Notes</title><link href="https://n.example"/>
-<entry><title>First</title><link href="https://n.example/1"/><id>urn:1</id>
-<updated>2025-01-20T12:00:00Z</updated><summary>Short.</summary><author><name>Ann</name></author></entry></feed>"""
+ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">
+<link rel="self" href="https://orchard.example/feed"/><link rel="alternate" type="text/html" href="https://orchard.example"/>
+<title type="text">Orchard</title>
+<entry><id>tag:orchard,2:pears</id><author><name>Ines</name></author><author><name>Tom</name></author>
+<published>2025-02-11T08:00:00+02:00</published><updated>2025-02-12T08:00:00Z</updated>
+<content type="html">&lt;b&gt;Pears&lt;/b&gt;</content><title>Pears</title></entry>
+<entry><title>Plums</title><id>tag:orchard,2:plums</id><link href="https://orchard.example/plums"/></entry></feed>"""
 
 
 def parsed_one(make, body, url="https://f.example/feed"):
@@ -32,20 +37,34 @@ def items(make, inner, head=""):
 def test_rss(make):
     parsed = parsed_one(make, RSS)
     info = feed_info(parsed).first()
-    assert (info.title, info.link, info.feed_type, info.error) == ("Weather", "https://w.example", "rss", None)
-    rain, sun = entries(parsed, "url").orderBy("pos").collect()
-    assert (rain.guid, rain.title, rain.link, rain.author, rain.summary) == (
-        "w-1", "Rain", "https://w.example/rain", None, "Wet.")
-    assert rain.published == D(2025, 1, 15, 10) and sun.published == D(2025, 1, 16, 10)
+    assert (info.title, info.link, info.feed_type, info.error) == ("Harbour", "https://harbour.example", "rss", None)
+    pilot, tides, crane = entries(parsed, "url").orderBy("pos").collect()
+    assert (pilot.guid, pilot.link, pilot.author, pilot.summary) == ("pilot-7", "", "Mara", "<p>Back in service.</p>")
+    assert pilot.published == D(2025, 3, 3, 5, 45)  # a Monday, whatever it says
+    assert (tides.guid, tides.summary, tides.published) == ("https://harbour.example/tides", "For April.", None)
+    assert (crane.guid, crane.title, crane.summary) == ("https://harbour.example/crane?id=3", "Untitled", "")
 
 
 def test_atom(make):
     parsed = parsed_one(make, ATOM)
     info = feed_info(parsed).first()
-    assert (info.title, info.link, info.feed_type) == ("Notes", "https://n.example", "atom")
-    entry = entries(parsed).first()
-    assert (entry.guid, entry.title, entry.link, entry.author, entry.published, entry.summary) == (
-        "urn:1", "First", "https://n.example/1", "Ann", D(2025, 1, 20, 12), "Short.")
+    assert (info.title, info.link, info.feed_type) == ("Orchard", "https://orchard.example", "atom")
+    pears, plums = entries(parsed).orderBy("pos").collect()
+    assert (pears.guid, pears.link, pears.author, pears.published, pears.summary) == (
+        "tag:orchard,2:pears", "", "Tom", D(2025, 2, 11, 6), "<b>Pears</b>")
+    assert (plums.title, plums.link, plums.published, plums.summary) == ("Plums", "https://orchard.example/plums", None, "")
+
+
+@pytest.mark.parametrize("body,good", [
+    ('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>t</a:title></a:feed>', True),
+    ('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>t</a:title>', False),
+    ("<rss><channel><title>t</title></channel></rss>junk", False),
+    ("<rss><channel><title>t</title></channel></rss> <!-- </rss> --><?x y?>\n", True),
+    ("<rss><channel><title>t</title></channel></rss><rss/>", False),
+    ("<rss><channel><title>t</title><item><title>a</title></item></channel></rss>junk", True),
+])
+def test_well_formed_to_the_end(make, body, good):
+    assert (parsed_one(make, body).first().error is None) is good
 
 
 def test_rss_1_items_beside_the_channel(make):
@@ -206,7 +225,9 @@ def test_entries_become_articles(make, joins):
     rows = entries(parse_feeds(make.captures(("u1", RSS), ("u2", ATOM), ("u3", ATOM))), "url")
     articles = entries_to_articles(rows, make.feeds((7, "W", "u1"), (8, "N", "u2")))
     got = sorted((r.feed_id, r.guid, r.is_read, r.is_favorite) for r in articles.collect())
-    assert got == [(7, "w-1", False, False), (7, "w-2", False, False), (8, "urn:1", False, False)]
+    crane, tides = "https://harbour.example/crane?id=3", "https://harbour.example/tides"
+    guids = [(7, crane), (7, tides), (7, "pilot-7"), (8, "tag:orchard,2:pears"), (8, "tag:orchard,2:plums")]
+    assert got == [(*key, False, False) for key in guids]
 
 
 ITEM = "<item><title>ok</title></item>"

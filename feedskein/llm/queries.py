@@ -32,7 +32,12 @@ def sha256(text):
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, span: n + span["ends"] - span["starts"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
+        sha256(F.col("kept")).alias("kept_sha256"),
+    )
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

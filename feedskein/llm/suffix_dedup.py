@@ -20,8 +20,6 @@ share costs one entry per block. All passes read the same shuffle of the documen
 ordered by document, so an answer means the same for a block computed again after a loss.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +32,7 @@ NO_ID = np.iinfo(np.int64).max
 _PLACE = U64(30)  # lower bits of a key: the place in the block, up to 1 GB
 _LOW = U64((1 << 40) - 1)  # what a bucket sees of a name; the upper bits choose the bucket
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-SPANS = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 _NAMES = "block long, bucket long, names binary, several binary"
 _SHARED = "block long, bucket long, shared binary"
 _RUNS = "block long, bucket long, shared binary, ids binary, windows binary, text binary"
@@ -256,9 +253,9 @@ def _covered(block, answers):
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(length, buckets, digest):
+def _cut(length, buckets):
     def cut(docs, answers):
-        schema = _schema(RESULT if digest else SPANS)
+        schema = _schema(RESULT)
         if not docs.num_rows:
             return _table([], schema)
         block = _Block(docs, length, buckets)
@@ -268,22 +265,18 @@ def _cut(length, buckets, digest):
             gone, data = covered[begin:end], block.data[begin:end]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             kept = (data[~gone] if len(edges) else data).tobytes()
-            if digest:
-                rows.append((block.given[i], end - begin, int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
-            else:
-                rows.append((block.given[i], end - begin, edges[::2].tolist(), edges[1::2].tolist(), kept))
+            rows.append((block.given[i], end - begin, edges[::2].tolist(), edges[1::2].tolist(), kept))
         return _table(rows, schema)
     return cut
 
 
-def remove_repeats(docs: DataFrame, length=50, id_column="doc_id", text_column="text", digest=False, block_bytes=BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length=50, id_column="doc_id", text_column="text", block_bytes=BLOCK_BYTES) -> DataFrame:
     """Per document its bytes without those covered by a string of `length` bytes that also
     starts in a document of a smaller id; strings are judged on the input, overlaps count, and
     no string crosses documents.
 
     Columns: doc_id, n_bytes, starts and ends of the removed runs (bytes, end exclusive), kept
-    (bytes: a cut may part a character). digest=True gives n_removed, n_spans and the SHA-256
-    of the kept bytes instead.
+    (bytes: a cut may part a character).
 
     A null text is empty. A document without id keeps all that documents with one do not have
     and takes nothing from others; rows of one id are one document's. Texts shorter than
@@ -299,6 +292,4 @@ def remove_repeats(docs: DataFrame, length=50, id_column="doc_id", text_column="
     shared = names.groupBy("bucket").applyInArrow(_rank_names, _SHARED)
     runs = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_runs(length, parts), _RUNS)
     hits = runs.groupBy("bucket").applyInArrow(_rank_runs(length), _HITS)
-    return by_block.cogroup(hits.groupBy("block")).applyInArrow(
-        _cut(length, parts, digest), RESULT if digest else SPANS
-    )
+    return by_block.cogroup(hits.groupBy("block")).applyInArrow(_cut(length, parts), RESULT)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from feedskein.functions import wording as W
 from feedskein.operators.discovery import resolve
 from feedskein.operators.skew import spread_join
+from feedskein.session import written
 
 
 def no_capture(url: Column) -> Column:
@@ -24,6 +25,11 @@ def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=No
     chosen = resolved.withColumn("_taken", F.col("outcome").isin(takes)).withColumn(
         "feed_url", F.when(F.col("_taken"), F.col("feed_url"))
     )
+    # narrow rows, written since the adders derive from them too; those without a feed to take
+    # stay out of the joins, where they would be one key
+    chosen = written(chosen.select("site_url", "outcome", "feed_url", "found", "_taken"), "resolved")
+    without = chosen.filter(F.col("feed_url").isNull())
+    chosen = chosen.filter(F.col("feed_url").isNotNull())
     targets = digest.select(
         F.col("url").alias("feed_url"), "error", F.col("title").alias("_title"), "link", F.lit(True).alias("_captured")
     )
@@ -36,7 +42,7 @@ def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=No
     ).withColumn("_known", F.coalesce("_known", F.lit(False)))
     addable = F.col("_taken") & ~F.col("_known") & F.col("error").isNull()
     first = checked.filter(addable).groupBy("feed_url").agg(F.min("site_url").alias("_adder"))
-    judged = spread_join(checked, first, "feed_url", "left", spread=["site_url"])
+    judged = spread_join(checked, first, "feed_url", "left", spread=["site_url"]).unionByName(without, allowMissingColumns=True)
     status = (
         F.when(F.col("outcome") == "none", "not_found")
         .when(~F.col("_taken"), "choose")
@@ -63,5 +69,5 @@ def subscriptions(sites: DataFrame, digest: DataFrame, feeds: DataFrame, pick=No
 
 
 def subscribed_feeds(outcomes: DataFrame) -> DataFrame:
-    """Rows (title, url, link) to append to feeds; sources.tables.number_rows numbers them."""
+    """Rows (title, url, link) to append to feeds; sources.tables.append_feeds numbers them."""
     return outcomes.filter(F.col("status") == "added").select("title", F.col("feed_url").alias("url"), "link")

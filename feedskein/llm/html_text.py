@@ -39,6 +39,7 @@ OUT_NAMES = re.compile(
     r"menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|"
     r"footer|foot|popup|modal|overlay|newsletter|subscri\w*|signup|login|pagination|pager|widget|toolbar|skip|masthead|"
     r"topbar|header|hidden|paywall|author-bio|tags|byline-links)(?:$|[\s_-])", re.I)
+_HEADER = re.compile("header", re.I)
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STOP_WORDS = frozenset((
     "the of and to in is that it for on with as are was be by this at from or an not have but they which you were their "
@@ -66,8 +67,11 @@ def _is_out(name, rest, inside):
         return False
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m.group(1).lower(), next((v for v in m.groups()[1:] if v is not None), "")
-        if key in ("class", "id") and OUT_NAMES.search(value):
-            return True
+        if key in ("class", "id"):
+            if inside == GOOD:  # an article's own header holds its title
+                value = _HEADER.sub("", value)
+            if OUT_NAMES.search(value):
+                return True
         if key == "role" and value.lower() in OUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -119,8 +123,6 @@ def blocks(page: str):
                 open_tags.append(name)
                 places.append(inside)
             current = _Block(places[-1])
-        elif name in OPEN_INLINE_OUT and not m.group("close"):
-            continue
     last = page[at:]
     add(last)
     if current.parts:
@@ -134,9 +136,6 @@ def blocks(page: str):
     return result
 
 
-OPEN_INLINE_OUT = frozenset(["input", "img"])
-
-
 def _stop_density(text):
     words = text.lower().split()
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)

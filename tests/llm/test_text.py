@@ -146,6 +146,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
     (PAGE[:PAGE.index(" seven")], "A & B\nOne two three.\nFour <five> six"),
     (None, ""), ("", ""), ("no markup at all", ""), ("<p>", ""),
     ("<article><p>cut &am", "cut &am"), ("<article>a<p>b</article>c", "a\nb"),
+    ('<div class=header>x</div><article><div class="entry-header"><h1>T</h1></div><header>H</header><p>b</article>', "T\nH\nb"),
 ])
 def test_main_text(page, text):
     assert html_text.main_text(page) == text

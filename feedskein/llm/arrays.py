@@ -24,7 +24,7 @@ def text_bytes(texts):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts, most_bytes=1 << 21, most_rows=1000):
+def slices(texts, most_bytes=1 << 19, most_rows=1000):
     """Row ranges (begin, count) of a string column of at most so many bytes of text each, or
     one row: what is made of a text takes many times its room."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -7,7 +7,7 @@ entries of its old neighbours in the queue; they are stale and skipped when they
 That is O(n log n) for a piece of any length. Decoding concatenates the strings of the ids.
 
 The vocabulary is read once by the driver and travels with the tasks. Work is map-only. Each
-worker remembers the ids of pieces it has seen, up to PIECES of them, since pieces recur.
+worker remembers the ids of the pieces it saw last, up to twice PIECES, since pieces recur.
 """
 
 import functools
@@ -20,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.llm.arrays import slices
+
 # The splitting pattern that byte-level vocabularies are made with.
 PIECE = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-PIECES = 500_000
+PIECES = 120_000
 LONGEST_KEPT = 64  # longer pieces are not remembered
 
 
@@ -105,16 +107,19 @@ class Vocabulary:
 
 
 class _Known(dict):
-    """Packed ids by piece."""
+    """Packed ids by piece, of the newer pieces here and of those before them in `older`."""
 
     def __init__(self, vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece):
-        packed = np.array(self.vocabulary.merge(piece.encode()), np.int32).tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = np.array(self.vocabulary.merge(piece.encode()), np.int32).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -138,14 +143,16 @@ def encode(docs: DataFrame, vocabulary_path: str, id_column="doc_id", text_colum
 
     def run(batches):
         known = vocabulary(content)
-        for batch in batches:
-            packed = [known.encode(t) if t else b"" for t in batch["_text"].to_pylist()]
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "ids"]
-            )
+        for whole in batches:
+            for begin, count in slices(whole["_text"]):
+                batch = whole.slice(begin, count)
+                packed = [known.encode(t) if t else b"" for t in batch["_text"].to_pylist()]
+                offsets = np.zeros(len(packed) + 1, np.int32)
+                np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+                ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["_id"], pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "ids"]
+                )
 
     given = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
     return given.mapInArrow(run, "doc_id long, ids array<int>")
@@ -158,10 +165,12 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches):
         known = vocabulary(content)
-        for batch in batches:
-            ids = batch["ids"].flatten().to_numpy()  # row by row from here: a number in a list takes ten times the room
-            ends = np.cumsum(batch["ids"].value_lengths().fill_null(0).to_numpy())
-            texts = [known.decode(ids[begin:end].tolist()) for begin, end in zip([0, *ends[:-1]], ends)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                ids = batch["ids"].flatten().to_numpy()  # row by row from here: a number in a list takes ten times the room
+                ends = np.cumsum(batch["ids"].value_lengths().fill_null(0).to_numpy())
+                texts = [known.decode(ids[begin:end].tolist()) for begin, end in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

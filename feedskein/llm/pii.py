@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.llm.arrays import slices
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "number", "name")
 
@@ -195,7 +197,8 @@ def count_patterns(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts = collections.Counter()
         for batch in batches:
-            for text in batch["_text"].to_pylist():
+            for text in batch["_text"]:
+                text = text.as_py()
                 for kind, _, _, votes, features in candidates(text) if text else ():
                     counts[kind, votes, features] += 1
         rows = sorted(counts.items())
@@ -265,8 +268,8 @@ def find_spans(docs: DataFrame, classifier, id_column="doc_id", text_column="tex
     def run(batches):
         for batch in batches:
             result = []
-            for text in batch["_text"].to_pylist():
-                spans = []
+            for text in batch["_text"]:
+                text, spans = text.as_py(), []
                 if text:
                     base = base_spans(text)
                     spans = [dict(kind=k, start=s, end=e, base=True) for k in KINDS for s, e in base[k]]
@@ -289,7 +292,7 @@ def redact(docs: DataFrame, classifier, text_column="text", threshold=0.5, count
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(begin, count) for whole in batches for begin, count in slices(whole.column(text_column))):
             at = batch.schema.get_field_index(text_column)
             texts = [t and _redacted(t, classifier, least) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)

@@ -37,7 +37,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, text) for each document: its token ids, and the text that they decode to."""
     path = vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path), path).selectExpr("doc_id", "ids", "cast(size(ids) as long) as n_tokens", "text")
+    return bpe.decode(bpe.encode(docs, path, pieces=120_000), path).selectExpr("doc_id", "ids", "cast(size(ids) as long) as n_tokens", "text")
 
 
 STAGES = [

@@ -27,7 +27,7 @@ PIECE = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-PIECES = 120_000
+PIECES = 250_000
 LONGEST_KEPT = 64  # longer pieces are not remembered
 
 
@@ -39,7 +39,7 @@ def _byte_signs():
 
 
 class Vocabulary:
-    def __init__(self, content):
+    def __init__(self, content, pieces=PIECES):
         given = json.loads(content)
         signs = _byte_signs()
         vocabulary = given["model"]["vocab"]
@@ -54,7 +54,7 @@ class Vocabulary:
         longest = sorted(self.special, key=len, reverse=True)
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.pieces = regex.compile(PIECE)
-        self.known = _Known(self)
+        self.known = _Known(self, pieces)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
@@ -109,16 +109,16 @@ class Vocabulary:
 class _Known(dict):
     """Packed ids by piece, of the newer pieces here and of those before them in `older`."""
 
-    def __init__(self, vocabulary):
+    def __init__(self, vocabulary, most):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.most, self.older = vocabulary, most, {}
 
     def __missing__(self, piece):
         packed = self.older.get(piece)
         if packed is None:
             packed = np.array(self.vocabulary.merge(piece.encode()), np.int32).tobytes()
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -126,9 +126,9 @@ class _Known(dict):
 
 
 @functools.lru_cache(maxsize=4)
-def vocabulary(content: str) -> Vocabulary:
+def vocabulary(content: str, pieces=PIECES) -> Vocabulary:
     """One per worker and vocabulary file."""
-    return Vocabulary(content)
+    return Vocabulary(content, pieces)
 
 
 def _content(path):
@@ -136,13 +136,13 @@ def _content(path):
         return file.read()
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_column="doc_id", text_column="text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, id_column="doc_id", text_column="text", pieces=PIECES) -> DataFrame:
     """(doc_id, ids array<int>) for each row, of the whole text; a null or empty text has no
-    ids. Rows of one id are encoded each for itself; other columns are ignored."""
+    ids. A worker remembers twice `pieces` pieces: fewer take less memory and more time. Rows of one id are encoded each for itself; other columns are ignored."""
     content = _content(vocabulary_path)
 
     def run(batches):
-        known = vocabulary(content)
+        known = vocabulary(content, pieces)
         for whole in batches:
             for begin, count in slices(whole["_text"]):
                 batch = whole.slice(begin, count)

@@ -196,11 +196,10 @@ def test_rows_there_and_back(spark, path):
     assert bpe.decode(bpe.encode(docs.limit(0), path), path).collect() == []
 
 
-def test_pieces_are_forgotten_beyond_the_bound(path, monkeypatch):
-    monkeypatch.setattr(bpe, "PIECES", 3)
-    own = bpe.Vocabulary(bpe._content(path))
+def test_pieces_are_forgotten_beyond_the_bound(path):
+    own = bpe.Vocabulary(bpe._content(path), pieces=3)
     assert own.decode(np.frombuffer(own.encode("a b c d e f g a b"), np.int32).tolist()) == "a b c d e f g a b"
-    assert len(own.known) <= 3
+    assert len(own.known) <= 3 and len(own.known.older) <= 3
 
 
 def test_windows_hold_every_byte():

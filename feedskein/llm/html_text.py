@@ -1,11 +1,12 @@
 """Main text of HTML pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. First pass: each block is judged alone, by the
-part of the page it stands in (menus, footers, forms, adverts, comments and the like are out;
-an article is in), and elsewhere by its length, its link density and its density of stop
-words: good, bad, or ambiguous. Second pass: ambiguous short blocks take the label of the
-nearest decided neighbours, good only if both sides are; at an end of the page there is one
-neighbour. Blocks of an article that hold little but links are out.
+A page is cut into blocks at block-level tags. Menus, footers, forms, adverts, comments and the
+like are out. First pass: each other block is judged alone, by its length, its link density and
+its density of stop words: good, bad, or ambiguous. Second pass: ambiguous blocks take the label
+of the nearest decided neighbours, good only if both sides are; at an end of the page there is
+one neighbour. To stand in an article weighs one step: what the first pass finds bad for its
+words or links is ambiguous there, and what is ambiguous after it is good, but for short blocks
+between bad ones of the article. Blocks of an article that hold little but links are out.
 
 Markup is read in one linear pass. A page cut off in the middle keeps the text before the cut.
 """
@@ -141,38 +142,46 @@ def _stop_density(text):
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
 
 
+def _nearest(labels):
+    """The nearest decided label before each; OPEN without one."""
+    found, nearest = [], OPEN
+    for label in labels:
+        found.append(nearest)
+        nearest = label or nearest
+    return found
+
+
+def _both_sides(labels):
+    return list(zip(_nearest(labels), reversed(_nearest(labels[::-1]))))
+
+
 def judge_blocks(found):
     """GOOD or BAD for each block, by both passes."""
-    labels, short = [], []
+    labels = []
     for text, linked, place in found:
-        stops = _stop_density(text) if place == OPEN else 0
-        if place == BAD or linked > 0.9 or place == OPEN and linked > HIGH_LINKS:
+        stops = _stop_density(text) if place != BAD else 0
+        if place == BAD or linked > 0.9:
             label = BAD
-        elif place == GOOD:
-            label = GOOD
+        elif linked > HIGH_LINKS:
+            label = OPEN if place == GOOD else BAD
         elif len(text) < SHORT:
-            label = BAD if linked > 0 else OPEN
+            label = BAD if linked > 0 and place == OPEN else OPEN
         elif stops >= HIGH_STOPS:
             label = GOOD if len(text) > LONG else OPEN
         else:
-            label = OPEN if stops >= LOW_STOPS else BAD
+            label = OPEN if stops >= LOW_STOPS or place == GOOD else BAD
         labels.append(label)
-    if any(place == GOOD for _, _, place in found):
-        # with an article on the page, what stands outside it is not the article
-        return [GOOD if label == GOOD and place == GOOD else BAD for label, (_, _, place) in zip(labels, found)]
-    before, after, nearest = [], [], OPEN
-    for label in labels:
-        before.append(nearest)
-        nearest = label or nearest
-    nearest = OPEN
-    for label in reversed(labels):
-        after.append(nearest)
-        nearest = label or nearest
-    after.reverse()
+    # for an article's blocks those outside say nothing, and its longer ones are text
+    own = [label or (GOOD if len(text) >= SHORT else OPEN) for label, (text, _, place) in zip(labels, found) if place == GOOD]
+    inside = iter(_both_sides(own))
     settled = []
-    for label, left, right in zip(labels, before, after):
-        sides = [s for s in (left, right) if s != OPEN]
-        settled.append(label if label != OPEN else GOOD if sides and all(s == GOOD for s in sides) else BAD)
+    for label, sides, (text, _, place) in zip(labels, _both_sides(labels), found):
+        if place == GOOD:
+            sides = next(inside)
+            settled.append(label or (BAD if len(text) < SHORT and sides == (BAD, BAD) else GOOD))
+        else:
+            sides = [s for s in sides if s != OPEN]
+            settled.append(label or (GOOD if sides and all(s == GOOD for s in sides) else BAD))
     return settled
 
 

@@ -160,6 +160,21 @@ def test_ambiguous_blocks_follow_their_neighbours():
     assert "Short two." in found and "Short one." not in found and "Short three." not in found and found.count("evening") == 8
 
 
+def test_text_beside_an_article_is_judged_by_its_words():
+    long = "the men of the town came to the house and it was in the evening that they saw it " * 4
+    card = "<article><h2>Next</h2><p>A card.</p></article>"
+    found = html_text.main_text(f"<div><p>{long}</p><p>In between.</p><p>{long}</p></div>{card}<div>{'xyz ' * 30}</div>")
+    assert found.count("evening") == 8 and "In between." in found and "A card." in found and "xyz" not in found
+    found = html_text.main_text(f"<main><p>Few words.</p></main><div><p>{long}</p></div><nav><p>{long}</p></nav>")
+    assert found.split("\n") == ["Few words.", long.strip()]
+
+
+def test_boilerplate_inside_an_article_is_judged_too():
+    links, words = "<ul><li><a>one of the</a><li><a>two and the</a><li><a>three</a></ul>", "слова " * 30
+    page = f"<article><h1>Title</h1><p>{words}</p>{links}<p>Read on <a>here</a></p>{links}<p>{words}</p><p>End.</p></article>"
+    assert html_text.main_text(page).split("\n") == ["Title", words.strip(), words.strip(), "End."]
+
+
 def test_pages_as_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "<article>" + "<p>word" * 30_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

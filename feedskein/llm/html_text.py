@@ -6,7 +6,8 @@ its density of stop words: good, bad, or ambiguous. Second pass: ambiguous block
 of the nearest decided neighbours, good only if both sides are; at an end of the page there is
 one neighbour. To stand in an article weighs one step: what the first pass finds bad for its
 words or links is ambiguous there, and what is ambiguous after it is good, but for short blocks
-between bad ones of the article. Blocks of an article that hold little but links are out.
+between bad ones of the article. Blocks of an article that hold little but links are out where
+several follow each other; one or two are its text, and so are its headings.
 
 Markup is read in one linear pass. A page cut off in the middle keeps the text before the cut.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[=\"'])*+/>"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|template|svg|math|select|object)(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(?:>|\Z)"
     r"|<(?:[!?][^>]*+|/[^a-zA-Z>][^>]*+|/)(?:>|\Z)",
@@ -33,6 +35,7 @@ BLOCKS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUT = frozenset("nav footer aside form button menu dialog fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_NAMES = re.compile(
@@ -51,14 +54,15 @@ STOP_WORDS = frozenset((
 
 SHORT, LONG = 70, 200
 HIGH_LINKS, LOW_STOPS, HIGH_STOPS = 0.4, 0.2, 0.3
+ALL_LINKS, SEVERAL = 0.9, 3
 GOOD, BAD, OPEN = 1, -1, 0
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "size", "place")
+    __slots__ = ("parts", "linked", "size", "place", "heading")
 
-    def __init__(self, place):
-        self.parts, self.linked, self.size, self.place = [], 0, 0, place
+    def __init__(self, place, heading):
+        self.parts, self.linked, self.size, self.place, self.heading = [], 0, 0, place, heading
 
 
 def _is_out(name, rest, inside):
@@ -81,10 +85,11 @@ def _is_out(name, rest, inside):
 
 
 def blocks(page: str):
-    """[(text, linked share, place)] of a page: place is GOOD inside an article, BAD inside a
-    part that is out, OPEN elsewhere. Text has its references decoded and white space joined."""
-    found, open_tags, places, links, at = [], [], [OPEN], 0, 0
-    current = _Block(OPEN)
+    """[(text, linked share, place, whether in a heading)] of a page: place is GOOD inside an
+    article, BAD inside a part that is out, OPEN elsewhere. Text has its references decoded and
+    white space joined."""
+    found, open_tags, places, links, at = [], [], [(OPEN, False)], 0, 0
+    current = _Block(OPEN, False)
 
     def add(text):
         if text:
@@ -116,14 +121,14 @@ def blocks(page: str):
                 if name == "p" and open_tags and open_tags[-1] == "p" or name == "li" and open_tags and open_tags[-1] == "li":
                     open_tags.pop()
                     places.pop()
-                inside = places[-1]
+                inside, heading = places[-1]
                 if inside != BAD and _is_out(name, m.group("rest"), inside):
                     inside = BAD
                 elif inside == OPEN and name in ("article", "main"):
                     inside = GOOD
                 open_tags.append(name)
-                places.append(inside)
-            current = _Block(places[-1])
+                places.append((inside, heading or name in HEADINGS))
+            current = _Block(*places[-1])
     last = page[at:]
     add(last)
     if current.parts:
@@ -133,7 +138,7 @@ def blocks(page: str):
         text = " ".join(html.unescape("".join(block.parts)).split())
         if text:
             solid = max(1, len(text) - text.count(" "))
-            result.append((text, min(1.0, block.linked / solid), block.place))
+            result.append((text, min(1.0, block.linked / solid), block.place, block.heading))
     return result
 
 
@@ -155,12 +160,23 @@ def _both_sides(labels):
     return list(zip(_nearest(labels), reversed(_nearest(labels[::-1]))))
 
 
+def _link_lists(found):
+    """Whether each block is of an article and one of several in a row that hold little but links."""
+    listed, begin = [False] * len(found), 0
+    for i, (_, linked, place, heading) in enumerate([*found, ("", 0, OPEN, False)]):
+        if place != GOOD or heading or linked <= ALL_LINKS:
+            if i - begin >= SEVERAL:
+                listed[begin:i] = [True] * (i - begin)
+            begin = i + 1
+    return listed
+
+
 def judge_blocks(found):
     """GOOD or BAD for each block, by both passes."""
     labels = []
-    for text, linked, place in found:
+    for (text, linked, place, _), listed in zip(found, _link_lists(found)):
         stops = _stop_density(text) if place != BAD else 0
-        if place == BAD or linked > 0.9:
+        if place == BAD or listed:
             label = BAD
         elif linked > HIGH_LINKS:
             label = OPEN if place == GOOD else BAD
@@ -171,14 +187,14 @@ def judge_blocks(found):
         else:
             label = OPEN if stops >= LOW_STOPS or place == GOOD else BAD
         labels.append(label)
-    # for an article's blocks those outside say nothing, and its longer ones are text
-    own = [label or (GOOD if len(text) >= SHORT else OPEN) for label, (text, _, place) in zip(labels, found) if place == GOOD]
-    inside = iter(_both_sides(own))
+    # for an article's blocks those outside say nothing, and its headings and longer ones are text
+    own = [label or (GOOD if heading or len(text) >= SHORT else OPEN) for label, (text, _, place, heading) in zip(labels, found) if place == GOOD]
+    inside = iter(zip(own, _both_sides(own)))
     settled = []
-    for label, sides, (text, _, place) in zip(labels, _both_sides(labels), found):
+    for label, sides, (_, _, place, _) in zip(labels, _both_sides(labels), found):
         if place == GOOD:
-            sides = next(inside)
-            settled.append(label or (BAD if len(text) < SHORT and sides == (BAD, BAD) else GOOD))
+            label, sides = next(inside)
+            settled.append(label or (BAD if sides == (BAD, BAD) else GOOD))
         else:
             sides = [s for s in sides if s != OPEN]
             settled.append(label or (GOOD if sides and all(s == GOOD for s in sides) else BAD))
@@ -191,7 +207,7 @@ def main_text(page) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(text for (text, _, _), label in zip(found, judge_blocks(found)) if label == GOOD)
+    return "\n".join(text for (text, *_), label in zip(found, judge_blocks(found)) if label == GOOD)
 
 
 def extract_text(pages: DataFrame, html_column="html", keep=("page_id", "url")) -> DataFrame:

@@ -175,6 +175,17 @@ def test_boilerplate_inside_an_article_is_judged_too():
     assert html_text.main_text(page).split("\n") == ["Title", words.strip(), words.strip(), "End."]
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><h1><a href=x>Title</a></h1><p>Text.</p><p><a href=y>Source</a></p></article>", "Title\nText.\nSource"),
+    ("<article><p>Text.</p><ul><li><a>One</a></li><li>of</li><li><a>Two</a></li></ul></article>", "Text.\nOne\nof\nTwo"),
+    ("<article><p>Text.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><h2><a>More</a></h2></article>", "Text.\nMore"),
+    ("<article><p>a<svg viewBox='0 0 1 1' class=\"x/>\" />b</p><math/><p>c<SVG/>d</article>", "ab\ncd"),
+    ("<article><p>a<svg><path d='M0'/><text>no</text></svg>b<svg width=1/>no</svg>c</p><math><mi/>no</math></article>", "abc"),
+])
+def test_an_article_keeps_its_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_as_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "v", "<article>" + "<p>word" * 30_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

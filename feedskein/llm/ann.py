@@ -7,10 +7,10 @@ product with the vector, and it bounds the error: with high probability no more
 ERROR * sqrt((1 - c²) / c²) / sqrt(d - 1). In a block of codes a query keeps those whose upper
 bound reaches the k-th highest lower bound; only these are compared by the original vectors.
 
-Codes and queries are dealt into blocks, and each block of queries meets each block of codes
-in a task of its own, so no task holds more than one of each. What leaves a task is k rows per
-query. All rows are indexed; the rotation follows from the seed and the dimension, so nothing
-has to be fitted or shared.
+Codes and queries are dealt into blocks, row by row, and each block of queries meets each block
+of codes in a task of its own, so no task holds more than one of each. What leaves a task is k
+rows per query. All rows are indexed; the rotation follows from the seed and the dimension, so
+nothing has to be fitted or shared.
 """
 
 import functools
@@ -117,6 +117,12 @@ def _search(k, error):
     return search
 
 
+def _dealt(frame, own, blocks, other, others, *salt):
+    """Each row in one of its own blocks, and once for each of the others."""
+    block = F.pmod(F.xxhash64("vec_id", F.lit(own), "vector", *salt), F.lit(blocks)).cast("int")
+    return frame.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
 def nearest(index: DataFrame, queries: DataFrame, k=5, error=ERROR, codes_per_block=CODES_PER_BLOCK, queries_per_block=QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of index with the largest cosine for each
     row of queries, an index too, nearest first and ties to the smaller vec_id. Rows with the
@@ -127,13 +133,10 @@ def nearest(index: DataFrame, queries: DataFrame, k=5, error=ERROR, codes_per_bl
     code_blocks = max(LEAST_BLOCKS, -(-index.count() // codes_per_block))
     query_blocks = max(1, -(-queries.count() // queries_per_block))
 
-    def dealt(frame, own, blocks, other, others):
-        block = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(blocks)).cast("int")
-        return frame.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
     pair = ["dim", "_codes", "_queries"]
-    codes = dealt(index, "_codes", code_blocks, "_queries", query_blocks).groupBy(*pair)
-    asked = dealt(queries.select("vec_id", "dim", "vector").distinct(), "_queries", query_blocks, "_codes", code_blocks).groupBy(*pair)
+    # rows of the index may be equal, those of the queries are distinct
+    codes = _dealt(index, "_codes", code_blocks, "_queries", query_blocks, F.monotonically_increasing_id()).groupBy(*pair)
+    asked = _dealt(queries.select("vec_id", "dim", "vector").distinct(), "_queries", query_blocks, "_codes", code_blocks).groupBy(*pair)
     found = codes.cogroup(asked).applyInArrow(_search(k, error), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -14,10 +14,12 @@ length. Equal strings choose alike, so if a string is repeated, so is what it ch
 choice that is not repeated ends all positions that made it. What goes on are the runs of
 positions that made a repeated choice, as text.
 
-Documents are dealt into blocks by id. A block sends each name and each run once, however many
-of its documents hold it, and is answered in bits, so a passage that a third of all documents
-share costs one entry per block. All passes read the same shuffle of the documents. Blocks are
-ordered by document, so an answer means the same for a block computed again after a loss.
+Rows are dealt into blocks by id and text, so rows of one id, or without one, spread; the id is
+only a rank. Equal rows that would fill more than two blocks' share take part once, and the
+result is given to each of them. A block sends each name and each run once, however many of its
+documents hold it, and is answered in bits, so a passage that a third of all documents share
+costs one entry per block. All passes read the same shuffle of the documents. Blocks are ordered
+by document, so an answer means the same for a block computed again after a loss.
 """
 
 import numpy as np
@@ -26,13 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.llm.arrays import U64, doc_of, name_pairs, name_substrings, text_bytes
+from feedskein.operators.skew import spread_join
+from feedskein.session import written
 
 BLOCK_BYTES = 4 * 1024 * 1024
+ROW_BYTES = 64  # what a row weighs besides its text
 NO_ID = np.iinfo(np.int64).max
-_PLACE = U64(30)  # lower bits of a key: the place in the block, up to 1 GB
+_PLACE = U64(30)  # lower bits of a key: the place in the block
+MOST_BYTES = 1 << 30
 _LOW = U64((1 << 40) - 1)  # what a bucket sees of a name; the upper bits choose the bucket
 
-RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, _group long"
 _NAMES = "block long, bucket long, names binary, several binary"
 _SHARED = "block long, bucket long, shared binary"
 _RUNS = "block long, bucket long, shared binary, ids binary, windows binary, text binary"
@@ -44,13 +50,15 @@ class _Block:
 
     def __init__(self, table, length, buckets):
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
-        self.given = table["_id"].to_pylist()
+        self.given, self.groups = table["_id"].to_pylist(), table["_group"].to_pylist()
         self.ids = np.array([NO_ID if i is None else i for i in self.given], np.int64)
         self.data, self.offsets = text_bytes(table["_text"])
         self.length = length
         half = length // 2 + 1
         inner = length - half + 1  # half-length substrings inside one of full length
         n = len(self.data)
+        if n > MOST_BYTES:
+            raise ValueError(f"a block of {n} bytes: places in a block are of 30 bits")
         names = name_substrings(self.data, half) if n >= half else np.zeros(0, U64)
         windows = len(names) - inner + 1
         if windows <= 0:
@@ -265,7 +273,7 @@ def _cut(length, buckets):
             gone, data = covered[begin:end], block.data[begin:end]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             kept = (data[~gone] if len(edges) else data).tobytes()
-            rows.append((block.given[i], end - begin, edges[::2].tolist(), edges[1::2].tolist(), kept))
+            rows.append((block.given[i], end - begin, edges[::2].tolist(), edges[1::2].tolist(), kept, block.groups[i]))
         return _table(rows, schema)
     return cut
 
@@ -284,10 +292,33 @@ def remove_repeats(docs: DataFrame, length=50, id_column="doc_id", text_column="
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
-    total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    weight = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + ROW_BYTES
+    total = docs.agg(F.sum(weight)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    blocked = docs.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(parts)))
-    by_block = blocked.groupBy("_block")
+    named = docs.select("*", F.xxhash64("_id", "_text").alias("_name"), F.xxhash64(F.lit(1), "_id", F.lit(2), "_text").alias("_other"))
+    row = ["_name", "_other"]
+    weights = named.groupBy(*row).agg(F.sum(weight).alias("_weight"), F.count("*").alias("_copies"))
+    heavy = weights.filter((F.col("_copies") > 1) & (F.col("_weight") > 2 * (total // parts)))  # parts / 2 groups at most
+    groups = written(heavy.select(*row, F.monotonically_increasing_id().alias("_group")), "equal_rows")
+    if groups.isEmpty():
+        return _removed(docs.withColumn("_group", F.lit(None).cast("long")), length, parts).drop("_group")
+    marked = named.join(F.broadcast(groups), row, "left")
+    copies = marked.filter("_group is not null")
+    once = copies.groupBy("_group").agg(F.any_value("_id").alias("_id"), F.any_value("_text").alias("_text"))
+    dealt = marked.filter("_group is null").select("_id", "_text", "_group").unionByName(once)
+    found = written(_removed(dealt, length, parts), "removed")
+    each = copies.select("_group", F.monotonically_increasing_id().alias("_copy"))
+    again = spread_join(each, found.filter("_group is not null"), "_group", spread=["_copy"])
+    return found.filter("_group is null").drop("_group").unionByName(again.drop("_group", "_copy"))
+
+
+def _in_blocks(docs, parts):
+    return docs.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)))
+
+
+def _removed(docs, length, parts):
+    """RESULT of rows (_id, _text, _group); _group is only handed through."""
+    by_block = _in_blocks(docs, parts).groupBy("_block")
     names = by_block.applyInArrow(_send_names(length, parts), _NAMES)
     shared = names.groupBy("bucket").applyInArrow(_rank_names, _SHARED)
     runs = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_runs(length, parts), _RUNS)

@@ -4,8 +4,10 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from feedskein.llm import suffix_dedup
 from feedskein.llm.components import components
 from feedskein.llm.near_dedup import drop_near_duplicates, near_duplicates
 from feedskein.llm.suffix_dedup import remove_repeats
@@ -55,6 +57,26 @@ def test_repeats_in_one_document_stay_and_spans_are_told(spark):
     assert (found[2]["starts"], found[2]["ends"], bytes(found[2]["kept"])) == ([1], [61], b"xy")
 
 
+def test_rows_of_one_id_and_equal_rows_spread(spark):
+    r = random.Random(11)
+    passage = "".join(r.choice("abcdé ") for _ in range(80))
+    rows = [(i, "".join(r.choice("abcdé ") for _ in range(100)) + passage) for i in [None, 7] * 40 + [3, 9]]
+    given = spark.createDataFrame(rows, "_id long, _text string")
+    sizes = [b["count"] for b in suffix_dedup._in_blocks(given, 8).groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 25
+    rows += [(5, "x" * 300 + passage)] * 60 + [(None, None)] * 200 + [(8, None)] * 20
+    found = remove_repeats(docs(spark, rows), block_bytes=6000)
+    assert found.columns == ["doc_id", "n_bytes", "starts", "ends", "kept"]
+    assert sorted(((*r[:4], bytes(r["kept"])) for r in found.collect()), key=str) == kept_bytes(rows, 50)
+
+
+def test_a_block_beyond_its_places_is_told(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 100)
+    table = pa.table({"_id": [1], "_text": ["a" * 120], "_group": pa.array([None], pa.int64())})
+    with pytest.raises(ValueError, match="a block of 120 bytes"):
+        suffix_dedup._Block(table, 50, 1)
+
+
 def test_no_documents(spark):
     empty = docs(spark, [])
     assert remove_repeats(empty).collect() == []

@@ -157,6 +157,16 @@ def test_neighbours(spark):
     assert ann.nearest(empty, index).collect() == [] == ann.nearest(index, empty).collect()
 
 
+def test_rows_of_one_id_are_in_several_blocks(spark):
+    r = np.random.default_rng(3)
+    rows = [(7, r.normal(size=4).tolist()) for _ in range(200)] + [(9, [1.0] * 4)] * 200 + [(50, [1.0, 0.0, 0.0, 0.0])]
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    blocks = ann._dealt(index, "_codes", 8, "_queries", 1, F.monotonically_increasing_id()).groupBy("vec_id", "_codes").count().collect()
+    assert max(b["count"] for b in blocks) < 60
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(index, index.filter("vec_id = 50")).collect())
+    assert got == plain_nearest(rows, [50])
+
+
 def test_estimates_stay_within_their_bounds():
     r = np.random.default_rng(2)
     vectors, queries = r.normal(size=(2000, 64)), r.normal(size=(20, 64))

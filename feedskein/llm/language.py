@@ -2,8 +2,8 @@
 
 Filters of several widths slide over the bytes of a window; each filter's largest response in
 the window (max pooling) feeds a softmax over the languages. The network is trained with numpy
-on windows of a bounded sample of labelled texts: PER_LANGUAGE texts of each language, chosen
-by a hash of the id, one excerpt of EXCERPT characters of each. It is applied to every window
+on windows of a bounded sample of labelled texts: at most PER_LANGUAGE texts of each language,
+chosen by a hash of id and text, one excerpt of EXCERPT characters of each. It is applied to every window
 of a whole text; a text's probabilities are the mean over its windows, by their bytes.
 
 A filter's response is a sum of weights by byte and place. Applied, the weights of two
@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedskein.llm.arrays import slices
@@ -126,21 +126,26 @@ def train(texts, labels, epochs=6, batch=64, rate=0.004, seed=5):
 
 
 def sample(docs: DataFrame, label_column="lang", id_column="doc_id", text_column="text", per_language=PER_LANGUAGE):
-    """[(text excerpt, label)]: at most about per_language rows of each label that have letters;
-    null labels and texts are left out. Which rows and where in the text follows from hashes
-    of the id, so every place of a text can be learned from."""
+    """[(text excerpt, label)]: at most per_language rows of each label, of which those with
+    letters stay; null labels and texts are left out, and equal rows count once. Which rows and
+    where in the text follows from hashes of id and text, so every place of a text can be
+    learned from. About twice as many rows are marked by hash, and of them the first taken."""
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(label_column).alias("_label"))
-    labelled = labelled.filter(F.col("_label").isNotNull() & F.col("_text").isNotNull())
-    counts = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}  # a row per language
+    labelled = labelled.filter(F.col("_label").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_id", "_text"))
+    counts = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.approx_count_distinct("_hash").alias("n")).collect()}  # a row per language
     if not counts:
         return []
     space = 1 << 40
-    bounds = [(label, min(space, space * per_language // n)) for label, n in sorted(counts.items())]
+    bounds = [(label, min(space, space * 2 * per_language // n)) for label, n in sorted(counts.items())]
     bounds = F.broadcast(spark.createDataFrame(bounds, "_label string, _bound long"))
-    place = F.pmod(F.xxhash64("_id", F.lit("place")), F.greatest(F.length("_text") - EXCERPT + 1, F.lit(1))).cast("int") + 1
-    chosen = labelled.join(bounds, "_label").filter(F.pmod(F.xxhash64("_id"), F.lit(space)) < F.col("_bound"))
-    rows = chosen.select("_id", "_label", F.substring("_text", place, EXCERPT).alias("_text")).collect()
+    place = F.pmod(F.xxhash64("_id", "_text", F.lit("place")), F.greatest(F.length("_text") - EXCERPT + 1, F.lit(1))).cast("int") + 1
+    marked = labelled.join(bounds, "_label").filter(F.pmod("_hash", F.lit(space)) < F.col("_bound"))
+    marked = marked.select("_label", "_hash", "_id", F.substring("_text", place, EXCERPT).alias("_text"))
+    marked = marked.groupBy("_label", "_hash").agg(F.any_value("_id").alias("_id"), F.any_value("_text").alias("_text"))
+    first = Window.partitionBy("_label").orderBy(F.pmod("_hash", F.lit(space)), "_hash")
+    chosen = marked.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_language)
+    rows = chosen.select("_id", "_label", "_text").collect()
     rows = sorted((r["_id"] is None, r["_id"] or 0, r["_text"], r["_label"]) for r in rows)
     return [(text, label) for _, _, text, label in rows if _LETTER.search(text)]
 

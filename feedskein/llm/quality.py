@@ -116,8 +116,9 @@ def train(found, grades, rounds=300, certainty=1.5, rate=0.5):
 
 def fit(docs: DataFrame, ratings: DataFrame, sample=SAMPLE, id_column="doc_id", text_column="text") -> Model | None:
     """A model from ratings (doc_id, grade): about `sample` rated documents, all if there are
-    fewer. A document rated more than once counts once, with its lowest grade; null ids,
-    grades and texts are left out."""
+    fewer. A document rated more than once counts once, with its lowest grade; of several rows
+    with its id the one with the smallest hash of its text; null ids, grades and texts are left
+    out."""
     rated = ratings.select(F.col(id_column).alias("_id"), F.col("grade").cast("int").alias("_grade")).dropna()
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade"))
     space = 1 << 40
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample=SAMPLE, id_column="doc_id",
                     [batch["_id"], batch["_grade"], pa.array(features(batch["_text"]), pa.list_(pa.int64()))], ["_id", "_grade", "found"])
 
     # the sample is bounded by its parameter, so it may be broadcast
-    picked = given.join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text")
+    picked = given.join(F.broadcast(chosen), "_id").groupBy("_id", "_grade").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = picked.mapInArrow(run, "_id long, _grade int, found array<long>").toArrow().sort_by("_id")
     found = [np.array(f, np.int64) for f in rows["found"].to_pylist()]
     return train(found, rows["_grade"].to_numpy())

@@ -106,6 +106,23 @@ def test_languages_of_held_out_texts(spark):
     assert [r["lang_pred"] for r in language.identify(docs.limit(2), None).collect()] == ["und", "und"]
 
 
+def test_the_sample_of_languages_is_bounded(spark):
+    rows = [(None, t, "en") for t in sentences(LANGUAGES["en"], 1, 200)] + [(7, t, "de") for t in sentences(LANGUAGES["de"], 2, 200)]
+    rows += [(9, "les des est une", "fr")] * 100 + [(i, t, "fr") for i, t in enumerate(sentences(LANGUAGES["fr"], 3, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(docs, per_language=20)
+    assert [sum(label == x for _, label in found) for x in ("de", "en", "fr")] == [20, 20, 20]
+    assert sum(t == "les des est une" for t, _ in found) <= 1
+
+
+def test_a_rated_document_counts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda found, grades: seen.append((len(found), sorted(grades))))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (None, "none")], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(1, 2), (2, 0), (1, 1)], "doc_id long, grade int"))
+    assert seen == [(2, [0, 1])]
+
+
 def test_quality_of_held_out_texts(spark):
     good, rude = sentences(LANGUAGES["en"], 1, 300), sentences(LANGUAGES["en"], 2, 150)
     rude = [t + " idiot " + t for t in rude]

@@ -11,6 +11,7 @@ Votes and features are few, so the corpus is counted by pattern: the driver gets
 MOST_PATTERNS rows whatever the input, counted over all candidates. Both scans are map-only.
 """
 
+import bisect
 import collections
 import itertools
 import math
@@ -145,7 +146,8 @@ def judge(kind, text, start, end):
     setting = _vote(assigned or quoted, YES, NONE)
     place = _vote(kind == "name" and bool(_WORD_BEFORE.search(before)), NO, NONE)
     length = min(4, len(value) // 8)
-    features = (f"kind={kind}", f"form={kind}{form}", f"list={kind}{list_vote}", f"near={kind}{near}", f"set={setting}", f"place={place}", f"length={kind}{length}")
+    own = "name" if kind == "name" else ""  # names are learned apart, see train
+    features = (f"kind={kind}", f"form={kind}{form}", f"list={kind}{list_vote}", f"near={kind}{near}", f"set={own}{setting}", f"place={own}{place}", f"length={kind}{length}")
     return (form, list_vote, context, setting, place), features
 
 
@@ -153,32 +155,48 @@ LABELERS = 5
 
 
 def candidates(text, base=None):
-    """[(kind, start, end, votes, features)] that overlap no base span; of candidates that
-    overlap each other the first in the order of ADDED stays."""
+    """[(kind, start, end, votes, features)] that no base span contains; those that contain one
+    or reach beyond it stay beside it. Of candidates that overlap each other the first in the
+    order of ADDED stays; digits that run on into a base span come last, not to hide a number
+    that stands before it."""
     base = base_spans(text) if base is None else base
-    taken = sorted(itertools.chain(*base.values()))
+    fixed, taken = _outermost(itertools.chain(*base.values())), []
     found = []
     has_digit = bool(_DIGIT.search(text))
     for kind in ADDED:
         if kind != "name" and not has_digit:
             continue
         for m in _CANDIDATES[kind].finditer(text):
-            if kind == "name" and m.group().split(" ")[-2] not in GIVEN_NAMES and not _NEAR["name"].search(text[max(0, m.start() - 24):m.start()]):
-                continue  # two capitals alone are no ground for a vote
-            found.append((m.start(), m.end(), kind))
+            last = kind in ("account", "number") and _overlaps(fixed, *m.span())
+            found.append((last, ADDED.index(kind), *m.span(), kind))
     if not found:
         return []
     kept = []
-    for start, end, kind in sorted(found, key=lambda f: (ADDED.index(f[2]), f[0])):
-        if not _overlaps(taken, start, end):
+    for _, _, start, end, kind in sorted(found):
+        if not _contained(fixed, start, end) and not _overlaps(taken, start, end):
             kept.append((kind, start, end, *judge(kind, text, start, end)))
-            taken.append((start, end))
-            taken.sort()
+            bisect.insort(taken, (start, end))
     return sorted(kept, key=lambda f: (ADDED.index(f[0]), f[1]))
 
 
+def _outermost(spans):
+    """The spans that no other contains, by place: starts and ends both ascend."""
+    found = []
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not found or end > found[-1][1]:
+            found.append((start, end))
+    return found
+
+
+def _contained(spans, start, end):
+    """Whether one of the outermost spans contains a span: the last that starts no later
+    reaches farthest."""
+    at = bisect.bisect_right(spans, start, key=lambda s: s[0]) - 1
+    return at >= 0 and spans[at][1] >= end
+
+
 def _overlaps(spans, start, end):
-    """Whether a span of the sorted, disjoint ones overlaps."""
+    """Whether one of the spans, whose starts and ends both ascend, overlaps."""
     low, high = 0, len(spans)
     while low < high:
         middle = (low + high) // 2
@@ -231,8 +249,15 @@ def reliabilities(votes, counts, rounds=50):
 
 
 def train(patterns):
-    """The span classifier {feature: weight} from counted patterns [(votes, features, n)]:
-    logistic regression on the soft labels of the EM, weighted by count."""
+    """The span classifier {feature: weight} from counted patterns [(votes, features, n)]. Names
+    have labelers and features of their own and outnumber all else, two capitals being
+    enough for a candidate, so they are learned apart."""
+    names = [p for p in patterns if "kind=name" in p[1]]
+    return {**_train([p for p in patterns if "kind=name" not in p[1]]), **_train(names)}
+
+
+def _train(patterns):
+    """Logistic regression on the soft labels of the EM, weighted by count."""
     if not patterns:
         return {}
     _, _, _, labels = reliabilities([p[0] for p in patterns], [p[2] for p in patterns])

@@ -81,6 +81,30 @@ def test_spans_found_and_redacted(private):
     assert pii.fit(private.limit(0)) == {} and pii.find_spans(private.limit(0), {}).collect() == []
 
 
+def test_a_secret_around_a_card_is_reported_whole(spark):
+    secret = "ab" + "4417744280351547" + "c0ffee0123456789abcdef"
+    text = f'token = "{secret}" and card 4417744280351547 end'
+    start = text.index(secret)
+    found = [f[:3] for f in pii.candidates(text)]
+    assert found == [("secret", start, start + len(secret))] and len(pii.base_spans(text)["card"]) == 2
+    sure = {f: 1.0 for f in pii.candidates(text)[0][4]}
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.find_spans(docs, sure).first()["spans"]
+    assert [(s["kind"], s["base"]) for s in spans] == [("card", True), ("card", True), ("secret", False)]
+    clean = pii.redact(docs, sure).first()["text"]
+    assert clean == 'token = "<secret>" and card <card> end'
+
+
+def test_digits_into_a_base_span_hide_no_number():
+    found = pii.candidates("call +1 (826) 555-4081 190.137.2.9 now")
+    assert [f[0] for f in found] == ["number"]
+
+
+def test_all_names_reach_the_vote():
+    found = pii.candidates("we met Zora Quill there, and Dear Zora Quill")
+    assert [f[0] for f in found] == ["name", "name"] and found[0][3][1:3] == (pii.NO, pii.NO)
+
+
 def sentences(words, seed, count):
     r = random.Random(seed)
     return [" ".join(r.choice(words) for _ in range(r.randint(3, 80))) for _ in range(count)]

@@ -1,4 +1,4 @@
-"""Removing substrings that an earlier document has: distributed prefix doubling.
+"""Removing substrings that an earlier document has: fingerprints by prefix doubling, chosen by content.
 
 A substring of h bytes has a name (a rank among equal strings); the names of length h + g
 come from sorting the pairs (name at p, name at p + g). Positions whose name has been seen in

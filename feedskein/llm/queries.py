@@ -7,7 +7,7 @@ operator's output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedskein.llm import ann, bpe, chat, language, pii, quality
+from feedskein.llm import ann, bpe, chat, language, packing, pii, quality
 from feedskein.llm import decontaminate as clean
 from feedskein.llm.html_text import extract_text
 from feedskein.llm.near_dedup import near_duplicates
@@ -124,6 +124,11 @@ def op10_quality(spark, sf_dir):
     return rated.select("*", quality.selected(F.col("p_good")).alias("kept"))
 
 
+def op11_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -135,4 +140,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
 }

@@ -81,9 +81,32 @@ ranked as (select query_id, row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
+HARD_NEGATIVES = """
+with vectors as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.row as anchor, a.vec_id as anchor_id, a.label = r.label as same, r.row as row, r.vec_id as vec_id,
+    list_dot_product(a.v, r.v)::bigint as score
+  from vectors a join vectors r on a.vec_id % 50 = 0 and a.row <> r.row and len(a.v) = len(r.v)),
+positives as (
+  select anchor, anchor_id, row as positive, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor order by score desc, vec_id nulls last, row) <= 5),
+ranked as (
+  select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+    row_number() over (partition by anchor, positive order by score desc, vec_id nulls last, s.row)::integer as rank
+  from positives p join scored s using (anchor)
+  where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 3
+"""
+
 SQL = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op7_chat_format": CHAT,
     "op8_decontaminate": DECONTAMINATE,
     "op9_ann": NEAREST,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

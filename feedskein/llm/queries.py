@@ -7,7 +7,7 @@ operator's output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedskein.llm import ann, bpe, chat, language, packing, pii, quality
+from feedskein.llm import ann, bpe, chat, language, negatives, packing, pii, quality
 from feedskein.llm import decontaminate as clean
 from feedskein.llm.html_text import extract_text
 from feedskein.llm.near_dedup import near_duplicates
@@ -129,6 +129,12 @@ def op11_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(negatives.build_index(vectors, F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -141,4 +147,5 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
     "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }

@@ -7,7 +7,7 @@ operator's output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedskein.llm import ann, bpe, chat, language, negatives, packing, pii, quality
+from feedskein.llm import ann, bpe, chat, language, negatives, packing, pii, quality, whitening
 from feedskein.llm import decontaminate as clean
 from feedskein.llm.html_text import extract_text
 from feedskein.llm.near_dedup import near_duplicates
@@ -135,6 +135,10 @@ def op12_hard_negatives(spark, sf_dir):
     return negatives.mine(negatives.build_index(vectors, F.col("vec_id") % 50 == 0))
 
 
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -148,4 +152,5 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }

@@ -18,6 +18,8 @@ from feedskein.session import scratch_dir, written
 from feedskein.sources import captures as C
 from feedskein.sources import samples as S
 from feedskein.sources import tables
+from feedskein.streaming import articles as keyed
+from feedskein.streaming import logs
 from feedskein.streaming import refresh as streaming
 
 QUERIES = {}
@@ -151,7 +153,7 @@ def schema_migration(spark, d):
 @query
 def articles_table(spark, d):
     path = scratch_dir(spark, "articles")
-    tables.create_if_missing(spark, path, ARTICLES)
+    tables.create_if_missing(spark, path)
     numbered = tables.number_rows(S.articles(spark, d), "id", ARTICLE_KEY)
     tables.write_articles(numbered, path)
     return tables.read_articles(spark, path).drop("id")
@@ -161,7 +163,7 @@ def articles_table(spark, d):
 def articles_appended(spark, d):
     """Articles in two appends, with how many share the id and whether the second ones come after."""
     path = scratch_dir(spark, "articles")
-    tables.create_if_missing(spark, path, ARTICLES)
+    tables.create_if_missing(spark, path)
     articles = S.articles(spark, d)
     first = F.col("guid") < "8"
     tables.append_articles(articles.filter(first), path)
@@ -205,7 +207,7 @@ def feeds_table(spark, d):
     new = T.feeds_to_add(feeds, _feed_requests(spark, d))
     numbered = tables.number_rows(new, "feed_id", ["url"], after=top)
     path = scratch_dir(spark, "feeds")
-    tables.create_if_missing(spark, path, FEEDS)
+    tables.create_if_missing(spark, path)
     tables.write_feeds(feeds.unionByName(numbered), path)
     return tables.read_feeds(spark, path).select(
         "title", "url", "link", (F.col("feed_id") > top).alias("is_new")
@@ -217,12 +219,10 @@ def feeds_readded(spark, d):
     """The feed of the highest id is removed, then feeds are added twice: their ids go on after it."""
     path = scratch_dir(spark, "feeds")
     tables.write_feeds(S.feeds(spark, d), path)
-    before = tables.table_version(spark, path)
-    feeds = tables.read_feeds(spark, path)
+    feeds = S.feeds(spark, d)
     top = feeds.agg(F.max("feed_id")).first()[0] or 0  # one number
     last = feeds.filter(F.col("feed_id") == top).select("feed_id")
-    left, _, _ = T.remove_feeds(feeds, S.articles(spark, d), feed_ids=last)
-    tables.write_feeds(left, path, replaces=before)
+    tables.remove_rows(spark, path, FEEDS, last)
     new = T.feeds_to_add(feeds, _feed_requests(spark, d))
     even = F.pmod(F.length("title"), F.lit(2)) == 0
     tables.append_feeds(new.filter(even), path)
@@ -233,6 +233,19 @@ def feeds_readded(spark, d):
     )
 
 
+@query
+def feeds_removed_stored(spark, d):
+    """Feeds and articles left in the stored tables, whose buckets of removed feeds were rewritten."""
+    folder = scratch_dir(spark, "tables")
+    tables.create_tables(spark, folder)
+    tables.write_feeds(_segment_feeds(spark, d), f"{folder}/feeds")
+    tables.append_articles(S.articles(spark, d), f"{folder}/articles")
+    gone = T.find_feeds(_segment_feeds(spark, d), _selectors(spark, d)).filter(F.col("feed_id").isNotNull())
+    tables.remove_stored_feeds(spark, folder, gone)
+    feeds, articles = tables.read_feeds(spark, f"{folder}/feeds"), tables.read_articles(spark, f"{folder}/articles")
+    return feeds.select("feed_id", F.lit(None).cast("string").alias("guid")).unionByName(articles.select(*ARTICLE_KEY))
+
+
 @query
 def feeds_url_exists(spark, d):
     return T.urls_exist(S.feeds(spark, d), _feed_requests(spark, d).select("url"))
@@ -447,21 +460,49 @@ def _streamed(spark, d):
 def refresh_stream_actions(spark, d):
     """Captures through the stream, then actions that come late: deletes from between the captures."""
     folder = _streamed(spark, d)
-    streaming.append_actions(_late_actions(spark, d), folder)
+    logs.append_actions(_late_actions(spark, d), folder)
     return streaming.stored_articles(spark, folder)
 
 
 @query
 def stored_after_removal(spark, d):
-    """The same stored state after feeds are removed and the logs compacted."""
+    """The same stored state after feeds are removed."""
     folder = _streamed(spark, d)
-    streaming.append_actions(_late_actions(spark, d), folder)
+    logs.append_actions(_late_actions(spark, d), folder)
     gone = S.table(spark, d, "documents").filter(F.col("lang") == "fr").select(F.col("doc_id").alias("feed_id"))
-    streaming.append_removals(gone, folder)
-    streaming.compact(spark, folder, 1_000, "2025-01-02 12:00:00")
+    logs.append_removals(gone, folder)
     return streaming.stored_articles(spark, folder)
 
 
+def _keyed(spark, d):
+    """Captures and actions through the keyed stream, in several micro-batches of each, so that
+    deletes come before and after the captures they lie between; and some actions twice."""
+    folder = scratch_dir(spark, "keyed")
+    captures = S.mixed_captures(spark, d).unionByName(_later_captures(spark, d))
+    captures.repartition(4, "url").write.parquet(f"{folder}/captures")
+    actions = _late_actions(spark, d)
+    logs.append_actions(actions.repartition(4, "guid"), folder)
+    logs.append_actions(actions.filter("feed_id % 3 = 0").coalesce(1), folder)
+    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=2)
+    keyed.start_articles(arriving, S.document_feeds(spark, d), folder, lateness="30 days", files_per_batch=2).awaitTermination()
+    return folder
+
+
+@query
+def keyed_articles(spark, d):
+    """The articles that the keyed stream holds as state."""
+    return keyed.current_articles(spark, _keyed(spark, d))
+
+
+@query
+def keyed_feed_list(spark, d):
+    """The feed list from the changes of unread counts, after feeds are removed."""
+    folder = _keyed(spark, d)
+    gone = S.table(spark, d, "documents").filter(F.col("lang") == "fr").select(F.col("doc_id").alias("feed_id"))
+    logs.append_removals(gone, folder)
+    return keyed.feed_list(S.document_feeds(spark, d), folder)
+
+
 # --- article HTML -----------------------------------------------------------------------
 
 

@@ -43,10 +43,8 @@ LISTED = [*FEEDS, *ARTICLES, """listed AS (
   SELECT a.*, f.title AS feed_title FROM articles a JOIN feeds f USING (feed_id))"""]
 
 UNREAD = [*FEEDS, *ARTICLES, """unread AS (
-  SELECT f.feed_id, f.title, f.url, f.link,
-         COALESCE(SUM(CASE WHEN a.is_read = false THEN 1 ELSE 0 END), 0) AS unread_count
-  FROM feeds f LEFT JOIN articles a ON f.feed_id = a.feed_id
-  GROUP BY f.feed_id, f.title, f.url, f.link)"""]
+  SELECT feeds.*, coalesce(n, 0) AS unread_count
+  FROM feeds LEFT JOIN (SELECT feed_id, count(*) AS n FROM articles WHERE NOT is_read GROUP BY feed_id) USING (feed_id))"""]
 
 STATE_ARTICLES = [*OBSERVATIONS, """state_articles AS (
   SELECT feed_id, history_guid AS guid, title, link, author, published, summary,
@@ -163,6 +161,7 @@ oracle("feeds_removed_cascade", """SELECT feed_id, CAST(NULL AS VARCHAR) AS guid
 WHERE feed_id NOT IN (SELECT feed_id FROM found WHERE feed_id IS NOT NULL)
 UNION ALL SELECT feed_id, guid FROM articles
 WHERE feed_id NOT IN (SELECT feed_id FROM found WHERE feed_id IS NOT NULL)""", SELECTORS, ARTICLES)
+SQL["feeds_removed_stored"] = SQL["feeds_removed_cascade"]
 oracle("feeds_removed_outcome", "SELECT selector, feed_id, feed_id IS NOT NULL AS removed FROM found", SELECTORS)
 
 DOCUMENTS = ["""docs AS (
@@ -245,6 +244,15 @@ oracle("refresh_stream_actions", "SELECT * FROM streamed", ACTED)
 oracle("stored_after_removal", """SELECT * FROM streamed
 WHERE feed_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""", ACTED)
 
+oracle("keyed_articles", "SELECT * FROM streamed", ACTED)
+DOCUMENT_FEEDS = ["""document_feeds AS (
+  SELECT doc_id AS feed_id, 'Feed ' || doc_id AS title, 'https://docs.example.com/' || doc_id || '/feed.xml' AS url, '' AS link
+  FROM documents)"""]
+oracle("keyed_feed_list", """SELECT f.feed_id, f.title, f.url, f.link, COALESCE(unread, 0) AS unread_count
+FROM document_feeds f LEFT JOIN (
+  SELECT feed_id, COUNT(*) FILTER (NOT is_read) AS unread FROM streamed GROUP BY feed_id) USING (feed_id)
+WHERE f.feed_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')""", ACTED, DOCUMENT_FEEDS)
+
 # --- pages ---
 
 ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]+')"

@@ -1,211 +1,189 @@
-"""The feeds and articles tables: creating, upgrading, writing, appending, numbering.
+"""The feeds and articles tables: creating, upgrading, writing, appending, removing, numbering.
 
-A plain Parquet folder cannot be changed in place, so a table is a folder of files and commits:
+A table is a folder of plain Parquet, written by Spark's own modes:
 
-  data/<name>/        rows, written once and never changed
-  commits/<n>.json    the data folders of version n, and the highest id ever given out
+  rows/bucket=<b>/   the rows, dealt by a hash of feed_id
+  ids/               a row per change of the table: how many buckets it has, and the highest
+                     id given out so far
 
-The highest commit counts. A commit is written aside and renamed to its number, which fails if
-another writer has taken it; so rows that nobody committed are never read, and no write is lost
-unseen. Appending adds a folder and begins again on a conflict; replacing gives up with
-TableChanged, since it was made from a version that is not the last one any more.
+Appending adds files. Removing rewrites the buckets that hold the feeds concerned by dynamic
+partition overwrite and leaves all others alone; the same hash lets a read of one feed open
+one bucket. One writer at a time changes a table.
 """
 
-import json
-import uuid
-
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedskein.operators.skew import spread_join
 from feedskein.schemas import ARTICLE_KEY, ARTICLES, FEEDS
 
 # Values for columns that older data lacks.
 DEFAULTS = {"link": "", "title": "", "summary": "", "is_read": False, "is_favorite": False}
+BUCKETS = 64  # of a new table; a bucket should be a few files
+IDS = T.StructType([T.StructField("buckets", T.IntegerType()), T.StructField("top", T.LongType())])
+KEYS = {"feed_id": ["url"], "id": ARTICLE_KEY}
 
 
-class TableChanged(Exception):
-    """The table was changed by another writer since it was read."""
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, and known to the optimizer as such: joins with it cost nothing."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def _folder(spark: SparkSession, path: str):
-    """(Hadoop path, its file system)."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _read(spark: SparkSession, path: str, schema: T.StructType):
+    """The files below path, None if there is no such folder."""
+    try:
+        return spark.read.schema(_all_null(schema)).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def _versions(spark: SparkSession, path: str):
-    """Numbers of the commits, ascending. Lists one folder, reads no data."""
-    folder, files = _folder(spark, f"{path}/commits")
-    if not files.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+def _rows(spark: SparkSession, path: str, schema: T.StructType):
+    return _read(spark, f"{path}/rows", T.StructType([*schema, T.StructField("bucket", T.IntegerType())]))
 
 
-def _commit(spark: SparkSession, path: str, number=None):
-    """Commit `number`, by default the last: {"version", "data", "top"}."""
-    if number is None:
-        number = max(_versions(spark, path), default=0)
-    if not number:
-        return {"version": 0, "data": [], "top": 0}
-    jvm = spark.sparkContext._jvm
-    file, files = _folder(spark, f"{path}/commits/{number}.json")
-    stream = files.open(file)
-    try:
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return {"version": number, **json.loads(text)}
+def _ids(spark: SparkSession, path: str):
+    """(buckets, highest id given out) of a table; None if it is not there."""
+    ids = _read(spark, f"{path}/ids", IDS)
+    found = ids.agg(F.max("buckets"), F.max("top")).first() if ids is not None else (None, None)
+    return None if found[0] is None else (found[0], found[1])
 
 
-def _take(spark: SparkSession, path: str, number: int, data, top: int) -> bool:
-    """Make commit `number`; False if it is there already."""
-    jvm = spark.sparkContext._jvm
-    aside, files = _folder(spark, f"{path}/commits/_{uuid.uuid4().hex}")
-    stream = files.create(aside, False)
-    try:
-        stream.write(json.dumps({"data": data, "top": top}).encode())
-    finally:
-        stream.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{number}.json")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(files.makeQualified(aside), files.makeQualified(target), options)
-        return True
-    except Py4JJavaError as error:
-        files.delete(aside, False)
-        if "FileAlreadyExists" in error.java_exception.getClass().getName():
-            return False
-        raise
+def _note(spark: SparkSession, path: str, buckets: int, top: int) -> None:
+    noted = spark.range(0, 1, 1, 1).select(F.lit(buckets).alias("buckets"), F.lit(top).cast("long").alias("top"))
+    noted.write.mode("append").parquet(f"{path}/ids")
 
 
-def _written_rows(table: DataFrame, path: str, sort_key=None) -> str:
-    """Name of a new data folder with the rows of table."""
-    if sort_key:
-        # rows of one feed lie together in a few files, so a filter on feed_id skips the rest
-        table = table.sortWithinPartitions(*sort_key)
-    name = uuid.uuid4().hex
-    table.write.parquet(f"{path}/data/{name}")
-    return name
+def bucket_of(feed_id, buckets: int):
+    return F.pmod(F.xxhash64(feed_id), F.lit(buckets)).cast("int")
 
 
-def _top(spark: SparkSession, path: str, name: str, id_column) -> int:
-    rows = spark.read.parquet(f"{path}/data/{name}")
-    if id_column not in rows.columns:
-        return 0
-    return rows.agg(F.max(id_column)).first()[0] or 0  # one number
+def create_if_missing(spark: SparkSession, path: str, buckets=BUCKETS) -> None:
+    if _ids(spark, path) is None:
+        _note(spark, path, buckets, 0)
 
 
-def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """No rows, and known to the optimizer as such: joins with it cost nothing."""
-    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+def create_tables(spark: SparkSession, folder: str, buckets=BUCKETS) -> None:
+    create_if_missing(spark, f"{folder}/feeds", buckets)
+    create_if_missing(spark, f"{folder}/articles", buckets)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, version=None) -> DataFrame:
-    """The last version, or an earlier one; an empty table if there is none."""
-    data = _commit(spark, path, version)["data"]
-    if not data:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, feed_id=None) -> DataFrame:
+    """The rows, or those of one feed; an empty table if there is none."""
+    rows, ids = _rows(spark, path, schema), _ids(spark, path)
+    if rows is None or ids is None:
         return empty_table(spark, schema)
-    return upgrade(spark.read.schema(_all_null(schema)).parquet(*[f"{path}/data/{name}" for name in data]), schema)
+    if feed_id is not None:
+        rows = rows.filter((F.col("bucket") == bucket_of(F.lit(feed_id).cast("long"), ids[0])) & (F.col("feed_id") == feed_id))
+    return upgrade(rows.filter(F.col("feed_id").isNotNull()).drop("bucket"), schema)
 
 
-def write_table(table: DataFrame, path: str, sort_key=None, id_column=None, replaces=None) -> int:
-    """Replace the table by these rows and return the version's number. `replaces` is the
-    version that they were made from, by default the last one when writing begins; if it is
-    not the last one any more, TableChanged. Earlier versions stay readable."""
+def _save(rows: DataFrame, path: str, buckets: int, sort_key, mode, **options) -> None:
+    """rows below path by bucket. Each task writes to the few buckets that its range of feeds
+    falls in; rows of one feed lie together, so a filter on it skips the rest of a file."""
+    dealt = rows.withColumn("bucket", bucket_of(F.col("feed_id"), buckets) if "bucket" not in rows.columns else F.col("bucket"))
+    if sort_key:
+        dealt = dealt.repartitionByRange("bucket", *sort_key).sortWithinPartitions("bucket", *sort_key)
+    dealt.write.mode(mode).options(**options).partitionBy("bucket").parquet(f"{path}/rows")
+
+
+def write_table(table: DataFrame, path: str, sort_key=None, id_column=None) -> None:
+    """Make these rows the table. They must not come from it: what is there goes at once."""
     spark = table.sparkSession
-    before = _commit(spark, path) if replaces is None else _commit(spark, path, replaces)
-    name = _written_rows(table, path, sort_key)
-    top = max(before["top"], _top(spark, path, name, id_column))
-    number = before["version"] + 1
-    if not _take(spark, path, number, [name], top):
-        raise TableChanged(f"{path} is past version {before['version']}")
-    return number
+    buckets, top = _ids(spark, path) or (BUCKETS, 0)
+    _save(table, path, buckets, sort_key, "overwrite", partitionOverwriteMode="static")
+    if id_column:
+        highest = spark.read.parquet(f"{path}/rows").agg(F.max(id_column)).first()[0]  # one number
+        top = max(top, highest or 0)
+    _note(spark, path, buckets, top)
 
 
-def append_rows(rows: DataFrame, path: str, id_column=None, keys=None, sort_key=None, tries=20) -> int:
-    """Add rows to the table and return the version's number; what is there is not touched.
+def append_rows(rows: DataFrame, path: str, id_column=None, keys=None, sort_key=None) -> None:
+    """Add rows to the table; what is there is not touched.
 
     With id_column, rows get new ids, unique and higher than all that were ever given out, also
-    to rows since deleted; keys must tell the rows apart. Another writer's commit in between
-    is kept, and the rows are numbered anew after it.
+    to rows since removed; keys must tell the rows apart. The ids are noted before the rows are
+    written, so an append that fails in between leaves a gap and no id is given out twice.
     """
-    spark, name, after = rows.sparkSession, None, None
-    for _ in range(tries):
-        before = _commit(spark, path)
-        if name is None or id_column and after != before["top"]:
-            after = before["top"]
-            numbered = number_rows(rows, id_column, keys, after=after) if id_column else rows
-            name = _written_rows(numbered, path, sort_key)
-        top = max(after, _top(spark, path, name, id_column))
-        number = before["version"] + 1
-        if _take(spark, path, number, [*before["data"], name], top):
-            return number
-    raise TableChanged(f"{path} changed {tries} times while rows were added")
-
-
-def merge_files(spark: SparkSession, path: str, schema: T.StructType, sort_key=None) -> int:
-    """Rewrite the last version as one data folder, after many small appends."""
-    version = _commit(spark, path)["version"]
-    return write_table(read_table(spark, path, schema, version), path, sort_key, replaces=version)
-
-
-def expire(spark: SparkSession, path: str, keep=1) -> None:
-    """Delete all but the last `keep` versions, and the rows that only they had. Nobody may be
-    reading them, and no write may be under way."""
-    versions = _versions(spark, path)
-    old, kept = versions[:-keep], versions[-keep:]
-    used = {name for number in kept for name in _commit(spark, path, number)["data"]}
-    unused = {name for number in old for name in _commit(spark, path, number)["data"]} - used
-    for part in [*(f"data/{name}" for name in unused), *(f"commits/{number}.json" for number in old)]:
-        target, files = _folder(spark, f"{path}/{part}")
-        files.delete(target, True)
-
-
-def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    if not _versions(spark, path):
-        _take(spark, path, 1, [], 0)
-
-
-def create_tables(spark: SparkSession, folder: str) -> None:
-    create_if_missing(spark, f"{folder}/feeds", FEEDS)
-    create_if_missing(spark, f"{folder}/articles", ARTICLES)
+    spark = rows.sparkSession
+    buckets, top = _ids(spark, path) or (BUCKETS, 0)
+    if id_column:
+        _note(spark, path, buckets, top + rows.count())
+        rows = number_rows(rows, id_column, keys, after=top)
+    else:
+        _note(spark, path, buckets, top)
+    _save(rows, path, buckets, sort_key, "append")
+
+
+def remove_rows(spark: SparkSession, path: str, schema: T.StructType, feed_ids: DataFrame, sort_key=None) -> None:
+    """Remove the rows of feeds (feed_id). Of the buckets that they can be in, feed_id alone is
+    read; those that do hold some are read and written whole. The numbers of both, at most as
+    many as there are buckets, are all that the driver learns. A bucket keeps one row without
+    feed, which no read returns, so that one that lost all its rows is overwritten too."""
+    ids, rows = _ids(spark, path), _rows(spark, path, schema)
+    if ids is None or rows is None:
+        return
+    gone = feed_ids.select(F.col("feed_id").cast("long")).distinct()
+    possible = [r[0] for r in gone.select(bucket_of(F.col("feed_id"), ids[0])).distinct().collect()]
+    held = rows.filter(F.col("bucket").isin(possible)).select("bucket", "feed_id").distinct()
+    touched = [r[0] for r in held.join(gone, "feed_id", "left_semi").select("bucket").distinct().collect()]
+    _rewrite(rows, path, schema, ids[0], touched, gone, sort_key)
+
+
+def merge_files(spark: SparkSession, path: str, schema: T.StructType, sort_key=None) -> None:
+    """Rewrite every bucket, after many small appends."""
+    ids, rows = _ids(spark, path), _rows(spark, path, schema)
+    if ids is not None and rows is not None:
+        _rewrite(rows, path, schema, ids[0], list(range(ids[0])), None, sort_key)
+
+
+def _rewrite(rows, path, schema, buckets, touched, gone, sort_key):
+    if not touched:
+        return
+    held = rows.filter(F.col("bucket").isin(touched))
+    left = held.filter(F.col("feed_id").isNotNull())
+    if gone is not None:
+        left = spread_join(left, gone, "feed_id", "left_anti")
+    there = held.select("bucket").distinct()
+    kept = there.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema], "bucket")
+    _save(left.select(*schema.names, "bucket").unionByName(kept), path, buckets, sort_key, "overwrite", partitionOverwriteMode="dynamic")
+
+
+def remove_stored_feeds(spark: SparkSession, folder: str, feed_ids: DataFrame) -> None:
+    """Remove feeds (feed_id) from the tables of folder, and their articles with them. The
+    articles go first: if it fails in between, doing it again removes the rest."""
+    remove_rows(spark, f"{folder}/articles", ARTICLES, feed_ids, ARTICLE_KEY)
+    remove_rows(spark, f"{folder}/feeds", FEEDS, feed_ids, ["feed_id"])
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, FEEDS)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, ARTICLES)
+def read_articles(spark: SparkSession, path: str, feed_id=None) -> DataFrame:
+    return read_table(spark, path, ARTICLES, feed_id)
 
 
-def write_feeds(feeds: DataFrame, path: str, replaces=None) -> int:
-    return write_table(feeds, path, id_column="feed_id", replaces=replaces)
+def write_feeds(feeds: DataFrame, path: str) -> None:
+    write_table(feeds, path, ["feed_id"], "feed_id")
 
 
-def append_feeds(feeds: DataFrame, path: str) -> int:
+def append_feeds(feeds: DataFrame, path: str) -> None:
     """Add feeds (title, url, link), which get their feed_id here."""
-    return append_rows(feeds.select("title", "url", "link"), path, "feed_id", ["url"])
+    append_rows(feeds.select("title", "url", "link"), path, "feed_id", KEYS["feed_id"])
 
 
-def write_articles(articles: DataFrame, path: str, replaces=None) -> int:
-    """Range-partitioned by key, not hashed by feed: a large feed takes several files."""
-    spread = articles.repartitionByRange(F.col("feed_id"), F.col("guid"))
-    return write_table(spread, path, ["feed_id", "guid"], "id", replaces)
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Range-partitioned by bucket and key: a large feed takes several files."""
+    write_table(articles, path, ARTICLE_KEY, "id")
 
 
-def append_articles(articles: DataFrame, path: str) -> int:
+def append_articles(articles: DataFrame, path: str) -> None:
     """Add new articles, which get their id here."""
-    return append_rows(articles.drop("id"), path, "id", ARTICLE_KEY, ["feed_id", "guid"])
-
-
-def table_version(spark: SparkSession, path: str) -> int:
-    """Number of the last version, 0 if there is none."""
-    return max(_versions(spark, path), default=0)
+    append_rows(articles.drop("id"), path, "id", KEYS["id"], ARTICLE_KEY)
 
 
 def save_bucketed(articles: DataFrame, name: str, buckets: int, path=None) -> None:

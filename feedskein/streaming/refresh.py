@@ -6,106 +6,40 @@ Layout below a folder that all executors share:
   staged/                what the latest micro-batch saw
   actions/               appended by others
   removals/              feeds that were removed, appended by others
-  bases/<k>/             what a compaction left of the batches and actions before it
   checkpoint/            the stream's own progress
 
 A micro-batch appends all it saw and reads nothing of what is stored: which sightings make an
 article live depends on actions that may be stored later than their time would have it, so
 only the fold can tell. A repeated batch overwrites its own folders. The fold runs on the
 narrow sightings and fetches the contents of what is live at the end.
-"""
 
-import json
+These logs keep the whole history. Where only the present is wanted, streaming.articles keeps
+it as state.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedskein.functions.text import arrival
-from feedskein.operators.articles import fold_state, live_keys
-from feedskein.operators.skew import spread_join
+from feedskein.operators.articles import fold_state
 from feedskein.plans.refresh import feed_observations
 from feedskein.schemas import ACTIONS, ARTICLE_CONTENT, ARTICLE_KEY, OBSERVATIONS
-from feedskein.sources.tables import empty_table
+from feedskein.streaming.logs import read_log, without_removed
 
 _KEY = [f for f in OBSERVATIONS if f.name in ARTICLE_KEY]
 _BATCH = T.StructField("batch", T.LongType())
 _HASH = T.StructField("content", T.LongType())
 SIGHTINGS = T.StructType([*_KEY, OBSERVATIONS["fetched_at"], OBSERVATIONS["pos"], _HASH, _BATCH])
 CONTENTS = T.StructType([*_KEY, *[OBSERVATIONS[c] for c in ARTICLE_CONTENT], _HASH, _BATCH])
-REMOVALS = T.StructType([T.StructField("feed_id", T.LongType())])
-NOTHING = {"base": 0, "batch": None, "actions": []}
-
-
-def _folder(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _listed(spark: SparkSession, path: str):
-    """Names in a folder; none if it is not there."""
-    folder, files = _folder(spark, path)
-    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-
-
-def _base(spark: SparkSession, folder: str):
-    """What the last finished compaction took in: its number, the last batch and the files of
-    actions. The file that says so is written after all else."""
-    done = [int(n.removesuffix(".json")) for n in _listed(spark, f"{folder}/bases") if n.removesuffix(".json").isdigit()]
-    if not done:
-        return NOTHING
-    text = spark.read.text(f"{folder}/bases/{max(done)}.json", wholetext=True).first()[0]
-    return {"base": max(done), **json.loads(text)}
-
-
-def _stored(spark: SparkSession, folder: str, name: str, schema, base):
-    """Rows of the base and of the batches after it."""
-    read = spark.read.schema(schema)
-    paths = []
-    if base["base"]:
-        paths.append(read.parquet(f"{folder}/bases/{base['base']}/{name}"))
-    if _listed(spark, f"{folder}/{name}"):
-        later = read.parquet(f"{folder}/{name}")
-        paths.append(later if base["batch"] is None else later.filter(F.col("batch") > base["batch"]))
-    if not paths:
-        return empty_table(spark, schema)
-    return paths[0] if len(paths) == 1 else paths[0].unionByName(paths[1])
-
-
-def _without_removed(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    """rows without those of removed feeds. Ids of feeds are not given out twice, so all of
-    them are from before the removal."""
-    if not _listed(spark, f"{folder}/removals"):
-        return rows
-    removed = spark.read.schema(REMOVALS).parquet(f"{folder}/removals").distinct()
-    return spread_join(rows, removed, "feed_id", "left_anti", spread=["guid"])
 
 
 def stored_sightings(spark: SparkSession, folder: str) -> DataFrame:
     """(feed_id, guid, fetched_at, pos, content, batch) of all feeds that are not removed."""
-    return _without_removed(spark, folder, _stored(spark, folder, "sightings", SIGHTINGS, _base(spark, folder)))
+    return without_removed(spark, folder, read_log(spark, f"{folder}/sightings", SIGHTINGS))
 
 
 def stored_actions(spark: SparkSession, folder: str) -> DataFrame:
-    base = _base(spark, folder)
-    rows = []
-    if base["base"]:
-        rows.append(spark.read.schema(ACTIONS).parquet(f"{folder}/bases/{base['base']}/actions"))
-    later = [n for n in _listed(spark, f"{folder}/actions") if n[:1] not in "._" and n not in set(base["actions"])]
-    if later:
-        rows.append(spark.read.schema(ACTIONS).parquet(*[f"{folder}/actions/{n}" for n in later]))
-    if not rows:
-        return empty_table(spark, ACTIONS)
-    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-
-
-def append_actions(actions: DataFrame, folder: str) -> None:
-    actions.select(*ACTIONS.names).write.mode("append").parquet(f"{folder}/actions")
-
-
-def append_removals(feed_ids: DataFrame, folder: str) -> None:
-    """Feeds (feed_id) that were removed: their articles go with them."""
-    feed_ids.select(F.col("feed_id").cast("long")).write.mode("append").parquet(f"{folder}/removals")
+    return read_log(spark, f"{folder}/actions", ACTIONS)
 
 
 def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataFrame:
@@ -115,7 +49,7 @@ def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataF
         stored_sightings(spark, folder), stored_actions(spark, folder), tombstones,
         content=["batch", "content"], order=F.struct("batch", "content"),
     )
-    contents = _stored(spark, folder, "contents", CONTENTS, _base(spark, folder))
+    contents = read_log(spark, f"{folder}/contents", CONTENTS)
     return state.join(contents, [*ARTICLE_KEY, "batch", "content"]).select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "is_read", "is_favorite")
 
@@ -146,39 +80,3 @@ def start_refresh(captures: DataFrame, feeds, folder: str, trigger=None):
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def compact(spark: SparkSession, folder: str, upto: int, settled) -> None:
-    """Fold the batches up to number `upto`, which the stream has finished, and the actions
-    stored now into a new base. The stream and the writers of actions may go on meanwhile:
-    later batches and files of actions are read beside the base.
-
-    settled is a time (datetime) before which no more actions will be stored. Of what came
-    before it only what makes articles live stays, with the actions on those; all that came
-    later stays as it is. Removed feeds go. What was folded is left for the caller to delete.
-    """
-    base = _base(spark, folder)
-    actions_folded = [n for n in _listed(spark, f"{folder}/actions") if n[:1] not in "._"]
-    sightings, actions = stored_sightings(spark, folder).filter(F.col("batch") <= upto), stored_actions(spark, folder)
-    actions = _without_removed(spark, folder, actions)
-    time = F.lit(settled).cast("timestamp")
-    early = sightings.filter(F.col("fetched_at") < time)
-    born = live_keys(early, actions.filter(F.col("at") < time))
-    stays = early.withColumn("born", arrival(F.col("fetched_at"), F.col("pos"))).join(born, [*ARTICLE_KEY, "born"], "left_semi")
-    kept = stays.drop("born").unionByName(sightings.filter(F.col("fetched_at") >= time))
-    marks = actions.filter(F.col("at") < time).filter(F.col("action") != "delete")
-    marks = spread_join(marks, born, ARTICLE_KEY, "inner", spread=["at", "seq"]).filter(
-        arrival(F.col("at"), F.col("seq")) > F.col("born")).select(*ACTIONS.names)
-    target = f"{folder}/bases/{base['base'] + 1}"
-    kept.write.mode("overwrite").parquet(f"{target}/sightings")
-    kept = spark.read.schema(SIGHTINGS).parquet(f"{target}/sightings")
-    contents = _stored(spark, folder, "contents", CONTENTS, base).filter(F.col("batch") <= upto)
-    contents = contents.join(kept.select(*ARTICLE_KEY, "batch", "content").distinct(), [*ARTICLE_KEY, "batch", "content"], "left_semi")
-    contents.write.mode("overwrite").parquet(f"{target}/contents")
-    marks.unionByName(actions.filter(F.col("at") >= time)).write.mode("overwrite").parquet(f"{target}/actions")
-    done, files = _folder(spark, f"{target}.json")
-    stream = files.create(done, False)
-    try:
-        stream.write(json.dumps({"batch": upto, "actions": actions_folded}).encode())
-    finally:
-        stream.close()

@@ -7,9 +7,8 @@ from feedskein.plans.refresh import (
     feed_observations, feed_report, new_rows, refresh_rows, refresh_summary, selected_feeds, updated_feeds,
 )
 from feedskein.sources.captures import stream_captures
-from feedskein.streaming.refresh import (
-    append_actions, append_removals, compact, ingest_batch, start_refresh, stored_actions, stored_articles, stored_sightings,
-)
+from feedskein.streaming.logs import append_actions, append_removals
+from feedskein.streaming.refresh import ingest_batch, start_refresh, stored_articles, stored_sightings
 
 
 def rss(title, *guids):
@@ -114,23 +113,6 @@ def test_deleted_article_returns_through_the_stream(spark, feeds, make, tmp_path
     assert stored_articles(spark, folder, tombstones=True).count() == 0
 
 
-def test_compacted_log_folds_the_same(spark, feeds, make, tmp_path):
-    folder = str(tmp_path)
-    day = lambda n: D(2025, 1, n)
-    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Old", "a", "b"), "fetched_at": day(1)}), 0)
-    append_actions(make.actions((1, "a", "delete", day(2), 0), (1, "b", "toggle", day(2), 1)), folder)
-    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("New", "a"), "fetched_at": day(3)}), 1)
-    before = sorted(stored_articles(spark, folder).collect())
-    compact(spark, folder, 1, day(4))
-    assert sorted(stored_articles(spark, folder).collect()) == before
-    assert stored_sightings(spark, folder).count() == 2 and stored_actions(spark, folder).count() == 1
-    ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("Next", "a", "c"), "fetched_at": day(5)}), 2)
-    append_actions(make.actions((1, "b", "delete", day(6), 0)), folder)
-    assert sorted(r.title for r in stored_articles(spark, folder).collect()) == ["New a", "Next c"]
-    compact(spark, folder, 2, day(5))
-    assert sorted(r.title for r in stored_articles(spark, folder).collect()) == ["New a", "Next c"]
-
-
 def test_late_delete_finds_what_came_after_it(spark, feeds, make, tmp_path):
     folder = str(tmp_path)
     day = lambda n: D(2025, 1, n)
@@ -138,8 +120,6 @@ def test_late_delete_finds_what_came_after_it(spark, feeds, make, tmp_path):
     ingest_batch(feeds, folder, make.captures({"url": "u1", "body": rss("New", "a"), "fetched_at": day(3)}), 1)
     append_actions(make.actions((1, "a", "delete", day(2), 0)), folder)
     assert [r.title for r in stored_articles(spark, folder).collect()] == ["New a"]
-    compact(spark, folder, 1, day(2))
-    assert [r.title for r in stored_articles(spark, folder).collect()] == ["New a"]
 
 
 def test_removed_feed_takes_its_stored_articles_along(spark, feeds, make, tmp_path):
@@ -147,8 +127,6 @@ def test_removed_feed_takes_its_stored_articles_along(spark, feeds, make, tmp_pa
     ingest_batch(feeds, folder, make.captures(("u1", rss("A", "a")), ("u2", rss("B", "x"))), 0)
     append_removals(spark.createDataFrame([(2,)], "feed_id long"), folder)
     assert [r.title for r in stored_articles(spark, folder).collect()] == ["A a"]
-    compact(spark, folder, 0, D(2030, 1, 1))
-    assert [r.title for r in stored_articles(spark, folder).collect()] == ["A a"]
 
 
 def test_ingest_reads_nothing_stored(spark, feeds, make, tmp_path):

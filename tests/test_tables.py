@@ -6,11 +6,19 @@ from feedskein.schemas import ARTICLES, FEEDS
 from feedskein.session import estimated_bytes, scratch_dir, size_shuffles, written
 from feedskein.sources import tables
 from feedskein.sources.tables import (
-    append_articles, append_feeds, create_if_missing, create_tables, expire, merge_files, number_rows, read_articles,
-    read_feeds, save_bucketed, upgrade, write_articles, write_feeds,
+    append_articles, append_feeds, create_if_missing, create_tables, merge_files, number_rows, read_articles, read_feeds,
+    remove_rows, remove_stored_feeds, save_bucketed, upgrade, write_articles, write_feeds,
 )
 
 
+def files_of(folder):
+    return {f: f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def ids(spark, *feed_ids):
+    return spark.createDataFrame([(i,) for i in feed_ids], "feed_id long")
+
+
 def test_created_empty_and_only_once(spark, make, tmp_path):
     folder = str(tmp_path)
     create_tables(spark, folder)
@@ -25,81 +33,98 @@ def test_missing_table_reads_as_empty(spark, tmp_path):
     assert read_feeds(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_new_version_from_the_old_one(spark, make, tmp_path):
+def test_written_anew(spark, make, tmp_path):
     path = str(tmp_path / "feeds")
-    assert write_feeds(make.feeds((1, "A", "u"), (2, "B", "v")), path) == 1
-    old = read_feeds(spark, path)
-    assert write_feeds(old.filter("feed_id = 2"), path) == 2
+    write_feeds(make.feeds((1, "A", "u"), (2, "B", "v")), path)
+    write_feeds(make.feeds((2, "B", "v")), path)
     assert [r.title for r in read_feeds(spark, path).collect()] == ["B"]
-    assert old.count() == 2
-
-
-def test_rows_without_a_commit_do_not_count(spark, make, tmp_path):
-    path = str(tmp_path / "feeds")
-    write_feeds(make.feeds((1, "A", "u")), path)
-    make.feeds((2, "B", "v")).write.parquet(f"{path}/data/unfinished")
-    (tmp_path / "feeds" / "commits" / "_aside").write_text("{")
-    assert [r.title for r in read_feeds(spark, path).collect()] == ["A"]
-
-
-def test_writes_count_without_success_files(spark, make, tmp_path):
-    path = str(tmp_path / "feeds")
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    try:
-        assert write_feeds(make.feeds((1, "A", "u")), path) == 1
-        assert append_feeds(make.feeds((0, "B", "v")), path) == 2
-    finally:
-        hadoop.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
-    assert sorted((r.feed_id, r.title) for r in read_feeds(spark, path).collect()) == [(1, "A"), (2, "B")]
 
 
 def test_append_leaves_what_is_there(spark, make, tmp_path):
     path = str(tmp_path / "articles")
     append_articles(make.articles({"feed_id": 1, "guid": "a"}, {"feed_id": 1, "guid": "b"}), path)
-    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "articles" / "data").rglob("*.parquet")}
+    files = files_of(tmp_path / "articles" / "rows")
     append_articles(make.articles({"feed_id": 1, "guid": "c"}), path)
-    assert all(f.stat().st_mtime_ns == t for f, t in files.items())
+    assert files.items() <= files_of(tmp_path / "articles" / "rows").items()
     assert sorted(r.id for r in read_articles(spark, path).collect()) == [1, 2, 3]
 
 
 def test_ids_are_not_given_out_again(spark, make, tmp_path):
     path = str(tmp_path / "feeds")
     append_feeds(make.feeds((0, "A", "u"), (0, "B", "v")), path)
-    write_feeds(read_feeds(spark, path).filter("feed_id < 2"), path, replaces=1)
+    remove_rows(spark, path, FEEDS, ids(spark, 2))
     append_feeds(make.feeds((0, "C", "w")), path)
     assert sorted(r.feed_id for r in read_feeds(spark, path).collect()) == [1, 3]
-
-
-def test_two_writers(spark, make, tmp_path, monkeypatch):
-    path = str(tmp_path / "feeds")
     write_feeds(make.feeds((1, "A", "u")), path)
-    write_feeds(make.feeds((1, "A", "u"), (2, "B", "v")), path, replaces=1)
-    with pytest.raises(tables.TableChanged):  # made from version 1 as well
-        write_feeds(make.feeds((1, "C", "w")), path, replaces=1)
-    take, other = tables._take, []
+    append_feeds(make.feeds((0, "D", "x")), path)
+    assert sorted(r.feed_id for r in read_feeds(spark, path).collect()) == [1, 4]
 
-    def overtaken(*arguments):
-        if not other:
-            other.append(True)
-            append_feeds(make.feeds((0, "D", "x")), path)
-        return take(*arguments)
 
-    monkeypatch.setattr(tables, "_take", overtaken)
-    append_feeds(make.feeds((0, "E", "y")), path)
-    assert sorted((r.feed_id, r.title) for r in read_feeds(spark, path).collect()) == [(1, "A"), (2, "B"), (3, "D"), (4, "E")]
+def test_ids_of_a_failed_append_are_left_out(spark, make, tmp_path, monkeypatch):
+    path = str(tmp_path / "feeds")
+    append_feeds(make.feeds((0, "A", "u")), path)
+
+    def fail(*arguments):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "_save", fail)
+        with pytest.raises(OSError):
+            append_feeds(make.feeds((0, "B", "v"), (0, "C", "w")), path)
+    append_feeds(make.feeds((0, "D", "x")), path)
+    assert sorted((r.feed_id, r.title) for r in read_feeds(spark, path).collect()) == [(1, "A"), (4, "D")]
+
+
+def test_removal_rewrites_the_buckets_concerned_alone(spark, make, tmp_path):
+    folder, path = str(tmp_path), str(tmp_path / "articles")
+    create_tables(spark, folder, buckets=16)
+    rows = [{"feed_id": f, "guid": g} for f in range(40) for g in "abc"]
+    append_articles(make.articles(*rows), path)
+    append_feeds(make.feeds(*[(0, f"F{f}", f"u{f}") for f in range(40)]), f"{folder}/feeds")
+    before = files_of(tmp_path / "articles" / "rows")
+    bucket = {r.feed_id: r.b for r in ids(spark, *range(40)).withColumn("b", tables.bucket_of(F.col("feed_id"), 16)).collect()}
+    gone = [3, 4, 1000]
+    remove_stored_feeds(spark, folder, ids(spark, *gone))
+    after = files_of(tmp_path / "articles" / "rows")
+    changed = {f.parent.name for f in before.keys() ^ after.keys()}
+    assert changed == {f"bucket={bucket[f]}" for f in gone if f in bucket}
+    assert len(changed) <= 2 and not any(before[f] != after[f] for f in before.keys() & after.keys())
+    assert {r.feed_id for r in read_articles(spark, path).collect()} == set(range(40)) - {3, 4}
+    assert {r.feed_id for r in read_feeds(spark, f"{folder}/feeds").collect()} == set(range(1, 41)) - {3, 4}
+    remove_stored_feeds(spark, folder, ids(spark, *gone))  # again, as after a failure
+    assert read_articles(spark, path).count() == 38 * 3
+
+
+def test_removing_everything_and_nothing(spark, make, tmp_path):
+    folder, path = str(tmp_path), str(tmp_path / "articles")
+    remove_stored_feeds(spark, folder, ids(spark, 1))
+    append_articles(make.articles({"feed_id": 1, "guid": "a"}, {"feed_id": 2, "guid": "a"}), path)
+    remove_rows(spark, path, ARTICLES, ids(spark))
+    assert read_articles(spark, path).count() == 2
+    remove_rows(spark, path, ARTICLES, ids(spark, 1, 2, 2))
+    assert read_articles(spark, path).count() == 0
+    append_articles(make.articles({"feed_id": 1, "guid": "a"}), path)
+    assert [r.id for r in read_articles(spark, path).collect()] == [3]
+
+
+def test_one_feed_opens_one_bucket(spark, make, tmp_path):
+    path = str(tmp_path / "articles")
+    create_if_missing(spark, path, buckets=8)
+    append_articles(make.articles(*[{"feed_id": f, "guid": "a"} for f in range(30)]), path)
+    one = read_articles(spark, path, feed_id=7)
+    assert [r.feed_id for r in one.collect()] == [7]
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan
 
 
-def test_old_versions_go_and_small_files_merge(spark, make, tmp_path):
+def test_small_files_merge(spark, make, tmp_path):
     path = str(tmp_path / "feeds")
-    for name in "ABC":
+    create_if_missing(spark, path, buckets=2)
+    for name in "ABCDEF":
         append_feeds(make.feeds((0, name, name)), path)
-    merge_files(spark, path, FEEDS)
-    expire(spark, path)
-    assert len(list((tmp_path / "feeds" / "data").iterdir())) == 1
-    assert sorted(r.title for r in read_feeds(spark, path).collect()) == ["A", "B", "C"]
-    append_feeds(make.feeds((0, "D", "D")), path)
-    assert max(r.feed_id for r in read_feeds(spark, path).collect()) == 4
+    merge_files(spark, path, FEEDS, ["feed_id"])
+    assert len(files_of(tmp_path / "feeds" / "rows")) <= 4
+    assert sorted(r.title for r in read_feeds(spark, path).collect()) == list("ABCDEF")
 
 
 def test_articles_round_trip(spark, make, tmp_path):
@@ -127,7 +152,7 @@ def test_upgrade_keeps_what_is_there(spark, make):
 def test_create_if_missing_leaves_data(spark, make, tmp_path):
     path = str(tmp_path / "feeds")
     write_feeds(make.feeds((1, "A", "u")), path)
-    create_if_missing(spark, path, FEEDS)
+    create_if_missing(spark, path)
     assert read_feeds(spark, path).count() == 1
 
 

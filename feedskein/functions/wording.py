@@ -11,6 +11,7 @@ NOTHING_FOUND = "No RSS or Atom feeds found at %s. Try a direct feed URL."
 NO_FEEDS = "No feeds subscribed. Press 'a' to add one."
 FETCHED = "Fetched %d new article(s)"
 FETCHES_FAILED = " (%d feed(s) failed)"
+TOO_MANY_REDIRECTS = "Exceeded maximum allowed redirects."
 
 # Labels, marks and formats of lists.
 ALL_FEEDS = "All Feeds"

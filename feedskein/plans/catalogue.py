@@ -11,6 +11,7 @@ from feedskein.operators import documents as P
 from feedskein.operators import feeds as T
 from feedskein.operators import listing as Q
 from feedskein.operators import reading as H
+from feedskein.operators import redirects as N
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
@@ -356,6 +357,21 @@ def fetch_and_parse(spark, d):
     return parsed.select("url", "error", F.when(F.col("feed").isNotNull(), F.size("feed.entries")).otherwise(0).cast("long").alias("entries"))
 
 
+@query
+def redirects_followed(spark, d):
+    followed = N.follow_redirects(S.hop_captures(spark, d))
+    return _longs(followed.select("url", "final_url", "http_status", "error_kind", "body"), "http_status")
+
+
+@query
+def fetch_redirected(spark, d):
+    """The feed documents by addresses that redirect to them."""
+    number = F.col("doc_id").cast("string")
+    wanted = S.table(spark, d, "documents").select(F.concat(F.lit("https://old.example.com/"), number).alias("url"))
+    parsed = R.fetch_and_parse(wanted, N.follow_redirects(S.moved_captures(spark, d)))
+    return parsed.select("url", "error", F.when(F.col("feed").isNotNull(), F.size("feed.entries")).otherwise(0).cast("long").alias("entries"))
+
+
 @query
 def feed_types(spark, d):
     return S.table(spark, d, "documents").select("doc_id", feed_type(S.feed_document()).alias("feed_type"))

@@ -207,6 +207,32 @@ UNION ALL SELECT url, 500, 'HTTP 500 fetching ' || url FROM docs""", DOCUMENTS)
 oracle("fetch_and_parse", f"""SELECT url, {FEED_ERROR} AS error,
   CASE WHEN kase > 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS entries FROM docs
 UNION ALL SELECT site || '/gone.xml', 'Network error fetching ' || site || '/gone.xml: not captured', 0 FROM docs""", DOCUMENTS)
+oracle("fetch_redirected", f"""SELECT url, {FEED_ERROR} AS error,
+  CASE WHEN kase > 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS entries
+FROM (SELECT * REPLACE ('https://old.example.com/' || doc_id AS url) FROM docs)""", DOCUMENTS)
+oracle("redirects_followed", """WITH RECURSIVE placed AS (
+  SELECT c_custkey AS k, c_custkey % 32 AS place, c_custkey // 32 % 4 AS run FROM customer),
+captured AS (
+  SELECT CASE WHEN place = 0 AND run = 2 THEN 'https://alias.example.com/' || k ELSE 'https://r.example.com/' || k END AS url,
+    'https://r.example.com/' || CASE WHEN place = 0 THEN k WHEN place = 5 AND run = 3 THEN k + 3 ELSE k - 1 END AS final_url,
+    CASE WHEN place > 0 THEN 301 WHEN run = 1 THEN 404 ELSE 200 END AS http_status,
+    CASE WHEN place = 0 AND run <> 1 THEN 'document ' || k END AS body FROM placed),
+walked(url, last, hops) AS (
+  SELECT url, final_url, 1 FROM captured WHERE http_status = 301
+  UNION ALL
+  SELECT w.url, c.final_url, hops + 1 FROM walked w JOIN captured c ON c.url = w.last
+  WHERE c.http_status = 301 AND hops <= 20),
+ends AS (SELECT url, arg_max(last, hops) AS last, max(hops) AS hops FROM walked GROUP BY url),
+documents_at AS (
+  SELECT url, http_status, body FROM captured WHERE http_status <> 301
+  UNION ALL SELECT final_url, http_status, body FROM captured
+  WHERE http_status = 200 AND url <> final_url AND final_url NOT IN (SELECT url FROM captured))
+SELECT url, final_url, http_status::BIGINT AS http_status, NULL::VARCHAR AS error_kind, body FROM captured WHERE http_status <> 301
+UNION ALL SELECT d.url, d.url, http_status, NULL, body FROM documents_at d WHERE url NOT IN (SELECT url FROM captured)
+UNION ALL SELECT e.url, e.last, d.http_status, CASE WHEN d.url IS NULL THEN 'not captured' END, d.body
+  FROM ends e LEFT JOIN documents_at d ON d.url = e.last WHERE hops <= 20
+UNION ALL SELECT e.url, c.final_url, NULL, 'Exceeded maximum allowed redirects.', NULL
+  FROM ends e JOIN captured c USING (url) WHERE hops > 20""")
 oracle("feed_types", "SELECT doc_id, CASE lang WHEN 'de' THEN 'atom' ELSE 'rss' END AS feed_type FROM documents")
 oracle("parse_dates", """SELECT event_id, CASE event_type
   WHEN 'view' THEN s WHEN 'click' THEN s + INTERVAL 5 HOUR WHEN 'purchase' THEN s - INTERVAL 2 HOUR

@@ -236,6 +236,41 @@ def mixed_captures(spark, sf_dir) -> DataFrame:
     )
 
 
+def hop_captures(spark, sf_dir) -> DataFrame:
+    """A capture per customer, most of which redirect to the one before: each 32nd is a
+    document, one in four of those is not found, and one in four was only fetched by another
+    address; in one of four such runs the sixth leads back up, so that those above it run in a circle."""
+    number = F.col("c_custkey")
+    place, run = number % 32, F.floor(number / 32) % 4
+
+    def address(k):
+        return F.concat(F.lit("https://r.example.com/"), k.cast("string"))
+
+    document = place == 0
+    aside = document & (run == 2)
+    to = F.when(document, number).when((place == 5) & (run == 3), number + 3).otherwise(number - 1)
+    return table(spark, sf_dir, "customer").select(
+        F.when(aside, F.concat(F.lit("https://alias.example.com/"), number.cast("string"))).otherwise(address(number)).alias("url"),
+        address(to).alias("final_url"),
+        F.when(~document, 301).when(run == 1, 404).otherwise(200).cast("int").alias("http_status"),
+        F.lit(None).cast("string").alias("error_kind"),
+        F.when(document & (run != 1), F.concat(F.lit("document "), number.cast("string"))).alias("body"),
+        F.lit("2025-01-01 00:00:00").cast("timestamp").alias("fetched_at"),
+    )
+
+
+def moved_captures(spark, sf_dir) -> DataFrame:
+    """mixed_captures, and for each document two addresses that lead to its feed one after the other."""
+    number = F.col("doc_id").cast("string")
+    old, between = F.concat(F.lit("https://old.example.com/"), number), F.concat(F.lit("https://between.example.com/"), number)
+    hops = table(spark, sf_dir, "documents").select(F.inline(F.array(
+        F.struct(old.alias("url"), between.alias("final_url")), F.struct(between.alias("url"), document_url().alias("final_url")))))
+    moved = hops.select(
+        "url", "final_url", F.lit(302).alias("http_status"), F.lit(None).cast("string").alias("error_kind"),
+        F.lit(None).cast("string").alias("body"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("fetched_at"))
+    return mixed_captures(spark, sf_dir).unionByName(moved)
+
+
 def captured_at(documents: DataFrame, body: Column, at: str) -> DataFrame:
     """documents as good captures with this body at this time."""
     return _captured(documents, document_url(), body, at=F.lit(at))

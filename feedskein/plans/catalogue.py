@@ -9,6 +9,7 @@ from feedskein.operators import articles as A
 from feedskein.operators import discovery as D
 from feedskein.operators import documents as P
 from feedskein.operators import feeds as T
+from feedskein.operators import keyfilter as K
 from feedskein.operators import listing as Q
 from feedskein.operators import reading as H
 from feedskein.operators import redirects as N
@@ -16,9 +17,9 @@ from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
 from feedskein.session import scratch_dir, written
+from feedskein.sources import archives, tables
 from feedskein.sources import captures as C
 from feedskein.sources import samples as S
-from feedskein.sources import tables
 from feedskein.streaming import articles as keyed
 from feedskein.streaming import logs
 from feedskein.streaming import refresh as streaming
@@ -114,6 +115,17 @@ def ingest_new_only(spark, d):
     return A.new_articles(A.new_observations(seen, live))
 
 
+@query
+def ingest_filtered(spark, d):
+    """The same through bitmaps of the keys: an index of the live articles, kept by two appends."""
+    seen = S.observations(spark, d)
+    live = seen.filter(F.col("event_type") == "view").select(*ARTICLE_KEY).distinct()
+    slots = K.slots_for(live.count())
+    halves = [K.key_bits(live.filter(half), slots) for half in (F.col("guid") < "8", F.col("guid") >= "8")]
+    index = K.merged_bits(halves[0].unionByName(halves[1]))
+    return A.new_articles(K.new_observations(seen, live, index, slots))
+
+
 @query
 def ingest_rejects(spark, d):
     seen = S.observations(spark, d).select(
@@ -314,6 +326,19 @@ def capture_files(spark, d):
     )
 
 
+@query
+def capture_archives(spark, d):
+    """The same from crawl archives."""
+    path = scratch_dir(spark, "archives")
+    archives.register_archives(spark)
+    S.mixed_captures(spark, d).write.format(archives.NAME).mode("append").save(path)
+    read = spark.read.format(archives.NAME).option("split_bytes", 1 << 20).load(path)
+    return read.select(
+        "url", "final_url", F.col("http_status").cast("long").alias("http_status"), "error_kind",
+        F.col("body").isNotNull().alias("has_body"), F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"),
+    )
+
+
 @query
 def capture_latest(spark, d):
     last = C.latest_captures(S.mixed_captures(spark, d).drop("body"))

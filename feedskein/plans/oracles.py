@@ -84,6 +84,7 @@ oracle("ingest_new_only", """SELECT feed_id, guid, title, link, author, publishe
 FROM first_seen f
 WHERE NOT EXISTS (SELECT 1 FROM observations o
   WHERE o.event_type = 'view' AND o.feed_id = f.feed_id AND o.guid = f.guid)""", FIRST)
+SQL["ingest_filtered"] = SQL["ingest_new_only"]
 oracle("ingest_rejects", """SELECT pos, feed_id, guid,
   CASE WHEN feed_id IS NULL THEN 'feed_id is null' WHEN event_type = 'error' THEN 'title is null'
        WHEN event_type = 'purchase' THEN 'summary is null'
@@ -195,6 +196,7 @@ oracle("capture_files", f"""SELECT url, url AS final_url, {STATUS},
   CASE kase WHEN 0 THEN 'timeout' WHEN 2 THEN 'no such host' END AS error_kind, kase > 2 AS has_body,
   TIMESTAMP '2025-01-01 00:00:00' AS fetched_at FROM docs
 UNION ALL SELECT url, url, 500, NULL, false, TIMESTAMP '2024-12-31 00:00:00' FROM docs""", DOCUMENTS)
+SQL["capture_archives"] = SQL["capture_files"]
 oracle("capture_latest", f"""SELECT url, {STATUS},
   CASE kase WHEN 0 THEN 'timeout' WHEN 2 THEN 'no such host' END AS error_kind FROM docs""", DOCUMENTS)
 oracle("parse_entries", f"SELECT url, pos, {ENTRY} FROM entry_rows", DOCUMENTS)

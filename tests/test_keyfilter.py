@@ -1,0 +1,53 @@
+import pytest
+from pyspark.sql import functions as F
+
+from feedskein.operators import articles
+from feedskein.operators.keyfilter import key_bits, merged_bits, new_observations, possible, slots_for
+
+COLUMNS = ["feed_id", "guid"]
+
+
+def keys(spark, begin, end):
+    return spark.range(begin, end).select((F.col("id") % 50).alias("feed_id"), F.col("id").cast("string").alias("guid"))
+
+
+def test_every_key_is_possible_and_few_others(spark, joins):
+    slots = slots_for(2000)
+    bits = key_bits(keys(spark, 0, 2000), slots)
+    assert possible(keys(spark, 0, 2000), bits, slots).count() == 2000
+    others = possible(keys(spark, 2000, 42000), bits, slots).count()
+    assert 200 < others < 40000 * 2 / 64
+    assert possible(keys(spark, 0, 10), key_bits(keys(spark, 0, 0), slots), slots).count() == 0
+
+
+def test_bits_of_appends_are_the_bits_of_all(spark):
+    slots = slots_for(3000)
+    parts = [key_bits(keys(spark, b, b + 1000), slots) for b in (0, 1000, 2000, 500)]
+    merged = merged_bits(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, key_bits(keys(spark, 0, 3000), slots).collect()))
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_same_rows_as_the_plain_anti_join(spark, make, indexed, joins):
+    """A batch of 2,000 articles, one in a hundred of them live, against 50,000."""
+    live = keys(spark, 0, 50_000).unionByName(spark.createDataFrame([(None, "x"), (1, None)], "feed_id long, guid string"))
+    batch = keys(spark, 49_980, 51_980).unionByName(spark.createDataFrame([(None, "x"), (1, None), (1, "49980")], "feed_id long, guid string"))
+    template = make.observations({"feed_id": 0, "guid": ""}).drop("feed_id", "guid")
+    seen = batch.crossJoin(template).withColumn("pos", F.monotonically_increasing_id()).select(*make.observations({"feed_id": 0, "guid": ""}).columns)
+    seen = spark.createDataFrame(seen.collect(), seen.schema)
+    slots = slots_for(50_000)
+    bits = key_bits(live, slots) if indexed else None
+    found = new_observations(seen, live, bits, slots)
+    wanted = articles.new_observations(seen, live)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_live_rows_that_cannot_match_stay_out_of_the_shuffle(spark):
+    """With 1 % of the batch live, 2.2 % of the live rows pass at most, of which 0.04 % match."""
+    live, batch = keys(spark, 0, 50_000), keys(spark, 49_980, 51_980)
+    slots = slots_for(50_000)
+    asked = possible(batch, key_bits(live, slots), slots)
+    assert 20 <= asked.count() < 20 + 2000 * 2 / 64
+    few = slots_for(asked.count())
+    passed = possible(live, key_bits(asked, few), few)
+    assert 20 <= passed.count() < 500

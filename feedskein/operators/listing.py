@@ -1,6 +1,6 @@
 """Lists of feeds and articles, and how their rows read."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedskein.functions import wording as W
@@ -41,10 +41,43 @@ def list_articles(
         *articles.columns, "feed_title"
     )
     if ordered or limit is not None:
-        listed = listed.orderBy(F.desc_nulls_last("published"), "feed_id", "guid")
+        listed = listed.orderBy(*_newest())
     return listed if limit is None else listed.limit(limit)
 
 
+def _newest() -> list[Column]:
+    return [F.desc_nulls_last("published"), F.asc("feed_id"), F.asc("guid")]
+
+
+def after(published, feed_id, guid) -> Column:
+    """Whether an article comes after the one with these values in a list, newest first."""
+    of_its_time = (F.col("feed_id") > feed_id) | ((F.col("feed_id") == feed_id) & (F.col("guid") > guid))
+    if published is None:
+        return F.col("published").isNull() & of_its_time
+    bound = F.lit(published).cast("timestamp_ntz")
+    return F.col("published").isNull() | (F.col("published") < bound) | ((F.col("published") == bound) & of_its_time)
+
+
+def article_page(feeds: DataFrame, articles: DataFrame, size: int, bound=None, **predicates) -> DataFrame:
+    """The first `size` articles of a list, or the first after `bound`, the (published, feed_id,
+    guid) of the last one of the page before. However far down a page lies, it costs a filter,
+    which reaches the files, and `size` rows per task; nothing is sorted as a whole. Articles
+    that are added or removed meanwhile neither repeat nor hide others."""
+    rest = articles if bound is None else articles.filter(after(*bound))
+    return list_articles(feeds, rest, limit=size, **predicates)
+
+
+def newest_per_feed(feeds: DataFrame, articles: DataFrame, size: int) -> DataFrame:
+    """The `size` newest articles of each feed with their `rank`. Each task keeps that many of
+    each feed before anything is shuffled, on keys and dates alone; what they hold meets the
+    ones that are left by key. A feed with very many articles sends `size` rows per task."""
+    order = Window.partitionBy("feed_id").orderBy(*_newest())
+    keys = articles.select("feed_id", "guid", "published").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    titles = feeds.select("feed_id", F.col("title").alias("feed_title"))
+    chosen = keys.drop("published").join(titles, "feed_id")
+    return articles.join(chosen, ["feed_id", "guid"]).select(*articles.columns, "feed_title", "rank")
+
+
 def view(feeds: DataFrame, articles: DataFrame, mode="all", **options) -> DataFrame:
     """list_articles for a mode: 'all', 'favorites' or a feed_id."""
     if mode == "all":

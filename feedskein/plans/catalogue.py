@@ -13,6 +13,7 @@ from feedskein.operators import keyfilter as K
 from feedskein.operators import listing as Q
 from feedskein.operators import reading as H
 from feedskein.operators import redirects as N
+from feedskein.operators import segments as G
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
@@ -53,6 +54,25 @@ def articles_all(spark, d):
     return Q.view(S.feeds(spark, d), S.articles(spark, d), "all")
 
 
+@query
+def articles_all_top(spark, d):
+    """The fifty newest articles."""
+    return Q.article_page(S.feeds(spark, d), S.articles(spark, d), 50)
+
+
+@query
+def articles_next_page(spark, d):
+    """The fifty after those."""
+    feeds, articles = S.feeds(spark, d), S.articles(spark, d)
+    last = Q.article_page(feeds, articles, 50).orderBy(F.asc_nulls_first("published"), F.desc("feed_id"), F.desc("guid")).first()
+    return Q.article_page(feeds, articles, 50, last and (last["published"], last["feed_id"], last["guid"]))
+
+
+@query
+def articles_newest_per_feed(spark, d):
+    return _longs(Q.newest_per_feed(S.feeds(spark, d), S.articles(spark, d), 3), "rank")
+
+
 @query
 def articles_by_feed(spark, d):
     return Q.view(S.feeds(spark, d), S.articles(spark, d), 7)
@@ -144,6 +164,24 @@ def state_fold(spark, d):
     return A.fold_state(S.state_observations(spark, d), S.state_actions(spark, d))
 
 
+@query
+def state_from_segments(spark, d):
+    """The same from a snapshot of the first half of the log and two segments of the rest."""
+    seen, done = S.state_observations(spark, d), S.state_actions(spark, d)
+    bounds = S.table(spark, d, "events").agg(F.percentile_approx("ts", [0.3, 0.5, 0.8])).first()[0]  # three times
+
+    def within(rows, column, low, high):
+        after = F.lit(True) if low is None else F.col(column) > F.lit(low)
+        return rows.filter(after & (F.lit(True) if high is None else F.col(column) <= F.lit(high)))
+
+    effects = [
+        G.segment_effects(within(seen, "fetched_at", low, high), within(done, "at", low, high), number)
+        for number, (low, high) in enumerate(zip([None, *bounds], [*bounds, None]))
+    ]
+    snapshot = written(G.combined(effects[0].unionByName(effects[1])), "snapshot")
+    return G.articles_of(G.combined(snapshot.unionByName(effects[2]).unionByName(effects[3])), seen)
+
+
 @query
 def state_fold_tombstones(spark, d):
     return A.fold_state(S.state_observations(spark, d), S.state_actions(spark, d), tombstones=True)

@@ -56,6 +56,10 @@ STATE_ARTICLES = [*OBSERVATIONS, """state_articles AS (
 oracle("feed_list_unread", """SELECT feed_id, title, url, link, CAST(unread_count AS BIGINT) AS unread_count
 FROM unread""", UNREAD)
 oracle("articles_all", "SELECT * FROM listed", LISTED)
+oracle("articles_all_top", "SELECT * FROM listed ORDER BY published DESC NULLS LAST, feed_id, guid LIMIT 50", LISTED)
+oracle("articles_next_page", "SELECT * FROM listed ORDER BY published DESC NULLS LAST, feed_id, guid LIMIT 50 OFFSET 50", LISTED)
+oracle("articles_newest_per_feed", """SELECT *, row_number() OVER (
+  PARTITION BY feed_id ORDER BY published DESC NULLS LAST, guid) AS rank FROM listed QUALIFY rank <= 3""", LISTED)
 oracle("articles_by_feed", "SELECT * FROM listed WHERE feed_id = 7", LISTED)
 oracle("articles_unread", "SELECT * FROM listed WHERE NOT is_read", LISTED)
 oracle("articles_favorites", "SELECT * FROM listed WHERE is_favorite", LISTED)
@@ -107,6 +111,7 @@ STATE_RESULT = """SELECT b.feed_id, b.history_guid AS guid, b.title, b.link, b.a
           AND l.action = 'toggle' AND l.pos > b.born) % 2 = 1 AS is_favorite
 FROM births b WHERE b.pos = b.born"""
 oracle("state_fold", STATE_RESULT, STATE, [STATE_BODY.format(alive="(cut IS NULL OR pos > cut)")])
+SQL["state_from_segments"] = SQL["state_fold"]
 oracle("state_fold_tombstones", STATE_RESULT + " AND (b.cut IS NULL OR b.cut < b.born)",
        STATE, [STATE_BODY.format(alive="true")])
 oracle("actions_applied", """SELECT a.feed_id, a.guid, title, link, author, published, summary,

@@ -2,7 +2,9 @@ from datetime import datetime as D
 
 import pytest
 
-from feedskein.operators.listing import article_details, article_rows, feed_labels, list_articles, list_feeds, view
+from feedskein.operators.listing import (
+    article_details, article_page, article_rows, feed_labels, list_articles, list_feeds, newest_per_feed, view,
+)
 
 
 @pytest.fixture
@@ -81,3 +83,37 @@ def test_list_reads_no_more_than_it_shows(spark, seeded, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "summary" not in plan
     assert "EqualTo(feed_id,1)" in plan and "Not(EqualTo(is_read,true))" in plan
+
+
+@pytest.fixture
+def many(make):
+    days = [None, 1, 1, 2, 3, 3, 3, 4, 5, None]
+    rows = [{"feed_id": f, "guid": f"g{i}", "published": d and D(2025, 1, d), "summary": f"s{i}"} for f in (1, 2, 9) for i, d in enumerate(days)]
+    return make.feeds((1, "A", "u"), (2, "B", "v")), make.articles(*rows)
+
+
+def test_pages_are_the_list_in_pieces(many):
+    feeds, articles = many
+    whole = [tuple(r) for r in list_articles(feeds, articles).collect()]
+    for size in (1, 7, 20, 50):
+        bound, pages = None, []
+        while True:
+            page = article_page(feeds, articles, size, bound).collect()
+            pages += [tuple(r) for r in page]
+            if len(page) < size:
+                break
+            bound = page[-1].published, page[-1].feed_id, page[-1].guid
+        assert pages == whole
+    page = article_page(feeds, articles, 3, (D(2025, 1, 3), 1, "g5"), unread_only=True)
+    assert [(r.feed_id, r.guid) for r in page.collect()] == [(1, "g6"), (2, "g4"), (2, "g5")]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_newest_of_each_feed(many, joins):
+    feeds, articles = many
+    found = newest_per_feed(feeds, articles, 3)
+    assert sorted((r.feed_id, r.rank, r.guid, r.feed_title, r.summary) for r in found.collect()) == [
+        (f, i + 1, g, t, g.replace("g", "s")) for f, t in ((1, "A"), (2, "B")) for i, g in enumerate(["g8", "g7", "g4"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "rangepartitioning" not in plan  # before the shuffle and after it

@@ -1,0 +1,62 @@
+"""State from any cut of the logs into segments."""
+
+import random
+from datetime import datetime as D
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedskein.operators.articles import fold_state
+from feedskein.operators.segments import articles_of, combined, segment_effects
+
+
+def logs(make, seed, n=150):
+    r = random.Random(seed)
+    at = lambda: D(2025, 1, 1) + timedelta(hours=r.randrange(60))
+    seen = [{"feed_id": r.randint(1, 2), "guid": r.choice("abcd"), "title": f"t{i}", "fetched_at": at(), "pos": i} for i in range(n // 2)]
+    done = [(r.randint(1, 2), r.choice("abcd"), r.choice(["read", "toggle", "toggle", "delete"]), at(), n + i) for i in range(n)]
+    return make.observations(*seen), make.actions(*done), r
+
+
+def effects(seen, done, hours):
+    bounds = [None, *[D(2025, 1, 1) + timedelta(hours=h) for h in sorted(hours)], None]
+    parts = []
+    for number, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        inside = lambda c: (F.lit(True) if low is None else F.col(c) > F.lit(low)) & (F.lit(True) if high is None else F.col(c) <= F.lit(high))
+        parts.append(segment_effects(seen.filter(inside("fetched_at")), done.filter(inside("at")), number))
+    return parts
+
+
+def union(frames):
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_split_gives_the_fold(make, seed, joins):
+    seen, done, r = logs(make, seed)
+    wanted = fold_state(seen, done)
+    wanted = sorted(map(tuple, wanted.collect())), wanted.columns
+    for cuts in ([], [30], [r.randrange(60) for _ in range(5)]):
+        found = articles_of(combined(union(effects(seen, done, cuts))), seen)
+        assert sorted(map(tuple, found.select(*wanted[1]).collect())) == wanted[0]
+
+
+def test_combining_is_associative(make):
+    seen, done, _ = logs(make, 5)
+    parts = [e.cache() for e in effects(seen, done, [15, 30, 45])]
+    left = combined(combined(parts[0].unionByName(parts[1])).unionByName(parts[2])).unionByName(parts[3])
+    right = parts[0].unionByName(combined(parts[1].unionByName(combined(parts[2].unionByName(parts[3])))))
+    whole = sorted(map(str, combined(union(parts)).collect()))
+    assert sorted(map(str, combined(left).collect())) == whole
+    assert sorted(map(str, combined(right).collect())) == whole
+
+
+def test_nothing_and_a_log_of_actions_alone(make):
+    seen, done, _ = logs(make, 6)
+    none = seen.limit(0)
+    assert articles_of(combined(segment_effects(none, done, 0)), none).collect() == []
+    assert combined(segment_effects(none, done.limit(0), 0)).collect() == []

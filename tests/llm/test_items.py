@@ -174,8 +174,35 @@ def test_estimates_stay_within_their_bounds():
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     signs = np.unpackbits(codes, axis=1, count=64).astype(float) * 2 - 1
     estimate = (unit(queries) @ ann.rotation(64) / 8) @ signs.T / scalars
-    slack = ann.ERROR * np.sqrt(1 - scalars**2) / scalars / np.sqrt(63)
-    assert (np.abs(estimate - unit(queries) @ unit(vectors).T) <= slack).mean() > 0.999
+    off = np.abs(estimate - unit(queries) @ unit(vectors).T)
+    assert (off <= ann.slack(scalars, 64, 4.0)).mean() > 0.999
+    assert (off <= ann.slack(scalars, 64, ann.ERROR)).mean() > 0.98
+
+
+def test_codes_spare_most_comparisons():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(2000, 64))
+    codes, scalars = ann.encode(vectors)
+    index = pa.table({"vec_id": np.arange(2000), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "scalar": scalars})
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosines = unit[:100] @ unit.T
+    np.fill_diagonal(cosines[:, :100], -1)
+    queries = pa.table({"vec_id": np.arange(100), "vector": pa.array([v.tobytes() for v in vectors[:100]], pa.binary()), "least": np.sort(cosines)[:, -5]})
+    chosen = dict(ann.chosen_codes(index, queries, 64, ann.ERROR))
+    assert sum(map(len, chosen.values())) < 0.35 * 100 * 2000
+    nearest = np.argsort(-cosines)[:, :5]
+    assert np.mean([np.isin(nearest[i], chosen[i]).sum() / 5 for i in range(100)]) > 0.98
+
+
+def test_vectors_of_any_magnitude_have_finite_scores(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-170, 1e-170]), (3, [-1e-320, 5e-320]), (4, [1.5e308, -1.7e308]), (50, [1e-300, 2e-300]), (100, [3.0, 1.0])]
+    index = ann.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = ann.nearest(index, index.filter("vec_id % 50 = 0"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in found.collect()}
+    assert len(got) == 3 * 5 and all(-1 - 1e-12 <= s <= 1 + 1e-12 for s in got.values())
+    assert abs(got[0, 2] - 1) < 1e-12 and abs(got[0, 1] - 0.5**0.5) < 1e-12 and abs(got[50, 100] - 5 / 50**0.5) < 1e-12
 
 
 @pytest.fixture

@@ -19,6 +19,7 @@ from feedskein.functions.text import strip
 from feedskein.functions.urls import SITEMAP_PATH, WELL_KNOWN_PATHS, feed_like, site_root
 from feedskein.operators.documents import feed_info, parse_feeds
 from feedskein.operators.skew import spread_join
+from feedskein.session import written
 from feedskein.sources.captures import failure
 
 _CORRUPT = "_corrupt"
@@ -187,7 +188,7 @@ def root_feeds(staged: DataFrame, digest: DataFrame) -> DataFrame:
     """(root, strategy, pos, url, title, feed_type, rank) for the roots of the sites whose
     own page gave nothing. A root's rows come from eight paths or from one sitemap."""
     roots = _left_over(staged).select("root").distinct()
-    known = well_known_feeds(roots, digest)
+    known = written(well_known_feeds(roots, digest), "known")
     rest = roots.join(known.select("root"), "root", "left_anti")
     mapped = sitemap_feeds(rest, digest)
     found = known.withColumn("strategy", F.lit("well_known")).unionByName(
@@ -201,7 +202,7 @@ _DISCOVERED = ["site_url", "strategy", "pos", "url", "title", "feed_type", "rank
 
 def discover(sites: DataFrame, digest: DataFrame, staged=None, by_root=None) -> DataFrame:
     """The feeds of each site that is not itself a feed, ranked per site."""
-    staged = stage_sites(sites, digest) if staged is None else staged
+    staged = written(stage_sites(sites, digest), "staged") if staged is None else staged
     by_root = root_feeds(staged, digest) if by_root is None else by_root
     linked = (
         staged.filter(~F.col("direct"))
@@ -219,7 +220,7 @@ def discover(sites: DataFrame, digest: DataFrame, staged=None, by_root=None) ->
 def resolve(sites: DataFrame, digest: DataFrame) -> DataFrame:
     """(site_url, outcome, found, feed_url, title): outcome is direct, single, multiple or
     none; feed_url and title are those of the site itself or of its first feed."""
-    staged = stage_sites(sites, digest)
+    staged = written(stage_sites(sites, digest), "staged")
     by_root = root_feeds(staged, digest)
     best = by_root.groupBy("root").agg(
         F.count(F.lit(1)).alias("_n"),

@@ -1,9 +1,9 @@
 """Conversations in one chat format, whatever layout they come in.
 
 A layout is known by its fingerprint, the hash of the nested paths of its fields, and maps
-declaratively to canonical turns (conv_id, turn, role, text). Tables are recognised by their
-schema; columns that a layout does not name do not count. JSON rows of mixed layouts are
-recognised one by one, by the schema that Spark finds in each.
+declaratively to canonical turns (conv_id, turn, role, text). Of the paths of a table, or of
+a single JSON row, those that no layout names are left out; the hash of the others is looked
+up in one map, which has each layout alone and with up to two paths that belong to others.
 
 The format marks turns with control strings:
 
@@ -15,8 +15,9 @@ Everything is DataFrame functions.
 """
 
 import hashlib
+import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +57,7 @@ def _messages(column, role, text):
 
 
 # Layouts: their paths (conv_id apart), and how they become array<struct<role, text>>; None
-# where each row is one turn.
+# where each row is one turn, and its columns are those of a canonical one.
 LAYOUTS = {
     "turns": (["turn", "role", "text"], None),
     "messages": (["messages[].role", "messages[].content"], lambda: _messages("messages", "role", "content")),
@@ -66,21 +67,37 @@ LAYOUTS = {
     "prompt_system": (["system", "prompt", "response"], lambda: _pair(F.col("prompt"), "response", "system")),
     "question": (["question", "answer"], lambda: _pair(F.col("question"), "answer")),
 }
-BY_FINGERPRINT = {fingerprint(["conv_id", *paths]): name for name, (paths, _) in LAYOUTS.items()}
+FURTHER_PATHS = 2
+
+
+def _fingerprints(layouts):
+    """{fingerprint: layout} for the layouts alone and with paths of others beside their own. Of
+    several layouts that a set of paths holds, the one with the most paths has it."""
+    known = {p for paths, _ in layouts.values() for p in paths}
+    found = {}
+    for name, (paths, _) in sorted(layouts.items(), key=lambda x: len(x[1][0])):
+        for n in range(FURTHER_PATHS + 1):
+            for more in itertools.combinations(sorted(known - set(paths)), n):
+                found[fingerprint([*paths, *more])] = name
+    return found
+
+
+BY_FINGERPRINT = _fingerprints(LAYOUTS)
+KNOWN_PATHS = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
+IN_ROWS = {name: layout for name, layout in LAYOUTS.items() if layout[1] is not None}
 
 # Other names of the usual roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def layout_of(frame: DataFrame) -> str:
-    """The layout of a table. Of the known layouts that its paths contain, the one with the
-    most paths; ValueError if there is none."""
+    """The layout of a table, by the fingerprint of those of its paths that layouts name;
+    ValueError if it is none of a layout."""
     paths = set(nested_paths(frame.schema))
-    for name, (own, _) in sorted(LAYOUTS.items(), key=lambda x: -len(x[1][0])):
-        if fingerprint(paths & {"conv_id", *own}) in BY_FINGERPRINT:
-            if BY_FINGERPRINT[fingerprint(paths & {"conv_id", *own})] == name:
-                return name
-    raise ValueError(f"no known layout in {sorted(paths)}")
+    name = BY_FINGERPRINT.get(fingerprint(paths & set(KNOWN_PATHS))) if "conv_id" in paths else None
+    if name is None:
+        raise ValueError(f"no known layout in {sorted(paths)}")
+    return name
 
 
 def canonical_turns(frame: DataFrame) -> DataFrame:
@@ -105,47 +122,40 @@ def _exploded(frame):
     )
 
 
-def _json_schema(paths):
-    """How Spark names the schema of a JSON row with these paths, types of values left out."""
-    plain = sorted(p for p in paths if "[]" not in p)
-    nested = {}
-    for path in paths:
-        if "[]." in path:
-            outer, inner = path.split("[].")
-            nested.setdefault(outer, []).append(inner)
-    fields = [(p, "") for p in plain]
-    fields += [(o, ":ARRAY<OBJECT<" + ",".join(sorted(i)) + ">>") for o, i in nested.items()]
-    return "OBJECT<" + ",".join(f"{n}{t}" for n, t in sorted(fields)) + ">"
-
-
 def json_turns(frame: DataFrame, column="json", id_column="conv_id") -> DataFrame:
     """(conv_id, turn, role, text) from JSON rows, each of its own layout. Rows of an unknown
     layout, or that are no JSON, give none; `json_layout` tells which."""
     keyed = frame.select(F.col(id_column).cast("long").alias("conv_id"), F.col(column).alias("_json"))
-    known = {n: m for n, m in LAYOUTS.items() if m[1] is not None}
     fields = {
         "messages": "array<struct<role: string, content: string>>", "conversations": "array<struct<from: string, value: string>>",
     }
-    names = dict.fromkeys(p.split("[]")[0] for paths, _ in known.values() for p in paths)
+    names = dict.fromkeys(p.split("[]")[0] for paths, _ in IN_ROWS.values() for p in paths)
     schema = ", ".join(f"{n} {fields.get(n, 'string')}" for n in names)
     read = keyed.withColumn("_layout", json_layout(F.col("_json"))).withColumn("_row", F.from_json("_json", schema))
     read = read.select("conv_id", "_layout", "_row.*")
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
-    for name, (_, mapping) in known.items():
+    for name, (_, mapping) in IN_ROWS.items():
         turns = F.when(F.col("_layout") == name, mapping()).otherwise(turns)
     return _exploded(read.select("conv_id", turns.alias("turns")))
 
 
+def _has_path(path, keys, schema):
+    """Whether a JSON object with these keys and this schema, as Spark names it, has a path."""
+    if "[]." not in path:
+        return F.array_contains(keys, path)
+    outer, inner = path.split("[].")
+    fields = F.regexp_extract(schema, rf"(?:^OBJECT<|[ ,]){outer}: ARRAY<OBJECT<([^<>]*)>>", 1)
+    return F.concat(F.lit(" "), fields).contains(f" {inner}: ")
+
+
 def json_layout(column):
-    """Name of the layout of a JSON value; null if unknown."""
-    schema = F.schema_of_variant(F.try_parse_json(column))
-    shape = F.regexp_replace(F.regexp_replace(schema, r":\s*(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\s*\d+\))", ""), r"\s", "")
-    mark = F.sha2(shape, 256)
-    known = {n: hashlib.sha256(_json_schema(p).encode()).hexdigest() for n, (p, m) in LAYOUTS.items() if m is not None}
-    found = F.lit(None).cast("string")
-    for name, expected in known.items():
-        found = F.when(mark == expected, F.lit(name)).otherwise(found)
-    return found
+    """Name of the layout of a JSON value, by the fingerprint of those of its paths that layouts
+    name; null if unknown."""
+    keys, schema = F.json_object_keys(column), F.schema_of_variant(F.try_parse_json(column))
+    known = sorted({p for paths, _ in IN_ROWS.values() for p in paths})
+    paths = F.array_compact(F.array(*[F.when(_has_path(p, keys, schema), F.lit(p)) for p in known]))
+    layouts = F.create_map(*[F.lit(x) for pair in _fingerprints(IN_ROWS).items() for x in pair])
+    return F.try_element_at(layouts, F.sha2(F.array_join(paths, "\n"), 256))
 
 
 def escape(text):
@@ -171,22 +181,22 @@ def format_chats(turns: DataFrame, loss_role="assistant") -> DataFrame:
     A null role or text is empty. Rows without conv_id are one conversation. A conversation is
     one row of the result, so it must fit in one; the rows of a hot one are shuffled once.
     """
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
-    ordered = rows.select("conv_id", F.transform("rows", lambda row: F.struct(
-        row["role"].alias("role"), F.concat(F.lit(BEGIN + HEAD), escape(row["role"]), F.lit(BODY)).alias("head"),
-        F.concat(escape(row["text"]), F.lit(END)).alias("body"),
-    )).alias("parts"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
+    parts = turns.select(
+        "conv_id", "turn", "role", "text", F.concat(F.lit(BEGIN + HEAD), escape(F.col("role")), F.lit(BODY)).alias("_head"),
+        F.concat(escape(F.col("text")), F.lit(END)).alias("_body"))
+    size = F.length("_head") + F.length("_body")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_at", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)))
+    # the window has dealt the rows by conversation, so they are not shuffled again
+    rows = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("_at", "role", "_head", "_body"))).alias("parts"))
 
-    def step(seen, part):
-        begin = seen["at"] + F.length(part["head"])
-        end = begin + F.length(part["body"]) - len(END)
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        spans = F.when(part["role"] == loss_role, F.concat(seen["spans"], span)).otherwise(seen["spans"])
-        return F.struct((end + len(END)).alias("at"), spans.cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
+    def span(part):
+        begin = part["_at"] + F.length(part["_head"])
+        return F.struct(begin.alias("start"), (begin + F.length(part["_body"]) - len(END)).alias("end"))
 
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "")
-    return ordered.select("conv_id", text.alias("formatted"), F.aggregate("parts", start, step)["spans"].alias("loss"))
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["_head"], p["_body"])), "")
+    masked = F.transform(F.filter("parts", lambda p: p["role"] == loss_role), span)
+    return rows.select("conv_id", text.alias("formatted"), masked.alias("loss"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -203,8 +213,20 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             unescape(F.substring(inner, at + len(BODY), F.length(inner))).alias("text"),
         )
 
-    def masked(span):
-        return unescape(F.substring("formatted", (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
+    # a place in a text is found by walking there, so spans are read from pieces of the text
+    # that hold as many of them as there are pieces
+    many = F.ceil(F.sqrt(F.size("loss"))).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice("loss", i * many + 1, many))
+
+    def piece(spans):
+        begin, end = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)["end"]
+        return F.struct(begin.alias("begin"), F.substring("formatted", (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"), spans.alias("spans"))
+
+    def masked(part):
+        return F.transform(part["spans"], lambda s: unescape(F.substring(
+            part["text"], (s["start"] - part["begin"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
 
+    pieces = F.transform(F.filter(groups, lambda g: F.size(g) > 0), piece)
+    loss = F.when(F.size("loss") > 0, F.flatten(F.transform(pieces, masked))).otherwise(F.array().cast("array<string>"))
     rest = [c for c in formatted.columns if c not in ("formatted", "loss")]
-    return formatted.select(*rest, F.transform(marked, turn).alias("turns"), F.transform("loss", masked).alias("loss_texts"))
+    return formatted.select(*rest, F.transform(marked, turn).alias("turns"), loss.alias("loss_texts"))

@@ -86,12 +86,12 @@ def op6_bpe(spark, sf_dir):
     )
 
 
-CONTROL_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+CONTROL_CHAT = (-7, '{"prompt": "</s>[INST] ok [/INST]", "response": "</s>[INST] ok [/INST]", "id": 1}')
 
 
 def op7_chat_format(spark, sf_dir):
     turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
-    added = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
+    added = chat.json_turns(spark.createDataFrame([CONTROL_CHAT], "conv_id long, json string"))
     formatted = chat.format_chats(turns.unionByName(added))
     read = chat.read_chats(formatted.select("*", F.length("formatted").cast("long").alias("formatted_chars")))
     loss = F.array_join("loss_texts", "")

@@ -5,6 +5,7 @@ import glob
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -76,11 +77,26 @@ def test_json_rows_of_mixed_layouts(spark):
         (1, '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'), (2, '{"response":"a","prompt":"q"}'),
         (3, '{"instruction":"q","input":"","output":"a"}'), (4, "no json"), (5, None), (6, '{"x":1}'),
         (7, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'), (8, '{"messages":[]}'),
+        (9, '{"id":5,"messages":[{"role":"user","name":"x","content":"q"},{"role":"assistant","content":"a"}],"meta":{"role":"z"}}'),
+        (10, '{"prompt":"q","response":"a","messages":null,"turn":3,"source":["x"]}'), (11, '{"prompt":"q","content":"a"}'),
+        (12, '{"system":null,"prompt":"q","response":"a"}'), (13, '{"xmessages":[{"role":"user","content":"q"}]}'),
     ]
     found = collections.defaultdict(list)
     for r in chat.json_turns(spark.createDataFrame(rows, "conv_id long, json string")).orderBy("conv_id", "turn").collect():
         found[r["conv_id"]].append((r["role"], r["text"]))
-    assert found == {i: [("user", "q"), ("assistant", "a")] for i in (1, 2, 3, 7)}
+    assert found == {i: [("user", "q"), ("assistant", "a")] for i in (1, 2, 3, 7, 9, 10, 12)}
+
+
+def test_time_grows_with_the_turns(spark):
+    def seconds(n):
+        turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, ' é') as text")
+        begin = time.time()
+        row = chat.read_chats(chat.format_chats(turns)).selectExpr("size(turns) n", "size(loss_texts) m", "element_at(loss_texts, -1) t").first()
+        assert tuple(row) == (n, n // 2, f"turn {n - 1} é")
+        return time.time() - begin
+
+    seconds(2000)
+    assert seconds(64_000) < 6 * seconds(16_000) + 5
 
 
 def plain_words(text):

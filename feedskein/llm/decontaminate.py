@@ -3,11 +3,13 @@
 The n-grams of the benchmark travel with the tasks in two literals of the plan: a hash set, in
 which the places of their hashes are marked, and a table from hash to the n-grams themselves
 with their items. A document is scanned where it lies: each token window is looked up in the
-set, and only windows found there are spelled out and verified word by word. Documents are never
-shuffled and a hot passage makes no group. Everything is DataFrame functions.
+set, and only windows found there are spelled out and verified word by word. Documents are not
+shuffled for that and a hot passage makes no group. Everything is DataFrame functions.
 
-A benchmark of more than MOST_GRAMS n-grams is not sent along. Then the windows of the
-documents are joined to it, which shuffles both, with the same result.
+The literals are bounded in bytes. The n-grams of a larger benchmark are dealt by hash into
+slices within the bound, and the documents are scanned once for each; an n-gram of very many
+items is in several slices with some of them. Then only rows that are hit leave a scan, without
+their texts, and are gathered by row.
 """
 
 import json
@@ -15,8 +17,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.session import written
+
 N = 10
-MOST_GRAMS = 200_000
+SLICE_BYTES = 16 << 20
+ITEMS_TOGETHER = 1000
 SPARSE = 16  # places of the hash set for each n-gram
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,23 +63,53 @@ def benchmark_grams(benchmark: DataFrame, n=N, id_column="item_id", text_column=
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n=N, id_column="doc_id", text_column="text", item_column="item_id", item_text="text", most_grams=MOST_GRAMS) -> DataFrame:
+def _slices(benchmark, n, id_column, text_column, slice_bytes):
+    """(rows of n-grams with `hash`, `items` and the number of their slice, how many slices)."""
+    grams = benchmark_grams(benchmark, n, id_column, text_column)
+    groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("items") - 1) / ITEMS_TOGETHER)).cast("int"))
+    rows = written(grams.select(
+        "size", "gram", F.xxhash64(F.split("gram", " ")).alias("hash"),
+        F.explode(F.transform(groups, lambda i: F.struct(i.alias("part"), F.slice("items", i * ITEMS_TOGETHER + 1, ITEMS_TOGETHER).alias("items")))).alias("p"),
+    ).select("size", "gram", "hash", "p.*"), "grams")
+    each = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + 4) + 4 * SPARSE
+    total = rows.agg(F.sum(each)).first()[0] or 0
+    # half the bound on average, so that no slice is dealt more than it
+    count = 1 if total <= slice_bytes else -(-2 * total // slice_bytes)
+    return rows.withColumn("slice", F.pmod(F.xxhash64("hash", "part"), F.lit(count))), count
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n=N, id_column="doc_id", text_column="text", item_column="item_id", item_text="text", slice_bytes=SLICE_BYTES) -> DataFrame:
     """docs with n_words and hits: for each window of a document that an item has, its first
-    word (from 1), its number of words and the ids of the items, in order.
+    word (from 1), its number of words and the ids of the items, in order. A window whose
+    items are very many can be there several times, with some of them each.
 
     A null text has no words; an empty benchmark hits nothing. Each row of docs is judged by
     itself, whatever its id. Columns of docs with the names of the new ones are replaced.
     """
     docs = docs.drop("n_words", "hits")
-    grams = benchmark_grams(benchmark, n, item_column, item_text)
-    hashed = grams.withColumn("hash", F.xxhash64(F.split("gram", " ")))
-    found = hashed.limit(most_grams + 1).collect()  # bounded; one more tells that it is too many
-    if len(found) > most_grams:
-        return _joined_hits(docs, grams, text_column)
+    grams, slices = _slices(benchmark, n, item_column, item_text, slice_bytes)
+
+    def scanned(frame, number):
+        found = grams.filter(F.col("slice") == number).collect()  # within slice_bytes
+        return _bind(words(F.col(text_column)), lambda ws: F.struct(F.size(ws).alias("n"), _window_hits(ws, found).alias("hits")))
+
     scan = _free("_scan", docs)
-    scanned = _bind(words(F.col(text_column)), lambda ws: F.struct(F.size(ws).alias("n"), _window_hits(ws, found).alias("hits")))
-    marked = docs.withColumn(scan, scanned)
-    return marked.withColumns({"n_words": F.col(f"{scan}.n"), "hits": F.col(f"{scan}.hits")}).drop(scan)
+    if slices == 1:
+        marked = docs.withColumn(scan, scanned(docs, 0))
+        return marked.withColumns({"n_words": F.col(f"{scan}.n"), "hits": F.col(f"{scan}.hits")}).drop(scan)
+    key = _free("_row", docs)
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    parts = None
+    for number in range(slices):
+        hit = keyed.select(key, scanned(keyed, number).alias(scan)).select(key, F.col(f"{scan}.hits").alias("hits"))
+        hit = written(hit.filter(F.size("hits") > 0), "hits")
+        parts = hit if parts is None else parts.unionByName(hit)
+    gathered = parts.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("hits"))).cast(HITS).alias("hits"))
+    none = F.array().cast(HITS)
+    return (
+        keyed.withColumn("n_words", F.size(words(F.col(text_column)))).join(gathered, key, "left").drop(key)
+        .withColumn("hits", F.coalesce("hits", none))
+    )
 
 
 def _free(name, frame):
@@ -90,7 +125,7 @@ def _window_hits(ws, found):
     marks, table = [0] * places, [{} for _ in range(buckets)]
     for row in found:
         marks[row["hash"] % places] = 1
-        table[row["hash"] % buckets][row["gram"]] = row["items"]
+        table[row["hash"] % buckets].setdefault(row["gram"], []).extend(row["items"])
     marks = F.from_json(F.lit(json.dumps(marks, separators=(",", ":"))), "array<tinyint>")
     table = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<map<string, array<string>>>")
 
@@ -110,28 +145,6 @@ def _window_hits(ws, found):
     return F.sort_array(F.flatten(F.array(*[of_size(size) for size in sorted({row["size"] for row in found})]))).cast(HITS)
 
 
-def _joined_hits(docs, grams, text_column):
-    """The same for a benchmark that is too large to send along: windows joined on the words."""
-    key, ws = _free("_row", docs), _free("_ws", docs)
-    keyed = docs.withColumn(key, F.monotonically_increasing_id()).withColumn(ws, words(F.col(text_column)))
-    sizes = [row["size"] for row in grams.select("size").distinct().collect()]  # n at most
-
-    def windows(size):
-        places = F.when(F.size(ws) >= size, F.sequence(F.lit(1), F.size(ws) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda at: F.struct(
-            at.alias("at"), F.lit(size).alias("size"), F.array_join(_gram(F.col(ws), at, size), " ").alias("gram")))
-
-    hits = (
-        keyed.select(key, F.explode(F.flatten(F.array(*map(windows, sizes)))).alias("w")).select(key, "w.*")
-        .join(grams, ["size", "gram"])
-        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", F.col("size").alias("len"), "items"))).cast(HITS).alias("hits"))
-    )
-    return (
-        keyed.withColumn("n_words", F.size(ws)).drop(ws).join(hits, key, "left").drop(key)
-        .withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
-    )
-
-
 def spans(hits):
     """Hits as disjoint runs of words: array<struct<at, end>>, end exclusive, in order."""
     kind = "array<struct<at: int, end: int>>"

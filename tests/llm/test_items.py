@@ -130,7 +130,7 @@ def test_hits(spark, seed):
     docs = [(i, make(r.randint(0, 40)) + (r.choice(items)[1] or "") + make(3)) for i in range(30)] + [(99, None), (98, ""), (7, "..."), (7, "a " * 3000)]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, hits int, n_words string")
     table = spark.createDataFrame(items, "item_id long, text string")
-    for options in ({}, {"most_grams": 1}):
+    for options in ({}, {"slice_bytes": 5000}):
         found = clean.find_hits(frame, table, **options).select(
             "doc_id", "n_words", clean.count_hit(F.col("hits")), clean.hit_items(F.col("hits")))
         assert sorted(map(tuple, found.collect()), key=str) == plain_hits(docs, items)
@@ -141,6 +141,16 @@ def test_hits(spark, seed):
     assert clean.decontaminate(frame.limit(0), table).count() == 0
 
 
+def test_a_passage_of_very_many_items(spark, monkeypatch):
+    monkeypatch.setattr(clean, "ITEMS_TOGETHER", 7)
+    passage = "one two three four five six seven eight nine ten"
+    table = spark.createDataFrame([(i, passage) for i in range(40)] + [(99, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "no other words"), (3, "none")], "doc_id long, text string")
+    for options in ({}, {"slice_bytes": 500}):
+        found = clean.find_hits(docs, table, **options).select("doc_id", clean.count_hit(F.col("hits")), clean.hit_items(F.col("hits")))
+        assert sorted(map(tuple, found.collect())) == [(1, 10, sorted(str(i) for i in range(40))), (2, 2, ["99"]), (3, 0, [])]
+
+
 def test_spans_are_cut(spark):
     table = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     rows = [(1, "Hello, one two three four five six seven eight nine TEN!! End."), (2, "Nothing here"), (3, None)]

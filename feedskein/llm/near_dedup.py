@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from feedskein.llm.arrays import U64, mix, shingle_sets, slices, text_bytes, word_names
 from feedskein.llm.components import components
+from feedskein.operators.skew import spread_join
 from feedskein.session import written
 
 SHINGLE = 5
@@ -255,11 +256,12 @@ def open_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.count("doc").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     unsettled = by_leader.filter("low <> high").select("leader", "n")
     bin_of = F.when(F.col("n") <= CHUNK, 0).otherwise(F.least(F.floor(F.col("distance") * BINS), F.lit(BINS - 1)))
-    binned = members.join(unsettled, "leader").withColumn("bin", bin_of.cast("int"))
+    # a large cluster's members are one key of both joins
+    binned = spread_join(members, unsettled, "leader", spread=["doc"]).withColumn("bin", bin_of.cast("int"))
     counts = binned.groupBy("leader", "bin").agg(F.ceil(F.count("doc") / CHUNK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     chunked = written(
-        binned.join(counts, ["leader", "bin"]).select(
+        spread_join(binned, counts, ["leader", "bin"], spread=["doc"]).select(
             "leader", "doc", "distance", "component", F.struct("bin", part.alias("part")).alias("chunk")),
         "chunks")
     chunks = chunked.groupBy("leader", "chunk").agg(
@@ -280,6 +282,16 @@ def open_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return first.cogroup(second).applyInArrow(_link_chunks, "a long, b long")
 
 
+def _with_leaders(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, doc, shingles, leader_shingles). The members of a large cluster are dealt into
+    parts, and its leader's set is sent once to each part."""
+    parts = star.groupBy("leader").agg(F.ceil(F.count("doc") / CHUNK).cast("int").alias("parts"))
+    dealt = spread_join(star, parts, "leader", spread=["doc"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    leaders = sets.select(F.col("doc").alias("leader"), F.col("shingles").alias("leader_shingles")).join(parts, "leader")
+    leaders = leaders.select("leader", "leader_shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(sets, "doc").join(leaders, ["leader", "part"]).select("leader", "doc", "shingles", "leader_shingles")
+
+
 def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -302,8 +314,7 @@ def near_duplicates(docs: DataFrame, id_column="doc_id", text_column="text") ->
     # a shuffle at every size: the wanted documents are a share of all
     texts = given.join(wanted.withColumnRenamed("doc", "id").hint("merge"), "id", "left_semi")
     sets = written(_full_sets(texts), "sets")
-    leaders = sets.select(F.col("doc").alias("leader"), F.col("shingles").alias("leader_shingles"))
-    compared = written(_distances(star.join(sets, "doc").join(leaders, "leader").select("leader", "doc", "shingles", "leader_shingles")), "compared")
+    compared = written(_distances(_with_leaders(star, sets)), "compared")
     links = compared.filter("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     near = compared.groupBy("leader", "doc").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
     own = near.select("leader").distinct().select("leader", F.col("leader").alias("doc"), F.lit(0.0).alias("distance"), F.lit(True).alias("linked"))

@@ -47,7 +47,7 @@ def page_feeds(html: Column, base_url: Column) -> Column:
     return _or_none(page_parts(F.when(_may_link(html), html), base_url, "feeds")["feeds"], html)
 
 
-def _strict_locs(sitemaps: DataFrame, body: str) -> DataFrame:
+def strict_locs(sitemaps: DataFrame, body: str) -> DataFrame:
     """sitemaps with `_strict`, the locations where from_xml finds them in the usual layout,
     and `_complete`: the body is well-formed and has no more `loc` elements than those."""
     xml = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
@@ -76,7 +76,7 @@ def sitemap_locs(sitemaps: DataFrame, body="body", locs="locs") -> DataFrame:
     from_xml reads the usual layout. A body that is not well-formed, or has more `loc`
     elements than that layout accounts for, goes to the page reader.
     """
-    staged = _strict_locs(sitemaps, body)
+    staged = strict_locs(sitemaps, body)
     rest = F.when(~F.col("_complete"), F.col(body))
     staged = staged.withColumn("_read", page_parts(rest, F.lit(None).cast("string"), "locs")["locs"])
     return staged.withColumn(locs, _locs(F.col("_read"))).drop("_strict", "_complete", "_read")
@@ -90,7 +90,7 @@ def capture_digest(captures: DataFrame) -> DataFrame:
     fetched = captures.select(
         "url", "http_status", "error_kind", "fetched_at", F.when(failure().isNull(), body).alias("body")
     ).withColumn("_sitemap", F.when(is_sitemap, body))
-    staged = _strict_locs(fetched, "_sitemap")
+    staged = strict_locs(fetched, "_sitemap")
     # one reading serves both: the page's feeds and the locations of an irregular sitemap
     irregular = F.col("_sitemap").isNotNull() & ~F.col("_complete")
     read = page_parts(F.when(_may_link(body) | irregular, body), url, "feeds", "locs")

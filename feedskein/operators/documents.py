@@ -57,10 +57,10 @@ def _strict_feed(document: Column) -> Column:
     )
 
 
-def parse_documents(captures: DataFrame, body="body") -> DataFrame:
+def parse_documents(captures: DataFrame, body="body", verdict=None) -> DataFrame:
     """captures without the body, plus
     `feed` (title, link, entries as they stand in the document; null if it is no feed),
-    `well_formed`, `feed_type`."""
+    `well_formed`, `feed_type`, and in the column `verdict`, if named, whether from_xml read it."""
     others = [c for c in captures.columns if c != body]
     text = F.col(body)
     root = root_name(text)
@@ -90,6 +90,7 @@ def parse_documents(captures: DataFrame, body="body") -> DataFrame:
         (F.col("_is_feed") & (F.col("_parsed") | F.coalesce(lenient["well_formed"], F.lit(False)))).alias("well_formed"),
         F.when(strict, F.col("_strict"))
         .when(lenient.isNotNull(), F.struct(*[lenient[f.name].alias(f.name) for f in FEED])).alias("feed"),
+        *([strict.alias(verdict)] if verdict else []),
     )
 
 

@@ -14,6 +14,7 @@ from feedskein.operators import listing as Q
 from feedskein.operators import reading as H
 from feedskein.operators import redirects as N
 from feedskein.operators import segments as G
+from feedskein.operators import splitting as V
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
@@ -393,6 +394,21 @@ def parse_entries(spark, d):
     return P.entries(P.parse_feeds(S.document_captures(spark, d)), "url")
 
 
+SMALL_PARTS = {"split_bytes": 1000, "part_bytes": 500}  # so that the documents of the tables are cut
+
+
+@query
+def parse_entries_in_parts(spark, d):
+    """The entries of feed documents that are cut at their entries."""
+    return V.part_entries(V.parse_feed_parts(S.document_captures(spark, d), **SMALL_PARTS), "url")
+
+
+@query
+def parse_rejects_in_parts(spark, d):
+    parsed = V.parse_feed_parts(S.mixed_captures(spark, d), **SMALL_PARTS).filter("part = 0")
+    return parsed.select("url", F.col("http_status").cast("long").alias("http_status"), "error")
+
+
 @query
 def parse_feed_info(spark, d):
     parsed = P.parse_feeds(S.document_captures(spark, d))
@@ -635,6 +651,13 @@ def sitemap_candidates(spark, d):
     return _longs(D.sitemap_candidates(roots, _digest(spark, d)), "pos")
 
 
+@query
+def sitemap_candidates_in_parts(spark, d):
+    """The feed-like addresses of sitemaps that are cut at their entries."""
+    roots = S.roots(spark, d).select("root")
+    return V.sitemap_candidates(roots, S.site_captures(spark, d), split_bytes=200, part_bytes=100)
+
+
 @query
 def discover_fallback(spark, d):
     return _longs(D.discover(S.sites(spark, d), _digest(spark, d)), "pos", "rank")

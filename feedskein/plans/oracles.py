@@ -205,12 +205,14 @@ SQL["capture_archives"] = SQL["capture_files"]
 oracle("capture_latest", f"""SELECT url, {STATUS},
   CASE kase WHEN 0 THEN 'timeout' WHEN 2 THEN 'no such host' END AS error_kind FROM docs""", DOCUMENTS)
 oracle("parse_entries", f"SELECT url, pos, {ENTRY} FROM entry_rows", DOCUMENTS)
+SQL["parse_entries_in_parts"] = SQL["parse_entries"]
 oracle("parse_articles", f"""SELECT pos, {ENTRY}, doc_id AS feed_id, false AS is_read, false AS is_favorite
 FROM entry_rows""", DOCUMENTS)
 oracle("parse_feed_info", f"""SELECT url, {TITLE} AS title, {LINK} AS link,
   CASE fmt WHEN 'atom' THEN 'atom' ELSE 'rss' END AS feed_type FROM docs""", DOCUMENTS)
 oracle("parse_rejects", f"""SELECT url, {STATUS}, {FEED_ERROR} AS error FROM docs
 UNION ALL SELECT url, 500, 'HTTP 500 fetching ' || url FROM docs""", DOCUMENTS)
+SQL["parse_rejects_in_parts"] = SQL["parse_rejects"]
 oracle("fetch_and_parse", f"""SELECT url, {FEED_ERROR} AS error,
   CASE WHEN kase > 4 THEN len(string_split(text, chr(10))) ELSE 0 END AS entries FROM docs
 UNION ALL SELECT site || '/gone.xml', 'Network error fetching ' || site || '/gone.xml: not captured', 0 FROM docs""", DOCUMENTS)
@@ -343,6 +345,7 @@ oracle("discover_well_known", f"SELECT root, {COLUMNS}, {RANK.format(by='root')}
 oracle("validate_candidates", "SELECT root, pos, url FROM path_feeds", SITE)
 oracle("discover_sitemap", f"SELECT root, {COLUMNS}, {RANK.format(by='root')} FROM map_feeds", SITE)
 oracle("sitemap_candidates", "SELECT root, pos, url FROM map_locs", SITE)
+SQL["sitemap_candidates_in_parts"] = SQL["sitemap_candidates"]
 
 DISCOVERED = [*SITE, f"""found_feeds AS (
   SELECT t.site_url, 'link_tags' AS strategy, {', '.join('t.' + c.strip() for c in COLUMNS.split(','))}

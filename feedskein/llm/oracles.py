@@ -3,6 +3,33 @@
 WORDS_2 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '')"
 WORDS_8 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+# texts as hex digits, cut into overlapping chunks first: a place in a string is found by walking to it
+SUFFIX_DEDUP = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as digits, octet_length(encode(coalesce(text, '')))::bigint as n_bytes from documents),
+chunks as (
+  select doc_id, begin, n_bytes, substr(digits, 2 * begin + 1, 2 * 305) as digits
+  from (select doc_id, n_bytes, digits, unnest(range(0, greatest(n_bytes - 49, 0), 256)) as begin from docs)),
+starts as (
+  select doc_id, begin + i as place, substr(digits, 2 * i + 1, 100) as gram
+  from (select doc_id, begin, digits, unnest(range(0, least(256, n_bytes - 49 - begin))) as i from chunks)),
+lowest as (select gram, min(doc_id) as least_id from starts group by gram having min(doc_id) < max(doc_id)),
+hits as (select doc_id, place from starts join lowest using (gram) where least_id < doc_id),
+marked as (select doc_id, place, case when place <= lag(place) over w + 50 then 0 else 1 end as new from hits window w as (partition by doc_id order by place)),
+numbered as (select doc_id, place, sum(new) over (partition by doc_id order by place) as span from marked),
+spans as (select doc_id, min(place) as s, max(place) + 50 as e from numbered group by doc_id, span),
+gaps as (
+  select doc_id, coalesce(lag(e) over w, 0) as b, s as e from spans window w as (partition by doc_id order by s)
+  union all
+  select doc_id, coalesce(max(e), 0), any_value(n_bytes) from docs left join spans using (doc_id) group by doc_id),
+kept as (
+  select doc_id, string_agg(substr(digits, 2 * b + 1, 2 * (gaps.e - b)), '' order by b) as digits
+  from gaps join docs using (doc_id) group by doc_id),
+removed as (select doc_id, sum(e - s)::bigint as n_removed, count(*)::bigint as n_spans from spans group by doc_id)
+select doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(kept.digits)) as kept_sha256
+from docs join kept using (doc_id) left join removed using (doc_id)
+"""
+
 NEAR_DEDUP = f"""
 with recursive worded as (select doc_id, {WORDS_2} as ws from documents),
 grams as (
@@ -104,6 +131,7 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 SQL = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op7_chat_format": CHAT,
     "op8_decontaminate": DECONTAMINATE,

@@ -2,9 +2,10 @@
 
 Filters of several widths slide over the bytes of a window; each filter's largest response in
 the window (max pooling) feeds a softmax over the languages. The network is trained with numpy
-on windows of a bounded sample of labelled texts: at most PER_LANGUAGE texts of each language,
-chosen by a hash of id and text, one excerpt of EXCERPT characters of each. It is applied to every window
-of a whole text; a text's probabilities are the mean over its windows, by their bytes.
+on all windows of a bounded sample of labelled texts: at most PER_LANGUAGE whole texts of each
+language, chosen by a hash of id and text. The windows of a text weigh together as LOUDEST at most,
+so that a few very long texts don't drown the others. It is applied to every window of a whole text; a
+text's probabilities are the mean over its windows, by their bytes.
 
 A filter's response is a sum of weights by byte and place. Applied, the weights of two
 neighbouring places are looked up at once, by pairs of bytes. Training and application see no
@@ -24,8 +25,8 @@ from feedskein.llm.arrays import slices
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # per width
-PER_LANGUAGE = 1500
-EXCERPT = 512
+PER_LANGUAGE = 500
+LOUDEST = 32
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -87,7 +88,9 @@ def train(texts, labels, epochs=6, batch=64, rate=0.004, seed=5):
         return None
     random = np.random.default_rng(seed)
     data, _, first = windows(pa.array(texts, pa.large_string()))
-    wanted = np.repeat([languages.index(x) for x in labels], np.diff(first))
+    counts = np.diff(first)
+    wanted = np.repeat([languages.index(x) for x in labels], counts)
+    weight = np.repeat(np.minimum(1, LOUDEST / counts), counts).astype(np.float32)
     short = random.random(len(data)) < 0.3
     keep = np.where(short, random.integers(12, WINDOW, len(data)), WINDOW)
     data = np.where(np.arange(WINDOW) < keep[:, None], data, 0).astype(np.uint8)
@@ -109,7 +112,7 @@ def train(texts, labels, epochs=6, batch=64, rate=0.004, seed=5):
             active = np.maximum(before, 0)
             error = softmax(active @ values["out"] + values["shift"])
             error[np.arange(len(rows)), wanted[rows]] -= 1
-            error /= len(rows)
+            error *= weight[rows][:, None] / len(rows)
             back = (error @ values["out"].T) * (before > 0)
             steps = {"out": active.T @ error, "shift": error.sum(0), "bias": back.sum(0)}
             for i, w in enumerate(WIDTHS):
@@ -126,10 +129,10 @@ def train(texts, labels, epochs=6, batch=64, rate=0.004, seed=5):
 
 
 def sample(docs: DataFrame, label_column="lang", id_column="doc_id", text_column="text", per_language=PER_LANGUAGE):
-    """[(text excerpt, label)]: at most per_language rows of each label, of which those with
-    letters stay; null labels and texts are left out, and equal rows count once. Which rows and
-    where in the text follows from hashes of id and text, so every place of a text can be
-    learned from. About twice as many rows are marked by hash, and of them the first taken."""
+    """[(text, label)]: whole texts of at most per_language rows of each label, of which those with
+    letters stay; null labels and texts are left out, and equal rows count once. Which rows follows
+    from a hash of id and text. About twice as many rows are marked by hash, and of them the
+    first taken."""
     spark = docs.sparkSession
     labelled = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(label_column).alias("_label"))
     labelled = labelled.filter(F.col("_label").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_id", "_text"))
@@ -139,9 +142,7 @@ def sample(docs: DataFrame, label_column="lang", id_column="doc_id", text_column
     space = 1 << 40
     bounds = [(label, min(space, space * 2 * per_language // n)) for label, n in sorted(counts.items())]
     bounds = F.broadcast(spark.createDataFrame(bounds, "_label string, _bound long"))
-    place = F.pmod(F.xxhash64("_id", "_text", F.lit("place")), F.greatest(F.length("_text") - EXCERPT + 1, F.lit(1))).cast("int") + 1
     marked = labelled.join(bounds, "_label").filter(F.pmod("_hash", F.lit(space)) < F.col("_bound"))
-    marked = marked.select("_label", "_hash", "_id", F.substring("_text", place, EXCERPT).alias("_text"))
     marked = marked.groupBy("_label", "_hash").agg(F.any_value("_id").alias("_id"), F.any_value("_text").alias("_text"))
     first = Window.partitionBy("_label").orderBy(F.pmod("_hash", F.lit(space)), "_hash")
     chosen = marked.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_language)

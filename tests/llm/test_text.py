@@ -139,6 +139,18 @@ def test_the_sample_of_languages_is_bounded(spark):
     assert sum(t == "les des est une" for t, _ in found) <= 1
 
 
+def test_whole_texts_are_learned_from(spark):
+    """What tells the languages apart stands only at the end of long texts."""
+    same = "1234567 " * 400
+    rows = [(i, same + {"en": "the and of that ", "de": "der und das nicht "}[x] * 12, x) for x in ("en", "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(docs, per_language=40)
+    assert len(found) == 80 and {t for t, _ in found} == {t for _, t, _ in rows}
+    network = language.fit(docs)
+    ends = spark.createDataFrame([(1, "the of that and the " * 3, "en"), (2, "das der nicht und " * 3, "de")], docs.schema)
+    assert all(r["lang"] == r["lang_pred"] for r in language.identify(ends, network, keep=("lang",)).collect())
+
+
 def test_a_rated_document_counts_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "train", lambda found, grades: seen.append((len(found), sorted(grades))))

@@ -9,6 +9,9 @@ words or links is ambiguous there, and what is ambiguous after it is good, but f
 between bad ones of the article. Blocks of an article that hold little but links are out where
 several follow each other; one or two are its text, and so are its headings.
 
+Inside an article a class or id takes a part out only if all its words name parts of pages. Inline
+elements that are hidden, buttons or adverts are left out of their block.
+
 Markup is read in one linear pass. A page cut off in the middle keeps the text before the cut.
 """
 
@@ -36,6 +39,7 @@ BLOCKS = frozenset(
     "option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | {"p", "blockquote"}
 OUT = frozenset("nav footer aside form button menu dialog fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUT_NAMES = re.compile(
@@ -43,6 +47,11 @@ OUT_NAMES = re.compile(
     r"menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|"
     r"footer|foot|popup|modal|overlay|newsletter|subscri\w*|signup|login|pagination|pager|widget|toolbar|skip|masthead|"
     r"topbar|header|hidden|paywall|author-bio|tags|byline-links)(?:$|[\s_-])", re.I)
+PART_WORDS = frozenset(
+    "area articles bar block body box btn button buttons card container content form group icons inner item items link links list "
+    "panel placeholder posts row section slot stories top unit widget widgets wrap wrapper".split()
+)
+ADVERTS = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscri\w*|hidden|paywall")
 _HEADER = re.compile("header", re.I)
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STOP_WORDS = frozenset((
@@ -65,6 +74,18 @@ class _Block:
         self.parts, self.linked, self.size, self.place, self.heading = [], 0, 0, place, heading
 
 
+def _names_a_part(value, text):
+    """Whether a class or id in an article says no more than that it is a part of the page: each
+    word of one of its names is such a word, as in `share-buttons`, but not in `market-share`.
+    Of elements of text, only adverts and the like are."""
+    out = ADVERTS.fullmatch if text else OUT_NAMES.search
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if any(out(w) for w in words) and all(w in PART_WORDS or out(w) for w in words):
+            return True
+    return False
+
+
 def _is_out(name, rest, inside):
     if name in OUT or name == "header" and inside != GOOD:
         return True
@@ -74,8 +95,9 @@ def _is_out(name, rest, inside):
         key, value = m.group(1).lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if key in ("class", "id"):
             if inside == GOOD:  # an article's own header holds its title
-                value = _HEADER.sub("", value)
-            if OUT_NAMES.search(value):
+                if _names_a_part(_HEADER.sub("", value), name in TEXT):
+                    return True
+            elif OUT_NAMES.search(value):
                 return True
         if key == "role" and value.lower() in OUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -89,10 +111,11 @@ def blocks(page: str):
     article, BAD inside a part that is out, OPEN elsewhere. Text has its references decoded and
     white space joined."""
     found, open_tags, places, links, at = [], [], [(OPEN, False)], 0, 0
+    skipped, depth = None, 0  # an inline element that is out, and how many of its name are open
     current = _Block(OPEN, False)
 
     def add(text):
-        if text:
+        if text and not skipped:
             current.parts.append(text)
             if links:
                 current.linked += len(text) - text.count(" ")
@@ -104,6 +127,14 @@ def blocks(page: str):
         if not name:
             continue
         name = name.lower()
+        if name == skipped:
+            depth += -1 if m.group("close") else 1
+            if not depth:
+                skipped = None
+        elif name in BLOCKS:  # ends an inline element that was not closed
+            skipped = None
+        elif not skipped and name not in VOID and not m.group("close") and places[-1][0] != BAD and _is_out(name, m.group("rest"), GOOD):
+            skipped, depth = name, 1
         if name == "br":
             add(" ")
         elif name == "a":

@@ -285,3 +285,21 @@ def test_windows_hold_every_byte():
     data, used, first = language.windows(pa.array(["A" * 300, None, "bé"]))
     assert first.tolist() == [0, 3, 4, 5] and used.tolist() == [128, 128, 44, 0, 3]
     assert bytes(data[0]) == b"a" * 128 and bytes(data[4][:3]) == "bé".encode()
+
+
+LONG = "This is the text of the article and it is long enough to be read as that, for it has many of the words that are in all text. " * 3
+
+
+@pytest.mark.parametrize("inner,stays", [
+    ("<button>{}</button>", False), ('<span style="display:none">{}</span>', False), ('<span class="ad">{}</span>', False),
+    ("<em hidden><b>x</b><em>y</em>{}</em>", False), ('<span class="ad">{}<p>x</p>', False), ('<div class="share-buttons"><p>{}</p></div>', False),
+    ('<p class="advert">{}</p>', False), ('<aside class="x">{}</aside>', False), ('<div id="related-articles">{}</div>', False),
+    ('<section class="related-work"><p>{}</p></section>', True), ('<div id="side-effects"><p>{}</p></div>', True),
+    ('<div class="social-history"><p>{}</p></div>', True), ('<div class="market-share"><p>{}</p></div>', True),
+    ('<p class="alert">{}</p>', True), ('<em class="term">{}</em>', True), ("<em>{}", True),
+])
+def test_parts_of_an_article(inner, stays):
+    inner = inner.format("MARK " + LONG if stays else "MARK")
+    page = f"<html><body><article><h1>Title</h1><p>{LONG}</p><div>before {inner} after</div><p>{LONG}</p></article></body></html>"
+    text = html_text.main_text(page)
+    assert ("MARK" in text) == stays and "before" in text and "after" in text and text.count("This is the text") >= 6

@@ -1,13 +1,18 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Menus, footers, forms, adverts, comments and the
-like are out. First pass: each other block is judged alone, by its length, its link density and
-its density of stop words: good, bad, or ambiguous. Second pass: ambiguous blocks take the label
-of the nearest decided neighbours, good only if both sides are; at an end of the page there is
-one neighbour. To stand in an article weighs one step: what the first pass finds bad for its
-words or links is ambiguous there, and what is ambiguous after it is good, but for short blocks
-between bad ones of the article. Blocks of an article that hold little but links are out where
-several follow each other; one or two are its text, and so are its headings.
+like are out and say nothing about the rest. First pass: each other block is judged alone, by its
+length, its link density and its density of stop words: good, bad, or ambiguous. Second pass:
+ambiguous blocks take the label of the nearest decided neighbours; where the two sides differ, of
+the nearer one, a heading that of what follows it. To stand in an article weighs one step: what the first
+pass finds bad for its words or links is ambiguous there, and what is ambiguous after it is good,
+but for short blocks between bad ones of the article. Blocks of an article that hold little but
+links are out where several follow each other; one or two are its text, and so are its headings.
+
+Stop words are learned: of each language that pages declare, and of the table as a whole, the words
+that make up at least one in FREQUENT of all words of running text, counted over all pages. They
+add to a short list, which alone is known of few pages. In scripts without spaces between words a
+character is a word. On a page with hardly any known word blocks are judged by length and links.
 
 Inside an article a class or id takes a part out only if all its words name parts of pages. Inline
 elements that are hidden, buttons or adverts are left out of their block.
@@ -17,11 +22,14 @@ Markup is read in one linear pass. A page cut off in the middle keeps the text b
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedskein.session import written
+
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))"
     r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[=\"'])*+/>"
@@ -62,8 +70,13 @@ STOP_WORDS = frozenset((
 ).split())
 
 SHORT, LONG = 70, 200
-HIGH_LINKS, LOW_STOPS, HIGH_STOPS = 0.4, 0.2, 0.3
+HIGH_LINKS, LOW_STOPS, HIGH_STOPS = 0.4, 0.1, 0.3
 ALL_LINKS, SEVERAL = 0.9, 3
+UNKNOWN = 0.02  # a page with a smaller share of stop words is in a language nobody knows
+# A stop word is one in FREQUENT words or more, so there are at most as many; a language is named by
+# two letters, so there are at most 676; and words are of at most LONGEST characters.
+FREQUENT, LEAST, LONGEST = 500, 20, 20
+COUNTED = 200_000  # words a task counts before it passes the counts on
 GOOD, BAD, OPEN = 1, -1, 0
 
 
@@ -173,17 +186,75 @@ def blocks(page: str):
     return result
 
 
-def _stop_density(text):
-    words = text.lower().split()
-    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]|[^\W\d_]+")
+_LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})(?![a-z])", re.I)
+_RUNNING = re.compile(r"<(script|style)\b.*?(?:</\1|\Z)|>([^<>]{%d,})" % SHORT, re.S | re.I)
+
+
+def words_of(text):
+    return _WORD.findall(text.lower())
+
+
+def language_of(page):
+    """The two letters of the language a page declares, or ''."""
+    found = _LANGUAGE.search(page)
+    return found.group(1).lower() if found else ""
+
+
+def count_words(pages: DataFrame, html_column="html") -> DataFrame:
+    """(lang, word, n) of the running text of all pages: stretches of at least SHORT characters
+    without markup. The empty word counts all words. Pages declare lang; '' is none."""
+
+    def run(batches):
+        counts = Counter()
+
+        def taken():
+            langs, words = zip(*counts) if counts else ((), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
+
+        for batch in batches:
+            for page in batch[0].to_pylist():
+                if not page:
+                    continue
+                lang = language_of(page)
+                for _, text in _RUNNING.findall(page):
+                    words = words_of(html.unescape(text))
+                    counts[lang, ""] += len(words)
+                    counts.update((lang, w) for w in words if len(w) <= LONGEST)
+                if len(counts) > COUNTED:
+                    yield taken()
+                    counts.clear()
+        yield taken()
+
+    parts = pages.select(F.col(html_column).alias("_html")).mapInArrow(run, "lang string, word string, n long")
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(pages: DataFrame, html_column="html") -> dict:
+    """The learned stop words by language, under '' those of the whole table. A word must occur LEAST times."""
+    counts = written(count_words(pages, html_column), "words")
+    counts = counts.filter("lang <> ''").unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")))
+    totals = counts.filter("word = ''").select("lang", F.col("n").alias("total"))
+    kept = counts.filter(F.col("word") != "").join(totals, "lang").filter((F.col("n") >= LEAST) & (F.col("n") * FREQUENT >= F.col("total")))
+    learned = {}
+    for lang, word in kept.select("lang", "word").collect():
+        learned.setdefault(lang, set()).add(word)
+    return {lang: frozenset(words) for lang, words in learned.items()}
+
+
+def _stop_density(words, known):
+    return sum(w in known for w in words) / max(1, len(words))
 
 
 def _nearest(labels):
-    """The nearest decided label before each; OPEN without one."""
-    found, nearest = [], OPEN
+    """(the nearest decided label before each, how far it is); OPEN without one."""
+    found, nearest, far = [], OPEN, 0
     for label in labels:
-        found.append(nearest)
-        nearest = label or nearest
+        far += 1
+        found.append((nearest, far))
+        if label:
+            nearest, far = label, 0
     return found
 
 
@@ -202,53 +273,73 @@ def _link_lists(found):
     return listed
 
 
-def judge_blocks(found):
+def _alone(text, linked, place, stops):
+    """The first pass: the label of a block by itself. stops is None where no word is known."""
+    if linked > HIGH_LINKS:
+        return OPEN if place == GOOD else BAD
+    if len(text) < SHORT:
+        return BAD if place == OPEN and (linked > 0 or "\u00a9" in text) else OPEN
+    if stops is None or stops >= HIGH_STOPS:
+        return GOOD if len(text) > LONG else OPEN
+    return OPEN if stops >= LOW_STOPS or place == GOOD else BAD
+
+
+def _inherited(sides, heading):
+    """The label of an ambiguous block outside of articles, from (label, distance) on both sides."""
+    (before, far), (after, further) = sides
+    if heading and after:
+        return after
+    if before and after and before != after:
+        return before if far < further else after if further < far else BAD
+    return before or after or BAD
+
+
+def judge_blocks(found, known=STOP_WORDS):
     """GOOD or BAD for each block, by both passes."""
-    labels = []
-    for (text, linked, place, _), listed in zip(found, _link_lists(found)):
-        stops = _stop_density(text) if place != BAD else 0
-        if place == BAD or listed:
-            label = BAD
-        elif linked > HIGH_LINKS:
-            label = OPEN if place == GOOD else BAD
-        elif len(text) < SHORT:
-            label = BAD if linked > 0 and place == OPEN else OPEN
-        elif stops >= HIGH_STOPS:
-            label = GOOD if len(text) > LONG else OPEN
-        else:
-            label = OPEN if stops >= LOW_STOPS or place == GOOD else BAD
-        labels.append(label)
+    words = [words_of(text) if place != BAD else [] for text, _, place, _ in found]
+    all_words = [w for some in words for w in some]
+    strange = _stop_density(all_words, known) < UNKNOWN
+    labels = [
+        BAD if listed or place == BAD else _alone(text, linked, place, None if strange else _stop_density(some, known))
+        for (text, linked, place, _), some, listed in zip(found, words, _link_lists(found))
+    ]
+    if GOOD not in labels:  # of a page of short paragraphs, those are its text
+        labels = [GOOD if not label and place == OPEN and len(text) >= SHORT else label for label, (text, _, place, _) in zip(labels, found)]
     # for an article's blocks those outside say nothing, and its headings and longer ones are text
     own = [label or (GOOD if heading or len(text) >= SHORT else OPEN) for label, (text, _, place, heading) in zip(labels, found) if place == GOOD]
     inside = iter(zip(own, _both_sides(own)))
+    judged = iter(_both_sides([label for label, (_, _, place, _) in zip(labels, found) if place != BAD]))
     settled = []
-    for label, sides, (_, _, place, _) in zip(labels, _both_sides(labels), found):
+    for label, (_, _, place, heading) in zip(labels, found):
+        sides = next(judged) if place != BAD else None
         if place == GOOD:
-            label, sides = next(inside)
-            settled.append(label or (BAD if sides == (BAD, BAD) else GOOD))
-        else:
-            sides = [s for s in sides if s != OPEN]
-            settled.append(label or (GOOD if sides and all(s == GOOD for s in sides) else BAD))
+            label, ((before, _), (after, _)) = next(inside)
+            label = label or (BAD if before == after == BAD else GOOD)
+        settled.append(label or _inherited(sides, heading))
     return settled
 
 
-def main_text(page) -> str:
+def main_text(page, learned=None) -> str:
     """The text of the good blocks, one per line; '' for null or empty pages and pages without
-    any."""
+    any. learned: `frequent_words`."""
     if not page:
         return ""
-    found = blocks(page)
-    return "\n".join(text for (text, *_), label in zip(found, judge_blocks(found)) if label == GOOD)
+    found, learned = blocks(page), learned or {}
+    known = STOP_WORDS | (learned.get(language_of(page)) or learned.get("") or frozenset())
+    return "\n".join(text for (text, *_), label in zip(found, judge_blocks(found, known)) if label == GOOD)
 
 
-def extract_text(pages: DataFrame, html_column="html", keep=("page_id", "url")) -> DataFrame:
-    """The columns `keep` of pages with text, the main text. Each row is read by itself."""
+def extract_text(pages: DataFrame, html_column="html", keep=("page_id", "url"), learned=None) -> DataFrame:
+    """The columns `keep` of pages with text, the main text. Null pages and an empty table give ''
+    and no rows; equal rows stay as many. learned: the stop words of other pages; if None those
+    of these pages are learned, which reads them once more."""
+    learned = frequent_words(pages, html_column) if learned is None else learned
     given = pages.select(*keep, F.col(html_column).alias("_html"))
     schema = given.drop("_html").schema.add("text", "string")
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([main_text(p) for p in batch["_html"].to_pylist()], pa.string())
+            texts = pa.array([main_text(p, learned) for p in batch["_html"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], texts], [*keep, "text"])
 
     return given.mapInArrow(run, schema)

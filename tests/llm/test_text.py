@@ -303,3 +303,60 @@ def test_parts_of_an_article(inner, stays):
     page = f"<html><body><article><h1>Title</h1><p>{LONG}</p><div>before {inner} after</div><p>{LONG}</p></article></body></html>"
     text = html_text.main_text(page)
     assert ("MARK" in text) == stays and "before" in text and "after" in text and text.count("This is the text") >= 6
+
+
+RUSSIAN = "В этом году на заводе не было и дня, когда бы люди не говорили о том, что будет с ними и с городом, и как они будут жить. " * 3
+JAPANESE = "この町には古い寺があり、多くの人がここに来て、その庭の木の下で休むのである。" * 7
+
+
+@pytest.mark.parametrize("text", [RUSSIAN.strip(), JAPANESE])
+def test_text_in_other_languages(text):
+    page = f"<html><body><nav><a>x</a></nav><div><h1>Title</h1><p>{text}</p><p>{text[:40].strip()}</p><p>{text}</p></div><div><a>{text}</a></div></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Title", text, text[:40].strip(), text])
+
+
+def plain_counts(pages):
+    counts = {}
+    for page in pages:
+        lang = (re.findall(r'<html lang="?([a-z]{2})', page or "") or [""])[0]
+        bare = re.sub(r"<script>.*?</script>", "", page or "", flags=re.S)
+        for run in re.findall(r">([^<>]*)<", bare):
+            if len(run) >= html_text.SHORT:
+                words = re.findall(r"[^\W\d_]+", run.lower())
+                for w in [*words, *[""] * len(words)]:
+                    counts[lang, w] = counts.get((lang, w), 0) + 1
+    return {k: n for k, n in counts.items() if len(k[1]) <= html_text.LONGEST}
+
+
+def test_stop_words_are_learned_from_all_pages(spark):
+    r = random.Random(5)
+    common = {"pt": ["uma", "foi", "não"], "pl": ["się", "nie", "jest"], "": ["zu"]}
+    pages = []
+    for i in range(300):
+        lang = ["pt", "pl", ""][i % 3]
+        text = " ".join(r.choice(common[lang]) if r.random() < 0.4 else "w" + "".join(r.choices("abcdefgh", k=6)) for _ in range(60))
+        pages.append(f'<html lang="{lang}"><script>var {"x " * 99}</script><p>{text}</p><p>kurz</p></html>' if lang else f"<p>{text}</p>")
+    pages += [None, "", "<html lang=pt>", pages[0], pages[0]]
+    table = spark.createDataFrame([(p, "x", "y") for p in pages], "html string, lang string, word string").repartition(7)
+    counted = {(x["lang"], x["word"]): x["n"] for x in html_text.count_words(table).collect()}
+    assert counted == plain_counts(pages)
+    learned = html_text.frequent_words(table)
+    assert learned == {"pt": {"uma", "foi", "não"}, "pl": {"się", "nie", "jest"}, "": {w for some in common.values() for w in some}}
+    assert html_text.frequent_words(table.limit(0)) == {}
+
+
+def test_tables_differ_in_their_stop_words(spark):
+    stops, plain = ("qua rem tis " * 40).strip(), " ".join("w" + c + d for c in "abcdefgh" for d in "abcdefghij")
+    rows = [(i, "u", f"<html lang='xx'><div><p>{stops} {i}</p></div><div><p>{plain}</p></div></html>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learned = {"xx": frozenset(["qua", "rem", "tis"])}
+    found = html_text.extract_text(pages, learned=learned).collect()
+    assert {x["text"] for x in found} == {f"{stops} {i}" for i in range(30)}
+    assert html_text.frequent_words(pages)["xx"] > learned["xx"]
+
+
+def test_undecided_blocks_take_the_nearer_side():
+    long = "the men of the town came to the house and it was in the evening that they saw it " * 4
+    links = "<p><a>one of the</a> <a>two and the</a></p>"
+    page = f"<div>{links}<p>Far.</p><p>Near.</p><p>Nearer.</p><h2>Head</h2><p>{long}</p></div><div>© us</div><h3>More</h3>{links}"
+    assert html_text.main_text(page).split("\n") == ["Nearer.", "Head", long.strip()]

@@ -5,10 +5,12 @@ wider patterns: secrets, account and phone numbers without their marks, names. L
 on each candidate (yes, no or abstain): by its form, by gazetteers, by the words around it.
 Expectation-maximisation over the counted patterns of votes estimates how reliable each
 labeler is and how likely each pattern is personal data. These soft labels train the final
-classifier, a logistic regression over the candidate's features, which decides on spans.
+classifier, naive Bayes by kind, which decides on spans. It sees no votes but the candidate itself and what
+stands around it: its signs, length and entropy, the words and signs beside it, the first word of a name.
+Names are found by what stands around them; one in the middle of plain text mostly stays.
 
-Votes and features are few, so the corpus is counted by pattern: the driver gets at most
-MOST_PATTERNS rows whatever the input, counted over all candidates. Both scans are map-only.
+All candidates of the corpus are counted. The driver gets the counts of at most MOST_VOTES patterns
+of votes and of MOST_FEATURES features, whatever the input: words are hashed. Both scans are map-only.
 """
 
 import bisect
@@ -16,6 +18,7 @@ import collections
 import itertools
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedskein.llm.arrays import slices
+from feedskein.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "number", "name")
@@ -102,13 +106,15 @@ _CANDIDATES = {
     "secret": re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+"),
     "account": re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,}+"),
     "number": re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
-    "name": re.compile(r"(?<![A-Za-zÀ-ÿ])(?:[A-Z]\. )?[A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+(?![A-Za-zÀ-ÿ])"),
+    # a title is no part of the name after it
+    "name": re.compile(r"(?<![A-Za-zÀ-ÿ])(?!(?:" + "|".join(w.capitalize() for w in NAME_WORDS) + r")(?![a-zà-ÿ]))(?:[A-Z]\. )?[A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+(?![A-Za-zÀ-ÿ])"),
 }
 _CONTEXT = {
     "secret": SECRET_WORDS, "account": ACCOUNT_WORDS, "number": PHONE_WORDS, "name": NAME_WORDS,
 }
 _NEAR = {k: re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, w)) + r")(?![^\W\d_])", re.I) for k, w in _CONTEXT.items()}
 _WORD_BEFORE = re.compile(r"[.!?]\s*$|\n\s*$|^\s*$")
+_TITLE_BEFORE = re.compile(r"(?<![^\W\d_])(?:mr|mrs|ms|dr|prof)\. $", re.I)
 YES, NO, NONE = 1, -1, 0
 
 
@@ -121,6 +127,44 @@ def _vote(condition, yes=YES, no=NONE):
     return yes if condition else no
 
 
+WORDS = 128  # buckets of the words beside a candidate, and four times as many of given names
+
+
+def _hashed(word, buckets):
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % buckets
+
+
+def _sign(text):
+    """The class of a character, or an ASCII sign itself."""
+    if not text:
+        return "end"
+    if text.isalpha():
+        return "letter"
+    if text.isdigit():
+        return "digit"
+    return text if "!" <= text <= "~" else "line" if text in "\r\n" else "space" if text.isspace() else "other"
+
+
+def _features(kind, text, start, end):
+    """What the classifier sees of a candidate: its form and surroundings, no labeler's vote."""
+    value, before, after = text[start:end], text[max(0, start - 60):start], text[end:end + 30]
+    words_before = re.findall(r"[^\W\d_]+", before)[-2:]
+    word_after = re.search(r"[^\W\d_]+", after)
+    solid = before.rstrip()
+    found = [
+        ("length", min(8, len(value) // 5)), ("digits", 5 * len(_digits(value)) // len(value)),
+        ("entropy", min(10, int(2 * _entropy(value.lower())))),
+        ("case", (any(c.islower() for c in value), any(c.isupper() for c in value))),
+        ("signs", (" " in value, "-" in value, "_" in value, "." in value, "(" in value)),
+        ("before", _sign(before[-1:])), ("after", _sign(after[:1])), ("solid", _sign(solid[-1:])),
+        ("word", _hashed(words_before[-1], WORDS) if words_before else ""), ("earlier", _hashed(words_before[0], WORDS) if len(words_before) > 1 else ""),
+        ("next", _hashed(word_after.group(), WORDS) if word_after else ""),
+    ]
+    if kind == "name":
+        found.append(("given", _hashed(value.split(" ")[-2], 4 * WORDS)))
+    return (f"kind={kind}", *(f"{kind} {name}={seen}" for name, seen in found))
+
+
 def judge(kind, text, start, end):
     """(votes, features) of a candidate: what each labeler says, and what the classifier sees."""
     value, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 12]
@@ -132,26 +176,21 @@ def judge(kind, text, start, end):
     if kind == "secret":
         form = _vote(digits >= 5 and _entropy(letters) >= 3.0, YES, NO)
         list_vote = _vote(bool(re.fullmatch(r"[0-9a-f]+|[A-Z0-9]+", value)), YES, NONE)
-    elif kind == "account":
-        form = _vote(13 <= digits <= 19 and not re.search(r"[ -]", value), YES, NO)
+    elif kind == "account":  # a card's number that fails its check is none
+        form = _vote(13 <= digits <= 19, NO, NONE)
         list_vote = _vote(len(set(_digits(value))) <= 2, NO, NONE)
     elif kind == "number":
         form = _vote(digits == 10, YES, NO)
         list_vote = _vote(len(set(_digits(value))) <= 2, NO, NONE)
+        assigned = assigned or bool(re.search(r"\+[0-9]{1,3}[ -]?$", before))
     else:
         first, last = value.split(" ")[-2:]
         form = _vote(min(len(first), len(last)) < 3, NO, NONE)
         list_vote = _vote(first in GIVEN_NAMES, YES, NO)
     context = _vote(near, YES, NO)
     setting = _vote(assigned or quoted, YES, NONE)
-    place = _vote(kind == "name" and bool(_WORD_BEFORE.search(before)), NO, NONE)
-    length = min(4, len(value) // 8)
-    own = "name" if kind == "name" else ""  # names are learned apart, see train
-    features = (f"kind={kind}", f"form={kind}{form}", f"list={kind}{list_vote}", f"near={kind}{near}", f"set={own}{setting}", f"place={own}{place}", f"length={kind}{length}")
-    return (form, list_vote, context, setting, place), features
-
-
-LABELERS = 5
+    place = _vote(kind == "name" and bool(_WORD_BEFORE.search(before)) and not _TITLE_BEFORE.search(before), NO, NONE)
+    return (form, list_vote, context, setting, place), _features(kind, text, start, end)
 
 
 def candidates(text, base=None):
@@ -207,36 +246,41 @@ def _overlaps(spans, start, end):
     return low < len(spans) and spans[low][0] < end
 
 
-MOST_PATTERNS = 100_000  # votes and features allow fewer
+MOST_VOTES = 4 * 3 * 3 * 2 * 2 * 2  # by kind, form, list, context, setting, place
+# by kind: itself, length, digits, entropy, case, signs, three signs beside it, three words, given name
+MOST_FEATURES = 4 * (1 + 9 + 6 + 11 + 4 + 32 + 3 * 100 + 3 * (WORDS + 1)) + 4 * WORDS
 
 
 def count_patterns(docs: DataFrame) -> DataFrame:
-    """(kind, votes, features, n): all candidates of docs (_text), counted by pattern."""
+    """(kind, votes, feature, n): all candidates of docs (_text), counted by votes and feature."""
     def run(batches):
         counts = collections.Counter()
         for batch in batches:
             for text in batch["_text"]:
                 text = text.as_py()
                 for kind, _, _, votes, features in candidates(text) if text else ():
-                    counts[kind, votes, features] += 1
+                    counts.update((kind, votes, f) for f in features)
         rows = sorted(counts.items())
         yield pa.RecordBatch.from_arrays([
             pa.array([k for (k, _, _), _ in rows], pa.string()),
             pa.array([list(v) for (_, v, _), _ in rows], pa.list_(pa.int32())),
-            pa.array([list(f) for (_, _, f), _ in rows], pa.list_(pa.string())),
+            pa.array([f for (_, _, f), _ in rows], pa.string()),
             pa.array([n for _, n in rows], pa.int64()),
-        ], ["kind", "votes", "features", "n"])
+        ], ["kind", "votes", "feature", "n"])
+
+    found = docs.select("_text").mapInArrow(run, "kind string, votes array<int>, feature string, n long")
+    return found.groupBy("kind", "votes", "feature").agg(F.sum("n").alias("n"))
+
 
-    found = docs.select("_text").mapInArrow(run, "kind string, votes array<int>, features array<string>, n long")
-    return found.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+TRUST = (1, 1, 2, 1, 1)  # where EM starts: what stands around a candidate counts twice, a short list misses most names
 
 
-def reliabilities(votes, counts, rounds=50):
+def reliabilities(votes, counts, rounds=50, trust=1):
     """EM over patterns of votes: (prior, accuracy of yes votes, of no votes, posterior of each
-    pattern). A labeler that says nothing tells nothing. Starts from the majority; the rates
-    keep a small prior weight, so no labeler is ever taken for certain."""
+    pattern). A labeler that says nothing tells nothing. Starts from the majority, each labeler
+    counting as `trust` says; the rates keep a small prior weight, so no labeler is ever taken for certain."""
     votes, counts = np.asarray(votes, float), np.asarray(counts, float)
-    posterior = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1)))
+    posterior = 1 / (1 + np.exp(-1.5 * (votes * trust).sum(axis=1)))
     for _ in range(rounds):
         yes, no = counts * posterior, counts * (1 - posterior)
         prior = (yes.sum() + 2) / (counts.sum() + 4)
@@ -248,39 +292,53 @@ def reliabilities(votes, counts, rounds=50):
     return prior, hit, miss, posterior
 
 
-def train(patterns):
-    """The span classifier {feature: weight} from counted patterns [(votes, features, n)]. Names
-    have labelers and features of their own and outnumber all else, two capitals being
-    enough for a candidate, so they are learned apart."""
-    names = [p for p in patterns if "kind=name" in p[1]]
-    return {**_train([p for p in patterns if "kind=name" not in p[1]]), **_train(names)}
+def soft_labels(patterns):
+    """[(kind, votes, how likely it is personal data)] of counted [(kind, votes, n)]. Names outnumber
+    all else, two capitals being enough for a candidate, so their labelers are judged apart."""
+    labels = []
+    for names in (False, True):
+        some = [p for p in patterns if (p[0] == "name") == names]
+        if some:
+            _, _, _, posterior = reliabilities([p[1] for p in some], [p[2] for p in some], trust=TRUST)
+            labels += [(kind, votes, float(likely)) for (kind, votes, _), likely in zip(some, posterior)]
+    return labels
 
 
-def _train(patterns):
-    """Logistic regression on the soft labels of the EM, weighted by count."""
-    if not patterns:
-        return {}
-    _, _, _, labels = reliabilities([p[0] for p in patterns], [p[2] for p in patterns])
-    names = sorted({f for _, features, _ in patterns for f in features})
-    at = {f: i for i, f in enumerate(names)}
-    seen = np.zeros((len(patterns), len(names)))
-    for row, (_, features, _) in enumerate(patterns):
-        seen[row, [at[f] for f in features]] = 1
-    share = np.sqrt(np.array([p[2] for p in patterns], float))  # a frequent pattern does not drown the others
-    share /= share.sum()
-    weights = np.zeros(len(names))
-    for _ in range(800):
-        errors = 1 / (1 + np.exp(-seen @ weights)) - labels
-        weights -= 4.0 * (seen.T @ (share * errors) + 1e-4 * weights)
-    return dict(zip(names, weights.tolist()))
+SMOOTHING, DAMPING = 2.0, 0.5  # features beside each other say much the same, so each counts half
+
+
+def weigh(counts):
+    """The span classifier {feature: weight} from [(kind, feature, n, expected n of personal data)]."""
+    total = {kind: (n, hits) for kind, feature, n, hits in counts if feature == f"kind={kind}"}
+    weights = {}
+    for kind, feature, n, hits in counts:
+        of_kind, of_hits = total[kind]
+        if feature == f"kind={kind}":
+            weights[feature] = math.log((hits + 0.5) / (n - hits + 0.5))
+        else:  # where a class is rare its rates are near those of all
+            share = SMOOTHING * n / of_kind
+            in_hits, in_rest = (hits + share) / (of_hits + SMOOTHING), (n - hits + share) / (of_kind - of_hits + SMOOTHING)
+            weights[feature] = DAMPING * math.log(in_hits / in_rest)
+    return weights
 
 
 def fit(docs: DataFrame, text_column="text"):
     """The classifier for docs, from counts over all their candidates."""
-    rows = count_patterns(docs.select(F.col(text_column).alias("_text"))).limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError("more patterns than votes and features allow")
-    return train(sorted((tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in rows))
+    spark = docs.sparkSession
+    counts = written(count_patterns(docs.select(F.col(text_column).alias("_text"))), "patterns")
+    rows = counts.filter(F.col("feature") == F.concat(F.lit("kind="), "kind")).select("kind", "votes", "n").limit(MOST_VOTES + 1).collect()
+    if len(rows) > MOST_VOTES:
+        raise ValueError("more patterns than there are votes")
+    if not rows:
+        return {}
+    labels = soft_labels(sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in rows))
+    likely = spark.createDataFrame([(k, list(v), p) for k, v, p in labels], "kind string, votes array<int>, likely double")
+    expected = counts.join(F.broadcast(likely), ["kind", "votes"]).groupBy("kind", "feature").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("likely")).alias("hits"))
+    seen = expected.limit(MOST_FEATURES + 1).collect()
+    if len(seen) > MOST_FEATURES:
+        raise ValueError("more features than there are")
+    return weigh(sorted((r["kind"], r["feature"], r["n"], r["hits"]) for r in seen))
 
 
 def find_spans(docs: DataFrame, classifier, id_column="doc_id", text_column="text", threshold=0.5) -> DataFrame:

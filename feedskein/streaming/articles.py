@@ -3,14 +3,14 @@
 Everything that happens to an article, sightings and actions alike, is an event of its key
 (feed_id, guid), and a stateful processor keeps per key what replaying all of them in order of
 arrival would leave. Events may come in any order, and repeatedly, as long as none is later
-than `lateness` behind the newest; later ones are dropped. So per key the state holds
+than `lateness` behind the newest; later ones are dropped. So per key the state `article` holds
 
-  article  the article as it stands, the last delete, and the marks on it that are settled:
-           no event before them can come any more
-  later    sightings and marks after the last delete that are not settled, for a delete may
-           still come in between and make a later sighting the first one
+  the article as it stands, the last delete, and the marks on it that are settled: no event
+  before them can come any more
+  later: sightings and marks after the last delete that are not settled, for a delete may
+  still come in between and make a later sighting the first one
 
-which is one row and at most the events of one `lateness`. Articles are read from the state
+which is one row with at most the events of one `lateness`. Articles are read from the state
 itself, at the cost of what is live, whatever the length of the history. Each micro-batch adds
 up how many unread articles each feed has won or lost, so the feed list reads no articles.
 
@@ -37,6 +37,7 @@ ARTICLE_STATE = (
     "settled boolean, settled_read boolean, settled_favorite boolean, unsettled int"
 )
 EVENT_STATE = f"kind string, micros long, seq long, content long, {_CONTENT}"
+STORED = f"{ARTICLE_STATE}, later array<struct<{EVENT_STATE}>>"
 CHANGES = "feed_id long, guid string, live boolean, is_read boolean, is_favorite boolean, unread_change int"
 UNREAD = "feed_id long, change long, batch long"
 
@@ -50,28 +51,23 @@ def events(observations: DataFrame, actions: DataFrame) -> DataFrame:
     nothing = [F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in ARTICLE_CONTENT]
     done = actions.select(
         *ARTICLE_KEY, "at", F.col("action").alias("kind"), F.unix_micros("at").alias("micros"), "seq", F.lit(0).cast("long").alias("content"), *nothing)
-    return seen.unionByName(done)
+    return seen.unionByName(done).select(*ARTICLE_KEY, "at", *EVENT_NAMES)
 
 
 class Articles(StatefulProcessor):
     """Applies the new events of a key and gives its change, if there is one."""
 
     def init(self, handle) -> None:
-        self.article = handle.getValueState("article", ARTICLE_STATE)
-        self.later = handle.getListState("later", EVENT_STATE)
+        self.article = handle.getValueState("article", STORED)
 
     def handleInputRows(self, key, rows, timerValues):
+        # one value holds all of a key: each call of the state costs more than the events do
         stored = self.article.get()
-        before = _Article(*stored) if stored is not None else NEW
-        known = {tuple(e) for e in self.later.get()} if before.unsettled else set()
+        before, known = (NEW, set()) if stored is None else (_Article(*stored[:-1]), {tuple(e) for e in stored[-1]})
         # events are told apart by all they hold, so one that is delivered twice counts once
-        known |= {tuple(r[name] for name in EVENT_NAMES) for r in rows}
+        known |= {tuple(r)[_EVENT] for r in rows}
         after, later = fold(before, known, timerValues.getCurrentWatermarkInMs() * 1000)
-        if later:
-            self.later.put(later)
-        elif before.unsettled:
-            self.later.clear()
-        self.article.update(tuple(after))
+        self.article.update((*after, later))
         change = unread(after) - unread(before)
         if change or any(getattr(after, c) != getattr(before, c) for c in ("live", "is_read", "is_favorite", "born_at", "born_seq")):
             yield Row(feed_id=key[0], guid=key[1], live=after.live, is_read=after.is_read, is_favorite=after.is_favorite, unread_change=change)
@@ -85,6 +81,7 @@ def _names(schema):
 
 
 ARTICLE_STATE_NAMES, EVENT_NAMES = _names(ARTICLE_STATE), _names(EVENT_STATE)
+_EVENT = slice(len(ARTICLE_KEY) + 1, None)  # of a row of events()
 _Article, _Event = Row(*ARTICLE_STATE_NAMES), Row(*EVENT_NAMES)
 NEW = _Article(False, None, None, None, None, None, False, False, None, None, None, None, False, False, False, 0)
 

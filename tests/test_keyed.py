@@ -120,3 +120,15 @@ def test_state_holds_only_what_is_not_settled(spark, feeds, make, tmp_path):
         state = run(day, f"of day {day}")
     assert (state.title, state.is_favorite, state.settled) == ("first", False, True)
     assert state.unsettled <= 4  # of 8 events those of the last two days that were seen
+
+
+def test_a_key_is_one_value_of_state(spark, feeds, make, tmp_path):
+    """So that a key costs one read and one update, whatever it holds."""
+    folder = str(tmp_path)
+    (tmp_path / "actions").mkdir()
+    make.captures({"url": "u1", "body": rss(("a", "first")), "fetched_at": D(2025, 1, 1)}).coalesce(1).write.parquet(f"{folder}/captures")
+    append_actions(make.actions((1, "a", "toggle", D(2025, 1, 1, 1), 1)), folder)
+    keyed.start_articles(stream_captures(spark, f"{folder}/captures"), feeds, folder).awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "article").load(f"{folder}/state").select("value.*").first()
+    assert (state.title, state.is_favorite, state.unsettled) == ("first", True, 2)
+    assert sorted(e.kind for e in state.later) == ["seen", "toggle"]

@@ -3,7 +3,7 @@
 A document is one row, and so one task. Those of `split_bytes` or more are scanned once for the
 places of their entries (functions/parts.py), and the parts are dealt to tasks and parsed apart.
 The scan is all that is left of the large document in one task: it parses nothing, and hands out
-parts one at a time.
+parts a few at a time.
 
 Results are those of whole documents. To make sure, parts count only if from_xml read every part
 of the document with as many elements as the scan had seen; other documents, such as broken
@@ -27,6 +27,7 @@ from feedskein.sources.captures import failure, latest_captures, successes
 
 SPLIT_BYTES = 8 * 1024 * 1024
 PART_BYTES = 1024 * 1024
+TOGETHER_BYTES, TOGETHER_ROWS = 1024 * 1024, 1000  # parts that leave the scan in one batch
 
 # Where the formats have their entries.
 FEED_PATHS = frozenset(
@@ -52,18 +53,30 @@ def cut(documents: DataFrame, paths, body="body", part_bytes=PART_BYTES) -> Data
         data = text.as_buffer().to_pybytes() if text.is_valid else b""
         part = -1
         for part, (first, within, elements, piece) in enumerate(document_parts(data, paths, part_bytes)):
-            yield [part, first, within, elements], piece
+            yield (part, first, within, elements), piece
         if part < 0:
-            yield [0, 0, 0, None], data if text.is_valid else None
+            yield (0, 0, 0, None), data if text.is_valid else None
+
+    def together(batch, rows, places, texts):
+        rest = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+        placed = [pa.array(values, pa.int64()) for values in zip(*places)]
+        return pa.RecordBatch.from_arrays([*rest, *placed, pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 
     def run(batches):
+        # a batch costs far more than a small part, so parts leave by the thousand, or by the bytes
         for batch in batches:
+            rows, places, texts, size = [], [], [], 0
             for row, text in enumerate(batch.column(len(others))):
-                rest = [c.slice(row, 1) for c in batch.columns[:-1]]
                 for place, piece in pieces(text):
-                    place = [pa.array([v], pa.int64()) for v in place]
-                    piece = pa.array([piece], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([*rest, *place, piece], names=schema.names)
+                    rows.append(row)
+                    places.append(place)
+                    texts.append(piece)
+                    size += len(piece or b"")
+                    if size >= TOGETHER_BYTES or len(rows) >= TOGETHER_ROWS:
+                        yield together(batch, rows, places, texts)
+                        rows, places, texts, size = [], [], [], 0
+            if rows:
+                yield together(batch, rows, places, texts)
 
     return given.mapInArrow(run, schema)
 

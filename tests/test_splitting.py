@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedskein.functions.parts import document_parts, element_ranges
+from feedskein.operators import splitting
 from feedskein.operators.discovery import sitemap_locs
 from feedskein.operators.documents import entries, feed_info, parse_feeds
 from feedskein.operators.splitting import FEED_PATHS, SITEMAP_PATHS, cut, dealt, loc_rows, parse_feed_parts, part_entries
@@ -138,3 +139,19 @@ def test_sitemaps(spark, sizes):
     expected = sitemap_locs(frame).select("name", F.posexplode("locs").alias("pos", "loc"))
     assert collected(loc_rows(frame, **sizes), "name", "pos", "loc") == collected(expected, "name", "pos", "loc")
     assert list(document_parts(MAPS["plain"].encode(), SITEMAP_PATHS, 40))[0] == (0, 0, 9, b"<urlset></urlset>")
+
+
+def test_small_parts_leave_the_scan_together(spark, monkeypatch):
+    """A batch per part costs more than parsing the part; large parts still go a few at a time."""
+    documents = spark.createDataFrame([(i, RSS.format("".join(ITEM.format(j) for j in range(30)))) for i in range(20)], "n long, body string")
+    scans = []
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda self, scan, schema: scans.append(scan))
+    cut(documents, FEED_PATHS, part_bytes=150)
+    given = documents.toArrow().combine_chunks().to_batches()
+    batches = list(scans[0](iter(given)))
+    assert len(batches) == 1
+    parts = len(list(document_parts(documents.first().body.encode(), FEED_PATHS, 150)))
+    assert parts > 5 and batches[0]["n"].to_pylist() == [i for i in range(20) for _ in range(parts)]
+    monkeypatch.setattr(splitting, "TOGETHER_BYTES", 1000)
+    batches = list(scans[0](iter(given)))
+    assert sum(b.num_rows for b in batches) == 20 * parts and len(batches) > 20

@@ -29,9 +29,15 @@ from feedskein.streaming import refresh as streaming
 QUERIES = {}
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ARROW_ROWS = 1000  # whole documents and pages go to Python: ten thousand of them are hundreds of MB
+
+
 def query(function):
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        given = int(spark.conf.get(ARROW_ROWS))
+        spark.conf.set(ARROW_ROWS, str(min(given, MOST_ARROW_ROWS) if given > 0 else MOST_ARROW_ROWS))
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

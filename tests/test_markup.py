@@ -1,8 +1,11 @@
 import time
 
+import pyarrow as pa
 import pytest
 
+from feedskein.functions import markup
 from feedskein.functions.markup import read_broken_feed, read_page
+from feedskein.plans.catalogue import ARROW_ROWS, MOST_ARROW_ROWS, QUERIES
 from feedskein.operators.discovery import page_feeds
 from feedskein.operators.listing import article_details
 from feedskein.operators.reading import article_links, html_to_text, link_lines, open_articles
@@ -181,3 +184,26 @@ def test_endless_markup_takes_no_endless_time(unit):
 
 def test_unfinished_markup_is_text():
     assert text("<p>a</p>b <i c &amp; <!-- d") == "a\nb <i c &amp; <!-- d"
+
+
+def test_what_was_read_becomes_arrow_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(markup, "SLICE_ROWS", 2)
+    sizes = []
+    whole = pa.concat_arrays
+    monkeypatch.setattr(markup.pa, "concat_arrays", lambda arrays: sizes.extend(map(len, arrays)) or whole(arrays))
+    found = markup.in_slices(pa.string(), lambda text, other: text + other, pa.array(["a", None, "b", "c", ""]), pa.array(["1", "2", "3", "4", "5"]))
+    assert found.to_pylist() == ["a1", None, "b3", "c4", "5"] and sizes == [2, 2, 1]
+    assert markup.in_slices(pa.string(), str, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_pages_go_to_python_by_the_thousand(spark, tmp_path):
+    """Ten thousand, as Spark has it, would be hundreds of MB; a smaller number that was set stays."""
+    given = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+        for most, kept in (("10000", MOST_ARROW_ROWS), ("0", MOST_ARROW_ROWS), ("7", 7)):
+            spark.conf.set(ARROW_ROWS, most)
+            assert sorted(r.text for r in QUERIES["page_text"](spark, str(tmp_path)).collect()) == ["0", "1", "2"]
+            assert int(spark.conf.get(ARROW_ROWS)) == kept
+    finally:
+        spark.conf.set(ARROW_ROWS, given)

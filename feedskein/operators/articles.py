@@ -64,33 +64,38 @@ def new_articles(observations: DataFrame) -> DataFrame:
     )
 
 
-def live_keys(observations: DataFrame, actions: DataFrame, tombstones=False) -> DataFrame:
+def live_keys(observations: DataFrame, actions: DataFrame, tombstones=False, carry=()) -> DataFrame:
     """(feed_id, guid, born): each live article and the arrival that made it one, which is
-    its first observation after its last delete. Reads no content columns."""
+    its first observation after its last delete. Reads no content columns but the narrow ones
+    named in `carry`, which come along and decide between observations that arrived as one."""
     deletes = (
         actions.filter(F.col("action") == "delete")
         .groupBy(*ARTICLE_KEY).agg(F.max(arrival(F.col("at"), F.col("seq"))).alias("_cut"))
     )
-    seen = observations.select(*ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("_at"))
+    seen = observations.select(*ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("_at"), *carry)
+
+    def first(rows):
+        least = F.min(F.struct("_at", *carry) if carry else F.col("_at")).alias("_first")
+        born = F.col("_first._at") if carry else F.col("_first")
+        return rows.groupBy(*ARTICLE_KEY).agg(least).select(
+            *ARTICLE_KEY, born.alias("born"), *[F.col(f"_first.{c}").alias(c) for c in carry])
+
     if tombstones:
         # a delete of an article not yet seen does nothing, so only later ones bury it
-        first = seen.groupBy(*ARTICLE_KEY).agg(F.min("_at").alias("born"))
         return (
-            first.join(deletes, ARTICLE_KEY, "left")
+            first(seen).join(deletes, ARTICLE_KEY, "left")
             .filter(F.col("_cut").isNull() | (F.col("_cut") < F.col("born")))
-            .select(*ARTICLE_KEY, "born")
+            .select(*ARTICLE_KEY, "born", *carry)
         )
     after = spread_join(seen, deletes, ARTICLE_KEY, "left", spread=["_at"])
-    return (
-        after.filter(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
-        .groupBy(*ARTICLE_KEY).agg(F.min("_at").alias("born"))
-    )
+    return first(after.filter(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut"))))
 
 
-def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False, content=ARTICLE_CONTENT, order=None) -> DataFrame:
+def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False, content=ARTICLE_CONTENT, carry=()) -> DataFrame:
     """The articles that replaying both logs in arrival order would leave; `content` names the
-    columns that an observation brings, `order` tells which of several that arrived as one
-    counts, by default a hash of their content.
+    columns that an observation brings. Of several that arrived as one, a hash of their content
+    decides. Where what an observation brings is narrow, name it in `carry` instead: it comes
+    along with the keys, is not fetched, and decides itself.
 
     No replay is needed: the last delete of an article cuts off all before it, the first
     observation after that gives the content, and of the actions after that observation
@@ -99,12 +104,14 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False, co
     All of this runs on keys and arrival numbers. The content is fetched at the end by
     key and arrival, so it is shuffled once and an article seen very often is spread.
     """
-    born = live_keys(observations, actions, tombstones)
+    born = live_keys(observations, actions, tombstones, carry)
     marks = actions.filter(F.col("action").isin("read", "toggle")).select(
         *ARTICLE_KEY, arrival(F.col("at"), F.col("seq")).alias("_at"), "action"
     )
+    # the spread join repeats its lookup, so of all that is live it gets what has marks
+    marked = born.select(*ARTICLE_KEY, "born").join(marks.select(*ARTICLE_KEY).distinct(), ARTICLE_KEY, "left_semi")
     counted = (
-        spread_join(marks, born, ARTICLE_KEY, "inner", spread=["_at"])
+        spread_join(marks, marked, ARTICLE_KEY, "inner", spread=["_at"])
         .filter(F.col("_at") > F.col("born"))
         .groupBy(*ARTICLE_KEY)
         .agg(
@@ -113,18 +120,19 @@ def fold_state(observations: DataFrame, actions: DataFrame, tombstones=False, co
         )
     )
     state = born.join(counted, ARTICLE_KEY, "left").select(
-        *ARTICLE_KEY, "born",
+        *ARTICLE_KEY, "born", *carry,
         F.coalesce("_read", F.lit(False)).alias("is_read"),
         F.coalesce("_favorite", F.lit(False)).alias("is_favorite"),
     )
+    if carry:
+        return state.drop("born")
     brought = observations.select(
         *ARTICLE_KEY, arrival(F.col("fetched_at"), F.col("pos")).alias("born"), *content
     )
     rest = [*content, "is_read", "is_favorite"]
     # two observations may share an arrival; the join has partitioned by it already
-    order = F.xxhash64(*content) if order is None else order
     one = brought.join(state, [*ARTICLE_KEY, "born"]).groupBy(*ARTICLE_KEY, "born").agg(
-        F.min_by(F.struct(*rest), order).alias("one")
+        F.min_by(F.struct(*rest), F.xxhash64(*content)).alias("one")
     )
     return one.select(*ARTICLE_KEY, *[F.col(f"one.{c}").alias(c) for c in rest])
 

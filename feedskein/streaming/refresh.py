@@ -2,8 +2,7 @@
 
 Layout below a folder that all executors share:
   sightings/batch=<n>/   which articles micro-batch n saw, and the hash of what they held
-  contents/batch=<n>/    what they held, each distinct content of an article once per batch
-  staged/                what the latest micro-batch saw
+  contents/batch=<n>/    what they held, each distinct content of an article once per batch, and when
   actions/               appended by others
   removals/              feeds that were removed, appended by others
   checkpoint/            the stream's own progress
@@ -30,6 +29,7 @@ _KEY = [f for f in OBSERVATIONS if f.name in ARTICLE_KEY]
 _BATCH = T.StructField("batch", T.LongType())
 _HASH = T.StructField("content", T.LongType())
 SIGHTINGS = T.StructType([*_KEY, OBSERVATIONS["fetched_at"], OBSERVATIONS["pos"], _HASH, _BATCH])
+_SEEN = T.StructField("seen", T.ArrayType(T.StructType([OBSERVATIONS["fetched_at"], OBSERVATIONS["pos"]])))
 CONTENTS = T.StructType([*_KEY, *[OBSERVATIONS[c] for c in ARTICLE_CONTENT], _HASH, _BATCH])
 
 
@@ -45,10 +45,7 @@ def stored_actions(spark: SparkSession, folder: str) -> DataFrame:
 def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataFrame:
     """The articles that the logs leave. Of sightings that arrived as one, that of the first
     batch counts."""
-    state = fold_state(
-        stored_sightings(spark, folder), stored_actions(spark, folder), tombstones,
-        content=["batch", "content"], order=F.struct("batch", "content"),
-    )
+    state = fold_state(stored_sightings(spark, folder), stored_actions(spark, folder), tombstones, carry=["batch", "content"])
     contents = read_log(spark, f"{folder}/contents", CONTENTS)
     return state.join(contents, [*ARTICLE_KEY, "batch", "content"]).select(
         *ARTICLE_KEY, *ARTICLE_CONTENT, "is_read", "is_favorite")
@@ -57,14 +54,15 @@ def stored_articles(spark: SparkSession, folder: str, tombstones=False) -> DataF
 def ingest_batch(feeds: DataFrame, folder: str, captures: DataFrame, batch: int) -> None:
     """Append what one batch of captures saw. A capture that is delivered twice counts once."""
     spark = captures.sparkSession
-    # written, not cached: parsed once and outlives lost executors
     seen = feed_observations(feeds, captures).withColumn("content", F.xxhash64(*ARTICLE_CONTENT))
-    seen.write.mode("overwrite").parquet(f"{folder}/staged")
-    seen = spark.read.schema(T.StructType([*OBSERVATIONS, _HASH])).parquet(f"{folder}/staged")
-    sightings = seen.select(*ARTICLE_KEY, "fetched_at", "pos", "content").distinct()
+    # when a content was seen lies beside it, so that what is wide is shuffled and written once
+    contents = seen.groupBy(*ARTICLE_KEY, *ARTICLE_CONTENT, "content").agg(
+        F.collect_set(F.struct("fetched_at", "pos")).alias("seen"))
+    contents.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/contents/batch={batch}")
+    stored = spark.read.schema(T.StructType([*_KEY, _HASH, _SEEN])).parquet(f"{folder}/contents/batch={batch}")
+    sightings = stored.select(*ARTICLE_KEY, F.explode("seen").alias("at"), "content").select(
+        *ARTICLE_KEY, "at.fetched_at", "at.pos", "content")
     sightings.write.mode("overwrite").parquet(f"{folder}/sightings/batch={batch}")
-    contents = seen.select(*ARTICLE_KEY, *ARTICLE_CONTENT, "content").distinct()
-    contents.write.mode("overwrite").parquet(f"{folder}/contents/batch={batch}")
 
 
 def start_refresh(captures: DataFrame, feeds, folder: str, trigger=None):

@@ -4,6 +4,7 @@ from datetime import timedelta
 
 import pytest
 
+from feedskein.operators import articles
 from feedskein.operators.articles import (
     actions_on, apply_actions, check_constraints, first_observations, fold_state, live_keys, new_articles, new_observations,
     split_rejects,
@@ -159,3 +160,24 @@ def test_actions_by_id(spark, make):
 def test_observation_logged_twice(make):
     observations = make.observations(seen(1, "a", 1), seen(1, "a", 1), seen(1, "b", 2))
     assert fold_state(observations, make.actions()).count() == 2
+
+
+def test_marks_meet_only_the_articles_that_have_some(spark, make, monkeypatch):
+    """The join repeats its lookup, which therefore must not be all that is live."""
+    lookups = []
+    join = articles.spread_join
+    monkeypatch.setattr(articles, "spread_join", lambda rows, lookup, *a, **k: lookups.append(lookup) or join(rows, lookup, *a, **k))
+    seen = make.observations(*[{"feed_id": 1, "guid": str(g)} for g in range(20)])
+    done = make.actions((1, "3", "read", D(2025, 1, 2), 0), (2, "3", "read", D(2025, 1, 2), 0))
+    state = articles.fold_state(seen, done)
+    assert sorted(r.guid for r in state.collect() if r.is_read) == ["3"] and state.count() == 20
+    assert [lookup.count() for lookup in lookups] == [0, 1]
+
+
+def test_narrow_columns_come_along_and_decide(spark, make):
+    day = D(2025, 1, 1)
+    seen = spark.createDataFrame([(1, "a", day, 0, 2, 5), (1, "a", day, 0, 1, 9), (1, "b", day, 0, 1, 1), (1, "b", D(2025, 1, 3), 0, 2, 2)],
+                                 "feed_id long, guid string, fetched_at timestamp, pos long, batch long, content long")
+    done = make.actions((1, "b", "delete", D(2025, 1, 2), 0), (1, "b", "toggle", D(2025, 1, 4), 0))
+    state = articles.fold_state(seen, done, carry=["batch", "content"])
+    assert sorted(tuple(r) for r in state.collect()) == [(1, "a", 1, 9, False, False), (1, "b", 2, 2, False, True)]

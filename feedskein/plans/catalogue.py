@@ -18,7 +18,7 @@ from feedskein.operators import splitting as V
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
-from feedskein.session import scratch_dir, written
+from feedskein.session import estimated_bytes, scratch_dir, written
 from feedskein.sources import archives, tables
 from feedskein.sources import captures as C
 from feedskein.sources import samples as S
@@ -518,12 +518,24 @@ def refresh_feed_info(spark, d):
     return R.updated_feeds(S.document_feeds(spark, d), S.mixed_captures(spark, d))
 
 
+FILE_BYTES = 32 * 1024 * 1024  # of documents, which come to several times as much as feeds
+
+
+def _write_captures(spark, d, captures, folder):
+    """The captures as files of a bounded size, four at least; those of one address lie in one
+    file. Gives how many files are half of them, for a stream in two micro-batches."""
+    documents = estimated_bytes(S.table(spark, d, "documents")) or 0
+    files = max(4, 2 * -(-documents // (2 * FILE_BYTES)))
+    captures.repartition(files, "url").write.option("compression", "zstd").parquet(f"{folder}/captures")
+    return files // 2
+
+
 @query
 def refresh_stream(spark, d):
     """All captures through the stream, in several micro-batches, then the stored state."""
     folder = scratch_dir(spark, "stream")
-    S.mixed_captures(spark, d).repartition(4, "url").write.parquet(f"{folder}/captures")
-    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=2)
+    half = _write_captures(spark, d, S.mixed_captures(spark, d), folder)
+    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=half)
     streaming.start_refresh(arriving, S.document_feeds(spark, d), folder).awaitTermination()
     return streaming.stored_articles(spark, folder)
 
@@ -551,8 +563,8 @@ def _late_actions(spark, d):
 def _streamed(spark, d):
     folder = scratch_dir(spark, "stream")
     captures = S.mixed_captures(spark, d).unionByName(_later_captures(spark, d))
-    captures.repartition(4, "url").write.parquet(f"{folder}/captures")
-    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=2)
+    half = _write_captures(spark, d, captures, folder)
+    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=half)
     streaming.start_refresh(arriving, S.document_feeds(spark, d), folder).awaitTermination()
     return folder
 
@@ -580,11 +592,11 @@ def _keyed(spark, d):
     deletes come before and after the captures they lie between; and some actions twice."""
     folder = scratch_dir(spark, "keyed")
     captures = S.mixed_captures(spark, d).unionByName(_later_captures(spark, d))
-    captures.repartition(4, "url").write.parquet(f"{folder}/captures")
+    half = _write_captures(spark, d, captures, folder)
     actions = _late_actions(spark, d)
     logs.append_actions(actions.repartition(4, "guid"), folder)
     logs.append_actions(actions.filter("feed_id % 3 = 0").coalesce(1), folder)
-    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=2)
+    arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=half)
     keyed.start_articles(arriving, S.document_feeds(spark, d), folder, lateness="30 days", files_per_batch=2).awaitTermination()
     return folder
 

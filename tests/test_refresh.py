@@ -3,6 +3,7 @@ from datetime import datetime as D
 import pytest
 
 from feedskein.operators.articles import first_observations, new_articles
+from feedskein.plans import catalogue
 from feedskein.plans.refresh import (
     feed_observations, feed_report, new_rows, refresh_rows, refresh_summary, selected_feeds, updated_feeds,
 )
@@ -154,3 +155,27 @@ def test_capture_delivered_twice(spark, feeds, make, tmp_path):
     ingest_batch(feeds, folder, capture, 1)
     assert stored_sightings(spark, folder).distinct().count() == 4  # two articles in two batches
     assert stored_articles(spark, folder).count() == 2
+
+
+def test_batch_writes_its_contents_once(spark, feeds, make, tmp_path):
+    """No second copy of what is wide, and a content seen twice is there once, with both times."""
+    folder = str(tmp_path)
+    at = lambda n, *guids: {"url": "u1", "body": rss("T", *guids), "fetched_at": D(2025, 1, n)}
+    ingest_batch(feeds, folder, make.captures(at(1, "a"), at(2, "a", "b"), at(2, "a", "b")), 0)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["contents", "sightings"]
+    contents = spark.read.parquet(f"{folder}/contents/batch=0")
+    assert sorted((r.guid, len(r.seen)) for r in contents.collect()) == [("a", 2), ("b", 1)]
+    assert spark.read.parquet(f"{folder}/sightings/batch=0").count() == 3
+    assert sorted(r.guid for r in stored_articles(spark, folder).collect()) == ["a", "b"]
+
+
+def test_captures_lie_in_files_of_bounded_size(spark, make, tmp_path, monkeypatch):
+    """As many as the documents need, for a stream in two micro-batches; four at least."""
+    spark.range(200).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    captures = make.captures(*[(f"u{i}", "x") for i in range(200)])
+    for number, (most, least_files) in enumerate([(1000, 10), (1 << 30, 4)]):
+        monkeypatch.setattr(catalogue, "FILE_BYTES", most)
+        half = catalogue._write_captures(spark, str(tmp_path), captures, f"{tmp_path}/{number}")
+        files = spark.read.parquet(f"{tmp_path}/{number}/captures").inputFiles()
+        assert least_files <= len(files) <= 2 * half
+    assert half == 2

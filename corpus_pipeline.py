@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedskein.llm import bpe, decontaminate, near_dedup, pii, quality
 from feedskein.llm.queries import table, vocabulary_path
-from feedskein.session import written
+from feedskein.session import limit_arrow_rows, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, text) for each document: its token ids, and the text that they decode to."""
+    limit_arrow_rows(spark)
     path = vocabulary_path()
     return bpe.decode(bpe.encode(docs, path, pieces=120_000), path).selectExpr("doc_id", "ids", "cast(size(ids) as long) as n_tokens", "text")
 

@@ -18,7 +18,7 @@ from feedskein.operators import splitting as V
 from feedskein.plans import refresh as R
 from feedskein.plans import subscribe
 from feedskein.schemas import ARTICLE_CONTENT, ARTICLE_KEY, ARTICLES, FEEDS, OBSERVATIONS
-from feedskein.session import estimated_bytes, scratch_dir, written
+from feedskein.session import estimated_bytes, limit_arrow_rows, scratch_dir, written
 from feedskein.sources import archives, tables
 from feedskein.sources import captures as C
 from feedskein.sources import samples as S
@@ -29,15 +29,10 @@ from feedskein.streaming import refresh as streaming
 QUERIES = {}
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-MOST_ARROW_ROWS = 1000  # whole documents and pages go to Python: ten thousand of them are hundreds of MB
-
-
 def query(function):
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        given = int(spark.conf.get(ARROW_ROWS))
-        spark.conf.set(ARROW_ROWS, str(min(given, MOST_ARROW_ROWS) if given > 0 else MOST_ARROW_ROWS))
+        limit_arrow_rows(spark)
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

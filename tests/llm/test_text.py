@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from feedskein import session
 from feedskein.llm import bpe, html_text, language, pii, quality
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -417,3 +419,23 @@ def test_added_spans_on_planted_data(spark):
     assert all(precision >= 0.95 and recall >= 0.9 for precision, recall in figures.values()), figures
     plain = "then it went over the General Public road and the North Sea, with 4417744280351548 or some-long-function-name-2"
     assert pii.find_spans(spark.createDataFrame([(1, plain)], "doc_id long, text string"), model).first()["spans"] == []
+
+
+def test_decoding_makes_no_merges_and_takes_documents_by_the_thousand(spark, path, monkeypatch):
+    """The vocabulary for encoding takes tens of MB in each worker; ten thousand documents take hundreds."""
+    given = spark.conf.get(session.ARROW_ROWS)
+    try:
+        spark.conf.set(session.ARROW_ROWS, "10000")
+        docs = spark.createDataFrame([(1, "Some text, twice: some text. é漢"), (2, None)], "doc_id long, text string")
+        found = corpus_pipeline.token_ids(spark, docs, "")
+        assert int(spark.conf.get(session.ARROW_ROWS)) == session.MOST_ARROW_ROWS
+        assert {r.doc_id: r.text for r in found.collect()} == {1: "Some text, twice: some text. é漢", 2: ""}
+    finally:
+        spark.conf.set(session.ARROW_ROWS, given)
+    encoded = bpe.encode(docs, path).toArrow().to_batches()
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    monkeypatch.setattr(bpe, "vocabulary", None)
+    bpe.decode(found.select("doc_id", "ids"), path)
+    texts = [t for batch in runs[0](iter(encoded)) for t in batch["text"].to_pylist()]
+    assert sorted(texts) == ["", "Some text, twice: some text. é漢"]

@@ -5,7 +5,8 @@ import pytest
 
 from feedskein.functions import markup
 from feedskein.functions.markup import read_broken_feed, read_page
-from feedskein.plans.catalogue import ARROW_ROWS, MOST_ARROW_ROWS, QUERIES
+from feedskein.plans.catalogue import QUERIES
+from feedskein.session import ARROW_ROWS, MOST_ARROW_ROWS
 from feedskein.operators.discovery import page_feeds
 from feedskein.operators.listing import article_details
 from feedskein.operators.reading import article_links, html_to_text, link_lines, open_articles

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedskein.llm.arrays import U64, doc_of, name_pairs, name_substrings, text_bytes
+from feedskein.llm.arrays import U64, chunks, doc_of, name_pairs, name_substrings, text_bytes
 from feedskein.operators.skew import spread_join
 from feedskein.session import written
 
@@ -66,14 +66,7 @@ class _Block:
             self.names = self.order = np.zeros(0, U64)
             self.bucket_of = self.low = np.zeros(0, U64)
             return
-        places = np.arange(len(names), dtype=U64)
-        least = (names >> _PLACE << _PLACE) | places
-        have = 1
-        while have < inner:
-            step = min(have, inner - have)
-            least = np.minimum(least[:len(least) - step], least[step:])
-            have += step
-        chosen = (least & U64((1 << 30) - 1)).astype(np.int64)
+        chosen = _least(names, inner)
         inside = np.zeros(windows, bool)
         for begin, end in zip(self.offsets[:-1], self.offsets[1:]):
             inside[begin:max(begin, end - length + 1)] = True
@@ -131,6 +124,21 @@ class _Block:
         return runs, runs[order[new]], which
 
 
+def _least(names, inner):
+    """The place of the smallest of each `inner` consecutive names."""
+    result = np.empty(max(0, len(names) - inner + 1), np.int64)
+    for begin, end in chunks(len(result)):
+        least = names[begin:end + inner - 1] >> _PLACE << _PLACE
+        least |= np.arange(begin, begin + len(least), dtype=U64)
+        have = 1
+        while have < inner:
+            step = min(have, inner - have)
+            least = np.minimum(least[:len(least) - step], least[step:])
+            have += step
+        result[begin:end] = least & U64((1 << 30) - 1)
+    return result
+
+
 def _bits(packed, count):
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=count).astype(bool)
 
@@ -255,10 +263,14 @@ def _covered(block, answers):
     # no smaller document outside the block: then the first of the block's own is the smallest
     later = block.ids[block.docs[runs]] > block.ids[block.docs[kept]][which]
     hit |= np.repeat(later, of_run)
-    change = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(change, windows[hit], 1)
-    np.add.at(change, windows[hit] + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    covered = np.zeros(len(block.data), bool)
+    covered[windows[hit]] = True
+    have = 1
+    while have < length:  # a window's first byte marks the next ones: 1, 2, 4, ... more
+        step = min(have, length - have)
+        covered[step:] |= covered[:-step].copy()
+        have += step
+    return covered
 
 
 def _cut(length, buckets):

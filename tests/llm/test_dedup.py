@@ -3,11 +3,13 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from feedskein.llm import suffix_dedup
+from feedskein.llm import arrays, suffix_dedup
 from feedskein.llm.components import components
 from feedskein.llm.near_dedup import drop_near_duplicates, near_duplicates
 from feedskein.llm.suffix_dedup import remove_repeats
@@ -77,6 +79,24 @@ def test_a_block_beyond_its_places_is_told(monkeypatch):
         suffix_dedup._Block(table, 50, 1)
 
 
+def test_names_are_made_in_pieces_that_stay_in_cache():
+    data = np.random.default_rng(5).integers(97, 99, 20 * arrays.CHUNK, dtype=np.uint8)
+    edge = 3 * arrays.CHUNK
+    data[edge - 30:edge + 30] = data[100:160]  # a repeat across the border of two pieces
+    tracemalloc.start()
+    names = arrays.name_substrings(data, 50)
+    least = suffix_dedup._least(names, 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * (names.nbytes + least.nbytes)
+    assert len(names) == len(data) - 49 and (names[edge - 30:edge - 19] == names[100:111]).all()
+    assert all(names[at] == arrays.name_substrings(data[at:at + 50], 50)[0] for at in (0, arrays.CHUNK - 1, arrays.CHUNK, len(names) - 1))
+    upper = names >> np.uint64(30)
+    for at in (0, arrays.CHUNK - 20, arrays.CHUNK, edge - 1, len(least) - 1):
+        assert least[at] == at + upper[at:at + 25].argmin()
+    assert len(arrays.name_substrings(data[:49], 50)) == 0 == len(suffix_dedup._least(names[:24], 25))
+
+
 def test_no_documents(spark):
     empty = docs(spark, [])
     assert remove_repeats(empty).collect() == []

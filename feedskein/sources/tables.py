@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from feedskein.operators.skew import spread_join
 from feedskein.schemas import ARTICLE_KEY, ARTICLES, FEEDS
+from feedskein.session import written
 
 # Values for columns that older data lacks.
 DEFAULTS = {"link": "", "title": "", "summary": "", "is_read": False, "is_favorite": False}
@@ -111,8 +112,9 @@ def append_rows(rows: DataFrame, path: str, id_column=None, keys=None, sort_key=
     spark = rows.sparkSession
     buckets, top = _ids(spark, path) or (BUCKETS, 0)
     if id_column:
-        _note(spark, path, buckets, top + rows.count())
-        rows = number_rows(rows, id_column, keys, after=top)
+        counts = written(place_counts(rows, keys), "counts")  # of both the ids to note and the numbers
+        _note(spark, path, buckets, top + (counts.agg(F.sum("_n")).first()[0] or 0))
+        rows = number_rows(rows, id_column, keys, after=top, counts=counts)
     else:
         _note(spark, path, buckets, top)
     _save(rows, path, buckets, sort_key, "append")
@@ -122,11 +124,21 @@ def remove_rows(spark: SparkSession, path: str, schema: T.StructType, feed_ids:
     """Remove the rows of feeds (feed_id). Of the buckets that they can be in, feed_id alone is
     read; those that do hold some are read and written whole. The numbers of both, at most as
     many as there are buckets, are all that the driver learns. A bucket keeps one row without
-    feed, which no read returns, so that one that lost all its rows is overwritten too."""
+    feed, which no read returns, so that one that lost all its rows is overwritten too.
+
+    Every step asks for the feeds, so they are found once, and written.
+    """
+    _remove(spark, path, schema, _gone(feed_ids), sort_key)
+
+
+def _gone(feed_ids: DataFrame) -> DataFrame:
+    return written(feed_ids.select(F.col("feed_id").cast("long")).distinct(), "gone")
+
+
+def _remove(spark, path, schema, gone, sort_key):
     ids, rows = _ids(spark, path), _rows(spark, path, schema)
     if ids is None or rows is None:
         return
-    gone = feed_ids.select(F.col("feed_id").cast("long")).distinct()
     possible = [r[0] for r in gone.select(bucket_of(F.col("feed_id"), ids[0])).distinct().collect()]
     held = rows.filter(F.col("bucket").isin(possible)).select("bucket", "feed_id").distinct()
     touched = [r[0] for r in held.join(gone, "feed_id", "left_semi").select("bucket").distinct().collect()]
@@ -155,8 +167,9 @@ def _rewrite(rows, path, schema, buckets, touched, gone, sort_key):
 def remove_stored_feeds(spark: SparkSession, folder: str, feed_ids: DataFrame) -> None:
     """Remove feeds (feed_id) from the tables of folder, and their articles with them. The
     articles go first: if it fails in between, doing it again removes the rest."""
-    remove_rows(spark, f"{folder}/articles", ARTICLES, feed_ids, ARTICLE_KEY)
-    remove_rows(spark, f"{folder}/feeds", FEEDS, feed_ids, ["feed_id"])
+    gone = _gone(feed_ids)
+    _remove(spark, f"{folder}/articles", ARTICLES, gone, ARTICLE_KEY)
+    _remove(spark, f"{folder}/feeds", FEEDS, gone, ["feed_id"])
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +228,17 @@ def upgrade(table: DataFrame, schema: T.StructType) -> DataFrame:
     return table.select(*columns)
 
 
-def number_rows(rows: DataFrame, id_column: str, keys, after=0, partitions=None) -> DataFrame:
+def _placed(rows: DataFrame, keys, partitions: int) -> DataFrame:
+    return rows.withColumn("_place", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int"))
+
+
+def place_counts(rows: DataFrame, keys, partitions=None) -> DataFrame:
+    """(_place, _n): how many of rows each partition of number_rows gets; one row per partition."""
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _placed(rows.select(*keys), keys, partitions).groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def number_rows(rows: DataFrame, id_column: str, keys, after=0, partitions=None, counts=None) -> DataFrame:
     """rows with consecutive numbers from after + 1 up, without sorting them in one task.
 
     `after` is the highest number ever given out, so numbers of deleted rows do not come
@@ -223,14 +246,13 @@ def number_rows(rows: DataFrame, id_column: str, keys, after=0, partitions=None)
     by its place there plus the row counts of the partitions before. Only those counts,
     one per partition, meet in one task. Place and order depend on the keys alone, so
     partitions that are computed again after an executor is lost get the same numbers.
+    Who has the place_counts of rows already, for as many partitions, spares a pass by giving them.
     """
     partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.withColumn("_place", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int"))
+    placed = _placed(rows, keys, partitions)
     before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
+    starts = (place_counts(rows, keys, partitions) if counts is None else counts).select(
+        "_place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     row_bits = (1 << 33) - 1  # the lower bits of monotonically_increasing_id
     numbered = (
         placed.repartitionById(partitions, "_place")

@@ -95,6 +95,41 @@ def test_removal_rewrites_the_buckets_concerned_alone(spark, make, tmp_path):
     assert read_articles(spark, path).count() == 38 * 3
 
 
+def counted(spark, rows, column):
+    """rows whose column is made by a function that counts its calls, and the counter."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(value):
+        calls.add(1)
+        return value
+
+    return rows.withColumn(column, same.asNondeterministic()(column)), calls
+
+
+def test_removed_feeds_are_found_once(spark, make, tmp_path, joins):
+    folder = str(tmp_path)
+    append_articles(make.articles(*[{"feed_id": f, "guid": g} for f in range(1, 21) for g in "ab"]), f"{folder}/articles")
+    append_feeds(make.feeds(*[(0, f"F{f}", f"u{f}") for f in range(20)]), f"{folder}/feeds")
+    gone, calls = counted(spark, ids(spark, 3, 4, 4, None), "feed_id")
+    remove_stored_feeds(spark, folder, gone)
+    assert calls.value == 4
+    left = set(range(1, 21)) - {3, 4}
+    assert {r.feed_id for r in read_articles(spark, f"{folder}/articles").collect()} == left
+    assert {r.feed_id for r in read_feeds(spark, f"{folder}/feeds").collect()} == left
+
+
+def test_appended_rows_are_made_twice(spark, make, tmp_path):
+    path = str(tmp_path / "articles")
+    rows, calls = counted(spark, make.articles(*[{"feed_id": f, "guid": "a"} for f in range(30)]), "feed_id")
+    append_articles(rows, path)
+    assert calls.value == 60  # to count them, and to write them
+    assert sorted(r.id for r in read_articles(spark, path).collect()) == list(range(1, 31))
+    append_articles(read_articles(spark, str(tmp_path / "none")), path)
+    append_articles(make.articles({"feed_id": 1, "guid": "b"}), path)
+    assert max(r.id for r in read_articles(spark, path).collect()) == 31
+
+
 def test_removing_everything_and_nothing(spark, make, tmp_path):
     folder, path = str(tmp_path), str(tmp_path / "articles")
     remove_stored_feeds(spark, folder, ids(spark, 1))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedskein.functions import wording as W
 from feedskein.functions.text import blank_to_null
+from feedskein.operators.keyfilter import key_bits, possible
 from feedskein.operators.skew import fits_broadcast
 from feedskein.schemas import CAPTURES
 from feedskein.session import estimated_bytes
@@ -53,12 +54,18 @@ def successes(captures: DataFrame) -> DataFrame:
     return captures.filter(failure().isNull())
 
 
+WANTED_SLOTS = 1 << 26  # a bitmap of 8 MB, whatever it is made of
+
+
 def drop_unwanted(captures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """captures without those of URLs not in wanted (url), if wanted can be broadcast: then
-    the others' bodies leave the scan no further. Else captures as they are; the join
-    that follows drops them, and sorting them out first would shuffle bodies twice."""
+    """captures without those of URLs not in wanted (url), so that the others' bodies leave the
+    scan no further: without all of them if wanted can be broadcast, else without most. Then a
+    bitmap of the wanted URLs of a fixed size is broadcast, and the captures that it lets through
+    by chance (one in twenty for four million URLs) are left to the join that follows."""
     urls = wanted.select("url")
-    return captures.join(urls, "url", "left_semi") if fits_broadcast(urls) else captures
+    if fits_broadcast(urls):
+        return captures.join(urls, "url", "left_semi")
+    return possible(captures, F.broadcast(key_bits(urls, WANTED_SLOTS, ["url"])), WANTED_SLOTS, ["url"])
 
 
 def latest_captures(captures: DataFrame, *keys: str) -> DataFrame:

@@ -4,7 +4,7 @@ from feedskein.operators.discovery import capture_digest
 from feedskein.operators.redirects import MOST, follow_redirects, redirect_routes
 from feedskein.plans.refresh import fetch_and_parse
 from feedskein.plans.subscribe import subscriptions
-from feedskein.sources.captures import page_captures
+from feedskein.sources.captures import drop_unwanted, page_captures
 
 RSS = "<rss><channel><title>Here</title><item><guid>g</guid></item></channel></rss>"
 ENDLESS = "Exceeded maximum allowed redirects."
@@ -94,3 +94,15 @@ def test_parsing_pages_and_subscribing_follow(spark, make):
         "https://d.example/blog": ("single", "added", "https://d.example/feed.xml"),
         "https://l.example/": ("none", "not_found", None),
     }
+
+
+def test_bodies_nobody_asks_for_stay_out_of_the_shuffle(spark, make, joins):
+    rows = [hop(f"https://{i}.example/", f"https://b.example/{i}") for i in range(60)]
+    rows += [{"url": f"https://b.example/{i}", "body": RSS} for i in range(60)]
+    captures = follow_redirects(make.captures(*rows))
+    asked = [f"https://{i}.example/" for i in range(20)] + ["https://nowhere.example/"]
+    wanted = spark.createDataFrame([(u,) for u in [*asked, None]], "url string")
+    kept = [r.url for r in drop_unwanted(captures, wanted).collect()]
+    assert sorted(kept) == sorted(asked[:20])
+    parsed = {r.url: r.error for r in fetch_and_parse(wanted.dropna(), captures).collect()}
+    assert parsed == {u: None if u != asked[20] else f"Network error fetching {u}: not captured" for u in asked}

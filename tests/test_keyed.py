@@ -5,10 +5,12 @@ from datetime import datetime as D
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import types as T
 
 from feedskein.operators.articles import first_observations, fold_state
 from feedskein.operators.listing import list_feeds
 from feedskein.plans.refresh import feed_observations
+from feedskein.schemas import ACTIONS, OBSERVATIONS
 from feedskein.sources.captures import stream_captures
 from feedskein.streaming import articles as keyed
 from feedskein.streaming.logs import append_actions, append_removals
@@ -132,3 +134,83 @@ def test_a_key_is_one_value_of_state(spark, feeds, make, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "article").load(f"{folder}/state").select("value.*").first()
     assert (state.title, state.is_favorite, state.unsettled) == ("first", True, 2)
     assert sorted(e.kind for e in state.later) == ["seen", "toggle"]
+
+
+def nullable(schema):
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+
+def operator_names(spark, folder):
+    return {row.operatorName for row in spark.read.format("state-metadata").load(f"{folder}/state").collect()}
+
+
+def test_state_is_kept_without_a_python_worker(spark, feeds, make, tmp_path):
+    folder = str(tmp_path)
+    append_actions(make.actions((1, "a", "toggle", D(2025, 1, 1, 1), 1)), folder)
+    make.captures({"url": "u1", "body": rss(("a", "first")), "fetched_at": D(2025, 1, 1)}).write.parquet(f"{folder}/captures")
+    keyed.start_articles(stream_captures(spark, f"{folder}/captures"), feeds, folder).awaitTermination()
+    assert operator_names(spark, folder) == {"transformWithStateExec"}
+
+
+def test_a_stream_begun_in_python_goes_on_in_python(spark, feeds, make, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    (tmp_path / "actions").mkdir()
+
+    def run(day, title):
+        make.captures({"url": "u1", "body": rss(("a", title)), "fetched_at": D(2025, 1, day)}).coalesce(1).write.mode("append").parquet(f"{folder}/captures")
+        append_actions(make.actions((1, "a", "toggle", D(2025, 1, day, 1), day)), folder)
+        keyed.start_articles(stream_captures(spark, f"{folder}/captures"), feeds, folder).awaitTermination()
+        return [(row.title, row.is_favorite) for row in keyed.current_articles(spark, folder).collect()]
+
+    with monkeypatch.context() as patched:
+        patched.setattr(keyed, "begun_in_python", lambda spark, folder: True)
+        assert run(2, "second") == [("second", True)]
+    assert operator_names(spark, folder) == {"transformWithStateInPySparkExec"}
+    assert run(1, "first") == [("first", False)]
+
+
+def test_the_state_of_every_batch_is_what_the_fold_gives(spark, tmp_path):
+    """Random events of many keys, null ones too, some repeated, in batches of about four days."""
+    r, folder, arrived, rounds = random.Random(11), str(tmp_path), [], 4
+    for n in range(rounds):
+        at = lambda: D(2025, 1, 1) + timedelta(days=4 * n + r.choice([0, 1, 2, 3]), minutes=r.randrange(3))  # noqa: E731,B023
+        key = lambda: (r.choice([1, 2, None]), r.choice(["a", "b", "c", "d", None]))
+        seen = [(*key(), f"{r.randrange(3)}", "", None, r.choice([None, D(2024, 5, 6, 7)]), "", at(), r.randrange(2)) for _ in range(50)]
+        done = [(*key(), r.choice(["read", "toggle", "delete", "other"]), at(), r.randrange(2)) for _ in range(50)]
+        observations = spark.createDataFrame(seen + seen[:5], nullable(OBSERVATIONS))
+        actions = spark.createDataFrame(done + done[:5], nullable(ACTIONS))
+        observations.coalesce(1).write.mode("append").parquet(f"{folder}/seen")
+        actions.coalesce(1).write.mode("append").parquet(f"{folder}/actions")
+        arrived.append(keyed.events(observations, actions).collect())
+    stream = spark.readStream.schema(observations.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/seen")
+    changes = keyed.article_changes(stream, keyed.stream_actions(spark, folder, 1), "5 days")
+    given = {}
+
+    def take(rows, batch):
+        given[batch] = {(row.feed_id, row.guid): row for row in rows.collect()}
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.PROVIDER)
+    changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    wanted, newest, settled = {}, None, 0
+    for n in range(rounds):
+        horizon = 0 if newest is None else newest - 5 * 24 * 60 * MINUTE
+        by_key = {}
+        for row in arrived[n]:
+            by_key.setdefault((row.feed_id, row.guid), set()).add(tuple(row)[3:])
+        for key, happened in by_key.items():
+            before, later = wanted.get(key, (keyed.NEW, []))
+            after, later = keyed.fold(before, set(later) | {tuple(e) for e in happened}, horizon)
+            wanted[key] = after, later
+            changed = any(getattr(after, c) != getattr(before, c) for c in ("live", "is_read", "is_favorite", "born_at", "born_seq"))
+            assert (key in given[n]) == changed
+            if changed:
+                row = given[n][key]
+                assert (row.live, row.is_read, row.is_favorite) == (after.live, after.is_read, after.is_favorite)
+                assert row.unread_change == keyed.unread(after) - keyed.unread(before)
+        newest = max([newest or 0, *[row.micros for row in arrived[n]]])
+        state = spark.read.format("statestore").option("stateVarName", "article").option("batchId", n).load(f"{folder}/state")
+        held = {tuple(row.key): (row.value[:-1], {tuple(e) for e in row.value.later}) for row in state.collect()}
+        assert held == {key: (tuple(after), set(later)) for key, (after, later) in wanted.items()}
+        settled += sum(value[keyed.ARTICLE_STATE_NAMES.index("settled")] for value, _ in held.values())
+    assert settled

@@ -590,7 +590,7 @@ def _keyed(spark, d):
     half = _write_captures(spark, d, captures, folder)
     actions = _late_actions(spark, d)
     logs.append_actions(actions.repartition(4, "guid"), folder)
-    logs.append_actions(actions.filter("feed_id % 3 = 0").coalesce(1), folder)
+    logs.append_actions(actions.filter("feed_id % 3 = 0").repartition(1), folder)  # one file, read by many tasks
     arriving = C.stream_captures(spark, f"{folder}/captures", files_per_batch=half)
     keyed.start_articles(arriving, S.document_feeds(spark, d), folder, lateness="30 days", files_per_batch=2).awaitTermination()
     return folder

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from feedskein.operators.articles import first_observations, fold_state
 from feedskein.operators.listing import list_feeds
+from feedskein.plans import catalogue
 from feedskein.plans.refresh import feed_observations
 from feedskein.schemas import ACTIONS, OBSERVATIONS
 from feedskein.sources.captures import stream_captures
@@ -214,3 +215,21 @@ def test_the_state_of_every_batch_is_what_the_fold_gives(spark, tmp_path):
         assert held == {key: (tuple(after), set(later)) for key, (after, later) in wanted.items()}
         settled += sum(value[keyed.ARTICLE_STATE_NAMES.index("settled")] for value, _ in held.values())
     assert settled
+
+
+def test_the_feed_list_reads_documents_in_many_tasks_and_no_state(spark, tmp_path, monkeypatch):
+    rows = [(n, f"line {n}\nother", "fr" if n == 3 else "en", "src7") for n in range(1, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    folders, plans, append = [], [], catalogue.logs.append_actions
+
+    def appended(actions, folder):
+        folders.append(folder)
+        plans.append(actions._jdf.queryExecution().executedPlan().toString())
+        append(actions, folder)
+
+    monkeypatch.setattr(catalogue.logs, "append_actions", appended)
+    listed = catalogue.QUERIES["keyed_feed_list"](spark, str(tmp_path)).collect()
+    # the first entry is deleted between its captures, comes again with the later one and is read after
+    assert [(row.feed_id, row.unread_count) for row in listed] == [(n, 1) for n in (1, 2, 4, 5, 6)]
+    assert all("Coalesce" not in plan for plan in plans) and len(plans) == 2
+    assert operator_names(spark, folders[0]) == {"transformWithStateExec"}

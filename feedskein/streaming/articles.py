@@ -14,6 +14,9 @@ which is one row with at most the events of one `lateness`. Articles are read fr
 itself, at the cost of what is live, whatever the length of the history. Each micro-batch adds
 up how many unread articles each feed has won or lost, so the feed list reads no articles.
 
+Articles.java keeps the state, in Spark's own process; `fold` says here what it does, and does it
+for streams that the Python operator has begun.
+
 Layout below a folder that all executors share:
   actions/           appended by others
   removals/          feeds that were removed, appended by others
@@ -57,7 +60,7 @@ def events(observations: DataFrame, actions: DataFrame) -> DataFrame:
 
 class Articles(StatefulProcessor):
     """Applies the new events of a key and gives its change, if there is one. Articles.java does the
-    same at a tenth of the cost; this is for streams begun with it and clients without a JVM."""
+    same without a Python worker; this is for streams begun with it and clients without a JVM."""
 
     def init(self, handle) -> None:
         self.article = handle.getValueState("article", STORED)

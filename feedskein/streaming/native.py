@@ -3,12 +3,11 @@
 Spark brings the compiler (Janino, for its generated code) and hands a jar that is added later
 to the executors, so nothing has to be built or installed."""
 
+import hashlib
 import os
 import pkgutil
-import uuid
 import zipfile
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 PACKAGE = "feedskein"
@@ -16,25 +15,20 @@ PACKAGE = "feedskein"
 
 def native(spark: SparkSession, name: str):
     """A new object of the class PACKAGE.name, whose source is <name>.java beside this module."""
-    loader = spark._jsparkSession.sharedState().jarClassLoader()
-    try:
-        found = loader.loadClass(f"{PACKAGE}.{name}")
-    except Py4JJavaError as error:
-        if error.java_exception.getClass().getName() != "java.lang.ClassNotFoundException":
-            raise
-        spark.sql(f"ADD JAR '{_compiled(spark, name)}'")
-        found = loader.loadClass(f"{PACKAGE}.{name}")
-    return found.newInstance()
-
-
-def _compiled(spark, name):
-    """The path of a jar with the compiled class, in a folder that goes with the session."""
+    source = pkgutil.get_data(__package__, f"{name}.java")
+    jar = f"{PACKAGE}-{name}-{hashlib.sha256(source).hexdigest()[:16]}.jar"
+    # the driver may know the class from a context before, whose executors are gone
+    if jar not in spark.sparkContext._jsc.sc().listJars().mkString(" "):
+        path = os.path.join(spark.sparkContext._temp_dir, jar)  # a folder that goes with the context
+        _compile(spark, source.decode(), path)
+        spark.sql(f"ADD JAR '{path}'")
+    return spark._jsparkSession.sharedState().jarClassLoader().loadClass(f"{PACKAGE}.{name}").newInstance()
+
+
+def _compile(spark, source, path):
     compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
     compiler.setParentClassLoader(spark._jsparkSession.sharedState().jarClassLoader())
-    compiler.cook(pkgutil.get_data(__package__, f"{name}.java").decode())
-    # executors know a jar by its name
-    path = os.path.join(spark.sparkContext._temp_dir, f"{PACKAGE}-{name}-{uuid.uuid4().hex}.jar")
+    compiler.cook(source)
     with zipfile.ZipFile(path, "w") as jar:
-        for compiled, code in compiler.getBytecodes().items():
-            jar.writestr(f"{compiled.replace('.', '/')}.class", bytes(code))
-    return path
+        for name, code in compiler.getBytecodes().items():
+            jar.writestr(f"{name.replace('.', '/')}.class", bytes(code))

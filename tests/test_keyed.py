@@ -15,6 +15,7 @@ from feedskein.schemas import ACTIONS, OBSERVATIONS
 from feedskein.sources.captures import stream_captures
 from feedskein.streaming import articles as keyed
 from feedskein.streaming.logs import append_actions, append_removals
+from feedskein.streaming.native import native
 
 MINUTE = 60_000_000
 
@@ -153,6 +154,12 @@ def test_state_is_kept_without_a_python_worker(spark, feeds, make, tmp_path):
     assert operator_names(spark, folder) == {"transformWithStateExec"}
 
 
+def test_executors_get_the_compiled_class_once(spark):
+    """Also where the driver knows it already, as from a context before."""
+    jars = [native(spark, "Articles") and spark.sparkContext._jsc.sc().listJars().mkString(" ") for _ in range(2)]
+    assert jars[0] == jars[1] and jars[0].count("feedskein-Articles") == 1
+
+
 def test_a_stream_begun_in_python_goes_on_in_python(spark, feeds, make, tmp_path, monkeypatch):
     folder = str(tmp_path)
     (tmp_path / "actions").mkdir()
